@@ -97,23 +97,22 @@ def _decode_number(digits: Column, base: int) -> Column:
     number = F.when(F.length(cleaned) > 8, F.lit(0x110000)).otherwise(
         F.conv(cleaned, base, 10).cast("bigint")
     )
-    # 0x80-0x9f are read as windows-1252, as browsers do
-    latin = {
-        n: bytes([n]).decode("cp1252")
-        for n in range(0x80, 0xA0)
-        if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)
-    }
+    # 0x80-0x9f are read as windows-1252, as browsers do; unassigned ones stay as they are
+    latin = "".join(bytes([n]).decode("cp1252", "replace").replace("\ufffd", chr(n)) for n in range(0x80, 0xA0))
 
     def render(n: Column) -> Column:
-        out = F.when((n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit("�"))
-        for point, char in latin.items():
-            out = out.when(n == point, F.lit(char))
+        invalid = (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
         dropped = (
-            n.between(0x1, 0x8) | (n == 0xB) | n.between(0xE, 0x1F) | n.between(0x7F, 0x9F)
+            n.between(0x1, 0x8) | n.isin(0xB, 0x7F) | n.between(0xE, 0x1F)
             | n.between(0xFDD0, 0xFDEF) | (F.pmod(n, F.lit(0x10000)) >= 0xFFFE)
         )
-        keep = n.isin(0x81, 0x8D, 0x8F, 0x90, 0x9D)
-        return out.when(n == 0xD, F.lit("\r")).when(dropped & ~keep, F.lit("")).otherwise(_codepoint(n))
+        return (
+            F.when(invalid, F.lit("\ufffd"))
+            .when(n.between(0x80, 0x9F), F.substring(F.lit(latin), n.cast("int") - 127, F.lit(1)))
+            .when(n == 0xD, F.lit("\r"))
+            .when(dropped, F.lit(""))
+            .otherwise(_codepoint(n))
+        )
 
     return let(number, render)
 

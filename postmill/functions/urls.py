@@ -46,15 +46,28 @@ def _decoded(value: Column, plus_is_space: bool) -> Column:
 
 
 def _peel(url: Column) -> Column:
-    """One redirect layer: the first key, in fixed order, that names another target."""
+    """One redirect layer: the first key, in fixed order, whose first value is another URL."""
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    pair = F.lit(rf"(?:^|&)({'|'.join(fixed.REDIRECT_KEYS)})=([^&]+)")
+    found = F.struct(
+        F.regexp_extract_all(query, pair, F.lit(1)).alias("keys"),
+        F.regexp_extract_all(query, pair, F.lit(2)).alias("values"),
+    )
+    order = F.array(*[F.lit(key) for key in fixed.REDIRECT_KEYS])
+
+    def pick(f: Column) -> Column:
+        targets = F.transform(
+            f["keys"],
+            lambda key, at: F.struct(
+                F.array_position(order, key).alias("rank"), at.alias("at"),
+                (F.array_position(f["keys"], key) == at + 1).alias("first"),
+                _decoded(_decoded(F.get(f["values"], at), True), False).alias("url"),
+            ),
+        )
+        usable = F.filter(targets, lambda t: t["first"] & (t["url"] != "") & (t["url"] != url))
+        return F.coalesce(F.array_min(usable)["url"], url)
 
-    def target(key: str) -> Column:
-        raw = F.regexp_extract(query, rf"(?:^|&){key}=([^&]+)", 1)
-        nxt = present(_decoded(_decoded(raw, True), False))
-        return F.when(nxt != url, nxt)
-
-    return F.coalesce(*[target(key) for key in fixed.REDIRECT_KEYS], url)
+    return let(found, pick)
 
 
 def unwrap(url: Column | str) -> Column:

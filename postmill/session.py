@@ -7,6 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Long expressions are thousands of Column calls; recording a call site for each costs
+# more than building the plan does.
+CALL_SITES = "spark.python.sql.dataFrameDebugging.enabled"
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -21,6 +24,7 @@ def local_session(app: str, cores: str = "*", **conf: str) -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config(CALL_SITES, "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
