@@ -31,21 +31,47 @@ def _word_keys(title: Column) -> Column:
     rare = F.when(F.size(generic) >= fixed.MATCH_GATE - LOCATION_REACH, generic).otherwise(
         F.array().cast("array<string>")
     )
-    return F.transform(F.concat(meaningful, rare), lambda w: F.concat(F.lit("w:"), w))
+    return F.concat(meaningful, rare)
 
 
-def _opening_chars(title: Column, tag: str) -> Column:
-    return F.array(F.concat(F.lit(tag), F.substring(title, 1, GRAM)))
+def _nests_unseen(title: Column) -> Column:
+    """Whether `title` could stand inside another without sharing a meaningful word.
+
+    From three words on, an inner word of the contained title stands whole in the other.
+    """
+    words = tokens_of(title)
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(1)))
+    return (F.size(words) <= 2) | (F.size(F.array_except(inner, generic_tokens())) == 0)
 
 
-def _grams(title: Column, tag: str) -> Column:
-    """Every stretch of one to five characters, so that any contained title is met."""
-    starts = F.sequence(F.lit(1), F.length(title))
-    stretches = [
-        F.transform(starts, lambda i, n=n: F.concat(F.lit(tag), F.substring(title, i, F.lit(n))))
-        for n in range(1, GRAM + 1)
-    ]
-    return F.array_distinct(F.concat(*stretches))
+def _contained(inner: DataFrame, outer: DataFrame, inner_name: str, outer_name: str) -> DataFrame:
+    """(board, inner title, outer title) where one stands inside the other.
+
+    Meeting key: the inner title's first characters. The outer side offers every stretch of
+    just those lengths that inner titles of its board need.
+    """
+    openers = (
+        inner.filter(_nests_unseen(F.col(inner_name)))
+        .withColumn("n", F.least(F.length(inner_name), F.lit(GRAM)))
+        .withColumn("key", F.substring(inner_name, 1, GRAM))
+    )
+    needed = openers.select("board", "n").distinct()
+    offers = outer.join(needed, "board").withColumn(
+        "key",
+        F.explode(
+            F.array_distinct(
+                F.transform(
+                    F.sequence(F.lit(1), F.greatest(F.length(outer_name) - F.col("n") + 1, F.lit(1))),
+                    lambda at: F.substring(F.col(outer_name), at, F.col("n")),
+                )
+            )
+        ),
+    )
+    return (
+        openers.join(offers, ["board", "n", "key"])
+        .filter(F.col(outer_name).contains(F.col(inner_name)))
+        .select("board", "jt", "ot")
+    )
 
 
 def best_openings(jobs: DataFrame, openings: DataFrame) -> DataFrame:
@@ -75,19 +101,15 @@ def best_openings(jobs: DataFrame, openings: DataFrame) -> DataFrame:
 
     others = job_titles.join(
         open_titles.select("board", F.col("ot").alias("jt")), ["board", "jt"], "left_anti"
-    ).withColumn(
-        "key",
-        F.explode(F.concat(_word_keys(F.col("jt")), _opening_chars(F.col("jt"), "a:"), _grams(F.col("jt"), "b:"))),
     )
-    index = open_titles.withColumn(
-        "key",
-        F.explode(F.concat(_word_keys(F.col("ot")), _opening_chars(F.col("ot"), "b:"), _grams(F.col("ot"), "a:"))),
+    by_word = (
+        others.withColumn("key", F.explode(_word_keys(F.col("jt"))))
+        .join(open_titles.withColumn("key", F.explode(_word_keys(F.col("ot")))), ["board", "key"])
+        .select("board", "jt", "ot")
     )
-    inside = F.col("jt").contains(F.col("ot")) | F.col("ot").contains(F.col("jt"))
     met = (
-        others.join(index, ["board", "key"])
-        .filter(F.col("key").startswith("w:") | inside)
-        .select("board", "jt", "ot")
+        by_word.unionByName(_contained(others, open_titles, "jt", "ot"))
+        .unionByName(_contained(open_titles, others, "ot", "jt"))
         .distinct()
         .withColumn("title_score", title_score(F.col("jt"), F.col("ot")))
         .filter(F.col("title_score") >= fixed.MATCH_GATE - LOCATION_REACH)
