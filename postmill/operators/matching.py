@@ -19,6 +19,7 @@ from postmill.functions.titles import (
     tokens_of,
 )
 from postmill.operators.keyed import top_k
+from postmill.session import stage
 
 LOCATION_REACH = 4  # the most a location adds to a score
 GRAM = 5
@@ -31,7 +32,7 @@ def _word_keys(title: Column) -> Column:
     rare = F.when(F.size(generic) >= fixed.MATCH_GATE - LOCATION_REACH, generic).otherwise(
         F.array().cast("array<string>")
     )
-    return F.concat(meaningful, rare)
+    return F.transform(F.concat(meaningful, rare), lambda w: F.concat(F.lit("w:"), w))
 
 
 def _nests_unseen(title: Column) -> Column:
@@ -44,34 +45,18 @@ def _nests_unseen(title: Column) -> Column:
     return (F.size(words) <= 2) | (F.size(F.array_except(inner, generic_tokens())) == 0)
 
 
-def _contained(inner: DataFrame, outer: DataFrame, inner_name: str, outer_name: str) -> DataFrame:
-    """(board, inner title, outer title) where one stands inside the other.
+def _index_keys(title: Column, inner_tag: str, outer_tag: str) -> Column:
+    """Words, the opening characters of a title that may nest, and stretches for those of others."""
+    opening = F.when(
+        _nests_unseen(title), F.array(F.concat(F.lit(inner_tag), F.substring(title, 1, GRAM)))
+    ).otherwise(F.array().cast("array<string>"))
+    starts = F.sequence(F.lit(1), F.length(title))
 
-    Meeting key: the inner title's first characters. The outer side offers every stretch of
-    just those lengths that inner titles of its board need.
-    """
-    openers = (
-        inner.filter(_nests_unseen(F.col(inner_name)))
-        .withColumn("n", F.least(F.length(inner_name), F.lit(GRAM)))
-        .withColumn("key", F.substring(inner_name, 1, GRAM))
-    )
-    needed = openers.select("board", "n").distinct()
-    offers = outer.join(needed, "board").withColumn(
-        "key",
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.length(outer_name) - F.col("n") + 1, F.lit(1))),
-                    lambda at: F.substring(F.col(outer_name), at, F.col("n")),
-                )
-            )
-        ),
-    )
-    return (
-        openers.join(offers, ["board", "n", "key"])
-        .filter(F.col(outer_name).contains(F.col(inner_name)))
-        .select("board", "jt", "ot")
-    )
+    def stretches(length: int) -> Column:
+        return F.transform(starts, lambda at: F.concat(F.lit(outer_tag), F.substring(title, at, F.lit(length))))
+
+    offers = F.array_distinct(F.concat(*[stretches(n) for n in range(1, GRAM + 1)]))
+    return F.concat(_word_keys(title), opening, offers)
 
 
 def best_openings(jobs: DataFrame, openings: DataFrame) -> DataFrame:
@@ -83,7 +68,8 @@ def best_openings(jobs: DataFrame, openings: DataFrame) -> DataFrame:
     wanted = jobs.select(
         "job_id", "board", title_norm("title").alias("jt"), location_norm("location").alias("jl")
     ).filter("jt != ''")
-    offered = (
+    # both profile tables feed several joins below: written once, read often
+    offered = stage(
         openings.select(
             "board", "ordinal", title_norm("title").alias("ot"), location_norm("location").alias("ol")
         )
@@ -91,7 +77,7 @@ def best_openings(jobs: DataFrame, openings: DataFrame) -> DataFrame:
         .groupBy("board", "ot", "ol")
         .agg(F.min("ordinal").alias("ordinal"))
     )
-    places = wanted.select("board", "jt", "jl").distinct()
+    places = stage(wanted.select("board", "jt", "jl").distinct())
     job_titles = wanted.select("board", "jt").distinct()
     open_titles = offered.select("board", "ot").distinct()
 
@@ -102,14 +88,13 @@ def best_openings(jobs: DataFrame, openings: DataFrame) -> DataFrame:
     others = job_titles.join(
         open_titles.select("board", F.col("ot").alias("jt")), ["board", "jt"], "left_anti"
     )
-    by_word = (
-        others.withColumn("key", F.explode(_word_keys(F.col("jt"))))
-        .join(open_titles.withColumn("key", F.explode(_word_keys(F.col("ot")))), ["board", "key"])
-        .select("board", "jt", "ot")
-    )
     met = (
-        by_word.unionByName(_contained(others, open_titles, "jt", "ot"))
-        .unionByName(_contained(open_titles, others, "ot", "jt"))
+        others.withColumn("key", F.explode(_index_keys(F.col("jt"), "a:", "b:")))
+        .join(open_titles.withColumn("key", F.explode(_index_keys(F.col("ot"), "b:", "a:"))), ["board", "key"])
+        .filter(
+            F.col("key").startswith("w:") | F.col("jt").contains(F.col("ot")) | F.col("ot").contains(F.col("jt"))
+        )
+        .select("board", "jt", "ot")
         .distinct()
         .withColumn("title_score", title_score(F.col("jt"), F.col("ot")))
         .filter(F.col("title_score") >= fixed.MATCH_GATE - LOCATION_REACH)
