@@ -46,9 +46,13 @@ def first_present(*values: Column | str) -> Column:
     return F.coalesce(*[present(v) for v in values], F.lit(""))
 
 
+# every character str.isspace accepts
+WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def strip(value: Column | str) -> Column:
     """Trim all Unicode whitespace, not only spaces."""
-    return F.regexp_replace(col(value), rf"{WS}+\z|^{WS}+", "")
+    return F.trim(col(value), F.lit(WS_CHARS))
 
 
 def collapse_ws(value: Column | str) -> Column:

@@ -131,21 +131,24 @@ def passes_city_in_rules(location: Column | str, rules: CityRules) -> Column:
     return out | lowered.contains("remote") | lowered.contains("hybrid") if rules.allow_remote else out
 
 
-def classify(
-    title: Column | str, company: Column | str, location: Column | str,
-    titles: TitleRules, geo: GeoRules = GeoRules(), city: CityRules = CityRules(),
-) -> Column:
-    """struct<status, reason>: geography, city, company override, exclude, include, policy."""
-
+def _signals(
+    title: Column, company: Column, location: Column, titles: TitleRules, geo: GeoRules
+) -> dict[str, Column]:
+    named = norm(title)
+    return {
+        "_place": filled(location), "_who": norm(company), "_us": us_location(location, geo),
+        "_excluded": first_keyword(named, titles.exclude, whole_word=False),
+        "_included": first_keyword(named, titles.include, whole_word=False),
+    }
+
+
+def _decide(signals: dict[str, Column], titles: TitleRules, geo: GeoRules, city: CityRules) -> Column:
     def verdict(status: str, *reason: Column | str) -> Column:
         parts = [r if isinstance(r, Column) else F.lit(r) for r in reason]
         return F.struct(F.lit(status).alias("status"), F.concat(*parts).alias("reason"))
 
-    place = filled(location)
-    us = us_location(place, geo)
-    named, who = norm(title), norm(company)
-    excluded = first_keyword(named, titles.exclude, whole_word=False)
-    included = first_keyword(named, titles.include, whole_word=False)
+    place, us = signals["_place"], signals["_us"]
+    excluded, included = signals["_excluded"], signals["_included"]
     branches = []
     if geo.enabled:
         reason = F.coalesce(us["reason"], F.lit("None"))
@@ -154,7 +157,7 @@ def classify(
         (~passes_city_in_rules(place, city), verdict(FILTERED, "onsite outside allowed cities: ", place))
     )
     for name in titles.override_companies:
-        branches.append((who == name.strip().lower(), verdict(PASSES, f"override: {name}")))
+        branches.append((signals["_who"] == name.strip().lower(), verdict(PASSES, f"override: {name}")))
     branches.append((excluded.isNotNull(), verdict(FILTERED, "matched exclude: ", excluded)))
     branches.append((included.isNotNull(), verdict(PASSES, "matched include: ", included)))
     chain = F.when(*branches[0])
@@ -168,6 +171,14 @@ def classify(
     )
 
 
+def classify(
+    title: Column | str, company: Column | str, location: Column | str,
+    titles: TitleRules, geo: GeoRules = GeoRules(), city: CityRules = CityRules(),
+) -> Column:
+    """struct<status, reason>: geography, city, company override, exclude, include, policy."""
+    return _decide(_signals(title, company, location, titles, geo), titles, geo, city)
+
+
 def classify_batch(
     jobs: DataFrame, ordinal: str, titles: TitleRules, geo: GeoRules = GeoRules(),
     city: CityRules = CityRules(), title: str = "title", company: str = "company",
@@ -177,14 +188,16 @@ def classify_batch(
     keys = {"company": norm(company), "title": norm(title)}
     blank = (norm(company) == "") & (norm(title) == "")
     marked = mark_duplicates(jobs, keys, ordinal, "_later", exempt=blank)
-    judged = marked.withColumn("_v", classify(title, company, location, titles, geo, city))
+    signals = _signals(title, company, location, titles, geo)
+    seen = marked.withColumns(signals)
+    judged = seen.withColumn("_v", _decide({name: F.col(name) for name in signals}, titles, geo, city))
     return judged.withColumns(
         {
             "filter_status": F.when(F.col("_later"), DUPLICATE).otherwise(F.col("_v.status")),
             "filter_reason": F.when(F.col("_later"), "dedup within run").otherwise(F.col("_v.reason")),
             "ambiguous_resolved_by": F.lit(None).cast("string"),
         }
-    ).drop("_v", "_later")
+    ).drop("_v", "_later", *signals)
 
 
 def classify_counts(classified: DataFrame) -> DataFrame:
@@ -248,20 +261,25 @@ def tier_of(title: Column | str, company: Column | str, rules: LevelRules) -> Co
     return F.coalesce(own, _first_tier(text, rules.default))
 
 
+def _by_value(value: Column, table: dict[str, str], default: str) -> Column:
+    """Literal lookup that mentions `value` once, however large the table is."""
+    pairs = F.create_map(*[F.lit(part) for pair in table.items() for part in pair])
+    return F.coalesce(F.try_element_at(pairs, value), F.lit(default))
+
+
 def band_of(tier: Column, rules: LevelRules) -> Column:
-    rank = F.lit(None).cast("int")
-    for name, value in rules.order.items():
-        rank = F.when(tier == name, value).otherwise(rank)
+    """Tier ranks and the wanted band are configuration, so each tier's verdict is known up front."""
     low, high = rules.order.get(rules.min_tier), rules.order.get(rules.max_tier)
-    unknown = "in_band" if rules.unknown_policy == "in_band" else "unknown"
-    if low is None or high is None:
-        return F.when(tier.isNull(), unknown).otherwise("in_band")
-    return (
-        F.when(tier.isNull(), unknown)
-        .when(rank < low, "too_low")
-        .when(rank > high, "too_high")
-        .otherwise("in_band")
-    )
+    verdicts = {"": "in_band" if rules.unknown_policy == "in_band" else "unknown"}
+    if low is not None and high is not None:
+        for name, rank in rules.order.items():
+            verdicts[name] = "too_low" if rank < low else "too_high" if rank > high else "in_band"
+    return _by_value(F.coalesce(tier, F.lit("")), verdicts, "in_band")
+
+
+def band_status(verdict: Column) -> Column:
+    settled = {v: f"out_of_band_{v}" for v in ("too_high", "too_low")}
+    return _by_value(verdict, settled, "unresolved")
 
 
 def triage_gate(status: Column | str, description: Column | str, minimum: int = fixed.MIN_DESCRIPTION_CHARS) -> Column:
