@@ -32,6 +32,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def first_of_equal(items: Column, key: Callable[[Column], Column]) -> Column:
+    """Items whose key no earlier item has; order is kept."""
+    keys = F.transform(items, key)
+    return F.filter(items, lambda item, at: F.array_position(keys, key(item)) == at + 1)
+
+
+def last_of_equal(items: Column, key: Callable[[Column], Column]) -> Column:
+    """Items whose key no later item has; order is kept."""
+    keys = F.reverse(F.transform(items, key))
+    return F.filter(items, lambda item, at: F.array_position(keys, key(item)) == F.size(items) - at)
+
+
 def filled(value: Column | str) -> Column:
     """Missing and empty are one thing: null becomes ''."""
     return F.coalesce(col(value), F.lit(""))
@@ -158,7 +170,7 @@ def unescape(value: Column | str) -> Column:
     rare = text.rlike(r"&(?!(?:amp|lt|gt|quot|nbsp|#39);)[#A-Za-z]")
     table = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
     found = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
-    decoded = let(table, lambda names: F.transform(found, lambda e: _decode_entity(e, names)))
+    decoded = F.transform(found, lambda e: let(table, lambda names: _decode_entity(e, names)))
     woven = F.array_join(
         F.zip_with(F.split(text, ENTITY), decoded, lambda p, e: F.concat(p, F.coalesce(e, F.lit("")))), ""
     )
@@ -394,10 +406,7 @@ def front_matter(value: Column | str) -> Column:
             ).alias("value"),
         ),
     )
-    last = F.filter(
-        entries,
-        lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda o: o["key"] == e["key"]),
-    )
+    last = last_of_equal(entries, lambda e: e["key"])
     return F.map_from_entries(last)
 
 

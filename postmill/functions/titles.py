@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postmill import fixed_values as fixed
 from postmill.functions.text import (
-    col, collapse_ws, contains_any, filled, let, page_title, present, quote, strip,
+    collapse_ws, contains_any, filled, first_of_equal, let, page_title, present, quote, strip,
 )
 from postmill.functions.urls import host_of, is_linkedin
 
@@ -135,10 +135,7 @@ def company_aliases(company: Column | str) -> Column:
             ),
         )
         named = F.filter(spellings, lambda s: s != "")
-        distinct = F.filter(
-            named,
-            lambda s, i: ~F.exists(F.slice(named, F.lit(1), i), lambda o: F.lower(o) == F.lower(s)),
-        )
+        distinct = first_of_equal(named, F.lower)
         return F.slice(distinct, 1, fixed.MAX_COMPANY_ALIASES)
 
     return let(collapse_ws(company), build)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from postmill import fixed_values as fixed
 from postmill.functions.payload import description, json_ld_posting
-from postmill.functions.text import collapse_ws, filled, first_present, linkedin_description, norm, scored_filename
+from postmill.functions.text import collapse_ws, filled, first_of_equal, first_present, linkedin_description, norm, scored_filename
 from postmill.functions.titles import looks_like_job_page
 from postmill.functions.urls import is_http, is_linkedin, is_linkedin_job
 from postmill.operators import keyed, matching, rules
@@ -122,7 +122,7 @@ def external_candidates(jobs: DataFrame) -> DataFrame:
         F.transform(F.coalesce("links", F.array().cast("array<string>")), lambda u: F.struct(u.alias("url"), F.lit("links").alias("source"))),
     )
     usable = F.filter(tagged, lambda t: is_http(t["url"]) & ~is_linkedin(t["url"]))
-    first = F.filter(usable, lambda t, i: ~F.exists(F.slice(usable, F.lit(1), i), lambda o: o["url"] == t["url"]))
+    first = first_of_equal(usable, lambda t: t["url"])
     return jobs.select("job_key", F.posexplode(first).alias("place", "c")).select("job_key", "place", "c.url", "c.source")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from postmill import fixed_values as fixed
 from postmill.functions.text import (
-    collapse_ws, filled, html_to_lines, lines_of, match_percent, present, strip, strip_tags, unescape,
+    collapse_ws, filled, first_of_equal, html_to_lines, lines_of, match_percent, present, strip, strip_tags, unescape,
 )
 from postmill.functions.titles import classify_tags, clean_title, is_compound, split_compound
 from postmill.functions.urls import (
@@ -157,7 +157,7 @@ def link_jobs(messages: DataFrame, companies: Iterable[str] | None = None) -> Da
     )
     listed = base.withColumn("jobs", jobs)
     once = listed.withColumn(
-        "jobs", F.filter("jobs", lambda j, i: ~F.exists(F.slice("jobs", F.lit(1), i), lambda o: o["id"] == j["id"]))
+        "jobs", first_of_equal(F.col("jobs"), lambda j: j["id"])
     )
     split = once.withColumn(
         "jobs",
