@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from postmill import fixed_values as fixed
-from postmill.catalog.registry import query, table
+from postmill.catalog.registry import query, spread, table
 from postmill.catalog.texts import sql_collapse, sql_page_text
 from postmill.functions import text as t
 from postmill.functions import titles as ti
@@ -171,7 +171,7 @@ def hits(spark, sf):
     title, company = F.lit(""), F.lit("")
     for name, (job, owner) in JOBS.items():
         title, company = F.when(label == name, job).otherwise(title), F.when(label == name, owner).otherwise(company)
-    return table(spark, sf, "pages").select(
+    return spread(spark, sf, "pages").select(
         label.alias("job_id"), "url", F.col("page_id").alias("ordinal"), title.alias("title"),
         company.alias("company"), t.page_title("html").alias("page"), t.html_to_text("html").alias("body"), "html",
     )
@@ -254,7 +254,7 @@ SELECT p_partkey, a || ' Technologies Inc" careers' || '|' || a || ' Technologie
 )
 def search_phrases(spark, sf):
     company = F.concat("p_brand", F.lit("  Technologies Inc"))
-    return table(spark, sf, "part").select(
+    return spread(spark, sf, "part").select(
         "p_partkey",
         F.array_join(ti.search_queries("p_name", company, fixed.DEFAULT_SEARCH_DOMAINS), "|").alias("phrases"),
     )
@@ -268,7 +268,7 @@ SELECT c_custkey, c_name || ', FooBar Group' || '|' || c_name || ', Foo Bar Grou
 )
 def company_aliases(spark, sf):
     company = F.concat("c_name", F.lit(", FooBar Group"))
-    return table(spark, sf, "customer").select(
+    return spread(spark, sf, "customer").select(
         "c_custkey", F.array_join(ti.company_aliases(company), "|").alias("aliases"),
         F.array_join(ti.company_terms(company), "|").alias("terms"),
     )
@@ -313,7 +313,7 @@ def compound_titles(spark, sf):
     raw = F.col("p_name")
     for remainder, tail in tails.items():
         raw = F.when(F.col("p_size") % 5 == remainder, F.concat("p_name", tail)).otherwise(raw)
-    found = table(spark, sf, "part").select("p_partkey", ti.split_compound(raw).alias("c"))
+    found = spread(spark, sf, "part").select("p_partkey", ti.split_compound(raw).alias("c"))
     return found.select(
         "p_partkey", "c.title", F.regexp_replace("c.company", "^databricks$", "Databricks").alias("company"),
         "c.location", "c.modality",

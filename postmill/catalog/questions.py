@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from postmill.catalog.registry import query, table
+from postmill.catalog.registry import query, spread, table
 from postmill.functions.text import collapse_ws
 from postmill.operators import handbook as h
 
@@ -17,7 +17,7 @@ canonical AS (SELECT type, name, count(DISTINCT thread_id) AS frequency FROM ask
 
 
 def asked(spark, sf):
-    lines = table(spark, sf, "documents").select(
+    lines = spread(spark, sf, "documents").select(
         F.col("doc_id").alias("thread_id"), F.col("lang").alias("type"),
         F.posexplode(F.split("text", "\n")).alias("pos", "line"),
     )

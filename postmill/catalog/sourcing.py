@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from postmill.catalog.registry import query, table
+from postmill.catalog.registry import query, spread, table
 from postmill.functions.text import html_to_text, strip
 from postmill.sources import boards, mail, posts
 
@@ -85,7 +85,7 @@ def board_query(ats: str, payload: str, settings: dict):
     adapter, _ = boards.ADAPTERS[ats]
 
     def run(spark, sf):
-        pages = table(spark, sf, "part").select(F.expr(payload).alias("payload"), F.col("p_partkey").alias("page"))
+        pages = spread(spark, sf, "part").select(F.expr(payload).alias("payload"), F.col("p_partkey").alias("page"))
         now = F.lit(NOW).cast("timestamp")
         return adapter(pages, "Acme", now, **settings).select(
             "title", "company", "location", "external_jd_url", "jd_text", "ats_job_id", "job_key"
@@ -104,7 +104,7 @@ for _ats, (_payload, _settings, _expected) in BOARDS.items():
 )
 def board_details(spark, sf):
     key = F.col("p_partkey").cast("string").alias("url")
-    parts = table(spark, sf, "part")
+    parts = spread(spark, sf, "part")
 
     def text(ats, payload):
         found = boards.detail_text(parts.select(key, F.expr(payload).alias("payload")), ats)
@@ -137,7 +137,7 @@ def mail_cards(spark, sf):
         F.lit('</span><p id="job-time-posted">2 hours ago · </p></td>'),
     )
     more = F.lit('<td id="job-section"><div id="job-title"><a href="https://jobright.ai/x">View More Opportunities</a></div></td>')
-    messages = table(spark, sf, "part").select(
+    messages = spread(spark, sf, "part").select(
         F.col("p_partkey").alias("ordinal"), F.lit("Jobright <no-reply@jobright.ai>").alias("sender"),
         F.lit("New jobs").alias("subject"), F.lit("d").alias("date"), F.lit("m").alias("message_id"), F.lit("").alias("text"),
         F.concat(F.lit("<html>"), card, card, more, F.lit('<td id="job-section"><p>none</p></td></html>')).alias("html"),
@@ -174,7 +174,7 @@ def mail_links(spark, sf):
         anchor(3, F.concat("p_name", F.lit(" Lead Stripe · "), "p_type", F.lit(" (Hybrid)"))),
         F.lit('<a href="https://www.linkedin.com/comm/jobs/search?keywords=x">See all jobs</a></body></html>'),
     )
-    messages = table(spark, sf, "part").select(
+    messages = spread(spark, sf, "part").select(
         F.col("p_partkey").alias("ordinal"), F.lit("jobs-noreply@linkedin.com").alias("sender"), F.lit("Job alert").alias("subject"),
         F.lit("d").alias("date"), F.lit("m").alias("message_id"), F.lit("").alias("text"), html.alias("html"),
     )
@@ -191,7 +191,7 @@ def mail_sources(spark, sf):
     from postmill.operators.reports import source_counts
 
     sender = F.when(F.col("p_size") % 3 == 0, "LinkedIn <x@y>").when(F.col("p_size") % 3 == 1, "a@JobRight.ai").otherwise("z@q")
-    return source_counts(table(spark, sf, "part").withColumn("sender", sender), mail.mail_source("sender"))
+    return source_counts(spread(spark, sf, "part").withColumn("sender", sender), mail.mail_source("sender"))
 
 
 @query(
@@ -200,7 +200,7 @@ def mail_sources(spark, sf):
 )
 def search_feed(spark, sf):
     feed = F.expr(f"'<rss><channel><item><title> ' || p_name || '</title><link>https://f/' || {KEY} || '</link><description>' || p_type || '</description></item><item><title>none</title></item></channel></rss>'")
-    pages = table(spark, sf, "part").select(feed.alias("payload"), F.col("p_partkey").alias("page"))
+    pages = spread(spark, sf, "part").select(feed.alias("payload"), F.col("p_partkey").alias("page"))
     return boards.search_results(pages).select(F.col("page").alias("p_partkey"), "url", "title", "description")
 
 
@@ -220,7 +220,7 @@ def reddit_pages(spark, sf):
         ).alias("data")
     )
     page = F.to_json(F.struct(F.struct(F.array(child).alias("children")).alias("data")))
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("page"), page.alias("payload"))
+    return spread(spark, sf, "documents").select(F.col("doc_id").alias("page"), page.alias("payload"))
 
 
 @query("reddit_posts", REDDIT)
@@ -260,7 +260,7 @@ def discussion_posts(spark, sf):
         F.lit('</h1><time datetime="2024-01-02T03:04:05Z"></time><div class="x discuss-markdown-container y">one<br/>two &amp; &lt;three&gt;</div> <p>'),
         (F.col("page_id") % 50).cast("string"), F.lit(' comments</p><a href="/discuss/1/a"></a><a href="/discuss/2/b"></a><a href="/discuss/1/a"></a>'), "html",
     )
-    pages = table(spark, sf, "pages").select(
+    pages = spread(spark, sf, "pages").select(
         F.col("page_id").alias("page"), F.concat(F.lit("https://leetcode.com/discuss/"), ident, F.lit("/slug")).alias("url"),
         html.alias("payload"), F.lit("").alias("visible_text"),
     )
@@ -285,7 +285,7 @@ def note_file_posts(spark, sf):
     ident = F.col("doc_id").cast("string")
     block = F.concat(F.lit("---\nurl: https://g/"), ident, F.lit("\nposted_at: 2026-05-10\ntitle: T "), "source", F.lit("\n---\n"))
     now = F.lit(NOW).cast("timestamp")
-    files = table(spark, sf, "documents").select(
+    files = spread(spark, sf, "documents").select(
         F.concat(F.lit("/d/note"), ident, F.lit(".md")).alias("path"),
         F.when(F.col("lang") == "en", F.concat(block, "text")).otherwise(F.col("text")).alias("value"), now.alias("modified_at"),
     )
@@ -312,7 +312,7 @@ def thread_pages(spark, sf):
         F.lit('</a></div><em id="authorposton1">发表于 2026-04-15 23:24</em><table><tr><td class="t_f" id="postmessage_1">first<br><script>x</script><b>line</b></td></tr></table>'),
         F.lit('<td id="postmessage_2">reply<table><tr><td>nested '), ident, F.lit('</td></tr></table></td><td id="postmessage_3">last</td>'),
     )
-    pages = table(spark, sf, "pages").select(ident.alias("tid"), html.alias("payload"))
+    pages = spread(spark, sf, "pages").select(ident.alias("tid"), html.alias("payload"))
     return posts.thread_fields(pages).select(
         F.col("tid").cast("bigint").alias("page_id"), "title", "author", "posted_at", "op_body", "reply_count", "body", "locked"
     )
@@ -331,7 +331,7 @@ def thread_listings(spark, sf):
         link, F.lit("<img></a>"), link, F.lit('<div class="flex-1 x">Listed '), ident,
         F.lit('</div><div class="text-primary"><span> x </span><span>y</span></div></a>'), link, F.lit('<div class="flex-1">again</div></a>'),
     )
-    pages = table(spark, sf, "pages").select(F.col("page_id").alias("page"), html.alias("payload"))
+    pages = spread(spark, sf, "pages").select(F.col("page_id").alias("page"), html.alias("payload"))
     return posts.thread_listings(pages).select("tid", "title", F.array_join("tags", "|").alias("tags"), "posted_at")
 
 
@@ -347,7 +347,7 @@ def ranked_questions(spark, sf):
     key = F.col("p_partkey").cast("string")
     label = F.when(F.col("p_size") % 3 == 0, "Med.").when(F.col("p_size") % 3 == 1, "Hard").otherwise("")
     cells = F.concat(key, F.lit(". "), "p_name", F.lit("\n"), F.col("p_size").cast("string"), F.lit(".5%\n\n"), label)
-    rows = table(spark, sf, "part").select(
+    rows = spread(spark, sf, "part").select(
         F.col("p_partkey").alias("at"), F.concat(F.lit("/problems/p-"), key, F.lit("?envType=company")).alias("href"), cells.alias("cells")
     )
     return posts.ranked_questions(rows).select("rank", "lc_number", "title", "title_slug", "difficulty", "acceptance")
@@ -373,7 +373,7 @@ def embedded_postings(spark, sf):
         F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("<script type='application/ld+json'>broken</script><script type=\"application/ld+json\">"), node, F.lit("</script>"))).otherwise(""),
         F.lit("<p>Body "), "p_type", F.lit("</p><p>Sign in</p><p>x</p>"),
     )
-    found = table(spark, sf, "part").select("p_partkey", page.alias("html"))
+    found = spread(spark, sf, "part").select("p_partkey", page.alias("html"))
     read = found.select("p_partkey", description("html", json_ld_posting("html")).alias("d"))
     return read.select("p_partkey", "d.title", "d.company", "d.location", F.col("d.text").alias("jd_text"), "d.parser")
 
@@ -392,7 +392,7 @@ def detail_pages(spark, sf):
            'jobLocation', named_struct('address', named_struct('addressLocality', p_type, 'addressRegion', 'WA')),
            'baseSalary', named_struct('value', named_struct('minValue', p_size, 'maxValue', p_size * 2)))) || '</script>'"""
     )
-    read = table(spark, sf, "part").select("p_partkey", detail_posting(page).alias("d"))
+    read = spread(spark, sf, "part").select("p_partkey", detail_posting(page).alias("d"))
     text = detail_text(F.col("d"))
     place = F.concat_ws(", ", F.nullif("d.jobLocation.address.addressLocality", F.lit("")), F.nullif("d.jobLocation.address.addressRegion", F.lit("")))
     return read.filter((F.col("d.`@type`") == "JobPosting") & (F.length(text) >= 100)).select(

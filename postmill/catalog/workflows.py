@@ -6,7 +6,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from postmill.catalog.keyed import SEEN_SQL, events_around, seen_users
-from postmill.catalog.registry import query, table
+from postmill.catalog.registry import query, spread, table
 from postmill.catalog.rules import classified_parts
 from postmill.functions.text import clamp_score
 from postmill.operators import inbox, reports, rules
@@ -203,7 +203,7 @@ FROM fresh""",
 )
 def inbox_sections(spark, sf):
     """Append new sections, paste each document's text, read the sections back."""
-    docs = table(spark, sf, "documents")
+    docs = spread(spark, sf, "documents")
     jobs = docs.select(
         "doc_id", F.sha1("text").alias("job_key"), F.col("source").alias("company"), F.col("lang").alias("title"),
         F.lit("").alias("location"), F.lit("").alias("linkedin_url"), F.lit("").alias("filter_reason"),

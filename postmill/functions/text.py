@@ -28,20 +28,28 @@ def col(value: Column | str) -> Column:
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind `value` once inside `body`, however often `body` mentions it."""
+    """Bind `value` once inside `body`, however often `body` mentions it.
+
+    Inside a lambda anything that is not bound is evaluated again for every element, so
+    whatever is costly must come in through here.
+    """
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def first_of_equal(items: Column, key: Callable[[Column], Column]) -> Column:
     """Items whose key no earlier item has; order is kept."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda item, at: F.array_position(keys, key(item)) == at + 1)
+
+    def pick(pair: Column) -> Column:
+        return F.filter(
+            pair["items"], lambda item, at: F.array_position(pair["keys"], key(item)) == at + 1
+        )
+
+    return let(items, lambda xs: let(F.struct(xs.alias("items"), F.transform(xs, key).alias("keys")), pick))
 
 
 def last_of_equal(items: Column, key: Callable[[Column], Column]) -> Column:
     """Items whose key no later item has; order is kept."""
-    keys = F.reverse(F.transform(items, key))
-    return F.filter(items, lambda item, at: F.array_position(keys, key(item)) == F.size(items) - at)
+    return F.reverse(first_of_equal(F.reverse(items), key))
 
 
 def filled(value: Column | str) -> Column:

@@ -190,25 +190,23 @@ def candidate_score(
         trusted = F.lit(False)
         for domain in allowed:
             trusted = trusted | host.endswith(domain)
-        roles = given["roles"]
         named = F.exists(given["names"], lambda t: text.contains(t) | where.contains(t))
         full = collapse_ws(F.lower(filled(title)))
+        role_points = let(
+            count_contained(title_terms(title), text), lambda n: F.when(n >= 2, 4).when(n == 1, 2).otherwise(0)
+        )
         return F.when(blocked, -100).otherwise(
             _points(trusted, 6)
             + _points(contains_any(where, fixed.JOB_HOST_HINTS), 4)
             + _points(named, 4)
-            + F.when(roles >= 2, 4).when(roles == 1, 2).otherwise(0)
+            + role_points
             + _points((full != "") & text.contains(full), 6)
             + _points(contains_any(text, ("job", "career", "opening")), 1)
         )
 
     text = F.concat_ws(" ", F.lower(collapse_ws(page)), F.lower(collapse_ws(description)))
     return let(
-        F.struct(
-            host_of(url).alias("host"), text.alias("text"), company_terms(company).alias("names"),
-            count_contained(title_terms(title), text).alias("roles"),
-        ),
-        score,
+        F.struct(host_of(url).alias("host"), text.alias("text"), company_terms(company).alias("names")), score
     )
 
 
@@ -228,14 +226,20 @@ def looks_like_job_page(
         for domain in allowed:
             trusted = trusted | host.endswith(domain)
         opening = F.concat_ws(" ", page, F.substring(text, 1, 3000))
-        roles = title_terms(title)
-        needed = F.greatest(F.lit(1), F.least(F.lit(2), F.size(roles)))
-        names_hit = count_contained(company_terms(company), F.concat_ws(" ", opening, where)) >= 1
-        roles_hit = count_contained(roles, opening) >= needed
-        head = F.substring(text, 1, 6000)
-        hints = sum((head.contains(h).cast("int") for h in fixed.JOB_TEXT_HINTS), F.lit(0))
-        signals = sum((s.cast("int") for s in (trusted, names_hit, roles_hit, hints >= 2)), F.lit(0))
-        return ~bad & (signals >= 3) & (F.length(text) >= 500)
+
+        def signals(parts: Column) -> Column:
+            roles = parts["roles"]
+            needed = F.greatest(F.lit(1), F.least(F.lit(2), F.size(roles)))
+            named = F.exists(parts["names"], lambda t: parts["opening"].contains(t) | where.contains(t))
+            hints = sum((parts["head"].contains(h).cast("int") for h in fixed.JOB_TEXT_HINTS), F.lit(0))
+            met = (trusted, named, count_contained(roles, parts["opening"]) >= needed, hints >= 2)
+            return sum((m.cast("int") for m in met), F.lit(0))
+
+        parts = F.struct(
+            opening.alias("opening"), F.substring(text, 1, 6000).alias("head"),
+            title_terms(title).alias("roles"), company_terms(company).alias("names"),
+        )
+        return ~bad & (F.length(text) >= 500) & (let(parts, signals) >= 3)
 
     given = F.struct(
         shown.alias("page"), F.lower(collapse_ws(body)).alias("text"),
@@ -353,7 +357,7 @@ def split_compound(raw: Column | str, companies: Iterable[str] | None = None) ->
                 F.when(~p.contains(fixed.CARD_SEPARATOR), fields(p, F.lit(""), F.lit(""), modality))
                 .when(left == "", fields(F.lit(""), F.lit(""), location, modality))
                 .when(found, fields(title, company, location, modality))
-                .otherwise(by_role(F.split(left, " "), location, modality, left))
+                .otherwise(let(F.split(left, " "), lambda words: by_role(words, location, modality, left)))
             )
 
         return let(plain, halves)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from postmill import fixed_values as fixed
 from postmill.functions.text import (
-    collapse_ws, filled, first_of_equal, html_to_lines, lines_of, match_percent, present, strip, strip_tags, unescape,
+    collapse_ws, filled, first_of_equal, html_to_lines, let, lines_of, match_percent, present, strip, strip_tags, unescape,
 )
 from postmill.functions.titles import classify_tags, clean_title, is_compound, split_compound
 from postmill.functions.urls import (
@@ -116,16 +116,22 @@ def _pair_cards(anchors: Column, lines: Column) -> Column:
     line is the first equal line from the cursor on, else the first containing it; the card is
     the first of the next three lines with the separator.
     """
-    low = F.transform(lines, lambda x: F.lower(strip(x)))
+    both = F.struct(lines.alias("lines"), F.transform(lines, lambda x: F.lower(strip(x))).alias("low"))
+    return let(both, lambda given: _walk(anchors, given["lines"], given["low"]))
+
+
+def _walk(anchors: Column, lines: Column, low: Column) -> Column:
     result = "array<struct<title:string,company:string,location:string>>"
     start = F.struct(F.lit(0).alias("cursor"), F.array().cast(result).alias("cards"))
 
     def step(state: Column, anchor: Column) -> Column:
         hint = F.lower(strip(anchor["hint"]))
-        ahead = F.filter(F.sequence(F.lit(1), F.greatest(F.size(low), F.lit(1))), lambda i: i > state["cursor"])
-        equal = F.array_min(F.filter(ahead, lambda i: F.try_element_at(low, i) == hint))
-        inside = F.array_min(F.filter(ahead, lambda i: F.try_element_at(low, i).contains(hint)))
-        at = F.when(anchor["open"] & (hint != ""), F.coalesce(equal, inside))
+        # the remaining lines as a slice; array_position finds the first equal one by itself
+        ahead = F.slice(low, state["cursor"] + 1, F.greatest(F.size(low), F.lit(1)))
+        equal = F.nullif(F.array_position(ahead, hint), F.lit(0))
+        holding = F.try_element_at(F.filter(ahead, lambda x: x.contains(hint)), F.lit(1))
+        found = F.coalesce(equal, F.array_position(ahead, holding)).cast("int") + state["cursor"]
+        at = F.when(anchor["open"] & (hint != ""), found)
         card = F.try_element_at(
             F.filter(F.slice(lines, F.coalesce(at, F.lit(0)) + 1, 3), lambda x: x.contains(fixed.CARD_SEPARATOR)), F.lit(1)
         )
