@@ -84,7 +84,7 @@ def without_sections(document: Column, keys: Column) -> Column:
         return F.when(F.array_contains(keys, key), F.regexp_replace(piece, r"(?s)<!--\s*JOB-START.*\z", "")).otherwise(piece)
 
     text = F.array_join(F.transform(pieces, keep), "")
-    text = F.regexp_replace(text, r"\n---\s*\n(?:\s*\n---\s*\n)+", "\n---\n\n")
+    text = F.regexp_replace(text, r"\n---[ \t]*\n(?:\s*(?<=\n)---[ \t]*(?:\n|\z))+", "\n---\n\n")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
     bare = F.regexp_replace(text, r"\n---\s*\n*\z", "\n")
     text = F.when(text.contains("JOB-START"), text).otherwise(bare)
