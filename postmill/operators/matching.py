@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from postmill import fixed_values as fixed
 from postmill.functions.text import filled
 from postmill.functions.titles import (
-    generic_tokens, location_compatible, location_norm, location_score, title_norm, title_score,
+    generic_tokens, location_compatible, location_norm, title_norm, title_score,
     tokens_of,
 )
 from postmill.operators.keyed import top_k
@@ -25,14 +25,30 @@ LOCATION_REACH = 4  # the most a location adds to a score
 GRAM = 5
 
 
+def _generic_bits(title: Column) -> Column:
+    """Which of the generic role words a title holds, one bit each."""
+    padded = F.concat(F.lit(" "), title, F.lit(" "))
+    bits = F.lit(0)
+    for at, word in enumerate(fixed.GENERIC_ROLE_TOKENS):
+        bits = bits + F.when(padded.contains(f" {word} "), 1 << at).otherwise(0)
+    return bits
+
+
+def _has_bit(bits: Column, word: str) -> Column:
+    return bits.bitwiseAND(1 << fixed.GENERIC_ROLE_TOKENS.index(word)) != 0
+
+
 def _word_keys(title: Column) -> Column:
+    """Meaningful words ('w:'), and generic ones ('g:') where enough of them could reach the gate."""
     words = F.array_distinct(tokens_of(title))
     generic = F.array_intersect(words, generic_tokens())
-    meaningful = F.array_except(words, generic_tokens())
     rare = F.when(F.size(generic) >= fixed.MATCH_GATE - LOCATION_REACH, generic).otherwise(
         F.array().cast("array<string>")
     )
-    return F.transform(F.concat(meaningful, rare), lambda w: F.concat(F.lit("w:"), w))
+    return F.concat(
+        F.transform(F.array_except(words, generic_tokens()), lambda w: F.concat(F.lit("w:"), w)),
+        F.transform(rare, lambda w: F.concat(F.lit("g:"), w)),
+    )
 
 
 def _nests_unseen(title: Column) -> Column:
@@ -76,8 +92,9 @@ def best_openings(jobs: DataFrame, openings: DataFrame) -> DataFrame:
         .filter("ot != ''")
         .groupBy("board", "ot", "ol")
         .agg(F.min("ordinal").alias("ordinal"))
+        .withColumn("owords", F.split("ol", " "))
     )
-    places = stage(wanted.select("board", "jt", "jl").distinct())
+    places = stage(wanted.select("board", "jt", "jl").distinct().withColumn("jwords", F.split("jl", " ")))
     job_titles = wanted.select("board", "jt").distinct()
     open_titles = offered.select("board", "ot").distinct()
 
@@ -88,16 +105,47 @@ def best_openings(jobs: DataFrame, openings: DataFrame) -> DataFrame:
     others = job_titles.join(
         open_titles.select("board", F.col("ot").alias("jt")), ["board", "jt"], "left_anti"
     )
-    met = (
-        others.withColumn("key", F.explode(_index_keys(F.col("jt"), "a:", "b:")))
-        .join(open_titles.withColumn("key", F.explode(_index_keys(F.col("ot"), "b:", "a:"))), ["board", "key"])
-        .filter(
-            F.col("key").startswith("w:") | F.col("jt").contains(F.col("ot")) | F.col("ot").contains(F.col("jt"))
+    # Each meaningful word two titles share is one meeting row, so the score is an aggregate
+    # over meetings; generic words are compared as bit sets.
+    nested = F.col("jt").contains(F.col("ot")) | F.col("ot").contains(F.col("jt"))
+    meetings = (
+        others.select(
+            "board", "jt", _generic_bits(F.col("jt")).alias("jbits"),
+            F.explode(_index_keys(F.col("jt"), "a:", "b:")).alias("key"),
+        )
+        .join(
+            open_titles.select(
+                "board", "ot", _generic_bits(F.col("ot")).alias("obits"),
+                F.explode(_index_keys(F.col("ot"), "b:", "a:")).alias("key"),
+            ),
+            ["board", "key"],
         )
-        .select("board", "jt", "ot")
-        .distinct()
-        .withColumn("title_score", title_score(F.col("jt"), F.col("ot")))
-        .filter(F.col("title_score") >= fixed.MATCH_GATE - LOCATION_REACH)
+        .filter(F.col("key").startswith("w:") | F.col("key").startswith("g:") | nested)
+    )
+
+    def met_on(word: str) -> Column:
+        return F.max(F.col("key") == f"w:{word}")
+
+    shared = meetings.groupBy("board", "jt", "ot", "jbits", "obits").agg(
+        F.count_if(F.col("key").startswith("w:")).cast("int").alias("solid"),
+        *[met_on(w).alias(f"_{w}") for w in ("software", "full", "stack", "ml")],
+    )
+    common = F.col("jbits").bitwiseAND(F.col("obits"))
+    generic = F.bit_count(common)
+
+    def points(condition: Column, value: int) -> Column:
+        return F.when(condition, value).otherwise(0)
+
+    score = (
+        points(nested, 10) + F.col("solid") * 4 + generic
+        + points((F.col("solid") > 0) & (F.col("solid") + generic >= 3), 4)
+        + points(F.col("_software") & _has_bit(common, "engineer"), 3)
+        + points(F.col("_full") & F.col("_stack"), 2) + points(F.col("_ml"), 2)
+        - points(_has_bit(F.col("jbits"), "manager") != _has_bit(F.col("obits"), "manager"), 3)
+        - points(_has_bit(F.col("jbits"), "engineer") != _has_bit(F.col("obits"), "engineer"), 2)
+    )
+    met = shared.select("board", "jt", "ot", score.alias("title_score")).filter(
+        F.col("title_score") >= fixed.MATCH_GATE - LOCATION_REACH
     )
     top = met.groupBy("board", "jt").agg(F.max("title_score").alias("top"))
     near = (
@@ -106,7 +154,10 @@ def best_openings(jobs: DataFrame, openings: DataFrame) -> DataFrame:
         .drop("top")
     )
     pairs = verbatim.unionByName(near).join(places, ["board", "jt"]).join(offered, ["board", "ot"])
-    total = F.col("title_score") + location_score(F.col("jl"), F.col("ol"))
+    both = (F.col("jl") != "") & (F.col("ol") != "")
+    inside = F.col("jl").contains(F.col("ol")) | F.col("ol").contains(F.col("jl"))
+    place = F.when(~both | ~F.arrays_overlap("jwords", "owords"), 0).when(inside, 4).otherwise(2)
+    total = F.col("title_score") + place
     best = (
         pairs.groupBy("board", "jt", "jl")
         .agg(F.max(F.struct(total.alias("score"), (-F.col("ordinal")).alias("back"))).alias("best"))
