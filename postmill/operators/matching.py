@@ -4,7 +4,9 @@ Scores depend only on normalised titles and location token sets, so scoring runs
 distinct titles, not between rows. Titles meet through an inverted index that holds every
 pair able to reach the gate: a shared meaningful word, four shared generic words, or one
 title inside the other (indexed by its opening characters). A job whose title stands
-verbatim on the board skips the index: no other title can come within reach of it.
+verbatim on the board skips the index: no other title can come within reach of it. Words
+that very many titles of a board hold leave the index; what meets on such words alone is
+scored once per signature (hot words and generic bits), however many titles share it.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from postmill.session import stage
 
 LOCATION_REACH = 4  # the most a location adds to a score
 GRAM = 5
+HOT_TITLES = 500  # a word in more of a board's titles than this is met by signature
+FLAGGED = ("software", "full", "stack", "ml")
 
 
 def _generic_bits(title: Column) -> Column:
@@ -61,10 +65,13 @@ def _nests_unseen(title: Column) -> Column:
     return (F.size(words) <= 2) | (F.size(F.array_except(inner, generic_tokens())) == 0)
 
 
-def _index_keys(title: Column, inner_tag: str, outer_tag: str) -> Column:
-    """Words, the opening characters of a title that may nest, and stretches for those of others."""
+def _index_keys(title: Column, inner_tag: str, outer_tag: str, every: bool) -> Column:
+    """Words, the opening characters of a title that may nest, and stretches for those of others.
+
+    With `every` all titles offer their opening: an inner word that would have met may be hot.
+    """
     opening = F.when(
-        _nests_unseen(title), F.array(F.concat(F.lit(inner_tag), F.substring(title, 1, GRAM)))
+        F.lit(every) | _nests_unseen(title), F.array(F.concat(F.lit(inner_tag), F.substring(title, 1, GRAM)))
     ).otherwise(F.array().cast("array<string>"))
     starts = F.sequence(F.lit(1), F.length(title))
 
@@ -75,7 +82,62 @@ def _index_keys(title: Column, inner_tag: str, outer_tag: str) -> Column:
     return F.concat(_word_keys(title), opening, offers)
 
 
-def best_openings(jobs: DataFrame, openings: DataFrame) -> DataFrame:
+def _points(condition: Column, value: int) -> Column:
+    return F.when(condition, value).otherwise(0)
+
+
+def _score(nested: Column, solid: Column, flags: dict[str, Column]) -> Column:
+    """Title score out of counted meetings; `jbits` and `obits` are in scope."""
+    jbits, obits = F.col("jbits"), F.col("obits")
+    common = jbits.bitwiseAND(obits)
+    generic = F.bit_count(common)
+    return (
+        _points(nested, 10) + solid * 4 + generic
+        + _points((solid > 0) & (solid + generic >= 3), 4)
+        + _points(flags["software"] & _has_bit(common, "engineer"), 3)
+        + _points(flags["full"] & flags["stack"], 2) + _points(flags["ml"], 2)
+        - _points(_has_bit(jbits, "manager") != _has_bit(obits, "manager"), 3)
+        - _points(_has_bit(jbits, "engineer") != _has_bit(obits, "engineer"), 2)
+    )
+
+
+def _hot_words(keys: DataFrame, hot: DataFrame, title: str) -> DataFrame:
+    """(board, title, its hot words); a title has few words, so the array stays small."""
+    return (
+        keys.join(hot, ["board", "key"], "left_semi")
+        .groupBy("board", title)
+        .agg(F.array_sort(F.collect_set("key")).alias("hot"))
+    )
+
+
+def _by_signature(job_side: DataFrame, open_side: DataFrame) -> DataFrame:
+    """Title pairs that share hot words only, met by signature instead of title by title.
+
+    What such a pair scores depends on the opening's hot words and generic bits alone, so all
+    openings with one signature are one candidate.
+    """
+    jobs = job_side.select("board", F.col("hot").alias("jhot"), "jbits").distinct()
+    opens = open_side.select("board", F.col("hot").alias("ohot"), "obits").distinct()
+    pairs = (
+        jobs.withColumn("key", F.explode("jhot"))
+        .join(opens.withColumn("key", F.explode("ohot")), ["board", "key"])
+        .select("board", "jhot", "jbits", "ohot", "obits")
+        .distinct()
+        .withColumn("both", F.array_intersect("jhot", "ohot"))
+    )
+    flags = {w: F.array_contains("both", f"w:{w}") for w in FLAGGED}
+    scored = pairs.withColumn("title_score", _score(F.lit(False), F.size("both"), flags))
+    near = scored.filter(F.col("title_score") >= fixed.MATCH_GATE - LOCATION_REACH)
+    return near.join(job_side.withColumnRenamed("hot", "jhot"), ["board", "jhot", "jbits"]).select(
+        "board", "jt", _signature("ohot").alias("ot"), "title_score"
+    )
+
+
+def _signature(hot: str) -> Column:
+    return F.concat(F.lit("#"), F.array_join(hot, " "), F.lit("#"), F.col("obits").cast("string"))
+
+
+def best_openings(jobs: DataFrame, openings: DataFrame, hot_titles: int = HOT_TITLES) -> DataFrame:
     """Best opening per job with a score at the gate or above; equal scores go to the first.
 
     `jobs`: job_id, board, title, location. `openings`: board, ordinal, title, location.
@@ -105,48 +167,59 @@ def best_openings(jobs: DataFrame, openings: DataFrame) -> DataFrame:
     others = job_titles.join(
         open_titles.select("board", F.col("ot").alias("jt")), ["board", "jt"], "left_anti"
     )
+    hot = stage(
+        open_titles.select("board", F.explode(_word_keys(F.col("ot"))).alias("key"))
+        .filter(F.col("key").startswith("w:"))
+        .groupBy("board", "key")
+        .agg(F.count(F.lit(1)).alias("titles"))
+        .filter(F.col("titles") > hot_titles)
+        .select("board", "key")
+    )
+    any_hot = not hot.isEmpty()
+    job_keys = others.select(
+        "board", "jt", _generic_bits(F.col("jt")).alias("jbits"),
+        F.explode(_index_keys(F.col("jt"), "a:", "b:", any_hot)).alias("key"),
+    )
+    open_keys = open_titles.select(
+        "board", "ot", _generic_bits(F.col("ot")).alias("obits"),
+        F.explode(_index_keys(F.col("ot"), "b:", "a:", any_hot)).alias("key"),
+    )
+    rare_jobs = job_keys.join(hot, ["board", "key"], "left_anti") if any_hot else job_keys
+    rare_opens = open_keys.join(hot, ["board", "key"], "left_anti") if any_hot else open_keys
+
     # Each meaningful word two titles share is one meeting row, so the score is an aggregate
     # over meetings; generic words are compared as bit sets.
     nested = F.col("jt").contains(F.col("ot")) | F.col("ot").contains(F.col("jt"))
-    meetings = (
-        others.select(
-            "board", "jt", _generic_bits(F.col("jt")).alias("jbits"),
-            F.explode(_index_keys(F.col("jt"), "a:", "b:")).alias("key"),
-        )
-        .join(
-            open_titles.select(
-                "board", "ot", _generic_bits(F.col("ot")).alias("obits"),
-                F.explode(_index_keys(F.col("ot"), "b:", "a:")).alias("key"),
-            ),
-            ["board", "key"],
-        )
+    shared = (
+        rare_jobs.join(rare_opens, ["board", "key"])
         .filter(F.col("key").startswith("w:") | F.col("key").startswith("g:") | nested)
+        .groupBy("board", "jt", "ot", "jbits", "obits")
+        .agg(
+            F.count_if(F.col("key").startswith("w:")).cast("int").alias("solid"),
+            *[F.max(F.col("key") == f"w:{w}").alias(w) for w in FLAGGED],
+        )
     )
-
-    def met_on(word: str) -> Column:
-        return F.max(F.col("key") == f"w:{word}")
-
-    shared = meetings.groupBy("board", "jt", "ot", "jbits", "obits").agg(
-        F.count_if(F.col("key").startswith("w:")).cast("int").alias("solid"),
-        *[met_on(w).alias(f"_{w}") for w in ("software", "full", "stack", "ml")],
-    )
-    common = F.col("jbits").bitwiseAND(F.col("obits"))
-    generic = F.bit_count(common)
-
-    def points(condition: Column, value: int) -> Column:
-        return F.when(condition, value).otherwise(0)
-
-    score = (
-        points(nested, 10) + F.col("solid") * 4 + generic
-        + points((F.col("solid") > 0) & (F.col("solid") + generic >= 3), 4)
-        + points(F.col("_software") & _has_bit(common, "engineer"), 3)
-        + points(F.col("_full") & F.col("_stack"), 2) + points(F.col("_ml"), 2)
-        - points(_has_bit(F.col("jbits"), "manager") != _has_bit(F.col("obits"), "manager"), 3)
-        - points(_has_bit(F.col("jbits"), "engineer") != _has_bit(F.col("obits"), "engineer"), 2)
-    )
-    met = shared.select("board", "jt", "ot", score.alias("title_score")).filter(
+    solid, flags = F.col("solid"), {w: F.col(w) for w in FLAGGED}
+    if any_hot:
+        job_hot, open_hot = _hot_words(job_keys, hot, "jt"), _hot_words(open_keys, hot, "ot")
+        shared = shared.join(job_hot.withColumnRenamed("hot", "jhot"), ["board", "jt"], "left").join(
+            open_hot.withColumnRenamed("hot", "ohot"), ["board", "ot"], "left"
+        ).withColumn("both", F.coalesce(F.array_intersect("jhot", "ohot"), F.array().cast("array<string>")))
+        solid = solid + F.size("both")
+        flags = {w: F.col(w) | F.array_contains("both", f"w:{w}") for w in FLAGGED}
+    met = shared.select("board", "jt", "ot", _score(nested, solid, flags).alias("title_score")).filter(
         F.col("title_score") >= fixed.MATCH_GATE - LOCATION_REACH
     )
+    if any_hot:
+        job_side = job_hot.withColumn("jbits", _generic_bits(F.col("jt")))
+        open_side = open_hot.withColumn("obits", _generic_bits(F.col("ot")))
+        met = met.unionByName(_by_signature(job_side, open_side))
+        as_one = (
+            offered.join(open_side, ["board", "ot"])
+            .groupBy("board", _signature("hot").alias("ot"), "ol", "owords")
+            .agg(F.min("ordinal").alias("ordinal"))
+        )
+        offered = offered.unionByName(as_one)
     top = met.groupBy("board", "jt").agg(F.max("title_score").alias("top"))
     near = (
         met.join(top, ["board", "jt"])

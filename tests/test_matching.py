@@ -70,6 +70,12 @@ def test_best_openings_equal_brute_force(spark):
     assert got == {j: v[:2] for j, v in brute(jobs, openings).items()}
 
 
+def test_hot_words_meet_by_signature(spark):
+    jobs, openings = sample(23, 120, 140)
+    got = {r["job_id"]: (r["opening"], r["match_score"]) for r in best_openings(*frames(spark, jobs, openings), hot_titles=6).collect()}
+    assert got == {j: v[:2] for j, v in brute(jobs, openings).items()}
+
+
 def test_title_inside_a_word_is_met(spark):
     jobs = [(1, "b", "art", "Seattle"), (2, "b", "vp", "Seattle"), (3, "b", "engineer", "Seattle")]
     openings = [("b", 1, "smart people", "Seattle", ""), ("b", 2, "the svp desk", "Seattle", ""), ("b", 3, "engineering manager", "Seattle", "")]
