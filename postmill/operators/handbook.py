@@ -149,4 +149,5 @@ def handbook_counts(extracted: DataFrame, canonical: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.size(F.coalesce("questions", F.array().cast(extracted.schema["questions"].dataType)))), F.lit(0)).alias("raw_questions"),
         F.count_if(F.col("error").isNotNull()).alias("failed_posts"),
     )
-    return raw.join(canonical.agg(F.count(F.lit(1)).alias("questions")), F.lit(True))
+    parts = raw.unionByName(canonical.agg(F.count(F.lit(1)).alias("questions")), allowMissingColumns=True)
+    return parts.agg(*[F.sum(c).alias(c) for c in parts.columns])

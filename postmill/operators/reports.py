@@ -38,7 +38,10 @@ def funnel(raw: DataFrame, classified: DataFrame, enriched: DataFrame) -> DataFr
     done = enriched.agg(
         F.count_if(F.col("external_jd_status").isin(*fixed.RESOLVED_STATUSES_REPORT)).alias("resolved_count")
     )
-    counted = raw.agg(F.count(F.lit(1)).alias("raw_count")).join(judged, F.lit(True)).join(done, F.lit(True))
+    parts = raw.agg(F.count(F.lit(1)).alias("raw_count"))
+    for part in (judged, done):
+        parts = parts.unionByName(part, allowMissingColumns=True)
+    counted = parts.agg(*[F.sum(c).alias(c) for c in parts.columns])
     both = F.col("passes_count") + F.col("filtered_count")
     return counted.withColumn("unique_count", F.when(both > 0, both).otherwise(F.col("raw_count")))
 
@@ -136,19 +139,21 @@ def summary_message(report_date: str, counts: DataFrame, top: DataFrame) -> Data
     )
     total = F.col("strong") + F.col("medium") + F.col("weak")
 
+    named = names.scalar()
+
     def line(count: str, *parts: Column | str) -> Column:
         return F.when(F.col(count) > 0, F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]))
 
     text = F.concat_ws(
         "\n",
         F.concat(F.lit(f"📊 **Job Report {report_date}** — "), total.cast("string")),
-        line("strong", "🔥 Strong (", F.col("strong").cast("string"), "): ", F.col("names")),
+        line("strong", "🔥 Strong (", F.col("strong").cast("string"), "): ", named),
         line("medium", "✅ Medium: ", F.col("medium").cast("string")),
         line("weak", "❌ Weak: ", F.col("weak").cast("string")),
     )
     mark = "\n…（截断）"
     short = F.when(F.length(text) > 2000, F.concat(F.substring(text, 1, 1980), F.lit(mark))).otherwise(text)
-    return counts.join(names, F.lit(True)).select(short.alias("message"))
+    return counts.select(short.alias("message"))
 
 
 def thread_block(title: Column, url: Column, author: Column, posted_at: Column, tags: Column, fetched_at: str) -> Column:

@@ -39,20 +39,25 @@ def ingest_alerts(messages: DataFrame, seen: DataFrame, now: Column, include_see
 
 
 def scan_jobs(pages: DataFrame, specs: Sequence[dict], now: Column) -> DataFrame:
-    """Fetched listing pages (company, ats, page, payload) to jobs, one branch per enabled board.
+    """Fetched listing pages (company, ats, page, payload) to jobs with their `board`.
 
-    Branches only read their own pages; a board without an adapter or with a failed page adds nothing.
+    Boards of one kind with equal settings share a branch, so the pages are read once per kind,
+    not once per company. Boards without an adapter and failed pages add nothing.
     """
-    out = None
+    kinds: dict[tuple, list[str]] = {}
     for spec in specs:
-        adapter, _ = ADAPTERS.get(spec["ats"].lower(), (None, False))
-        if adapter is None or not spec.get("enabled", True):
-            continue
-        own = pages.filter((F.col("company") == spec["name"]) & (F.col("ats") == spec["ats"])).select("payload", "page")
-        jobs = adapter(own, spec["name"], now, **spec.get("settings", {})).withColumn("_board", F.lit(spec["name"]))
-        out = jobs if out is None else out.unionByName(jobs)
-    if out is None:
+        if spec["ats"].lower() in ADAPTERS and spec.get("enabled", True):
+            settings = tuple(sorted(spec.get("settings", {}).items()))
+            kinds.setdefault((spec["ats"].lower(), settings), []).append(spec["name"])
+    if not kinds:
         raise ValueError("no enabled board has an adapter")
+    out = None
+    for (ats, settings), names in kinds.items():
+        own = pages.filter((F.lower("ats") == ats) & F.col("company").isin(names)).select(
+            "payload", "page", F.col("company").alias("board")
+        )
+        jobs = ADAPTERS[ats][0](own, F.col("board"), now, **dict(settings))
+        out = jobs if out is None else out.unionByName(jobs)
     return out
 
 
@@ -65,7 +70,7 @@ def scan_targets(
     rows per company that still lack text, up to the limit.
     """
     matched = jobs.filter(
-        rules.title_matches_by_company("title", "_board", scan.include, scan.exclude, scan.own)
+        rules.title_matches_by_company("title", "board", scan.include, scan.exclude, scan.own)
         & rules.passes_city_at_scan("location", scan.city)
     ).withColumn("_row", F.struct("page", "at", "job_key"))
     attributes = ["title", "company", "location", "linkedin_url", "jobright_url", "external_jd_url"]
@@ -75,7 +80,7 @@ def scan_targets(
     fresh = matched if include_seen else keyed.unseen(matched, seen, ["job_key"])
     lacking = filled("jd_text") == ""
     chosen = keyed.top_k(
-        fresh.filter(lacking).select("_board", "_row"), ["_board"], [F.col("_row").asc()], scan.max_details
+        fresh.filter(lacking).select("board", "_row"), ["board"], [F.col("_row").asc()], scan.max_details
     ).select(F.col("_row").alias("_pick"))
     marked = fresh.join(chosen, F.col("_row") == F.col("_pick"), "left")
     return marked.withColumn("fetch_detail", F.col("_pick").isNotNull()).drop("_pick", "_row"), state

@@ -1,7 +1,8 @@
 """Sixteen job boards: page payloads in, canonical job rows out.
 
 Every adapter takes a DataFrame with `payload` (one page as text) and `page` (its number),
-the company name and the board's own settings, and reads the payload with a fixed schema.
+the company and the board's own settings, and reads the payload with a fixed schema. With a
+`board` column and the company given as a column, one call reads all boards of a kind.
 Fetching is separate (see `datasource`), so parsing is testable on recorded pages.
 """
 
@@ -60,8 +61,13 @@ def build_job(
 
 
 def _items(pages: DataFrame, rows: Column) -> DataFrame:
-    """One row per item with `page` and `at`, its place on the page."""
-    return pages.select("page", F.posexplode(rows).alias("at", "j"))
+    """One row per item with `page`, `at` (its place on the page) and `board` where given."""
+    kept = [c for c in pages.columns if c in ("page", "board")]
+    return pages.select(*kept, F.posexplode(rows).alias("at", "j"))
+
+
+def _owner(company: str | Column) -> Column:
+    return F.lit(company) if isinstance(company, str) else company
 
 
 def _finish(
@@ -69,16 +75,18 @@ def _finish(
     url: Column, ats_id: Column, jd_text: Column | None = None,
 ) -> DataFrame:
     """Name the fields first, so that the job row refers to plain columns."""
+    place = [c for c in ("board", "page", "at") if c in items.columns]
     named = items.select(
-        "page", "at", title.alias("_t"), company.alias("_c"), location.alias("_l"), filled(url).alias("_u"),
+        *place, title.alias("_t"), company.alias("_c"), location.alias("_l"), filled(url).alias("_u"),
         (F.lit("") if jd_text is None else jd_text).alias("_d"), ats_id.cast("string").alias("_i"),
     )
     c = F.col
-    return named.select("page", "at", *build_job(c("_t"), c("_c"), c("_l"), c("_u"), c("_d"), ats, c("_i"), now))
+    return named.select(*place, *build_job(c("_t"), c("_c"), c("_l"), c("_u"), c("_d"), ats, c("_i"), now))
 
 
 def _once(jobs: DataFrame, key: str = "ats_job_id") -> DataFrame:
-    return top_k(jobs, [key], [F.col("page"), F.col("at")], 1)
+    keys = [key, "board"] if "board" in jobs.columns else [key]
+    return top_k(jobs, keys, [F.col("page"), F.col("at")], 1)
 
 
 def _name_of(value: Column, *fields: str) -> Column:
@@ -91,27 +99,27 @@ def _joined(values: Column) -> Column:
     return F.array_join(F.filter(values, lambda v: v.isNotNull() & (v != "")), " | ")
 
 
-def greenhouse(pages: DataFrame, company: str, now: Column) -> DataFrame:
+def greenhouse(pages: DataFrame, company: str | Column, now: Column) -> DataFrame:
     schema = "jobs array<struct<id:string,title:string,absolute_url:string,location:struct<name:string>,content:string>>"
     j = F.col("j")
     return _finish(
         _items(pages, F.from_json("payload", schema)["jobs"]), "greenhouse", now,
-        title=collapse_ws(j["title"]), company=F.lit(company), location=collapse_ws(j["location"]["name"]),
+        title=collapse_ws(j["title"]), company=_owner(company), location=collapse_ws(j["location"]["name"]),
         url=j["absolute_url"], jd_text=html_to_text(j["content"]), ats_id=j["id"],
     )
 
 
-def lever(pages: DataFrame, company: str, now: Column) -> DataFrame:
+def lever(pages: DataFrame, company: str | Column, now: Column) -> DataFrame:
     schema = "array<struct<id:string,text:string,hostedUrl:string,categories:struct<location:string>,description:string,descriptionPlain:string>>"
     j = F.col("j")
     return _finish(
         _items(pages, F.from_json("payload", schema)), "lever", now,
-        title=collapse_ws(j["text"]), company=F.lit(company), location=collapse_ws(j["categories"]["location"]),
+        title=collapse_ws(j["text"]), company=_owner(company), location=collapse_ws(j["categories"]["location"]),
         url=j["hostedUrl"], jd_text=html_to_text(first_present(j["description"], j["descriptionPlain"])), ats_id=j["id"],
     )
 
 
-def pcsx(pages: DataFrame, company: str, now: Column, team_filter: str = "") -> DataFrame:
+def pcsx(pages: DataFrame, company: str | Column, now: Column, team_filter: str = "") -> DataFrame:
     schema = """data struct<positions:array<struct<jobId:string,id:string,title:string,name:string,positionUrl:string,
       standardizedLocations:array<string>,locations:array<string>,businessGroup:string,orgFunction:string,discipline:string>>>"""
     j = F.col("j")
@@ -123,13 +131,13 @@ def pcsx(pages: DataFrame, company: str, now: Column, team_filter: str = "") ->
     known = F.when(F.size(j["standardizedLocations"]) > 0, j["standardizedLocations"]).otherwise(j["locations"])
     path = strip(filled(j["positionUrl"]))
     return _finish(
-        items, "pcsx", now, title=title, company=F.lit(company), location=F.coalesce(F.array_join(known, " | "), F.lit("")),
+        items, "pcsx", now, title=title, company=_owner(company), location=F.coalesce(F.array_join(known, " | "), F.lit("")),
         url=F.when(path != "", F.concat(F.lit("https://apply.careers.microsoft.com"), path)),
         ats_id=first_present(j["jobId"], j["id"]),
     )
 
 
-def apple_jobs(pages: DataFrame, company: str, now: Column) -> DataFrame:
+def apple_jobs(pages: DataFrame, company: str | Column, now: Column) -> DataFrame:
     """State embedded in the page as a JSON text inside a script string."""
     inner = F.from_json(F.concat(F.lit('{"v":"'), F.regexp_extract("payload", APPLE_STATE, 1), F.lit('"}')), "v string")["v"]
     schema = """loaderData struct<search:struct<searchResults:array<struct<positionId:string,id:string,postingTitle:string,
@@ -139,31 +147,31 @@ def apple_jobs(pages: DataFrame, company: str, now: Column) -> DataFrame:
     path = F.concat(F.lit("https://jobs.apple.com/en-us/details/"), ident, F.lit("/"), filled(j["transformedPostingTitle"]))
     jobs = _finish(
         _items(pages, F.from_json(inner, schema)["loaderData"]["search"]["searchResults"]), "apple_jobs", now,
-        title=collapse_ws(first_present(j["postingTitle"], j["title"])), company=F.lit(company),
+        title=collapse_ws(first_present(j["postingTitle"], j["title"])), company=_owner(company),
         location=F.coalesce(_joined(F.transform(j["locations"], lambda v: _name_of(v, "name", "city"))), F.lit("")),
         url=F.when(ident != "", F.regexp_replace(path, r"/+\z", "")), ats_id=ident,
     )
     return _once(jobs)
 
 
-def amazon_jobs(pages: DataFrame, company: str, now: Column) -> DataFrame:
+def amazon_jobs(pages: DataFrame, company: str | Column, now: Column) -> DataFrame:
     schema = "jobs array<struct<id:string,title:string,location:string,normalized_location:string,job_path:string,description:string,description_short:string>>"
     j = F.col("j")
     return _finish(
         _items(pages, F.from_json("payload", schema)["jobs"]), "amazon_jobs", now,
-        title=collapse_ws(j["title"]), company=F.lit(company),
+        title=collapse_ws(j["title"]), company=_owner(company),
         location=collapse_ws(first_present(j["normalized_location"], j["location"])),
         url=F.when(filled(j["job_path"]) != "", F.concat(F.lit("https://www.amazon.jobs"), j["job_path"])),
         jd_text=first_present(html_to_text(j["description"]), html_to_text(j["description_short"])), ats_id=j["id"],
     )
 
 
-def google_careers(pages: DataFrame, company: str, now: Column) -> DataFrame:
+def google_careers(pages: DataFrame, company: str | Column, now: Column) -> DataFrame:
     groups = [F.regexp_extract_all(filled("payload"), F.lit(GOOGLE_LINK), F.lit(g)).alias(n) for g, n in ((1, "href"), (2, "id"), (3, "title"))]
     j = F.col("j")
     jobs = _finish(
         _items(pages, F.arrays_zip(*groups)), "google_careers", now,
-        title=collapse_ws(unescape(j["title"])), company=F.lit(company), location=F.lit(""),
+        title=collapse_ws(unescape(j["title"])), company=_owner(company), location=F.lit(""),
         url=F.when(j["href"].startswith("/"), F.concat(F.lit("https://www.google.com"), j["href"])).otherwise(
             F.concat(F.lit(GOOGLE_BASE), j["href"])
         ),
@@ -172,12 +180,12 @@ def google_careers(pages: DataFrame, company: str, now: Column) -> DataFrame:
     return _once(jobs)
 
 
-def meta_careers(pages: DataFrame, company: str, now: Column) -> DataFrame:
+def meta_careers(pages: DataFrame, company: str | Column, now: Column) -> DataFrame:
     """Rendered on the client only; the listing is always empty."""
     return greenhouse(pages.filter(F.lit(False)), company, now)
 
 
-def remoteok(pages: DataFrame, company: str, now: Column) -> DataFrame:
+def remoteok(pages: DataFrame, company: str | Column, now: Column) -> DataFrame:
     schema = "array<struct<id:string,slug:string,company:string,position:string,location:string,description:string,apply_url:string,url:string>>"
     j = F.col("j")
     items = _items(pages, F.from_json("payload", schema)).filter((filled(j["id"]) != "") & (filled(j["company"]) != ""))
@@ -189,7 +197,7 @@ def remoteok(pages: DataFrame, company: str, now: Column) -> DataFrame:
     )
 
 
-def weworkremotely(pages: DataFrame, company: str, now: Column) -> DataFrame:
+def weworkremotely(pages: DataFrame, company: str | Column, now: Column) -> DataFrame:
     """RSS feeds, one per page row; a broken feed yields nothing, links count once over all feeds."""
     schema = "channel struct<item:array<struct<title:string,link:string,description:string>>>"
     items = _items(pages, F.from_xml(F.col("payload"), schema)["channel"]["item"])
@@ -203,17 +211,17 @@ def weworkremotely(pages: DataFrame, company: str, now: Column) -> DataFrame:
     return _once(jobs, "external_jd_url")
 
 
-def shopify_careers(pages: DataFrame, company: str, now: Column) -> DataFrame:
+def shopify_careers(pages: DataFrame, company: str | Column, now: Column) -> DataFrame:
     schema = "job array<struct<partnerJobId:string,title:string,location:string,applyUrl:string,description:string>>"
     j = F.col("j")
     items = _items(pages, F.from_xml(F.col("payload"), schema)["job"]).filter(strip(filled(j["title"])) != "")
     return _finish(
-        items, "shopify_careers", now, title=strip(j["title"]), company=F.lit(company), location=strip(filled(j["location"])),
+        items, "shopify_careers", now, title=strip(j["title"]), company=_owner(company), location=strip(filled(j["location"])),
         url=strip(filled(j["applyUrl"])), jd_text=html_to_text(j["description"]), ats_id=strip(filled(j["partnerJobId"])),
     )
 
 
-def ashby(pages: DataFrame, company: str, now: Column) -> DataFrame:
+def ashby(pages: DataFrame, company: str | Column, now: Column) -> DataFrame:
     schema = "jobs array<struct<id:string,title:string,location:string,locationName:string,descriptionHtml:string,jobUrl:string,applyUrl:string,secondaryLocations:array<string>>>"
     j = F.col("j")
     main = collapse_ws(_name_of(first_present(j["location"], j["locationName"]), "city", "country"))
@@ -221,12 +229,12 @@ def ashby(pages: DataFrame, company: str, now: Column) -> DataFrame:
     place = F.when(F.size(j["secondaryLocations"]) > 0, F.regexp_replace(F.concat(main, F.lit(" | "), _joined(more)), r"^[ |]+|[ |]+\z", "")).otherwise(main)
     return _finish(
         _items(pages, F.from_json("payload", schema)["jobs"]), "ashby", now, title=collapse_ws(j["title"]),
-        company=F.lit(company), location=place, url=strip(first_present(j["jobUrl"], j["applyUrl"])),
+        company=_owner(company), location=place, url=strip(first_present(j["jobUrl"], j["applyUrl"])),
         jd_text=html_to_text(j["descriptionHtml"]), ats_id=j["id"],
     )
 
 
-def cursor_careers(pages: DataFrame, company: str, now: Column) -> DataFrame:
+def cursor_careers(pages: DataFrame, company: str | Column, now: Column) -> DataFrame:
     found = F.arrays_zip(
         F.regexp_extract_all(filled("payload"), F.lit(CURSOR_LINK), F.lit(1)).alias("href"),
         F.regexp_extract_all(filled("payload"), F.lit(CURSOR_LINK), F.lit(2)).alias("body"),
@@ -238,7 +246,7 @@ def cursor_careers(pages: DataFrame, company: str, now: Column) -> DataFrame:
     )
     jobs = _finish(
         _items(pages, found), "cursor_careers", now,
-        title=collapse_ws(unescape(F.regexp_extract(j["body"], CURSOR_TITLE, 1))), company=F.lit(company),
+        title=collapse_ws(unescape(F.regexp_extract(j["body"], CURSOR_TITLE, 1))), company=_owner(company),
         location=F.replace(F.coalesce(F.try_element_at(spans, F.lit(-1)), F.lit("")), F.lit(";"), F.lit(" | ")),
         url=F.concat(F.lit("https://cursor.com"), collapse_ws(j["href"])),
         ats_id=F.regexp_extract(collapse_ws(j["href"]), r"([^/]*)/*$", 1),
@@ -246,19 +254,19 @@ def cursor_careers(pages: DataFrame, company: str, now: Column) -> DataFrame:
     return _once(jobs, "external_jd_url").filter("title != ''")
 
 
-def workday(pages: DataFrame, company: str, now: Column, tenant: str = "", pod: str = "", site: str = "") -> DataFrame:
+def workday(pages: DataFrame, company: str | Column, now: Column, tenant: str = "", pod: str = "", site: str = "") -> DataFrame:
     schema = "jobPostings array<struct<title:string,locationsText:string,externalPath:string,bulletFields:array<string>,jobReqId:string>>, total bigint"
     j = F.col("j")
     usable = pages if tenant.strip() and pod.strip() and site.strip() else pages.filter(F.lit(False))
     return _finish(
         _items(usable, F.from_json("payload", schema)["jobPostings"]), "workday", now, title=collapse_ws(j["title"]),
-        company=F.lit(company), location=collapse_ws(j["locationsText"]),
+        company=_owner(company), location=collapse_ws(j["locationsText"]),
         url=F.concat(F.lit(f"https://{tenant}.{pod}.myworkdayjobs.com/{site}"), strip(filled(j["externalPath"]))),
         ats_id=first_present(F.try_element_at(j["bulletFields"], F.lit(1)), j["jobReqId"]),
     )
 
 
-def _tiktok(pages: DataFrame, company: str, now: Column, ats: str, url: Callable[[Column], Column]) -> DataFrame:
+def _tiktok(pages: DataFrame, company: str | Column, now: Column, ats: str, url: Callable[[Column], Column]) -> DataFrame:
     schema = """data struct<count:bigint,job_post_list:array<struct<id:string,title:string,description:string,requirement:string,
       city_info:struct<en_name:string,i18n_name:string,name:string,parent:struct<en_name:string>>,
       city_list:array<string>,locations:array<string>,location_list:array<string>,location:string>>>"""
@@ -275,29 +283,29 @@ def _tiktok(pages: DataFrame, company: str, now: Column, ats: str, url: Callable
     parts = [present(html_to_text(j[f])) for f in ("description", "requirement")]
     return _finish(
         _items(pages, F.from_json("payload", schema)["data"]["job_post_list"]), ats, now, title=collapse_ws(j["title"]),
-        company=F.lit(company), location=F.when(j["city_info"].isNotNull(), place).otherwise(older),
+        company=_owner(company), location=F.when(j["city_info"].isNotNull(), place).otherwise(older),
         url=F.when(filled(j["id"]) != "", url(j["id"])), jd_text=F.concat_ws("\n\n", *parts), ats_id=j["id"],
     )
 
 
-def tiktok_careers(pages: DataFrame, company: str, now: Column) -> DataFrame:
+def tiktok_careers(pages: DataFrame, company: str | Column, now: Column) -> DataFrame:
     return _tiktok(pages, company, now, "tiktok_careers", lambda i: F.concat(F.lit("https://lifeattiktok.com/search/"), i))
 
 
-def tiktok_usds(pages: DataFrame, company: str, now: Column) -> DataFrame:
+def tiktok_usds(pages: DataFrame, company: str | Column, now: Column) -> DataFrame:
     return _tiktok(
         pages, company, now, "tiktok_usds",
         lambda i: F.concat(F.lit("https://careers.tiktokusds.com/usds/position/"), i, F.lit("/detail")),
     )
 
 
-def phenom(pages: DataFrame, company: str, now: Column) -> DataFrame:
+def phenom(pages: DataFrame, company: str | Column, now: Column) -> DataFrame:
     schema = "positions array<struct<id:string,ats_job_id:string,name:string,posting_name:string,location:string,locations:array<string>,canonicalPositionUrl:string>>"
     j = F.col("j")
     places = F.when(F.size(j["locations"]) > 0, j["locations"]).otherwise(F.array(j["location"]))
     return _finish(
         _items(pages, F.from_json("payload", schema)["positions"]), "phenom", now,
-        title=collapse_ws(first_present(j["name"], j["posting_name"])), company=F.lit(company),
+        title=collapse_ws(first_present(j["name"], j["posting_name"])), company=_owner(company),
         location=_joined(F.transform(places, lambda p: collapse_ws(p))),
         url=F.substring_index(strip(filled(j["canonicalPositionUrl"])), "?", 1), ats_id=first_present(j["id"], j["ats_job_id"]),
     )

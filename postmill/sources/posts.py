@@ -179,12 +179,8 @@ def thread_listings(pages: DataFrame) -> DataFrame:
 def before_cutoff(listings: DataFrame, cutoff: Column) -> DataFrame:
     """Listing order up to the first thread older than the cutoff; undated threads stay."""
     posted = F.regexp_replace("posted_at", " ", "T").try_cast("timestamp")
-    old = listings.filter(posted < cutoff).agg(F.min(F.struct("page", "at")).alias("stop"))
-    return (
-        listings.join(old, F.lit(True))
-        .filter(F.col("stop").isNull() | (F.struct("page", "at") < F.col("stop")))
-        .drop("stop")
-    )
+    stop = listings.filter(posted < cutoff).agg(F.min(F.struct("page", "at"))).scalar()
+    return listings.filter(stop.isNull() | (F.struct("page", "at") < stop))
 
 
 def thread_fields(pages: DataFrame) -> DataFrame:
