@@ -90,3 +90,22 @@ def question_links(spark, sf):
         F.col("doc_id").alias("thread_id"), F.concat(F.lit("https://l/"), F.col("doc_id").cast("string")).alias("href")
     )
     return h.source_links(asked(spark, sf), listings, ["type", "name"])
+
+
+TYPED = LINES.replace("lang AS type", "CASE lang WHEN 'en' THEN 'coding' WHEN 'fr' THEN 'sd' WHEN 'de' THEN 'math' ELSE 'other' END AS type")
+LABEL = "CASE type WHEN 'coding' THEN 'Coding' WHEN 'sd' THEN 'System Design' WHEN 'math' THEN 'Math / Reasoning' ELSE type END"
+
+
+@query(
+    "handbook_lines",
+    TYPED
+    + f""", board AS (SELECT * FROM canonical WHERE frequency >= 2 ORDER BY frequency DESC, name, type LIMIT 50)
+SELECT CAST(1 AS INTEGER) AS part, CAST(0 AS INTEGER) AS section, -frequency AS rank, name, '| **' || name || '** | ' || {LABEL} || ' | ' || frequency || ' |' AS line FROM board
+UNION ALL SELECT 2, CASE type WHEN 'coding' THEN 1 WHEN 'sd' THEN 2 ELSE 5 END, -frequency, name, '## ' || name || ' _(频次 ' || frequency || ' · ' || {LABEL} || ')_'
+  FROM canonical WHERE type <> 'other'
+UNION ALL SELECT 3, 0, -frequency, name, '- **' || name || '** _' || {LABEL} || '_' FROM canonical WHERE frequency = 1""",
+)
+def handbook_lines(spark, sf):
+    kind = F.when(F.col("type") == "en", "coding").when(F.col("type") == "fr", "sd").when(F.col("type") == "de", "math").otherwise("other")
+    found = h.canonical_questions(asked(spark, sf).withColumn("type", kind), "at", cluster_key=lambda name: name)
+    return h.handbook_lines(found)

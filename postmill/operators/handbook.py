@@ -151,3 +151,30 @@ def handbook_counts(extracted: DataFrame, canonical: DataFrame) -> DataFrame:
     )
     parts = raw.unionByName(canonical.agg(F.count(F.lit(1)).alias("questions")), allowMissingColumns=True)
     return parts.agg(*[F.sum(c).alias(c) for c in parts.columns])
+
+
+def handbook_lines(canonical: DataFrame, minimum: int = fixed.LEADERBOARD_MIN_FREQUENCY) -> DataFrame:
+    """Handbook as ordered rows: leaderboard, questions in fixed section order, rare appendix.
+
+    Types outside the fixed order stay in the leaderboard and leave the body. Rare questions are
+    listed again at the end when the leaderboard leaves them out.
+    """
+    frequency = F.col("frequency").cast("string")
+    columns = ("part", "section", "rank", "name", "line")
+
+    def rows(part: int, source: DataFrame, section: Column, line: Column) -> DataFrame:
+        return source.select(
+            F.lit(part).alias("part"), section.alias("section"), (-F.col("frequency")).alias("rank"), "name", line.alias("line")
+        ).select(*columns)
+
+    board = leaderboard(canonical, minimum)
+    body = canonical.withColumn("_section", section_ordinal("type")).filter("_section IS NOT NULL")
+    out = rows(
+        1, board, F.lit(0), F.concat(F.lit("| **"), "name", F.lit("** | "), type_label("type"), F.lit(" | "), frequency, F.lit(" |"))
+    ).unionByName(
+        rows(2, body, F.col("_section"), F.concat(F.lit("## "), "name", F.lit(" _(频次 "), frequency, F.lit(" · "), type_label("type"), F.lit(")_")))
+    )
+    if minimum > 1:
+        rare = canonical.filter("frequency = 1")
+        out = out.unionByName(rows(3, rare, F.lit(0), F.concat(F.lit("- **"), "name", F.lit("** _"), type_label("type"), F.lit("_"))))
+    return out
