@@ -1,7 +1,7 @@
 """Composed flows: triage routing, reports, inbox, incremental stream."""
 
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -233,7 +233,7 @@ def stream_seen(spark, sf):
     from postmill.sinks import VersionedTable
     from postmill.streaming.incremental import run_seen_stream
 
-    base = f"{shared_folder(spark)}/seen-{tempfile.mktemp(dir='', prefix='').strip('/')}"
+    base = f"{shared_folder(spark)}/seen-{uuid.uuid4().hex}"
     before, _ = events_around(spark, sf)
     states = VersionedTable(
         spark, f"{base}/state", "user_id bigint, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, event_type string"

@@ -454,3 +454,12 @@ def add_triage_mode(note: Column, mode: str = "metadata_only") -> Column:
         F.regexp_replace(head, r"\s*-*\s*\z", ""), F.lit(f"\ntriage_mode: {mode}\n---\n"), body
     )
     return F.when((head == "") | head.rlike(r"(?m)^\s*triage_mode:\s*\w+"), note).otherwise(extended)
+
+
+def append_section(existing: Column, addition: Column, heading: str) -> Column:
+    """A document with one more section behind a divider; a new one starts with its heading."""
+    before = F.regexp_replace(filled(existing), r"\s+\z", "")
+    after = F.concat(F.regexp_replace(addition, r"\s+\z", ""), F.lit("\n"))
+    return F.when(before != "", F.concat(before, F.lit("\n\n---\n\n"), after)).otherwise(
+        F.concat(F.lit(f"# {heading}\n\n"), after)
+    )

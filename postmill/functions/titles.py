@@ -368,13 +368,18 @@ def split_compound(raw: Column | str, companies: Iterable[str] | None = None) ->
 
 def classify_tags(tags: Column) -> Column:
     """Salary, referrals and location out of card tags; of equals the last one wins."""
-    named = F.filter(F.transform(tags, strip), lambda t: t != "")
-    pay = F.filter(named, lambda t: t.contains("$") & t.contains("/yr"))
-    rest = F.filter(named, lambda t: ~(t.contains("$") & t.contains("/yr")))
-    refer = F.filter(rest, lambda t: t.rlike(fixed.CARD_REFERRALS))
-    place = F.filter(rest, lambda t: ~t.rlike(fixed.CARD_REFERRALS))
 
-    def last(values: Column) -> Column:
-        return F.coalesce(F.try_element_at(values, F.lit(-1)), F.lit(""))
+    def is_pay(tag: Column) -> Column:
+        return tag.contains("$") & tag.contains("/yr")
 
-    return F.struct(last(pay).alias("salary"), last(place).alias("location"), last(refer).alias("referrals"))
+    def sort(named: Column) -> Column:
+        def last(wanted) -> Column:
+            return F.coalesce(F.try_element_at(F.filter(named, wanted), F.lit(-1)), F.lit(""))
+
+        return F.struct(
+            last(is_pay).alias("salary"),
+            last(lambda t: ~is_pay(t) & ~t.rlike(fixed.CARD_REFERRALS)).alias("location"),
+            last(lambda t: ~is_pay(t) & t.rlike(fixed.CARD_REFERRALS)).alias("referrals"),
+        )
+
+    return let(F.filter(F.transform(tags, strip), lambda t: t != ""), sort)

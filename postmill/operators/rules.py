@@ -333,3 +333,14 @@ def resolver_for(company: Column | str, resolvers: dict[str, tuple[str, str]]) -
     for name, (kind, board) in loose.items():
         chain = chain.when(F.lower(who) == name, spec(kind, board))
     return chain
+
+
+def company_setting(company: Column | str, configured: dict[str, str], default: Column) -> Column:
+    """A configured value by company name without case, first entry winning, else a derived one."""
+    table: dict[str, str] = {}
+    for name, value in configured.items():
+        table.setdefault(name.strip().lower(), value)
+    if not table:
+        return default
+    pairs = F.create_map(*[F.lit(part) for pair in table.items() for part in pair])
+    return F.coalesce(F.try_element_at(pairs, norm(company)), default)
