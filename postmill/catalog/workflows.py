@@ -1,6 +1,5 @@
 """Composed flows: triage routing, reports, inbox, incremental stream."""
 
-
 import uuid
 
 from pyspark.sql import functions as F
@@ -52,8 +51,6 @@ def routed(spark, sf):
         F.when(F.col("external_jd_status") == "unresolved", "resolved").otherwise(F.col("external_jd_status")),
     ).withColumns({c: F.lit("") for c in ("jd_title", "jd_company", "jd_location")})
     return banded, flow.geo_split(flow.triage_candidates(banded, "doc_id"), GEO, CITY)
-
-
 def scored(spark, sf):
     _, placed = routed(spark, sf)
     score = clamp_score(F.floor(F.col("n_chars") / 40))
@@ -184,7 +181,6 @@ def stage_funnel(spark, sf):
     )
     return reports.funnel(table(spark, sf, "part"), classified_parts(spark, sf), enriched)
 
-
 INBOX_SQL = """
 WITH open_docs AS (
   SELECT doc_id, source, lang, text, row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) AS rn, sha1(text) AS k
