@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.session import CALL_SITES
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -24,8 +22,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    if spark.conf.get(CALL_SITES, "true") == "true":
-        spark.conf.set(CALL_SITES, "false")
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
