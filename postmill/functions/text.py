@@ -358,9 +358,11 @@ def clamp_score(value: Column) -> Column:
 def parse_date(value: Column | str, fallback: Column) -> Column:
     """Three plain layouts, then ISO, then `fallback`."""
     text = col(value)
+    layouts = {10: "yyyy-MM-dd", 19: "yyyy-MM-dd'T'HH:mm:ss", 16: "yyyy-MM-dd HH:mm"}
+    # a failed parse is slow, and each layout fits one length only
     utc = [
-        F.try_to_timestamp(text, F.lit(layout))
-        for layout in ("yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm")
+        F.when(F.length(text) == size, F.try_to_timestamp(text, F.lit(layout)))
+        for size, layout in layouts.items()
     ]
     iso = F.regexp_replace(text, "Z", "+00:00").try_cast("timestamp")
     return F.coalesce(*utc, iso, fallback)
