@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postmill.llm import bpe
+from postmill.llm import bpe, sharding, warc
+from postmill.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,3 +36,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query("op1_bpe_automaton")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents"), WORD_BPE)
+
+
+@query("op5_sharding", sharding.oracle())
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.place(table(spark, sf, "documents"))
+
+
+@query("op8_warc", warc.oracle())
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_pages(table(spark, sf, "pages"), path)
+    read = warc.read_pages(spark, path, payload=False)
+    return read.select(
+        F.col("page_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+    )
