@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX_1 = np.uint64(0xFF51AFD7ED558CCD)
@@ -42,14 +44,26 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def arrow_schema(schema: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def record_batch(columns: dict, fields: pa.Schema) -> pa.RecordBatch:
+    """Lists, numpy or Arrow columns as a batch of the stated types."""
+    arrays = []
+    for field in fields:
+        column = columns[field.name]
+        arrays.append(column.cast(field.type) if isinstance(column, pa.Array) else pa.array(column, field.type))
+    return pa.RecordBatch.from_arrays(arrays, schema=fields)
+
+
 def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict], rows: int = SLICE_ROWS) -> DataFrame:
     """Apply `fn` (batch -> columns by name) to slices of `df`; no shuffle."""
-    names = [part.split()[0] for part in schema.split(", ")]
+    fields = arrow_schema(schema)
 
     def run(batches):
         for batch in sliced(batches, rows):
-            columns = fn(batch)
-            yield pa.RecordBatch.from_pydict({n: columns[n] for n in names})
+            yield record_batch(fn(batch), fields)
 
     return df.mapInArrow(run, schema)
 

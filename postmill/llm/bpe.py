@@ -231,7 +231,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     def run(batch: pa.RecordBatch) -> dict:
         tokenizer = tokenizer_of(spec.value)
         ids = [tokenizer.ids(t) for t in texts(batch.column(1))]
-        return {"id": batch.column(0), "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()), "ids": ids}
+        return {"id": batch.column(0), "n_tokens": [len(i) // 4 for i in ids], "ids": ids}
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -269,7 +269,7 @@ def digests(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
             n.append(len(ids) // 4)
             ids_sha.append(hashlib.sha256(ids).hexdigest())
             text_sha.append(hashlib.sha256(tokenizer.decode(ids).encode()).hexdigest())
-        return {"id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": ids_sha, "decoded_sha256": text_sha}
+        return {"id": batch.column(0), "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha}
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
