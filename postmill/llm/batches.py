@@ -68,6 +68,18 @@ def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict]
     return df.mapInArrow(run, schema)
 
 
+def filter_batches(df: DataFrame, columns: list[str], keep: Callable[[pa.RecordBatch], np.ndarray], rows: int = SLICE_ROWS) -> DataFrame:
+    """The rows of `df`, all columns, for which `keep` (slice of `columns` -> mask) holds; no shuffle."""
+    at = [df.columns.index(c) for c in columns]
+
+    def run(batches):
+        for batch in sliced(batches, rows):
+            judged = pa.RecordBatch.from_arrays([batch.column(i) for i in at], names=columns)
+            yield batch.filter(pa.array(keep(judged), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def texts(column: pa.Array) -> list[str]:
     """Python strings; null reads as empty."""
     return [t or "" for t in column.to_pylist()]
@@ -95,16 +107,17 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tu
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-_powers = np.ones(1, dtype=np.uint64)
+_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        steps = np.full(max(n, 1 << 20), HASH_BASE, dtype=np.uint64)
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    """The first n powers of the hash's base, or of its inverse, modulo 2 to the 64."""
+    if len(_powers[inverse]) < n:
+        base = pow(int(HASH_BASE), -1, 1 << 64) if inverse else int(HASH_BASE)
+        steps = np.full(max(n, 1 << 20), base, dtype=np.uint64)
         steps[0] = 1
-        _powers = np.cumprod(steps)
-    return _powers
+        _powers[inverse] = np.cumprod(steps)
+    return _powers[inverse]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -124,8 +137,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: i
         sums = np.zeros(high - low + 1, dtype=np.uint64)
         np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * weight[: high - low], out=sums[1:])
         a, b = starts[first:last] - low, ends[first:last] - low
-        # Scaling by the power that the end still lacks makes equal words equal wherever they stand.
-        out[first:last] = (sums[b] - sums[a]) * weight[high - low - 1 - a] + (b - a).astype(np.uint64)
+        # Taking out the power of its start makes equal words equal wherever they stand.
+        out[first:last] = mixed((sums[b] - sums[a]) * powers(high - low, inverse=True)[a] + (b - a).astype(np.uint64))
         first = last
     return out
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, langid, sharding, tokencount, toxicity, urlfilter, warc
+from postmill.llm import bpe, decontam, langid, sharding, tokencount, toxicity, urlfilter, warc
 from postmill.llm.learning import held_out
 from postmill.session import shared_folder
 
@@ -70,6 +70,11 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("held_out", held_out(F.col("doc_id"), 3, 1))
 
 
+@query("op7_suffix_decontamination", decontam.oracle())
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return decontam.digest(decontam.scan(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
+
+
 @query("op8_warc", warc.oracle())
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"

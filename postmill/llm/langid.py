@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmill.llm.batches import LOWER, map_batches, texts, utf8
+from postmill.llm.batches import LOWER, filter_batches, map_batches, texts, utf8
 from postmill.llm.learning import logistic
 
 BUCKETS = 4096
@@ -148,3 +148,21 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return map_batches(rows, f"id {kind}, lang_pred string, score double, ambiguous boolean", run, 256).withColumnRenamed("id", id_col)
+
+
+def keep_known(df: DataFrame, model: Model, text_col: str = "text", allowed: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows of `df`, all columns, whose text is in a learned language (of `allowed`, if given) and not ambiguous."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batch: pa.RecordBatch) -> np.ndarray:
+        learned = shared.value
+        known = np.array([has_letter(t) for t in texts(batch.column(0))], bool)
+        if not learned.languages:
+            return np.zeros(len(known), bool)
+        share = learned.shares(profiles(batch.column(0)))
+        top = np.sort(share, axis=1)[:, ::-1]
+        clear = top[:, 0] - top[:, 1] >= GAP if share.shape[1] > 1 else np.ones(len(top), bool)
+        wanted = np.array([allowed is None or lang in allowed for lang in learned.languages], bool)
+        return known & clear & wanted[share.argmax(axis=1)]
+
+    return filter_batches(df, [text_col], keep, 256)

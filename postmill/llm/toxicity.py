@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.batches import LOWER, map_batches, mixed, utf8, word_bounds, word_hashes
+from postmill.llm.batches import LOWER, filter_batches, map_batches, utf8, word_bounds, word_hashes
 from postmill.llm.learning import descend, sigmoid
 
 BUCKETS = 1 << 18
@@ -44,7 +44,7 @@ def features(column: pa.Array):
     data, offsets = utf8(column)
     folded = _FOLD[data]
     starts, ends, first = word_bounds(folded, offsets, _INSIDE)
-    words = (mixed(word_hashes(folded, starts, ends)) >> np.uint64(46)).astype(np.uint32)
+    words = (word_hashes(folded, starts, ends) >> np.uint64(46)).astype(np.uint32)
     for doc in range(len(offsets) - 1):
         found = [words[first[doc] : first[doc + 1]]]
         low, high = int(offsets[doc]), int(offsets[doc + 1])
@@ -159,3 +159,9 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return map_batches(rows, f"id {kind}, score double, predicted int", run, 256).withColumnRenamed("id", id_col)
+
+
+def drop_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Rows of `df`, all columns, that score below 0.5."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    return filter_batches(df, [text_col], lambda batch: shared.value.scores(batch.column(0)) < 0.5, 256)
