@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, decontam, langid, sharding, tokencount, toxicity, urlfilter, warc
+from postmill.llm import bpe, decontam, embdup, langid, neardup, sharding, tokencount, toxicity, urlfilter, warc
 from postmill.llm.learning import held_out
 from postmill.session import shared_folder
 
@@ -46,6 +46,11 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return urlfilter.judge(pages, urlfilter.labelled_by_rules(pages))
 
 
+@query("op3_minhash_forest", neardup.oracle())
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf, "documents"))
+
+
 @query("op4_token_counts")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     """Three edits of every text: its head replaced, words put into the middle, some letters cut later on."""
@@ -86,6 +91,11 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op9_embedding_grid", embdup.oracle())
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return embdup.near_duplicates(table(spark, sf, "embeddings"))
+
+
 @query("op10_toxicity_pu")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
