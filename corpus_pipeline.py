@@ -1,31 +1,70 @@
-"""Corpus pipeline: the training-data operators applied to `documents`, stage by stage."""
+"""Corpus pipeline: the training-data operators applied to `documents`, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and decides on every row that the one before kept. The
+filters pass whole rows through one Arrow pass; only near-duplicates need a join, with the ids
+that go. What a stage keeps is written as Parquet in the cluster's shared folder and read again,
+so a lost executor costs at most one stage's tasks.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postmill.llm import bpe
-from postmill.llm.catalog import WORD_BPE
+from postmill.llm import bpe, decontam, langid, neardup, toxicity
+from postmill.llm.catalog import WORD_BPE, table
+from postmill.llm.learning import held_out
 from postmill.session import shared_folder
 
 
+def clean_tone(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5; the model learns from the labelled rows of four folds of five."""
+    out = held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.train(docs.filter(~out), table(spark, sf_dir, "labels").filter(~out))
+    return toxicity.drop_toxic(docs, model)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one learned language; those without a letter or between two languages go."""
+    return langid.keep_known(docs, langid.train(docs.filter(~held_out(F.col("doc_id"), 3, 1))))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id; rows without an id stay."""
+    gone = neardup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def unseen_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark window occurs."""
+    return decontam.remove(docs, table(spark, sf_dir, "benchmark"))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left, as little-endian unsigned 32-bit integers."""
+    """Per document its number of tokens and their ids as little-endian unsigned 32-bit integers."""
     return bpe.encode(docs, WORD_BPE)
 
 
-STAGES = [("bpe", tokens)]
+STAGES = [
+    ("toxicity", clean_tone),
+    ("language", known_language),
+    ("near_duplicates", one_of_each),
+    ("decontamination", unseen_items),
+    ("tokens", tokens),
+]
 
 #: Models, sketches and tokens have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what each one keeps is written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = shared_folder(spark)
+    """All stages over `documents`."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for at, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/pipeline-{spark.sparkContext.applicationId}-{id(docs)}/{at}-{name}"
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        path = f"{folder}/{at}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
