@@ -207,7 +207,7 @@ class Block:
 
     def meet(self, rep: list, n: np.ndarray, vecs: np.ndarray) -> dict:
         kind, node, other, count = [], [], [], []
-        for low in range(0, len(rep), BLOCK):
+        for low in range(0, len(rep) if self.rep else 0, BLOCK):
             near = vecs[low : low + BLOCK] @ self.vecs.T >= self.threshold
             self.count += (near * n[low : low + BLOCK][:, None]).sum(axis=0)
             for i in np.flatnonzero(near.any(axis=1)).tolist():
@@ -219,6 +219,8 @@ class Block:
 
     def finish(self) -> dict:
         kind, node, other, count = [], [], [], []
+        if not self.rep:
+            return {"kind": kind, "node": node, "other": other, "n": count}
         near = self.vecs @ self.vecs.T >= self.threshold
         np.fill_diagonal(near, False)
         self.count += near.astype(np.int64) @ self.n

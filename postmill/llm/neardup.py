@@ -255,9 +255,9 @@ class SetBlock:
         self.sets: list[np.ndarray] = []
         self.index: tuple | None = None
 
-    def load(self, rep: list, sets: list[np.ndarray]) -> None:
-        self.rep += rep
-        self.sets += sets
+    def load(self, rep, shingles: np.ndarray) -> None:
+        self.rep.append(rep)
+        self.sets.append(shingles)
         self.index = None
 
     def _ready(self) -> None:
@@ -276,23 +276,21 @@ class SetBlock:
         both = np.add.reduceat(mark[ids], starts)
         return np.flatnonzero(100 * both >= self.percent * (sizes + len(shingles) - both))
 
-    def meet(self, rep: list, sets: list[np.ndarray]) -> Iterator[tuple]:
+    def meet(self, shingles: np.ndarray) -> list[int]:
+        if not self.rep:
+            return []
         self._ready()
-        for one, shingles in zip(rep, sets, strict=True):
-            for i in self.shared(shingles).tolist():
-                yield one, i
-
-    def forest(self, pairs: list[tuple[int, int]]) -> np.ndarray:
-        ends = np.array(pairs, np.int64).reshape(-1, 2)
-        return stars(len(self.rep), ends[:, 0], ends[:, 1])
+        return self.shared(shingles).tolist()
 
     def finish(self) -> tuple[list, list]:
-        """Links of the members' own forest."""
-        if len(self.rep) < 2:
-            return [], []
-        self._ready()
-        label = self.forest([(i, j) for i in range(len(self.rep)) for j in self.shared(self.sets[i]).tolist() if j < i])
-        self.label = label
+        """Links of the members' own forest; `label` holds each one's root."""
+        label = self.label = np.arange(len(self.rep))
+        if len(label) > 1:
+            self._ready()
+            for i in range(1, len(label)):
+                roots = np.unique(label[self.shared(self.sets[i])])
+                if len(roots) > 1:
+                    label[np.isin(label, roots)] = roots[0]
         at = np.flatnonzero(label != np.arange(len(label))).tolist()
         return [self.rep[i] for i in at], [self.rep[label[i]] for i in at]
 
@@ -333,17 +331,14 @@ def confirmed(docs: DataFrame, grouped: DataFrame, kind: str, words: int, percen
                     block, key, open_ = SetBlock(percent), keys[row], True
                 shingles = np.frombuffer(batch.column(4)[row].as_py(), np.uint64)
                 if role[row] == 0:
-                    block.load([rep[row]], [shingles])
+                    block.load(rep[row], shingles)
                     continue
                 if open_:
                     a, b = block.finish()
-                    if not a:
-                        block.label = np.arange(len(block.rep))
                     yield record_batch({"a": a, "b": b}, fields)
                     open_ = False
                 # A visitor's links to members of one tree are one link; it makes their trees one.
-                hits = [i for _, i in block.meet([rep[row]], [shingles])]
-                roots = sorted({int(block.label[i]) for i in hits})
+                roots = sorted({int(block.label[i]) for i in block.meet(shingles)})
                 if roots:
                     block.label[np.isin(block.label, roots)] = roots[0]
                     yield record_batch({"a": [rep[row]] * len(roots), "b": [block.rep[r] for r in roots]}, fields)
