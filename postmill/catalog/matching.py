@@ -92,7 +92,7 @@ def boards(spark, sf):
     MATCH_CTE + "SELECT job_id, ordinal AS opening, CAST(match_score AS INTEGER) AS match_score FROM best WHERE rn = 1 AND match_score >= 8",
 )
 def best_match(spark, sf):
-    return m.best_openings(*boards(spark, sf))
+    return m.best_openings(*boards(spark, sf)).drop("board")
 
 
 @query(

@@ -334,18 +334,29 @@ def reply_json(spark, sf):
 @query(
     "parsed_dates",
     """
-SELECT o_orderkey, o_orderdate AS day, o_orderdate AS iso, o_orderdate AS minutes, TIMESTAMP '2000-01-01' AS unknown FROM orders""",
+WITH o AS (SELECT o_orderkey, o_orderdate::TIMESTAMP AS d, o_orderdate::TIMESTAMP + to_minutes((o_orderkey % 1440)::INTEGER) AS m, o_orderkey % 6 AS form, TIMESTAMP '2000-01-01' AS fallback FROM orders)
+SELECT o_orderkey, d AS day, m AS iso, m AS minutes, d AS unpadded, m - INTERVAL 5 HOUR - INTERVAL 30 MINUTE AS zoned,
+  CASE WHEN form = 5 THEN m ELSE fallback END AS refused FROM o""",
 )
 def parsed_dates(spark, sf):
+    """Every layout, padded or not, with a zone, and forms that must fall back: years, months, bare times, prose."""
     now = F.lit("2000-01-01 00:00:00").cast("timestamp")
+    moment = F.timestamp_add("MINUTE", (F.col("o_orderkey") % 1440).cast("int"), F.col("o_orderdate").cast("timestamp"))
 
-    def read(layout):
-        return t.parse_date(F.date_format("o_orderdate", layout), now).cast("timestamp_ntz")
+    def shown(layout):
+        return F.date_format(moment, layout)
 
+    form = F.col("o_orderkey") % 6
+    odd = (
+        F.when(form == 0, shown("yyyy")).when(form == 1, shown("yyyy-MM")).when(form == 2, shown("HH:mm"))
+        .when(form == 3, F.col("o_orderpriority")).when(form == 4, F.concat(shown("yyyy-MM-dd"), F.lit("T"))).otherwise(shown("yyyy-MM-dd HH:mm:ss"))
+    )
+    forms = {
+        "day": shown("yyyy-MM-dd"), "iso": shown("yyyy-MM-dd'T'HH:mm:ss"), "minutes": shown("yyyy-MM-dd HH:mm"), "unpadded": shown("yyyy-M-d"),
+        "zoned": F.concat(shown("yyyy-MM-dd'T'HH:mm:ss"), F.lit("+05:30")), "refused": odd,
+    }
     return table(spark, sf, "orders").select(
-        "o_orderkey", read("yyyy-MM-dd").alias("day"), read("yyyy-MM-dd'T'HH:mm:ss").alias("iso"),
-        read("yyyy-MM-dd HH:mm").alias("minutes"),
-        t.parse_date("o_orderpriority", now).cast("timestamp_ntz").alias("unknown"),
+        "o_orderkey", *[t.parse_date(text, now).cast("timestamp_ntz").alias(name) for name, text in forms.items()]
     )
 
 
@@ -367,13 +378,24 @@ def field_parsers(spark, sf):
     )
 
 
+NOTICES = ("本帖隐藏的内容需要积分", "本帖隐藏 的内容 回复", "购买 10 大米 后查看", "查看此帖需要 5 大米", "本帖 购买 查看 大米")
+
+
 @query(
     "locked_posts",
     """
-SELECT doc_id, lang = 'de' OR lang = 'fr' AS locked FROM documents""",
+SELECT doc_id, doc_id % 6 < 4 AS locked FROM documents""",
 )
 def locked_posts(spark, sf):
-    notice = F.when(F.col("lang") == "de", "本帖隐藏的内容需要积分").when(F.col("lang") == "fr", "购买 10 大米 后查看").otherwise("")
-    return spread(spark, sf, "documents").select(
-        "doc_id", t.is_locked(F.concat(F.substring("text", 1, 40), notice)).alias("locked")
+    """Whole texts with one of four notices, or none that counts, at the start, in the middle or at the end."""
+    kind, place = F.col("doc_id") % 6, F.col("doc_id") % 3
+    notice = F.lit("")
+    for at, text in enumerate(NOTICES):
+        notice = F.when(kind == at, text).otherwise(notice)
+    half = F.floor(F.length("text") / 2).cast("int")
+    body = (
+        F.when(place == 0, F.concat(notice, F.lit(" "), F.col("text")))
+        .when(place == 1, F.concat(F.substr("text", F.lit(1), half), F.lit(" "), notice, F.lit(" "), F.substr("text", half + 1)))
+        .otherwise(F.concat(F.col("text"), F.lit(" "), notice))
     )
+    return table(spark, sf, "documents").select("doc_id", t.is_locked(body).alias("locked"))

@@ -355,17 +355,33 @@ def clamp_score(value: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), value.cast("int")))
 
 
+ISO_MOMENT = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,6})?)?(?:[+-]\d{2}:\d{2}(?::\d{2})?)?)?$"
+PLAIN_MOMENT = r"^\d{4}-\d{1,2}-\d{1,2}(?:T\d{1,2}:\d{1,2}:\d{1,2}| \d{1,2}:\d{1,2})?$"
+
+
 def parse_date(value: Column | str, fallback: Column) -> Column:
-    """Three plain layouts, then ISO, then `fallback`."""
-    text = col(value)
-    layouts = {10: "yyyy-MM-dd", 19: "yyyy-MM-dd'T'HH:mm:ss", 16: "yyyy-MM-dd HH:mm"}
-    # a failed parse is slow, and each layout fits one length only
-    utc = [
-        F.when(F.length(text) == size, F.try_to_timestamp(text, F.lit(layout)))
-        for size, layout in layouts.items()
-    ]
-    iso = F.regexp_replace(text, "Z", "+00:00").try_cast("timestamp")
-    return F.coalesce(*utc, iso, fallback)
+    """A day, a day with `T` and seconds, or a day with a blank and minutes, parts padded or not;
+    else strict ISO with an optional zone; else `fallback`. Times without a zone are the session's.
+
+    The patterns are anchored, so years, months and bare times never reach the lenient cast.
+    """
+
+    def read(text: Column) -> Column:
+        parts = F.transform(
+            F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0)), lambda d: F.when(F.length(d) < 2, F.lpad(d, 2, "0")).otherwise(d)
+        )
+
+        def built(p: Column) -> Column:
+            day = F.concat_ws("-", F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.get(p, F.lit(2)))
+            clock = F.array_join(F.slice(p, 4, 3), ":")
+            return F.when(clock == "", day).otherwise(F.concat_ws(" ", day, clock)).try_cast("timestamp")
+
+        zoned = F.regexp_replace(F.replace(text, F.lit("Z"), F.lit("+00:00")), ",", ".")
+        return F.when(text.rlike(PLAIN_MOMENT), let(parts, built)).when(
+            zoned.rlike(ISO_MOMENT), zoned.try_cast("timestamp")
+        )
+
+    return F.coalesce(let(col(value), read), fallback)
 
 
 def is_locked(body: Column | str) -> Column:

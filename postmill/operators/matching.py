@@ -141,7 +141,8 @@ def best_openings(jobs: DataFrame, openings: DataFrame, hot_titles: int = HOT_TI
     """Best opening per job with a score at the gate or above; equal scores go to the first.
 
     `jobs`: job_id, board, title, location. `openings`: board, ordinal, title, location.
-    Returns job_id, opening (its ordinal), match_score.
+    Ordinals order the openings of one board; boards may repeat each other's.
+    Returns job_id, board, opening (its ordinal on that board), match_score.
     """
     wanted = jobs.select(
         "job_id", "board", title_norm("title").alias("jt"), location_norm("location").alias("jl")
@@ -237,30 +238,35 @@ def best_openings(jobs: DataFrame, openings: DataFrame, hot_titles: int = HOT_TI
         .filter(F.col("best.score") >= fixed.MATCH_GATE)
     )
     return wanted.join(best, ["board", "jt", "jl"]).select(
-        "job_id", (-F.col("best.back")).alias("opening"), F.col("best.score").alias("match_score")
+        "job_id", "board", (-F.col("best.back")).alias("opening"), F.col("best.score").alias("match_score")
     )
 
 
 def gated_matches(
-    jobs: DataFrame, openings: DataFrame, minimum_chars: int = fixed.MIN_DESCRIPTION_CHARS
+    jobs: DataFrame, openings: DataFrame, minimum_chars: int = fixed.MIN_DESCRIPTION_CHARS,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Best opening per job, then the winner alone must fit the place and carry enough text.
 
     `openings` also holds `description`; a losing runner-up never takes the winner's place.
+    `carry` names columns of the winning opening to hand on.
     """
     best = best_openings(jobs, openings)
+    extra = [c for c in carry if c not in ("board", "ordinal")]
     winners = openings.select(
+        "board",
         F.col("ordinal").alias("opening"),
+        *extra,
         F.col("title").alias("opening_title"),
         F.col("location").alias("opening_location"),
         F.length(F.trim(filled("description"))).alias("_chars"),
     )
     return (
-        best.join(winners, "opening")
+        best.join(winners, ["board", "opening"])
         .join(jobs.select("job_id", "location"), "job_id")
         .filter(location_compatible(F.col("location"), F.col("opening_location")))
         .filter(F.col("_chars") >= minimum_chars)
-        .select("job_id", "opening", "match_score", "opening_title", "opening_location")
+        .select("job_id", "board", "opening", "match_score", "opening_title", "opening_location", *extra)
     )
 
 

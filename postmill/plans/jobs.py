@@ -72,7 +72,7 @@ def scan_targets(
     matched = jobs.filter(
         rules.title_matches_by_company("title", "board", scan.include, scan.exclude, scan.own)
         & rules.passes_city_at_scan("location", scan.city)
-    ).withColumn("_row", F.struct("page", "at", "job_key"))
+    ).withColumn("_row", F.struct("board", "page", "at", "job_key"))
     attributes = ["title", "company", "location", "linkedin_url", "jobright_url", "external_jd_url"]
     state = keyed.upsert_seen(
         seen, matched.withColumn("jobright_url", F.lit("")), ["job_key"], now, "_row", attributes
@@ -103,10 +103,8 @@ def resolve_on_boards(jobs: DataFrame, openings: DataFrame, resolvers: dict[str,
     wanted = jobs.filter("external_jd_status = 'unresolved'").select(
         F.col("job_key").alias("job_id"), spec["board"].alias("board"), "title", "location"
     ).filter("board IS NOT NULL")
-    won = matching.gated_matches(wanted, openings).join(
-        openings.select(F.col("ordinal").alias("opening"), "url", "description", F.col("source").alias("_via")), "opening"
-    )
-    found = jobs.join(won.withColumnRenamed("job_id", "job_key"), "job_key", "left")
+    won = matching.gated_matches(wanted, openings, carry=("url", "description", "source")).withColumnRenamed("source", "_via")
+    found = jobs.join(won.drop("board").withColumnRenamed("job_id", "job_key"), "job_key", "left")
     hit = F.col("opening").isNotNull()
     return found.select(
         *[c for c in jobs.columns if c != "external_jd_status"],

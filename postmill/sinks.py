@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,26 +59,40 @@ class VersionedTable:
         target = hadoop.Path(self.path)
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target, hadoop
 
-    def newest(self) -> int:
+    def versions(self) -> dict[int, str]:
+        """Committed versions: number -> folder name, which ends in the writer's mark if it gave one."""
         fs, target, hadoop = self._folder()
         if not fs.exists(target):
-            return -1
-        done = [
-            int(s.getPath().getName()[1:])
-            for s in fs.listStatus(target)
-            if s.getPath().getName().startswith("v") and fs.exists(hadoop.Path(s.getPath(), "_SUCCESS"))
-        ]
-        return max(done, default=-1)
+            return {}
+        names = sorted(s.getPath().getName() for s in fs.listStatus(target))
+        return {
+            int(name[1:9]): name
+            for name in names
+            if re.fullmatch(r"v\d{8}(-.*)?", name) and fs.exists(hadoop.Path(hadoop.Path(target, name), "_SUCCESS"))
+        }
+
+    def newest(self) -> int:
+        return max(self.versions(), default=-1)
+
+    def marked(self, mark: str) -> bool:
+        """Whether a committed version carries `mark`."""
+        return any(name[9:] == f"-{mark}" for name in self.versions().values())
 
     def read(self, version: int | None = None) -> DataFrame:
-        at = self.newest() if version is None else version
+        held = self.versions()
+        at = max(held, default=-1) if version is None else version
         if at < 0:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{at:08d}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{held[at]}")
 
-    def write(self, df: DataFrame, version: int | None = None) -> int:
+    def write(self, df: DataFrame, version: int | None = None, mark: str = "", keep: int | None = None) -> int:
+        """Write a version; with `keep`, only so many of the newest committed ones stay."""
         at = self.newest() + 1 if version is None else version
-        df.write.mode("overwrite").parquet(f"{self.path}/v{at:08d}")
+        df.write.mode("overwrite").parquet(f"{self.path}/v{at:08d}{'-' + mark if mark else ''}")
+        if keep is not None:
+            fs, target, hadoop = self._folder()
+            for name in [n for _, n in sorted(self.versions().items())][: -max(1, keep)]:
+                fs.delete(hadoop.Path(target, name), True)
         return at
 
 

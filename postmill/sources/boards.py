@@ -355,10 +355,12 @@ def ashby_openings(pages: DataFrame, board: str) -> DataFrame:
     )
 
 
-def smartrecruiters_openings(pages: DataFrame, board: str) -> DataFrame:
+def smartrecruiters_openings(pages: DataFrame, board: str, max_pages: int | None = None) -> DataFrame:
+    """All openings, or those of the first `max_pages` pages (the original reads three)."""
     schema = "content array<struct<id:string,name:string,location:struct<fullLocation:string>>>"
     j = F.col("j")
-    return _items(pages.filter("page < 3"), F.from_json("payload", schema)["content"]).select(
+    read = pages if max_pages is None else pages.filter(F.col("page") < max_pages)
+    return _items(read, F.from_json("payload", schema)["content"]).select(
         F.lit(board).alias("board"), "page", "at", j["id"].alias("id"), j["name"].alias("title"),
         filled(j["location"]["fullLocation"]).alias("location"),
         F.concat(F.lit(f"https://jobs.smartrecruiters.com/{board}/"), j["id"]).alias("url"),

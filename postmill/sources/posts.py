@@ -157,9 +157,22 @@ def thread_listings(pages: DataFrame) -> DataFrame:
         F.regexp_extract_all(filled("payload"), F.lit(anchor), F.lit(g)).alias(n)
         for g, n in ((1, "time"), (2, "url"), (3, "tid"), (4, "body"))
     ]
-    marks = pages.select("page", F.arrays_zip(*groups).alias("m"))
-    found = marks.select("page", "m", F.posexplode("m").alias("at", "a")).filter(F.col("a")["tid"] != "")
-    times = F.filter(F.slice("m", F.lit(1), F.col("at")), lambda t: t["tid"] == "")
+    company = F.col("company") if "company" in pages.columns else F.lit(None).cast("string")
+    marks = pages.select(company.alias("company"), "page", F.arrays_zip(*groups).alias("m"))
+    # One pass carries the last date on to the anchors behind it.
+    start = F.struct(F.lit("").alias("time"), F.array().cast("array<struct<time:string,at:int>>").alias("dated"))
+
+    def carried(state: Column, mark: Column) -> Column:
+        time = F.when(mark["m"]["tid"] == "", mark["m"]["time"]).otherwise(state["time"])
+        here = F.when(mark["m"]["tid"] == "", F.array().cast("array<struct<time:string,at:int>>")).otherwise(
+            F.array(F.struct(time.alias("time"), mark["at"].alias("at")))
+        )
+        return F.struct(time.alias("time"), F.concat(state["dated"], here).alias("dated"))
+
+    placed = F.transform("m", lambda m, at: F.struct(m.alias("m"), at.alias("at")))
+    dated = F.aggregate(placed, start, carried, lambda state: state["dated"])
+    anchors = F.transform(dated, lambda d: F.struct(d["at"].alias("at"), d["time"].alias("time"), F.get(F.col("m"), d["at"]).alias("a")))
+    found = marks.select("company", "page", F.explode(anchors).alias("x")).select("company", "page", "x.at", "x.time", "x.a")
     body = F.col("a")["body"]
     title = F.regexp_extract(body, r'(?s)<div[^>]*class="[^"]*\bflex-1\b[^"]*"[^>]*>(.*?)</div>', 1)
     tagged = F.regexp_extract(body, r'(?s)<div[^>]*class="[^"]*\btext-primary\b[^"]*"[^>]*>(.*?)</div>', 1)
@@ -168,19 +181,24 @@ def thread_listings(pages: DataFrame) -> DataFrame:
         lambda s: (s != "") & (F.length(s) <= 30) & ~s.contains("\n"),
     )
     rows = found.select(
-        "page", "at", F.col("a")["tid"].alias("tid"), F.col("a")["url"].alias("url"),
+        "company", "page", "at", F.col("a")["tid"].alias("tid"), F.col("a")["url"].alias("url"),
         strip(unescape(F.regexp_replace(title, "<[^>]+>", ""))).alias("title"), tags.alias("tags"),
-        F.coalesce(F.try_element_at(times, F.lit(-1))["time"], F.lit("")).alias("posted_at"),
+        F.col("time").alias("posted_at"),
         F.lit(None).cast("int").alias("messages"), F.lit(None).cast("int").alias("likes"),
     ).filter("title != ''")
     return top_k(rows, ["tid"], [F.col("page"), F.col("at")], 1)
 
 
-def before_cutoff(listings: DataFrame, cutoff: Column) -> DataFrame:
-    """Listing order up to the first thread older than the cutoff; undated threads stay."""
+def before_cutoff(listings: DataFrame, cutoff: Column, company: str = "company") -> DataFrame:
+    """Each company's listing up to its first thread older than the cutoff; undated threads stay.
+
+    The stop is one row per company; the smaller side of the join is broadcast only where Spark
+    finds it small.
+    """
     posted = F.regexp_replace("posted_at", " ", "T").try_cast("timestamp")
-    stop = listings.filter(posted < cutoff).agg(F.min(F.struct("page", "at"))).scalar()
-    return listings.filter(stop.isNull() | (F.struct("page", "at") < stop))
+    stops = listings.filter(posted < cutoff).groupBy(F.col(company).alias("_company")).agg(F.min(F.struct("page", "at")).alias("_stop"))
+    met = listings.join(stops, F.col(company).eqNullSafe(F.col("_company")), "left")
+    return met.filter(F.col("_stop").isNull() | (F.struct("page", "at") < F.col("_stop"))).drop("_company", "_stop")
 
 
 def thread_fields(pages: DataFrame) -> DataFrame:

@@ -20,20 +20,28 @@ def run_seen_stream(
     checkpoint: str,
     attributes: Sequence[str] = (),
     on_new: Callable[[DataFrame, int], None] | None = None,
+    keep: int | None = None,
 ) -> None:
     """Take everything available, then stop. Each batch hands on its unseen keys and moves the state.
 
-    Version 0 is the state before the stream (empty when missing); batch n reads version n and
-    writes version n+1. A batch that is run again after a failure reads the same version and
-    overwrites its own output, so it counts once.
+    A batch starts from the newest version, whoever wrote it, and its own version carries the
+    stream's id and the batch's number. A batch that is run again after its version stood is passed
+    over; one that failed before that starts from the same newest version again. So streams with
+    checkpoints of their own can follow each other on one state. `keep` bounds the versions kept.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        held = table.read(number if number or table.newest() >= 0 else -1)
+        stream_id = table.spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "stream"
+        mark = f"{stream_id}-{number}"
+        if table.marked(mark):
+            return
+        taken = batch.persist()
+        held = table.read()
         if on_new:
-            first = keep_first(batch, keys, ordinal)
+            first = keep_first(taken, keys, ordinal)
             on_new(unseen(first, held, keys), number)
-        table.write(upsert_seen(held, batch, keys, seen_at(), ordinal, attributes), number + 1)
+        table.write(upsert_seen(held, taken, keys, seen_at(), ordinal, attributes), mark=mark, keep=keep)
+        taken.unpersist()
 
     query = (
         stream.writeStream.foreachBatch(apply)

@@ -58,11 +58,12 @@ def test_job_key_falls_back(spark):
 
 
 def test_paged_reader_stops_and_isolates(spark, tmp_path):
-    for n, text in enumerate(["one", "two"]):
+    listing = ['{"positions": [%s]}' % ", ".join('{"id": %d}' % i for i in ids) for ids in (range(10), (10, 11), (12,))]
+    for n, text in enumerate(listing):
         (tmp_path / f"{n}.txt").write_text(text)
     specs = [{"name": "A", "ats": "phenom", "folder": str(tmp_path)}, {"name": "B", "ats": "pcsx"}, {"name": "C", "ats": "pcsx", "enabled": False}]
     got = {(r["company"], r["page"]): (r["payload"], r["error"]) for r in datasource.read_boards(spark, specs, "postmill.sources.datasource:recorded_page").collect()}
-    assert got[("A", 0)][0] == "one" and got[("A", 1)][0] == "two" and got[("B", 0)][1] and len(got) == 3
+    assert got[("A", 0)][0] == listing[0] and got[("A", 1)][0] == listing[1] and got[("B", 0)][1] and len(got) == 3
 
 
 DIGEST = [
@@ -254,11 +255,88 @@ def test_stream_in_two_runs_equals_one_upsert(spark, tmp_path):
     assert sorted(fresh) == ["a", "b", "c"]
 
 
+def test_a_second_stream_goes_on_from_the_newest_state(spark, tmp_path):
+    from postmill.streaming.incremental import run_seen_stream
+
+    table = VersionedTable(spark, str(tmp_path / "state"), "k string, first_seen_at int, last_seen_at int")
+
+    def run(rows, folder, checkpoint, **options):
+        spark.createDataFrame(rows, "k string, t int, n int").write.mode("append").parquet(str(tmp_path / folder))
+        stream = spark.readStream.schema("k string, t int, n int").parquet(str(tmp_path / folder))
+        run_seen_stream(stream, table, ["k"], lambda: F.col("t"), "n", str(tmp_path / checkpoint), **options)
+
+    def keys():
+        return sorted(r["k"] for r in table.read().collect())
+
+    run([("a", 1, 1)], "one", "cp1")
+    run([("b", 2, 2)], "one", "cp1")
+    run([("d", 3, 3)], "two", "cp2")
+    assert keys() == ["a", "b", "d"] and len(table.versions()) == 3
+    mark = table.versions()[2][10:]
+    assert table.marked(mark) and not table.marked("other-0")
+    # a version whose writer was lost before the commit is neither read nor in the way
+    spark.createDataFrame([("x", 1, 1)], "k string, t int, n int").write.parquet(str(tmp_path / "state" / "v00000003-lost-0"))
+    (tmp_path / "state" / "v00000003-lost-0" / "_SUCCESS").unlink()
+    assert keys() == ["a", "b", "d"]
+    run([("e", 4, 4)], "two", "cp2", keep=2)
+    assert keys() == ["a", "b", "d", "e"] and sorted(table.versions()) == [2, 3]
+
+
+def test_paging_rules():
+    def read(spec, pages):
+        reader = datasource.PagedReader({"specs": "[]", "fetch": "x:y"})
+        asked = []
+
+        def fetch(_, page):
+            asked.append(page)
+            return pages[page] if page < len(pages) else pages[-1]
+
+        module = type(datasource)("paging_stub")
+        module.fetch = fetch
+        import sys
+
+        sys.modules["paging_stub"] = module
+        reader.fetch = "paging_stub:fetch"
+        rows = list(reader.read(datasource.Board({"name": "n", **spec})))
+        return len(rows), len(asked)
+
+    def jobs(*ids, total=None):
+        import json
+
+        return json.dumps({"jobs": [{"id": i} for i in ids], **({"hits": total} if total else {})})
+
+    full = range(100)
+    assert read({"ats": "amazon_jobs"}, [jobs()]) == (0, 1)
+    assert read({"ats": "amazon_jobs"}, [jobs(*full), jobs(200)]) == (2, 2)
+    assert read({"ats": "amazon_jobs"}, [jobs(*full, total=100)]) == (1, 1)
+    assert read({"ats": "amazon_jobs"}, [jobs(*full)]) == (1, 2)
+    assert read({"ats": "amazon_jobs"}, ["<html>"]) == (0, 1)
+    assert read({"ats": "tiktok_usds"}, ['{"data": {"job_post_list": []}}']) == (0, 1)
+    assert read({"ats": "google_careers"}, ["<a href='jobs/results/1-x'>", "<a href='jobs/results/2-x'>", "<a href='jobs/results/2-x'>"]) == (2, 3)
+    assert read({"ats": "greenhouse"}, ["{}"]) == (1, 1)
+    assert read({"ats": "workday", "max_pages": 2}, ['{"jobPostings": [%s]}' % ",".join('{"id": %d}' % (i + 20 * p) for i in range(20)) for p in range(5)]) == (2, 2)
+
+
+def test_two_boards_with_one_payload_stay_apart(spark):
+    from postmill.plans.jobs import ScanRules, scan_jobs, scan_targets
+
+    payload = '{"jobs": [{"id": "1", "title": "Engineer", "absolute_url": "https://x.example/1", "location": {"name": "Remote"}, "content": ""}, {"id": "2", "title": "Engineer", "absolute_url": "https://x.example/2", "location": {"name": "Remote"}, "content": ""}]}'
+    pages = spark.createDataFrame([(c, "greenhouse", 0, payload) for c in ("A", "B")], "company string, ats string, page int, payload string")
+    specs = [{"name": c, "ats": "greenhouse"} for c in ("A", "B")]
+    now = F.lit("2026-01-01").cast("timestamp")
+    jobs = scan_jobs(pages, specs, now)
+    seen = spark.createDataFrame([], "job_key string, first_seen_at timestamp, last_seen_at timestamp, title string, company string, location string, linkedin_url string, jobright_url string, external_jd_url string")
+    fresh, state = scan_targets(jobs, seen, ScanRules(include=("engineer",), max_details=1), now)
+    assert jobs.count() == 4 == fresh.count()
+    assert sorted((r["board"], r["n"]) for r in fresh.groupBy("board").agg(F.count_if("fetch_detail").alias("n")).collect()) == [("A", 1), ("B", 1)]
+
+
 def test_cutoff_stops_the_listing(spark):
-    rows = [(0, 0, "1", "2026-01-05"), (0, 1, "2", ""), (1, 0, "3", "2025-01-01 10:00"), (1, 1, "4", "2026-01-01")]
-    listings = spark.createDataFrame(rows, "page int, at int, tid string, posted_at string")
+    rows = [("b", 0, 0, "1", "2026-01-05"), ("b", 0, 1, "2", ""), ("b", 1, 0, "3", "2025-01-01 10:00"), ("b", 1, 1, "4", "2026-01-01"),
+            ("a", 0, 0, "5", "2026-01-05"), ("a", 2, 0, "6", "2026-01-05"), (None, 3, 0, "7", ""), (None, 3, 1, "8", "2024-01-01")]
+    listings = spark.createDataFrame(rows, "company string, page int, at int, tid string, posted_at string")
     kept = posts.before_cutoff(listings, F.lit("2025-06-01").cast("timestamp"))
-    assert sorted(r["tid"] for r in kept.collect()) == ["1", "2"]
+    assert sorted(r["tid"] for r in kept.collect()) == ["1", "2", "5", "6", "7"]
 
 
 def test_source_settings():
