@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from postmill.llm.batches import LOWER, filter_batches, map_batches, utf8, word_bounds, word_hashes
 from postmill.llm.learning import descend, sigmoid
+from postmill.session import stage
 
 BUCKETS = 1 << 18
 #: Bounds of the learning sample, in texts: those with the least hash of their id.
@@ -76,29 +77,30 @@ class Model:
         return sigmoid(np.array(out, np.float64))
 
 
-def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, l2: float = 6e-4, steps: int = 300) -> Model:
-    """Choose features and minimise the non-negative risk with the logistic loss."""
-    if not toxic or not unlabelled:
-        return Model(np.zeros(0, np.int64), np.array([np.log(prior / (1 - prior))]))
-    share_p = np.bincount(np.concatenate(toxic), minlength=BUCKETS) / len(toxic)
-    share_u = np.bincount(np.concatenate(unlabelled), minlength=BUCKETS) / len(unlabelled)
-    share_n = np.maximum(share_u - prior * share_p, 0) / (1 - prior)
-    signal = (share_p - share_n) / np.sqrt(share_n + share_p * 0.1 + 4 / len(toxic))
-    signal[share_p < LIFT * share_n + SUPPORT] = 0
-    kept = np.argsort(-signal, kind="stable")[:KEPT_FEATURES]
-    kept = np.sort(kept[signal[kept] > 0])
-
-    def dense(texts):
-        table = np.full(BUCKETS, -1, np.int32)
-        table[kept] = np.arange(len(kept))
-        x = np.zeros((len(texts), len(kept) + 1), np.float32)
-        for row, found in enumerate(texts):
-            at = table[found]
-            x[row, at[at >= 0]] = 1
-        x[:, -1] = 1
-        return x
-
-    xp, xu = dense(toxic), dense(unlabelled)
+def choose(found: DataFrame, toxic: int, unlabelled: int, prior: float) -> np.ndarray:
+    """The KEPT_FEATURES buckets with the most signal, of rows (toxic, found); counted on the executors."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        marks = np.array(batch.column(0).to_pylist(), bool)
+        rows = [np.frombuffer(f, "<u4") for f in batch.column(1).to_pylist()]
+        counts = [np.bincount(np.concatenate([np.zeros(0, np.uint32), *(r for r, m in zip(rows, marks, strict=True) if m == side)]), minlength=BUCKETS) for side in (True, False)]
+        seen = np.flatnonzero(counts[0] + counts[1])
+        return {"bucket": seen, "p": counts[0][seen], "u": counts[1][seen]}
+
+    counted = map_batches(found, "bucket int, p bigint, u bigint", run).groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    share_p, share_u = F.col("p") / toxic, F.col("u") / unlabelled
+    share_n = F.greatest(share_u - prior * share_p, F.lit(0.0)) / (1 - prior)
+    signal = (share_p - share_n) / F.sqrt(share_n + share_p * 0.1 + 4 / toxic)
+    told = counted.select("bucket", signal.alias("signal")).filter(share_p >= LIFT * share_n + SUPPORT)
+    return np.sort(np.array([r[0] for r in told.orderBy(F.desc("signal"), "bucket").limit(KEPT_FEATURES).collect()], np.int64))
+
+
+def fit(xp: np.ndarray, xu: np.ndarray, prior: float, l2: float = 6e-4, steps: int = 300) -> np.ndarray:
+    """Weights and bias that minimise the non-negative risk with the logistic loss; rows end in a 1."""
+    start = np.zeros(xp.shape[1], np.float32)
+    start[-1] = np.log(prior / (1 - prior))
+    if not len(xp) or not len(xu):
+        return start
 
     def gradient(w):
         zp, zu = xp @ w, xu @ w
@@ -109,21 +111,19 @@ def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, l2:
         g[:-1] += l2 * w[:-1]
         return g.astype(np.float32)
 
-    start = np.zeros(len(kept) + 1, np.float32)
-    start[-1] = np.log(prior / (1 - prior))
-    return Model(kept, descend(gradient, start, steps, 0.03))
+    return descend(gradient, start, steps, 0.03)
 
 
-def sample(df: DataFrame, rows: int) -> list[np.ndarray]:
-    """Features of the `rows` texts of (id, text) with the least hash of id; only these texts' features move."""
+def sample(df: DataFrame, rows: int, toxic: bool) -> DataFrame:
+    """(toxic, found) of the `rows` texts of (id, text) with the least hash of id; only these texts' features move."""
     ids = df.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
     chosen = df.join(F.broadcast(ids), "id").select("text")
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {"found": [f.astype("<u4").tobytes() for f in features(batch.column(0))]}
+        found = [f.astype("<u4").tobytes() for f in features(batch.column(0))]
+        return {"toxic": [toxic] * len(found), "found": found}
 
-    got = map_batches(chosen, "found binary", run, 64).limit(rows).collect()
-    return sorted((np.frombuffer(bytes(r[0]), "<u4") for r in got), key=lambda a: a.tobytes())
+    return map_batches(chosen, "toxic boolean, found binary", run, 64)
 
 
 def train(
@@ -141,7 +141,18 @@ def train(
         prior = min(max(counted, 0.001), 0.999) if counted else PRIOR
     ids = marks.filter(F.col("label") == 1).select("id").distinct().orderBy(F.xxhash64("id"), "id")
     toxic = docs.join(F.broadcast(ids.limit(4 * TOXIC_ROWS)), "id", "left_semi")
-    return fit(sample(toxic, TOXIC_ROWS), sample(docs, UNLABELLED_ROWS), prior)
+    found = stage(sample(toxic, TOXIC_ROWS, True).unionAll(sample(docs, UNLABELLED_ROWS, False)))
+    sizes = {r[0]: r[1] for r in found.groupBy("toxic").count().collect()}
+    both = True in sizes and False in sizes
+    kept = choose(found, sizes[True], sizes[False], prior) if both else np.zeros(0, np.int64)
+
+    def held(batch: pa.RecordBatch) -> dict:
+        rows = [np.isin(kept, np.frombuffer(f, "<u4")) for f in batch.column(1).to_pylist()]
+        return {"toxic": batch.column(0), "row": [r.tobytes() for r in rows]}
+
+    rows = sorted((r[0], bytes(r[1])) for r in map_batches(found, "toxic boolean, row binary", held).collect()) if both else []
+    x = [np.frombuffer(b"".join(r + b"\x01" for t, r in rows if t == side), np.uint8).reshape(-1, len(kept) + 1).astype(np.float32) for side in (True, False)]
+    return Model(kept, fit(x[0], x[1], prior))
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
