@@ -14,7 +14,8 @@ from postmill.session import stage
 
 
 def _minima(links: DataFrame) -> DataFrame:
-    return links.groupBy("u").agg(F.min("v").alias("low"))
+    # Written out, so that the join with it shuffles both sides itself and Spark can split a hub's rows.
+    return stage(links.groupBy("u").agg(F.min("v").alias("low")))
 
 
 def _mark(links: DataFrame) -> tuple:
