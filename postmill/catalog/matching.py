@@ -1,5 +1,6 @@
 """Title scores, scored lookup and candidate ranking."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postmill import fixed_values as fixed
@@ -59,13 +60,13 @@ def sql_location_score(a: str, b: str) -> str:
 MATCH_CTE = f"""
 WITH jobs AS (SELECT p_partkey AS job_id, p_brand AS board, {sql_title_norm(JOB_TITLE)} AS jt,
     {sql_location_norm(JOB_PLACE)} AS jl FROM part),
-openings AS (SELECT p_partkey AS ordinal, p_brand AS board, {sql_title_norm(OPEN_TITLE)} AS ot,
-    {sql_location_norm(OPEN_PLACE)} AS ol, {OPEN_PLACE} AS place FROM part),
+openings AS (SELECT row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS ordinal, p_brand AS board, {sql_title_norm(OPEN_TITLE)} AS ot,
+    {sql_location_norm(OPEN_PLACE)} AS ol, {OPEN_PLACE} AS place, p_partkey AS part, p_size * 20 AS chars, {OPEN_TITLE} AS opening_title FROM part),
 job_titles AS (SELECT DISTINCT board, jt FROM jobs), open_titles AS (SELECT DISTINCT board, ot FROM openings),
 title_pairs AS (SELECT board, jt, ot, {sql_title_score('jt', 'ot')} AS ts FROM job_titles JOIN open_titles USING (board)),
 place_pairs AS (SELECT jl, ol, {sql_location_score('jl', 'ol')} AS ls
   FROM (SELECT DISTINCT jl FROM jobs) CROSS JOIN (SELECT DISTINCT ol FROM openings)),
-scored AS (SELECT j.job_id, j.jl, o.ol, o.ordinal, o.place, ts + ls AS match_score
+scored AS (SELECT j.job_id, j.jl, o.ol, o.ordinal, o.place, o.part, o.chars, o.opening_title, ts + ls AS match_score
   FROM jobs j JOIN title_pairs t ON j.board = t.board AND j.jt = t.jt
   JOIN openings o ON o.board = t.board AND o.ot = t.ot
   JOIN place_pairs p ON p.jl = j.jl AND p.ol = o.ol),
@@ -74,13 +75,15 @@ best AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY match_score D
 
 
 def boards(spark, sf):
+    """Jobs and openings of each brand as a board; every board numbers its openings from 0."""
     parts = table(spark, sf, "part")
     jobs = parts.select(
         F.col("p_partkey").alias("job_id"), F.col("p_brand").alias("board"),
         F.expr(JOB_TITLE).alias("title"), F.expr(JOB_PLACE).alias("location"),
     )
     openings = parts.select(
-        F.col("p_brand").alias("board"), F.col("p_partkey").alias("ordinal"),
+        F.col("p_brand").alias("board"), F.col("p_partkey").alias("part"),
+        (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1).cast("bigint").alias("ordinal"),
         F.expr(OPEN_TITLE).alias("title"), F.expr(OPEN_PLACE).alias("location"),
         F.expr("repeat('d', p_size * 20)").alias("description"),
     )
@@ -99,9 +102,8 @@ def best_match(spark, sf):
     "best_match_gated",
     MATCH_CTE
     + """SELECT b.job_id, b.ordinal AS opening, CAST(b.match_score AS INTEGER) AS match_score FROM best b
-  JOIN part p ON p.p_partkey = b.ordinal
   JOIN place_pairs l ON l.jl = b.jl AND l.ol = b.ol
-  WHERE rn = 1 AND match_score >= 8 AND (ls > 0 OR contains(lower(place), 'remote')) AND p.p_size * 20 >= 200""",
+  WHERE rn = 1 AND match_score >= 8 AND (ls > 0 OR contains(lower(place), 'remote')) AND chars >= 200""",
 )
 def best_match_gated(spark, sf):
     return m.gated_matches(*boards(spark, sf)).select("job_id", "opening", "match_score")
