@@ -51,6 +51,37 @@ def normalized_clusters(spark, sf):
     return h.canonical_questions(asked(spark, sf), "at").select("type", "name", "frequency")
 
 
+@query(
+    "canonical_rows",
+    LINES
+    + """, q AS (SELECT thread_id, type, name, seen_at, substr(name, 1, 4) AS cluster,
+    CASE thread_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '未注明' ELSE 'round ' || (thread_id % 3) END AS round,
+    CASE WHEN thread_id % 3 = 0 THEN [] ELSE ['p' || (length(name) % 5), 'p' || (thread_id % 2), ' '] END AS points FROM asked),
+types AS (SELECT cluster, type, count(DISTINCT thread_id) AS n, min(seen_at) AS s FROM q GROUP BY ALL),
+rounds AS (SELECT cluster, round, count(DISTINCT thread_id) AS n, min(seen_at) AS s FROM q WHERE round <> '未注明' GROUP BY ALL),
+t AS (SELECT cluster, type FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, s) AS k FROM types) WHERE k = 1),
+r AS (SELECT cluster, round FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, s) AS k FROM rounds) WHERE k = 1),
+c AS (SELECT cluster, min_by(name, seen_at) AS name, list_sort(list_distinct(list(name))) AS spellings, count(DISTINCT thread_id) AS frequency,
+  list_sort(list_distinct(list_filter(flatten(list(points)), lambda p: trim(p) <> ''))) AS points FROM q GROUP BY cluster)
+SELECT cluster, name, array_to_string(list_filter(spellings, lambda a: a <> name), '|') AS aliases, type, frequency,
+  array_to_string(points, '|') AS examination_points, coalesce(round, '未注明') AS round
+FROM c JOIN t USING (cluster) LEFT JOIN r USING (cluster)""",
+)
+def canonical_rows(spark, sf):
+    """Lines as questions, their first four letters as the cluster; rounds and points derived from thread and line."""
+    thread = F.col("thread_id")
+    asked_with = asked(spark, sf).withColumns({
+        "round": F.when(thread % 4 == 0, F.lit(None)).when(thread % 4 == 1, "未注明").otherwise(F.concat(F.lit("round "), (thread % 3).cast("string"))),
+        "examination_points": F.when(thread % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(
+            F.concat(F.lit("p"), (F.length("name") % 5).cast("string")), F.concat(F.lit("p"), (thread % 2).cast("string")), F.lit(" "))),
+    })
+    found = h.canonical_rows(asked_with, "at", cluster_key=lambda name: F.substring(name, 1, 4))
+    return found.select(
+        "cluster", "name", F.array_join("aliases", "|").alias("aliases"), "type", "frequency",
+        F.array_join("examination_points", "|").alias("examination_points"), "round",
+    )
+
+
 @query(
     "type_buckets",
     LINES + "SELECT type, count(*) AS questions, min(seen_at) AS first_at FROM asked GROUP BY type",

@@ -141,12 +141,84 @@ def note_lookup(spark, sf):
     return reports.existing_notes(jobs, notes).drop("note_name")
 
 
+STATUSES = ("resolved", "linkedin_public", "ats_api", "user_supplied", "unresolved", None)
+
+
+def statused(spark, sf):
+    """Orders as jobs whose status goes round all there are."""
+    status = F.lit(None).cast("string")
+    for at, name in enumerate(STATUSES[:-1]):
+        status = F.when(F.col("o_orderkey") % 6 == at, name).otherwise(status)
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("job_key"), status.alias("external_jd_status"))
+
+
 @query(
     "stats_envelope",
-    "SELECT event_type AS source, count(*) AS messages FROM events GROUP BY event_type",
+    """
+SELECT count(*) AS job_count, count(*) FILTER (WHERE o_orderkey % 6 IN (0, 1)) AS enriched,
+  count(*) FILTER (WHERE o_orderkey % 6 IN (0, 1, 2)) AS reported, count(*) FILTER (WHERE o_orderkey % 6 IN (0, 1, 2, 3)) AS triaged FROM orders""",
 )
 def stats_envelope(spark, sf):
-    return reports.source_counts(table(spark, sf, "events"), F.col("event_type"))
+    return reports.resolved_by_set(statused(spark, sf))
+
+
+def report_parts(spark, sf):
+    """Documents awaiting a description, scored ones with errors and repeats among them, filtered ones."""
+    docs = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("ordinal"), F.col("doc_id").cast("string").alias("job_key"), F.col("source").alias("company"), F.col("lang").alias("title"),
+        (F.col("n_chars") % 101).cast("int").alias("score"),
+    )
+    marked = docs.withColumns({
+        "note": F.concat(F.lit("/vault/Opportunities/"), "company", F.lit(" - "), "title", F.lit(".md")),
+        "error": F.when(F.col("ordinal") % 10 == 1, "no reply"), "filter_reason": F.when(F.col("ordinal") % 2 == 0, "level"),
+        "filter_status": F.when(F.col("ordinal") % 3 == 0, "passes_rules").otherwise("filtered_out"),
+    })
+    ready = docs.filter("ordinal % 5 <> 2").withColumn("company", F.concat(F.lit("old "), "company")).unionByName(
+        docs.filter("ordinal % 5 <> 2").withColumn("ordinal", F.col("ordinal") + 1_000_000_000)
+    )
+    return marked, ready
+
+
+SCORED_REPORT = """
+WITH s AS (SELECT doc_id AS ordinal, doc_id::VARCHAR AS job_key, source AS company, lang AS title, (n_chars % 101)::INTEGER AS score,
+  source || ' - ' || lang || '.md' AS opportunity_filename FROM documents WHERE doc_id % 10 <> 1 AND doc_id % 5 <> 2)
+"""
+
+
+@query("scored_report", SCORED_REPORT + "SELECT job_key, company, title, score, '' AS verdict, opportunity_filename FROM s")
+def scored_report(spark, sf):
+    marked, ready = report_parts(spark, sf)
+    return reports.scored_for_report(marked, ready)
+
+
+@query(
+    "daily_report_lines",
+    SCORED_REPORT
+    + """, n AS (SELECT (SELECT count(*) FROM orders) AS raw, (SELECT count(*) FROM documents) AS uniq, (SELECT count(*) FROM documents WHERE doc_id % 3 <> 0) AS filtered,
+    (SELECT count(*) FROM documents WHERE doc_id % 3 = 0) AS passes, (SELECT count(*) FROM orders WHERE o_orderkey % 6 < 3) AS resolved, (SELECT count(*) FROM s) AS scored),
+fixed AS (SELECT 0 AS section, 0 AS part, 0 AS "at", '# Job Report — 2026-01-02' AS line FROM n
+  UNION ALL SELECT 0, 0, 1, '' FROM n UNION ALL SELECT 0, 0, 2, '## Pipeline Summary' FROM n UNION ALL SELECT 0, 0, 3, '' FROM n
+  UNION ALL SELECT 0, 0, 4, '| Metric | Count |' FROM n UNION ALL SELECT 0, 0, 5, '|---|---|' FROM n
+  UNION ALL SELECT 0, 1, 0, '| Raw jobs from LinkedIn alerts | ' || raw || ' |' FROM n UNION ALL SELECT 0, 1, 1, '| After dedupe (unique roles) | ' || uniq || ' |' FROM n
+  UNION ALL SELECT 0, 1, 2, '| Filtered out (rules + LLM) | ' || filtered || ' |' FROM n UNION ALL SELECT 0, 1, 3, '| Passing → Pending Inbox | ' || passes || ' |' FROM n
+  UNION ALL SELECT 0, 1, 4, '| Resolved by ATS resolver | ' || resolved || ' |' FROM n UNION ALL SELECT 0, 1, 5, '| Awaiting JD (in Pending JDs.md) | 0 |' FROM n
+  UNION ALL SELECT 0, 1, 6, '| Scored today (incl. manual JD fills) | ' || scored || ' |' FROM n
+  UNION ALL SELECT 1, 0, 0, '' FROM n UNION ALL SELECT 1, 0, 1, '## Awaiting your JD (0)' FROM n UNION ALL SELECT 1, 0, 2, '' FROM n
+  UNION ALL SELECT 1, 1, 0, '_No new jobs awaiting JD this run._' FROM n
+  UNION ALL SELECT 2, 0, 0, '' FROM n UNION ALL SELECT 2, 0, 1, '## Scored today (' || scored || ')' FROM n UNION ALL SELECT 2, 0, 2, '' FROM n
+  UNION ALL SELECT 3, 0, 0, '' FROM n UNION ALL SELECT 3, 0, 1, '## Filtered out (' || filtered || ')' FROM n UNION ALL SELECT 3, 0, 2, '' FROM n
+  UNION ALL SELECT 3, 0, 3, '<details>' FROM n UNION ALL SELECT 3, 0, 4, '<summary>Click to expand</summary>' FROM n UNION ALL SELECT 3, 0, 5, '' FROM n
+  UNION ALL SELECT 3, 2, 0, '' FROM n UNION ALL SELECT 3, 2, 1, '</details>' FROM n)
+SELECT section::INTEGER AS section, part::INTEGER AS part, CAST("at" AS BIGINT) AS "at", line FROM fixed
+UNION ALL SELECT 2, 1, ordinal, '- [[Opportunities/' || company || ' - ' || title || ']] — ' || score || ', ' FROM s
+UNION ALL SELECT 3, 1, doc_id, '- ' || source || ' — ' || lang || ' (' || CASE WHEN doc_id % 2 = 0 THEN 'level' ELSE '' END || ')' FROM documents WHERE doc_id % 3 <> 0""",
+)
+def daily_report_lines(spark, sf):
+    marked, ready = report_parts(spark, sf)
+    counts = reports.funnel(table(spark, sf, "orders"), marked, statused(spark, sf))
+    scored_rows = reports.scored_for_report(marked, ready).withColumn("ordinal", F.col("job_key").cast("bigint"))
+    nothing = marked.filter("ordinal < 0")
+    return reports.daily_report_lines("2026-01-02", counts, nothing, scored_rows, marked.filter("filter_status = 'filtered_out'"))
 
 
 @query(

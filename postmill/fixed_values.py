@@ -130,6 +130,7 @@ LOCK_PATTERNS = (
     r"本帖隐藏.{0,30}需要", r"本帖隐藏.{0,30}回复",
     r"购买.{0,10}大米.{0,10}查看", r"查看此.{0,10}需要.{0,10}大米",
 )
+ROUND_UNSTATED = "未注明"
 DIFFICULTY_LABELS = {"Easy": "Easy", "Med.": "Medium", "Medium": "Medium", "Hard": "Hard"}
 
 # --- fixed values: course archive -----------------------------------------

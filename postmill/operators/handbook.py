@@ -67,6 +67,44 @@ def canonical_questions(
     )
 
 
+def canonical_rows(
+    questions: DataFrame,
+    ordinal: str,
+    cluster_key: Callable[[Column], Column] = lambda name: F.coalesce(present(title_norm(name)), collapse_ws(name)),
+) -> DataFrame:
+    """One row per cluster over all types, with what its threads agree on.
+
+    `questions`: thread_id, name, type, round, examination_points and `ordinal`. The type and the
+    round are those of most threads, the first seen among equals; a round that is not stated does
+    not count. Points and aliases are distinct and sorted; they are vocabularies, not thread lists,
+    and each is counted in combining steps before it becomes an array.
+    """
+    base = questions.select(
+        cluster_key(F.col("name")).alias("cluster"), "thread_id", "name", bucket_of("type").alias("type"),
+        F.when(F.trim("round") != fixed.ROUND_UNSTATED, present(F.trim("round"))).alias("round"), "examination_points", F.col(ordinal).alias("_o"),
+    )
+
+    def most(value: str) -> DataFrame:
+        votes = base.filter(F.col(value).isNotNull()).groupBy("cluster", value, "thread_id").agg(F.min("_o").alias("_o"))
+        tally = votes.groupBy("cluster", value).agg(F.count(F.lit(1)).alias("n"), F.min("_o").alias("_o"))
+        return tally.groupBy("cluster").agg(F.max_by(value, F.struct("n", -F.col("_o"))).alias(value))
+
+    spelled = base.groupBy("cluster", "name").agg(F.min("_o").alias("_o"))
+    names = spelled.groupBy("cluster").agg(F.min_by("name", "_o").alias("name"), F.array_sort(F.collect_list("name")).alias("spellings"))
+    points = (
+        base.select("cluster", F.explode("examination_points").alias("point")).filter(F.trim("point") != "").distinct()
+        .groupBy("cluster").agg(F.array_sort(F.collect_list("point")).alias("examination_points"))
+    )
+    threads = base.select("cluster", "thread_id", "_o").groupBy("cluster", "thread_id").agg(F.min("_o").alias("_o"))
+    counted = threads.groupBy("cluster").agg(F.count(F.lit(1)).alias("frequency"), F.min("_o").alias("first_at"))
+    joined = counted.join(names, "cluster").join(most("type"), "cluster").join(most("round"), "cluster", "left").join(points, "cluster", "left")
+    return joined.select(
+        "cluster", "name", F.array_except("spellings", F.array("name")).alias("aliases"), "type", "frequency",
+        F.coalesce("examination_points", F.array().cast("array<string>")).alias("examination_points"),
+        F.coalesce("round", F.lit(fixed.ROUND_UNSTATED)).alias("round"), "first_at",
+    )
+
+
 def with_ids(canonical: DataFrame, buckets: DataFrame) -> DataFrame:
     """`q001`, `q002`, ... over buckets by size, then frequency, then name."""
     ordered = canonical.join(

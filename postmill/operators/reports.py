@@ -24,6 +24,101 @@ def resolved_counts(jobs: DataFrame, accepted: Sequence[str] = fixed.RESOLVED_ST
     )
 
 
+def resolved_by_set(jobs: DataFrame) -> DataFrame:
+    """Resolved jobs under each of the accepted sets: right after enriching, in the report, in triage."""
+
+    def among(accepted: Sequence[str], name: str) -> Column:
+        return F.count_if(F.coalesce(F.col("external_jd_status").isin(*accepted), F.lit(False))).alias(name)
+
+    return jobs.agg(
+        F.count(F.lit(1)).alias("job_count"), among(fixed.RESOLVED_STATUSES_ENRICH, "enriched"),
+        among(fixed.RESOLVED_STATUSES_REPORT, "reported"), among(fixed.RESOLVED_STATUSES, "triaged"),
+    )
+
+
+def passing_jobs(classified: DataFrame) -> DataFrame:
+    """What goes on to the resolver: rows the rules let pass."""
+    return classified.filter(F.col("filter_status") == "passes_rules")
+
+
+def scored_for_report(scored: DataFrame, ready: DataFrame) -> DataFrame:
+    """Scored jobs with the names of their ready entry, the last one of equal keys; errored and unknown ones drop out.
+
+    `scored`: job_key, score, note (a path), error. `ready`: job_key, company, title, ordinal.
+    """
+    last = ready.groupBy("job_key").agg(F.max_by(F.struct(filled("company").alias("company"), filled("title").alias("title")), "ordinal").alias("_r"))
+    return scored.filter(F.col("error").isNull()).join(last, "job_key").select(
+        "job_key", "_r.company", "_r.title", F.coalesce("score", F.lit(0)).alias("score"), F.lit("").alias("verdict"),
+        F.regexp_extract(F.regexp_replace("note", "/+$", ""), r"([^/]*)$", 1).alias("opportunity_filename"),
+    )
+
+
+REPORT_COUNTS = (
+    ("raw_count", "Raw jobs from LinkedIn alerts"), ("unique_count", "After dedupe (unique roles)"), ("filtered_count", "Filtered out (rules + LLM)"),
+    ("passes_count", "Passing → Pending Inbox"), ("resolved_count", "Resolved by ATS resolver"),
+    ("awaiting_count", "Awaiting JD (in Pending JDs.md)"), ("scored_count", "Scored today (incl. manual JD fills)"),
+)
+
+
+def daily_report_lines(day: str, counts: DataFrame, awaiting: DataFrame, scored: DataFrame, filtered: DataFrame) -> DataFrame:
+    """The daily report as rows (section, part, at, line): order by the first three to write it.
+
+    `counts` is the one row of `funnel`. `awaiting`, `scored` and `filtered` carry an `ordinal`; their
+    numbers come from themselves. Sections stay rows, so none is gathered in a task; an empty one
+    has its placeholder.
+    """
+    counted = [
+        part.agg(F.count(F.lit(1)).alias(name))
+        for name, part in (("awaiting_count", awaiting), ("scored_count", scored), ("filtered_count", filtered))
+    ]
+    known = counts.select("raw_count", "unique_count", "passes_count", "resolved_count")
+    for one in counted:
+        known = known.unionByName(one, allowMissingColumns=True)
+    totals = known.agg(*[F.sum(c).alias(c) for c in known.columns])
+
+    def number(name: str) -> Column:
+        return F.col(name).cast("string")
+
+    def fixed_line(section: int, part: int, at: int, line: Column | str) -> Column:
+        text = F.lit(line) if isinstance(line, str) else line
+        return F.struct(F.lit(section).alias("section"), F.lit(part).alias("part"), F.lit(at).cast("bigint").alias("at"), text.alias("line"))
+
+    head = [fixed_line(0, 0, i, t) for i, t in enumerate((f"# Job Report — {day}", "", "## Pipeline Summary", "", "| Metric | Count |", "|---|---|"))]
+    table = [
+        fixed_line(0, 1, i, F.concat(F.lit(f"| {label} | "), number(name), F.lit(" |"))) for i, (name, label) in enumerate(REPORT_COUNTS)
+    ]
+
+    def title(section: int, text: str, name: str, *more: str) -> list[Column]:
+        opening = fixed_line(section, 0, 1, F.concat(F.lit(f"## {text} ("), number(name), F.lit(")")))
+        return [fixed_line(section, 0, 0, ""), opening, *[fixed_line(section, 0, 2 + i, line) for i, line in enumerate(("", *more))]]
+
+    def none(section: int, name: str, text: str) -> Column:
+        return F.when(F.col(name) == 0, fixed_line(section, 1, 0, text))
+
+    frame = [
+        *head, *table,
+        *title(1, "Awaiting your JD", "awaiting_count"), none(1, "awaiting_count", "_No new jobs awaiting JD this run._"),
+        *title(2, "Scored today", "scored_count"), none(2, "scored_count", "_No jobs scored this run._"),
+        *title(3, "Filtered out", "filtered_count", "<details>", "<summary>Click to expand</summary>", ""),
+        none(3, "filtered_count", "_None._"), fixed_line(3, 2, 0, ""), fixed_line(3, 2, 1, "</details>"),
+    ]
+    still = totals.select(F.explode(F.array_compact(F.array(*frame))).alias("x")).select("x.*")
+
+    def listed(section: int, rows: DataFrame, *line: Column) -> DataFrame:
+        return rows.select(
+            F.lit(section).alias("section"), F.lit(1).alias("part"), F.col("ordinal").cast("bigint").alias("at"), F.concat(*line).alias("line")
+        )
+
+    who, role = filled("company"), filled("title")
+    note = F.regexp_replace("opportunity_filename", r"(?s)...\z", "")
+    score = F.coalesce(F.col("score").cast("string"), F.lit("?"))
+    return (
+        still.unionByName(listed(1, awaiting, F.lit("- [[Pending JDs#"), who, F.lit(" — "), role, F.lit("]]")))
+        .unionByName(listed(2, scored, F.lit("- [[Opportunities/"), note, F.lit("]] — "), score, F.lit(", "), F.coalesce("verdict", F.lit("?"))))
+        .unionByName(listed(3, filtered, F.lit("- "), who, F.lit(" — "), role, F.lit(" ("), filled("filter_reason"), F.lit(")")))
+    )
+
+
 def split_resolved(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hit = F.coalesce(F.col("external_jd_status").isin(*fixed.RESOLVED_STATUSES), F.lit(False))
     return jobs.filter(hit), jobs.filter(~hit)
