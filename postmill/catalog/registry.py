@@ -23,14 +23,3 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def spread(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table for per-row work that outweighs reading it.
-
-    A small file is one split and would keep one core busy; with at least as many splits as
-    cores nothing moves.
-    """
-    df = table(spark, sf, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from postmill import fixed_values as fixed
-from postmill.catalog.registry import query, spread, table
+from postmill.catalog.registry import query, table
 from postmill.functions import text as t
 from postmill.functions import titles as ti
 from postmill.functions import urls as u
@@ -37,7 +37,7 @@ def sql_collapse(value: str) -> str:
 
 @query("html_to_text", f"SELECT page_id, {sql_page_text('html')} AS text FROM pages")
 def html_to_text(spark, sf):
-    return spread(spark, sf, "pages").select("page_id", t.html_to_text("html").alias("text"))
+    return table(spark, sf, "pages").select("page_id", t.html_to_text("html").alias("text"))
 
 
 @query(
@@ -49,7 +49,7 @@ kept AS (SELECT page_id, [x FOR x IN string_split(text, chr(10)) IF length(x) >=
 SELECT page_id, len(lines) AS lines, array_to_string(lines, chr(10)) AS jd_text FROM kept""",
 )
 def page_fallback_lines(spark, sf):
-    lines = spread(spark, sf, "pages").select("page_id", t.fallback_lines("html").alias("_l"))
+    lines = table(spark, sf, "pages").select("page_id", t.fallback_lines("html").alias("_l"))
     return lines.select(
         "page_id", F.size("_l").cast("bigint").alias("lines"), F.array_join("_l", "\n").alias("jd_text")
     )
@@ -68,7 +68,7 @@ parts AS (
 SELECT DISTINCT page_id, href, text FROM parts WHERE href <> '' AND NOT starts_with(href, '#')""",
 )
 def extract_links(spark, sf):
-    links = spread(spark, sf, "pages").select("page_id", F.explode(u.links("html")).alias("a"))
+    links = table(spark, sf, "pages").select("page_id", F.explode(u.links("html")).alias("a"))
     return links.select("page_id", "a.href", "a.text")
 
 
@@ -86,7 +86,7 @@ SELECT page_id, {sql_collapse("regexp_extract(html, '<title[^>]*>(.*?)</title>',
 FROM pages""",
 )
 def page_fields(spark, sf):
-    return spread(spark, sf, "pages").select(
+    return table(spark, sf, "pages").select(
         "page_id", t.page_title("html").alias("title"), u.host_of("url").alias("host"),
         u.is_http("url").alias("is_http"), u.is_linkedin("url").alias("is_linkedin"),
         u.scan_key("url", F.lit(""), F.lit(""), F.lit("")).alias("job_key"),
@@ -111,7 +111,7 @@ def stable_keys(spark, sf):
     def url(prefix, condition):
         return F.when(condition, F.concat(F.lit(prefix), ident)).otherwise("")
 
-    return spread(spark, sf, "documents").select(
+    return table(spark, sf, "documents").select(
         "doc_id",
         u.scan_key(url("https://x/", F.col("n_chars") > 1500), F.col("source"), F.col("lang"), ident).alias("scan_key"),
         u.alert_key(
@@ -134,7 +134,7 @@ def unwrap_redirects(spark, sf):
         return F.concat(F.lit(f"//{host}/r?x=1&amp;{key}="), F.url_encode(value))
 
     inner = F.concat(F.lit("https://b.example.com/go?redirect="), F.url_encode("url"))
-    return spread(spark, sf, "pages").select(
+    return table(spark, sf, "pages").select(
         "page_id", u.unwrap(wrap(F.col("url"), "a.example.com", "u")).alias("once"),
         u.unwrap(wrap(inner, "c.example.com", "dest")).alias("twice"),
         u.unwrap(F.concat(F.lit("  "), "url", F.lit("\n"))).alias("plain"),
@@ -156,7 +156,7 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id AND k.n <= 8 AND k.used
 GROUP BY d.doc_id""",
 )
 def excerpt(spark, sf):
-    return spread(spark, sf, "documents").select("doc_id", t.excerpt("text").alias("excerpt"))
+    return table(spark, sf, "documents").select("doc_id", t.excerpt("text").alias("excerpt"))
 
 
 ROW = "(length(line) - length(replace(line, ',', '')) >= 2 AND len([f FOR f IN string_split(line, ',') IF length(f) > 80]) = 0)"
@@ -173,7 +173,7 @@ SELECT doc_id, min(pos) AS first_line, max(pos) AS last_line FROM rows GROUP BY
 )
 def line_runs(spark, sf):
     flags = F.transform(F.split("text", "\n"), lambda line: is_table_row(line, ","))
-    found = spread(spark, sf, "documents").select("doc_id", F.explode(runs(flags)).alias("r"))
+    found = table(spark, sf, "documents").select("doc_id", F.explode(runs(flags)).alias("r"))
     return found.select(
         "doc_id", F.col("r.start").cast("bigint").alias("first_line"), F.col("r.end").cast("bigint").alias("last_line")
     )
@@ -214,7 +214,7 @@ def slug_family(spark, sf):
     first = F.element_at(F.split("text", r"\."), 1)
     head = F.concat(first, F.lit(": a"))
     plain = F.concat(F.regexp_replace(first, "[^ -~]", ""), F.lit(": a"))
-    return spread(spark, sf, "documents").select(
+    return table(spark, sf, "documents").select(
         "doc_id", t.name_slug(head).alias("name_slug"), t.kebab(plain).alias("kebab"),
         t.slugify(plain, 20).alias("slug"), t.sanitize_filename(head).alias("filename"),
         t.question_filename(F.pmod("doc_id", F.lit(1000)), F.col("n_chars"), plain).alias("question_file"),
@@ -233,7 +233,7 @@ SELECT doc_id, CASE WHEN length(s) <= 500 THEN s ELSE substr(s, 1, 500) || ' …
 FROM (SELECT *, regexp_extract(s, '^(.*?[.!?])\\s', 1) AS m FROM c)""",
 )
 def truncations(spark, sf):
-    return spread(spark, sf, "documents").select(
+    return table(spark, sf, "documents").select(
         "doc_id", t.trimmed_body("text", 500).alias("body"),
         t.truncate("text", fixed.PREVIEW_CHARS).alias("preview"), t.short_alt("text").alias("alt"),
     )
@@ -249,7 +249,7 @@ def front_matter(spark, sf):
         F.lit('---\nurl: "'), "url", F.lit('"\ntitle: first\nplain line\ntitle:  second\n---\nbody '),
         F.col("page_id").cast("string"),
     )
-    pages = spread(spark, sf, "pages").select("page_id", t.front_matter(note).alias("m"), t.body_after_front_matter(note).alias("body"))
+    pages = table(spark, sf, "pages").select("page_id", t.front_matter(note).alias("m"), t.body_after_front_matter(note).alias("body"))
     return pages.select(
         "page_id", *[F.try_element_at("m", F.lit(k)).alias(k) for k in ("url", "title", "missing")], "body"
     )
@@ -277,7 +277,7 @@ def note_scores(spark, sf):
         .when(F.col("lang") == "fr", F.concat(F.lit("---\nmatch_score: 7\nverdict: old\n---\n"), "source"))
         .otherwise(F.col("source"))
     )
-    return spread(spark, sf, "documents").select(
+    return table(spark, sf, "documents").select(
         "doc_id", t.update_note_front_matter(old, score, verdict_of(score), F.lit("jd_full")).alias("note"),
         t.scored_filename(score, F.col("source"), F.col("lang")).alias("file"),
         t.note_link(t.scored_filename(None, F.col("source"), F.col("lang"))).alias("link"),
@@ -293,7 +293,7 @@ FROM (SELECT page_id, html, s, tail, strpos(tail, '</article>') AS e FROM (
    SELECT page_id, html, strpos(html, '<article>') AS s, substr(html, strpos(html, '<article>') + 9) AS tail FROM pages))""",
 )
 def cut_body(spark, sf):
-    return spread(spark, sf, "pages").select(
+    return table(spark, sf, "pages").select(
         "page_id", t.cut_body("html", "<article>", "</article>").alias("body"),
         t.without_comments("html").alias("uncommented"),
     )
@@ -318,16 +318,16 @@ SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS fenced, CAST(json
   true AS broken_is_null FROM events""",
 )
 def reply_json(spark, sf):
-    from postmill.functions.payload import repaired_json
+    from postmill.functions.payload import parsed_reply
 
     def value(reply):
-        return F.try_variant_get(F.try_parse_json(repaired_json(reply)), "$.k", "bigint")
+        return F.try_variant_get(parsed_reply(reply), "$.k", "bigint")
 
     loose = F.regexp_replace("props", r"\}$", ", }")
     return table(spark, sf, "events").select(
         "event_id", value(F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).alias("fenced"),
         value(F.concat(F.lit("Here it is: "), loose)).alias("trailing"),
-        repaired_json(F.concat(F.lit("no json "), "event_type")).isNull().alias("broken_is_null"),
+        parsed_reply(F.concat(F.lit("no json "), "event_type")).isNull().alias("broken_is_null"),
     )
 
 
@@ -399,3 +399,47 @@ def locked_posts(spark, sf):
         .otherwise(F.concat(F.col("text"), F.lit(" "), notice))
     )
     return table(spark, sf, "documents").select("doc_id", t.is_locked(body).alias("locked"))
+
+
+@query(
+    "decoded_fragments",
+    """
+SELECT page_id, 'Head ' || page_id || chr(10) || 'a & b < c' AS text, 'k' || page_id AS tag FROM pages""",
+)
+def decoded_fragments(spark, sf):
+    """Markup that was escaped once more, as some boards send it: decoded, then read as HTML."""
+    key = F.col("page_id").cast("string")
+    escaped = F.concat(F.lit("&lt;p&gt;Head "), key, F.lit("&lt;/p&gt;&lt;p&gt;a &amp;amp; b &amp;lt; c&lt;/p&gt;"))
+    return table(spark, sf, "pages").select(
+        "page_id", t.html_fragment_to_text(escaped).alias("text"), t.strip_tags(F.concat(F.lit("<b>k"), key, F.lit("</b>"))).alias("tag")
+    )
+
+
+@query(
+    "url_rewrites",
+    """
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://t' || page_id || '.wd5.myworkdayjobs.com/wday/cxs/t' || page_id || '/site/job/x/' || page_id END AS workday,
+  CASE WHEN page_id % 3 = 1 THEN 'https://h' || page_id || '.example.com/api/apply/v2/jobs/' || page_id || '?domain=' END AS phenom FROM pages""",
+)
+def url_rewrites(spark, sf):
+    """Public posting addresses to data endpoints; other addresses have none."""
+    key = F.col("page_id").cast("string")
+    url = (
+        F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://t"), key, F.lit(".wd5.myworkdayjobs.com/site/job/x/"), key))
+        .when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://h"), key, F.lit(".example.com/careers/job/"), key, F.lit("-title?x=1")))
+        .otherwise(F.col("url"))
+    )
+    return table(spark, sf, "pages").select("page_id", u.workday_api_url(url).alias("workday"), u.phenom_api_url(url).alias("phenom"))
+
+
+@query(
+    "overlap_scores",
+    """
+SELECT p_partkey, CAST(floor((CASE WHEN regexp_matches(' ' || lower(p_name) || ' ', ' bolt ') THEN 1 ELSE 0 END
+  + CASE WHEN regexp_matches(' ' || lower(p_name) || ' ', ' large ') THEN 1 ELSE 0 END
+  + CASE WHEN regexp_matches(' ' || lower(p_name) || ' ', ' cold ') THEN 1 ELSE 0 END) * 100 / 3) AS INTEGER) AS score FROM part""",
+)
+def overlap_scores(spark, sf):
+    from postmill.models import token_overlap_score
+
+    return table(spark, sf, "part").select("p_partkey", token_overlap_score(F.col("p_name"), ("bolt", "large", "cold")).alias("score"))

@@ -27,7 +27,6 @@ GENERIC_ROLE_TOKENS = (
 )
 MATCH_GATE = 8
 MIN_DESCRIPTION_CHARS = 200
-MIN_JOBRIGHT_CHARS = 100
 
 # --- fixed values: candidate scoring --------------------------------------
 BAD_RESULT_HOSTS = (
@@ -109,10 +108,6 @@ INBOX_SECTION = (
 # --- fixed values: scoring bands ------------------------------------------
 STRONG_MIN = 91
 MEDIUM_MIN = 71
-RUBRIC_WEIGHTS = {
-    "hard_requirements": 40, "core_skills": 20, "domain": 15,
-    "seniority": 10, "location": 10, "differentiators": 5,
-}
 
 # --- fixed values: handbook -----------------------------------------------
 QUESTION_TYPE_LABELS = {
@@ -134,8 +129,6 @@ ROUND_UNSTATED = "未注明"
 DIFFICULTY_LABELS = {"Easy": "Easy", "Med.": "Medium", "Medium": "Medium", "Hard": "Hard"}
 
 # --- fixed values: course archive -----------------------------------------
-BODY_START = r"\nThe Learning Continues\nMy Courses\n"
-BODY_END = "Mark as Complete"
 FIGURE_LINE = r"^Figure\s+(\d+)\b\s*(.*)$"
 CONTENT_IMAGE_MARKS = ("/images/courses/", "/images/lessons/")
 UNPARSEABLE_SECTION_INDEX = 999

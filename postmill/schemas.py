@@ -2,59 +2,7 @@
 
 from __future__ import annotations
 
-JOB = """
-job_key string, title string, company string, location string, linkedin_url string,
-links array<string>, external_candidates array<string>, snippet string, source string, ats string,
-ats_job_id string, discovered_at timestamp, jd_text string, jd_text_preview string, jd_title string,
-jd_company string, jd_location string, external_jd_status string, external_jd_url string,
-external_jd_source string, jd_parser string, search_queries array<string>,
-search_candidates array<struct<url:string,source:string,query:string,title:string,description:string,score:int>>,
-fetch_errors array<struct<url:string,error:string>>
-"""
-ALERT = """
-title string, company string, location string, modality string, snippet string, linkedin_url string,
-jobright_url string, links array<string>, external_candidates array<string>, email_message_id string,
-email_date string, subject string, source string, salary string, jobright_match_pct int,
-jobright_time_posted string, jobright_categories string, jobright_referrals string
-"""
 SEEN_JOB = """
 job_key string, first_seen_at timestamp, last_seen_at timestamp, title string, company string,
 location string, linkedin_url string, jobright_url string, external_jd_url string
 """
-SEEN_POST = """
-company_slug string, tid string, url string, title string, fetched_at timestamp,
-locked_by_dami boolean, summary_status string, summary_error string
-"""
-RUN_LOG = """
-started_at timestamp, finished_at timestamp, companies string, new_count int, locked_count int,
-error_count int, notes string
-"""
-POST = """
-source string, source_id string, company string, title string, body string, url string,
-posted_at timestamp, author string, reply_count int, locked boolean, raw string
-"""
-LISTING = "tid string, url string, title string, tags array<string>, posted_at string, messages int, likes int"
-BODY = "tid string, title string, op_body string, tag_line string, href string, posted_at string, author string, locked_by_dami boolean"
-TRIAGE = """
-match_score int, verdict string, top_strengths array<string>, key_gaps array<string>,
-quick_recommendation string, jd_summary string, triage_mode string
-"""
-EXTRACTED = """
-thread_id string, questions array<struct<name:string,type:string,what:string,solution_hint:string,
-follow_ups:string,examination_points:array<string>,round:string,role:string>>, error string
-"""
-CANONICAL = """
-id string, name string, aliases array<string>, type string, frequency bigint, description string,
-common_solutions string, common_pitfalls string, follow_ups string, examination_points array<string>,
-round string, difficulty string, source_quality string
-"""
-HISTORY = """
-logged_at timestamp, report_date date, run_slug string, snapshot_path string, history_path string,
-summary map<string,string>
-"""
-PROGRESS = """
-section_idx int, url string, status string, chars int, stats map<string,int>, image_failures array<string>
-"""
-LIST_QUESTION = """
-idx int, rank int, lc_number int, title string, title_slug string, difficulty string, acceptance double, url string
-"""

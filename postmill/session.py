@@ -1,16 +1,14 @@
-"""Session settings, durable staging and size-checked broadcast."""
+"""Session settings and durable staging."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Long expressions are thousands of Column calls; recording a call site for each costs
 # more than building the plan does.
 CALL_SITES = "spark.python.sql.dataFrameDebugging.enabled"
-BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def local_session(app: str, cores: str = "*", **conf: str) -> SparkSession:
@@ -52,14 +50,3 @@ def stage(df: DataFrame) -> DataFrame:
     """Write `df` once to reliable storage so that later reads see the same rows."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only while the optimiser's size estimate stays under `limit`.
-
-    Without the hint Spark keeps its own choice, which beyond its threshold is a
-    shuffled join that AQE can split where a key is hot.
-    """
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    size = int(stats.sizeInBytes().toString())
-    return F.broadcast(df) if size <= limit else df
