@@ -1,12 +1,15 @@
 """Scored lookup: best opening per job on its board, and ranked search candidates.
 
-Scores depend only on normalised titles and location token sets, so scoring runs between
-distinct titles, not between rows. Titles meet through an inverted index that holds every
-pair able to reach the gate: a shared meaningful word, four shared generic words, or one
-title inside the other (indexed by its opening characters). A job whose title stands
-verbatim on the board skips the index: no other title can come within reach of it. Words
-that very many titles of a board hold leave the index; what meets on such words alone is
-scored once per signature (hot words and generic bits), however many titles share it.
+Scores depend only on normalised titles and location words, so scoring runs between distinct
+titles. Titles meet in three ways, which together hold every pair able to reach the gate: on a
+meaningful word; where one stands inside the other, found by exact look-up of the contained
+title among what the container holds; and by signature (very frequent words and generic bits),
+which is one meeting however many titles share it. A word in more than `hot_titles` titles of a
+board meets by signature only: that routes rows and changes neither plan nor result. A job whose
+title stands verbatim on the board needs none of this: no other title can come within reach.
+
+A place adds 0, 2 or 4. For each title the least ordinal at all, per word of its places, and per
+place that contains the job's or lies in it are looked up, so places never meet in pairs.
 """
 
 from __future__ import annotations
@@ -24,8 +27,7 @@ from postmill.operators.keyed import top_k
 from postmill.session import stage
 
 LOCATION_REACH = 4  # the most a location adds to a score
-GRAM = 5
-HOT_TITLES = 500  # a word in more of a board's titles than this is met by signature
+HOT_TITLES = 500
 FLAGGED = ("software", "full", "stack", "ml")
 
 
@@ -43,43 +45,71 @@ def _has_bit(bits: Column, word: str) -> Column:
 
 
 def _word_keys(title: Column) -> Column:
-    """Meaningful words ('w:'), and generic ones ('g:') where enough of them could reach the gate."""
-    words = F.array_distinct(tokens_of(title))
-    generic = F.array_intersect(words, generic_tokens())
-    rare = F.when(F.size(generic) >= fixed.MATCH_GATE - LOCATION_REACH, generic).otherwise(
-        F.array().cast("array<string>")
-    )
-    return F.concat(
-        F.transform(F.array_except(words, generic_tokens()), lambda w: F.concat(F.lit("w:"), w)),
-        F.transform(rare, lambda w: F.concat(F.lit("g:"), w)),
-    )
+    """Meaningful words of a title as keys."""
+    solid = F.array_except(F.array_distinct(tokens_of(title)), generic_tokens())
+    return F.transform(solid, lambda w: F.concat(F.lit("w:"), w))
 
 
-def _nests_unseen(title: Column) -> Column:
-    """Whether `title` could stand inside another without sharing a meaningful word.
+def _generic_keys(bits: Column) -> Column:
+    """Generic words as keys, where there are enough of them to reach the gate."""
+    words = F.array_compact(F.array(*[F.when(_has_bit(bits, w), F.lit(f"g:{w}")) for w in fixed.GENERIC_ROLE_TOKENS]))
+    return F.when(F.bit_count(bits) >= fixed.MATCH_GATE - LOCATION_REACH, words).otherwise(F.array().cast("array<string>"))
 
-    From three words on, an inner word of the contained title stands whole in the other.
-    """
-    words = tokens_of(title)
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(1)))
-    return (F.size(words) <= 2) | (F.size(F.array_except(inner, generic_tokens())) == 0)
 
+def contained_in(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """Pairs (board, outer, inner) where the text `inner` stands inside the different text `outer`.
 
-def _index_keys(title: Column, inner_tag: str, outer_tag: str, every: bool) -> Column:
-    """Words, the opening characters of a title that may nest, and stretches for those of others.
-
-    With `every` all titles offer their opening: an inner word that would have met may be hot.
+    Both sides are distinct (board, t), words parted by single blanks. A contained text of several
+    words begins with the end of a word, goes on in whole words and ends with the beginning of
+    one; a single word lies in one. Which words end, begin or hold what is settled once per
+    distinct word; each outer text then names the few inner texts that it can hold, and these are
+    looked up whole.
     """
-    opening = F.when(
-        F.lit(every) | _nests_unseen(title), F.array(F.concat(F.lit(inner_tag), F.substring(title, 1, GRAM)))
-    ).otherwise(F.array().cast("array<string>"))
-    starts = F.sequence(F.lit(1), F.length(title))
+    words = F.split("t", " ")
+    inside = inner.select(words.alias("w"), "t").distinct()
+    many, one = inside.filter(F.size("w") > 1), inside.filter(F.size("w") == 1)
+    vocabulary = outer.select(F.explode(words).alias("word")).filter("word != ''").distinct()
+    starts = F.sequence(F.lit(1), F.length("word"))
+
+    def related(kind: str, pieces: Column, wanted: DataFrame) -> DataFrame:
+        held = vocabulary.select("word", F.explode(F.array_distinct(pieces)).alias("piece"))
+        return held.join(wanted, "piece").select("word", F.lit(kind).alias("kind"), "piece")
+
+    tails = F.transform(starts, lambda i: F.substr("word", i))
+    heads = F.transform(starts, lambda i: F.substr("word", F.lit(1), i))
+    within = F.flatten(F.transform(tails, lambda tail: F.transform(F.sequence(F.lit(1), F.length(tail)), lambda n: F.substr(tail, F.lit(1), n))))
+    relations = (
+        related("first", tails, many.select(F.get("w", F.lit(0)).alias("piece")).distinct())
+        .unionByName(related("last", heads, many.select(F.element_at("w", -1).alias("piece")).distinct()))
+        .unionByName(related("whole", within, one.select(F.col("t").alias("piece")).distinct()))
+        .groupBy("word")
+        .agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("piece"))).alias(k) for k in ("first", "last", "whole")])
+    )
+    placed = outer.select("board", "t", F.posexplode(words).alias("at", "word")).join(relations, "word", "left")
+    none = F.array().cast("array<string>")
+    kept = [F.coalesce(k, none).alias(k) for k in ("first", "last", "whole")]
+    titles = placed.groupBy("board", "t").agg(F.array_sort(F.collect_list(F.struct("at", "word", *kept))).alias("ws"))
+    last = F.size("ws")
 
-    def stretches(length: int) -> Column:
-        return F.transform(starts, lambda at: F.concat(F.lit(outer_tag), F.substring(title, at, F.lit(length))))
+    def spans(start: Column) -> Column:
+        begin = F.get("ws", start - 1)
 
-    offers = F.array_distinct(F.concat(*[stretches(n) for n in range(1, GRAM + 1)]))
-    return F.concat(_word_keys(title), opening, offers)
+        def span(stop: Column) -> Column:
+            middle = F.transform(F.slice("ws", start + 1, stop - start - 1), lambda x: x["word"])
+            end = F.get("ws", stop - 1)
+            return F.flatten(
+                F.transform(
+                    begin["first"],
+                    lambda f: F.transform(end["last"], lambda z: F.array_join(F.concat(F.array(f), middle, F.array(z)), " ")),
+                )
+            )
+
+        return F.flatten(F.transform(F.sequence(start + 1, last), span))
+
+    several = F.when(last > 1, F.flatten(F.transform(F.sequence(F.lit(1), last - 1), spans))).otherwise(none)
+    single = F.flatten(F.transform("ws", lambda x: x["whole"]))
+    named = titles.select("board", F.col("t").alias("outer"), F.explode(F.array_distinct(F.concat(several, single))).alias("t"))
+    return named.join(inner, ["board", "t"]).filter("t != outer").select("board", "outer", F.col("t").alias("inner"))
 
 
 def _points(condition: Column, value: int) -> Column:
@@ -101,26 +131,18 @@ def _score(nested: Column, solid: Column, flags: dict[str, Column]) -> Column:
     )
 
 
-def _hot_words(keys: DataFrame, hot: DataFrame, title: str) -> DataFrame:
-    """(board, title, its hot words); a title has few words, so the array stays small."""
-    return (
-        keys.join(hot, ["board", "key"], "left_semi")
-        .groupBy("board", title)
-        .agg(F.array_sort(F.collect_set("key")).alias("hot"))
-    )
-
-
 def _by_signature(job_side: DataFrame, open_side: DataFrame) -> DataFrame:
-    """Title pairs that share hot words only, met by signature instead of title by title.
+    """Title pairs that share frequent or generic words, met by signature instead of title by title.
 
-    What such a pair scores depends on the opening's hot words and generic bits alone, so all
-    openings with one signature are one candidate.
+    What such a pair scores depends on the opening's frequent words and generic bits alone, so all
+    openings with one signature are one candidate. A pair that shares more is found elsewhere with a
+    higher score.
     """
     jobs = job_side.select("board", F.col("hot").alias("jhot"), "jbits").distinct()
     opens = open_side.select("board", F.col("hot").alias("ohot"), "obits").distinct()
     pairs = (
-        jobs.withColumn("key", F.explode("jhot"))
-        .join(opens.withColumn("key", F.explode("ohot")), ["board", "key"])
+        jobs.withColumn("key", F.explode(F.concat("jhot", _generic_keys(F.col("jbits")))))
+        .join(opens.withColumn("key", F.explode(F.concat("ohot", _generic_keys(F.col("obits"))))), ["board", "key"])
         .select("board", "jhot", "jbits", "ohot", "obits")
         .distinct()
         .withColumn("both", F.array_intersect("jhot", "ohot"))
@@ -137,6 +159,78 @@ def _signature(hot: str) -> Column:
     return F.concat(F.lit("#"), F.array_join(hot, " "), F.lit("#"), F.col("obits").cast("string"))
 
 
+def _with_hot(titles: DataFrame, hot: DataFrame, name: str, bits: str) -> DataFrame:
+    """Distinct (board, title) with their generic bits and their frequent words; a title has few words."""
+    keyed = titles.select("board", name, F.explode(_word_keys(F.col(name))).alias("key")).join(hot, ["board", "key"])
+    found = keyed.groupBy("board", name).agg(F.array_sort(F.collect_set("key")).alias("hot"))
+    return titles.join(found, ["board", name], "left").select(
+        "board", name, _generic_bits(F.col(name)).alias(bits), F.coalesce("hot", F.array().cast("array<string>")).alias("hot")
+    )
+
+
+def _title_pairs(job_titles: DataFrame, open_titles: DataFrame, hot_titles: int) -> tuple[DataFrame, DataFrame]:
+    """Scored title pairs (board, jt, ot, title_score), and the openings' frequent words for their signatures."""
+    offered = open_titles.select("board", "ot", F.explode(_word_keys(F.col("ot"))).alias("key"))
+    hot = stage(offered.groupBy("board", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_titles).select("board", "key"))
+    job_side = stage(_with_hot(job_titles, hot, "jt", "jbits"))
+    open_side = stage(_with_hot(open_titles, hot, "ot", "obits"))
+
+    # Each meaningful word two titles share is one meeting, so the score is an aggregate over meetings.
+    rare = [
+        side.select("board", name, F.explode(F.array_except(_word_keys(F.col(name)), "hot")).alias("key"))
+        for side, name in ((job_side, "jt"), (open_side, "ot"))
+    ]
+    met = rare[0].join(rare[1], ["board", "key"])
+    jobs, opens = job_titles.select("board", F.col("jt").alias("t")), open_titles.select("board", F.col("ot").alias("t"))
+    names = ("board", "jt", "ot", "key")
+    nested = contained_in(jobs, opens).select("board", F.col("outer").alias("jt"), F.col("inner").alias("ot"), F.lit("n:").alias("key")).unionByName(
+        contained_in(opens, jobs).select("board", F.col("inner").alias("jt"), F.col("outer").alias("ot"), F.lit("n:").alias("key"))
+    )
+    counted = (
+        met.select(*names).unionByName(nested)
+        .groupBy("board", "jt", "ot")
+        .agg(
+            F.count_if(F.col("key") != "n:").cast("int").alias("solid"), F.max(F.col("key") == "n:").alias("nested"),
+            *[F.max(F.col("key") == f"w:{w}").alias(w) for w in FLAGGED],
+        )
+    )
+    both = counted.join(job_side.withColumnRenamed("hot", "jhot"), ["board", "jt"]).join(
+        open_side.withColumnRenamed("hot", "ohot"), ["board", "ot"]
+    ).withColumn("both", F.array_intersect("jhot", "ohot"))
+    flags = {w: F.col(w) | F.array_contains("both", f"w:{w}") for w in FLAGGED}
+    scored = both.select("board", "jt", "ot", _score(F.col("nested"), F.col("solid") + F.size("both"), flags).alias("title_score"))
+    near = scored.filter(F.col("title_score") >= fixed.MATCH_GATE - LOCATION_REACH)
+    return near.unionByName(_by_signature(job_side, open_side)), open_side
+
+
+def _places(pairs: DataFrame, places: DataFrame, offered: DataFrame) -> DataFrame:
+    """Candidates (board, jt, jl, score, back) of scored title pairs; `back` is minus the ordinal.
+
+    `places`: distinct (board, jt, jl) of the jobs. `offered`: (board, ot, ol, ordinal).
+    """
+    least = F.min("ordinal").alias("ordinal")
+    asked = pairs.join(places, ["board", "jt"])
+    kinds = [asked.join(offered.groupBy("board", "ot").agg(least), ["board", "ot"]).withColumn("adds", F.lit(0))]
+    by_word = offered.select("board", "ot", "ordinal", F.explode(F.split("ol", " ")).alias("word")).filter("word != ''")
+    by_word = by_word.groupBy("board", "ot", "word").agg(least)
+    asked_words = asked.withColumn("word", F.explode(F.split("jl", " "))).filter("word != ''")
+    kinds.append(asked_words.join(by_word, ["board", "ot", "word"]).withColumn("adds", F.lit(2)).drop("word"))
+    # Which places hold which is settled once per distinct place.
+    wanted = places.filter("jl != ''").select(F.lit("").alias("board"), F.col("jl").alias("t")).distinct()
+    there = offered.filter("ol != ''").select(F.lit("").alias("board"), F.col("ol").alias("t")).distinct()
+    same = wanted.join(there, ["board", "t"]).select(F.col("t").alias("jl"), F.col("t").alias("ol"))
+    inside = contained_in(wanted, there).select(F.col("outer").alias("jl"), F.col("inner").alias("ol"))
+    around = contained_in(there, wanted).select(F.col("inner").alias("jl"), F.col("outer").alias("ol"))
+    related = same.unionByName(inside).unionByName(around).distinct().filter(F.arrays_overlap(F.split("jl", " "), F.split("ol", " ")))
+    by_place = offered.join(related, "ol").groupBy("board", "ot", "jl").agg(least)
+    kinds.append(asked.join(by_place, ["board", "ot", "jl"]).withColumn("adds", F.lit(4)))
+    out = None
+    for kind in kinds:
+        rows = kind.select("board", "jt", "jl", (F.col("title_score") + F.col("adds")).alias("score"), (-F.col("ordinal")).alias("back"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def best_openings(jobs: DataFrame, openings: DataFrame, hot_titles: int = HOT_TITLES) -> DataFrame:
     """Best opening per job with a score at the gate or above; equal scores go to the first.
 
@@ -155,86 +249,33 @@ def best_openings(jobs: DataFrame, openings: DataFrame, hot_titles: int = HOT_TI
         .filter("ot != ''")
         .groupBy("board", "ot", "ol")
         .agg(F.min("ordinal").alias("ordinal"))
-        .withColumn("owords", F.split("ol", " "))
     )
-    places = stage(wanted.select("board", "jt", "jl").distinct().withColumn("jwords", F.split("jl", " ")))
-    job_titles = wanted.select("board", "jt").distinct()
+    places = stage(wanted.select("board", "jt", "jl").distinct())
+    job_titles = places.select("board", "jt").distinct()
     open_titles = offered.select("board", "ot").distinct()
-
     verbatim = job_titles.join(
         open_titles.withColumn("jt", F.col("ot")), ["board", "jt"]
     ).select("board", "jt", "ot", title_score(F.col("jt"), F.col("ot")).alias("title_score"))
-
     others = job_titles.join(
         open_titles.select("board", F.col("ot").alias("jt")), ["board", "jt"], "left_anti"
     )
-    hot = stage(
-        open_titles.select("board", F.explode(_word_keys(F.col("ot"))).alias("key"))
-        .filter(F.col("key").startswith("w:"))
-        .groupBy("board", "key")
-        .agg(F.count(F.lit(1)).alias("titles"))
-        .filter(F.col("titles") > hot_titles)
-        .select("board", "key")
-    )
-    any_hot = not hot.isEmpty()
-    job_keys = others.select(
-        "board", "jt", _generic_bits(F.col("jt")).alias("jbits"),
-        F.explode(_index_keys(F.col("jt"), "a:", "b:", any_hot)).alias("key"),
-    )
-    open_keys = open_titles.select(
-        "board", "ot", _generic_bits(F.col("ot")).alias("obits"),
-        F.explode(_index_keys(F.col("ot"), "b:", "a:", any_hot)).alias("key"),
-    )
-    rare_jobs = job_keys.join(hot, ["board", "key"], "left_anti") if any_hot else job_keys
-    rare_opens = open_keys.join(hot, ["board", "key"], "left_anti") if any_hot else open_keys
-
-    # Each meaningful word two titles share is one meeting row, so the score is an aggregate
-    # over meetings; generic words are compared as bit sets.
-    nested = F.col("jt").contains(F.col("ot")) | F.col("ot").contains(F.col("jt"))
-    shared = (
-        rare_jobs.join(rare_opens, ["board", "key"])
-        .filter(F.col("key").startswith("w:") | F.col("key").startswith("g:") | nested)
-        .groupBy("board", "jt", "ot", "jbits", "obits")
-        .agg(
-            F.count_if(F.col("key").startswith("w:")).cast("int").alias("solid"),
-            *[F.max(F.col("key") == f"w:{w}").alias(w) for w in FLAGGED],
-        )
-    )
-    solid, flags = F.col("solid"), {w: F.col(w) for w in FLAGGED}
-    if any_hot:
-        job_hot, open_hot = _hot_words(job_keys, hot, "jt"), _hot_words(open_keys, hot, "ot")
-        shared = shared.join(job_hot.withColumnRenamed("hot", "jhot"), ["board", "jt"], "left").join(
-            open_hot.withColumnRenamed("hot", "ohot"), ["board", "ot"], "left"
-        ).withColumn("both", F.coalesce(F.array_intersect("jhot", "ohot"), F.array().cast("array<string>")))
-        solid = solid + F.size("both")
-        flags = {w: F.col(w) | F.array_contains("both", f"w:{w}") for w in FLAGGED}
-    met = shared.select("board", "jt", "ot", _score(nested, solid, flags).alias("title_score")).filter(
-        F.col("title_score") >= fixed.MATCH_GATE - LOCATION_REACH
+    met, open_side = _title_pairs(others, open_titles, hot_titles)
+    met = stage(met)
+    as_one = (
+        offered.join(open_side, ["board", "ot"])
+        .groupBy("board", _signature("hot").alias("ot"), "ol")
+        .agg(F.min("ordinal").alias("ordinal"))
     )
-    if any_hot:
-        job_side = job_hot.withColumn("jbits", _generic_bits(F.col("jt")))
-        open_side = open_hot.withColumn("obits", _generic_bits(F.col("ot")))
-        met = met.unionByName(_by_signature(job_side, open_side))
-        as_one = (
-            offered.join(open_side, ["board", "ot"])
-            .groupBy("board", _signature("hot").alias("ot"), "ol", "owords")
-            .agg(F.min("ordinal").alias("ordinal"))
-        )
-        offered = offered.unionByName(as_one)
     top = met.groupBy("board", "jt").agg(F.max("title_score").alias("top"))
     near = (
         met.join(top, ["board", "jt"])
         .filter(F.col("title_score") >= F.col("top") - LOCATION_REACH)
         .drop("top")
     )
-    pairs = verbatim.unionByName(near).join(places, ["board", "jt"]).join(offered, ["board", "ot"])
-    both = (F.col("jl") != "") & (F.col("ol") != "")
-    inside = F.col("jl").contains(F.col("ol")) | F.col("ol").contains(F.col("jl"))
-    place = F.when(~both | ~F.arrays_overlap("jwords", "owords"), 0).when(inside, 4).otherwise(2)
-    total = F.col("title_score") + place
     best = (
-        pairs.groupBy("board", "jt", "jl")
-        .agg(F.max(F.struct(total.alias("score"), (-F.col("ordinal")).alias("back"))).alias("best"))
+        _places(verbatim.unionByName(near), places, offered.unionByName(as_one))
+        .groupBy("board", "jt", "jl")
+        .agg(F.max(F.struct("score", "back")).alias("best"))
         .filter(F.col("best.score") >= fixed.MATCH_GATE)
     )
     return wanted.join(best, ["board", "jt", "jl"]).select(
