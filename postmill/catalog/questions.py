@@ -140,3 +140,51 @@ def handbook_lines(spark, sf):
     kind = F.when(F.col("type") == "en", "coding").when(F.col("type") == "fr", "sd").when(F.col("type") == "de", "math").otherwise("other")
     found = h.canonical_questions(asked(spark, sf).withColumn("type", kind), "at", cluster_key=lambda name: name)
     return h.handbook_lines(found)
+
+
+@query(
+    "handbook_document",
+    TYPED
+    + f""", q AS (SELECT thread_id, type, name, seen_at, substr(name, 1, 4) AS cluster, 'round ' || (thread_id % 3) AS round, ['p' || (length(name) % 5)] AS points FROM asked),
+types AS (SELECT cluster, type, count(DISTINCT thread_id) AS n, min(seen_at) AS s FROM q GROUP BY ALL),
+rounds AS (SELECT cluster, round, count(DISTINCT thread_id) AS n, min(seen_at) AS s FROM q GROUP BY ALL),
+t AS (SELECT cluster, type FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, s) AS k FROM types) WHERE k = 1),
+r AS (SELECT cluster, round FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, s) AS k FROM rounds) WHERE k = 1),
+c AS (SELECT cluster, min_by(name, seen_at) AS name, list_sort(list_distinct(list(name))) AS spellings, count(DISTINCT thread_id) AS frequency,
+  list_sort(list_distinct(flatten(list(points)))) AS points, list_sort(list_distinct(list(thread_id))) AS threads FROM q GROUP BY cluster),
+f AS (SELECT *, list_filter(spellings, lambda a: a <> name) AS aliases, {LABEL} AS label, CASE type WHEN 'coding' THEN 1 WHEN 'sd' THEN 2 WHEN 'math' THEN 5 END AS place,
+  array_to_string(list_transform(threads[:8], lambda i: '[#' || i || '](https://www.1point3acres.com/bbs/thread-' || i || '-1-1.html)'), ' · ')
+    || CASE WHEN len(threads) > 8 THEN ' + ' || (len(threads) - 8) || ' 帖' ELSE '' END AS links FROM c JOIN t USING (cluster) JOIN r USING (cluster)),
+n AS (SELECT (SELECT count(*) FROM documents) AS posts, (SELECT count(*) FROM asked) AS raw, (SELECT count(*) FROM documents WHERE doc_id % 50 = 7) AS failed, (SELECT count(*) FROM f) AS questions,
+  (SELECT count(*) FROM f WHERE frequency = 1) AS rare, (SELECT count(*) FROM f WHERE frequency >= 2) AS often),
+body AS (SELECT place, frequency, name, ['## ' || name || ' _(频次 ' || frequency || ' · ' || label || ' · ' || round || ')_', '']
+   || CASE WHEN len(aliases) > 0 THEN ['**别名**：' || array_to_string(aliases, ', '), ''] ELSE [] END
+   || ['**考查点**：'] || list_transform(points, lambda x: '- ' || x) || [''] || ['**来源**：' || links, '', '---', ''] AS lines FROM f WHERE place IS NOT NULL),
+fixed AS (
+  SELECT 0 AS part, 0 AS section, ['# Acme 面试复习手册', '', '> **来源**：[1point3acres Acme 面试经验](https://jobs.1point3acres.com/companies/acme/interview)',
+    '> **数据范围**：' || posts || ' 帖（前 20 页，约 2025–2026）', '> **抓取日期**：2026-01-02', '> **聚合后题目数**：' || questions, '', '---', ''] AS lines FROM n
+  UNION ALL SELECT 1, 0, ['## 速览：高频题榜（≥2 次）', ''] || CASE WHEN often > 0 THEN ['| # | 题目 | 类型 | 频次 | 难度 | 主要场次 |', '|---|---|---|---|---|---|'] ELSE ['（暂无频次 ≥2 的题——数据可能太少）'] END FROM n
+  UNION ALL SELECT 1, 2, ['', '---', ''] FROM n
+  UNION ALL SELECT 3, 0, ['## 罕见题（频次 = 1，共 ' || rare || ' 道）', '', '_仅出现过一次，复习时可略过；准备充分后再扫一遍。_', ''] FROM n WHERE rare > 0
+  UNION ALL SELECT 4, 0, ['---', '', '## 元信息', '', '- 帖子总数：' || posts, '- 抽出原始题数：' || raw, '- 聚合后不同题数：' || questions]
+    || CASE WHEN failed > 0 THEN ['- ⚠️ Stage1 LLM 失败：' || failed || ' 帖'] ELSE [] END FROM n),
+board AS (SELECT *, row_number() OVER (ORDER BY frequency DESC, name, type, cluster) AS k FROM f WHERE frequency >= 2 QUALIFY k <= 50)
+SELECT part::INTEGER AS part, section::INTEGER AS section, 0::BIGINT AS rank, '' AS name, (unnest(generate_series(1, len(lines))) - 1)::INTEGER AS "at", unnest(lines) AS line FROM fixed
+UNION ALL SELECT 1, 1, 0, '', (k - 1)::INTEGER, '| ' || k || ' | **' || name || '** | ' || label || ' | ' || frequency || ' | 未注明 | ' || round || ' |' FROM board
+UNION ALL SELECT 2, place, -frequency, name, (unnest(generate_series(1, len(lines))) - 1)::INTEGER, unnest(lines) FROM body
+UNION ALL SELECT 3, 1, -frequency, name, 0, '- **[' || name || '](https://www.1point3acres.com/bbs/thread-' || threads[1] || '-1-1.html)** _' || label || '_ — ' FROM f WHERE frequency = 1""",
+)
+def handbook_document(spark, sf):
+    """The handbook of all lines, clustered by their first four letters, with links and counts."""
+    kind = F.when(F.col("type") == "en", "coding").when(F.col("type") == "fr", "sd").when(F.col("type") == "de", "math").otherwise("other")
+    questions = asked(spark, sf).withColumns({
+        "type": kind, "round": F.concat(F.lit("round "), (F.col("thread_id") % 3).cast("string")),
+        "examination_points": F.array(F.concat(F.lit("p"), (F.length("name") % 5).cast("string"))),
+    })
+    found = h.canonical_rows(questions, "at", cluster_key=lambda name: F.substring(name, 1, 4))
+    members = questions.select(F.substring("name", 1, 4).alias("cluster"), "thread_id")
+    none = table(spark, sf, "labels").select(F.col("doc_id").alias("thread_id"), F.lit("").alias("href")).filter("thread_id < 0")
+    lines = F.filter(F.transform(F.split("text", "\n"), collapse_ws), lambda x: x != "")
+    extracted = table(spark, sf, "documents").select("doc_id", lines.alias("questions"), F.when(F.col("doc_id") % 50 == 7, "timeout").alias("error"))
+    counts = h.handbook_counts(extracted, found)
+    return h.handbook_document(found, h.source_links(members, none, ["cluster"]), counts, "Acme", "2026-01-02")

@@ -126,6 +126,21 @@ LOCK_PATTERNS = (
     r"购买.{0,10}大米.{0,10}查看", r"查看此.{0,10}需要.{0,10}大米",
 )
 ROUND_UNSTATED = "未注明"
+# fixed values: wording of the handbook
+HANDBOOK_TITLE = "# {company} 面试复习手册"
+HANDBOOK_SOURCE = "> **来源**：[1point3acres {company} 面试经验](https://jobs.1point3acres.com/companies/{slug}/interview)"
+HANDBOOK_RANGE = ("> **数据范围**：", " 帖（前 20 页，约 2025–2026）")
+HANDBOOK_DAY = "> **抓取日期**："
+HANDBOOK_SIZE = "> **聚合后题目数**："
+HANDBOOK_BOARD = "## 速览：高频题榜（≥{minimum} 次）"
+HANDBOOK_BOARD_ALL = ("## 速览：题目总览（全部 ", " 题，按频次降序）")
+HANDBOOK_BOARD_HEAD = ("| # | 题目 | 类型 | 频次 | 难度 | 主要场次 |", "|---|---|---|---|---|---|")
+HANDBOOK_BOARD_NONE = "（暂无频次 ≥{minimum} 的题——数据可能太少）"
+HANDBOOK_ALIASES, HANDBOOK_POINTS, HANDBOOK_TASK, HANDBOOK_SOURCES = "**别名**：", "**考查点**：", "**题面**：", "**来源**："
+HANDBOOK_RARE = ("## 罕见题（频次 = 1，共 ", " 道）")
+HANDBOOK_RARE_NOTE = "_仅出现过一次，复习时可略过；准备充分后再扫一遍。_"
+HANDBOOK_META = ("## 元信息", "- 帖子总数：", "- 抽出原始题数：", "- 聚合后不同题数：")
+HANDBOOK_FAILED = ("- ⚠️ Stage1 LLM 失败：", " 帖")
 DIFFICULTY_LABELS = {"Easy": "Easy", "Med.": "Medium", "Medium": "Medium", "Hard": "Hard"}
 
 # --- fixed values: course archive -----------------------------------------

@@ -216,3 +216,97 @@ def handbook_lines(canonical: DataFrame, minimum: int = fixed.LEADERBOARD_MIN_FR
         rare = canonical.filter("frequency = 1")
         out = out.unionByName(rows(3, rare, F.lit(0), F.concat(F.lit("- **"), "name", F.lit("** _"), type_label("type"), F.lit("_"))))
     return out
+
+
+def handbook_document(
+    canonical: DataFrame, links: DataFrame, counts: DataFrame, company: str, day: str, minimum: int = fixed.LEADERBOARD_MIN_FREQUENCY
+) -> DataFrame:
+    """The whole handbook as rows (part, section, rank, name, at, line); order by the first five to write it.
+
+    `canonical`: rows of `canonical_rows`, with `difficulty` and `description` where known. `links`: cluster
+    and its line of `source_links`. `counts`: the row of `handbook_counts`. A question becomes its lines
+    in one projection, so the document stays rows; only the leaderboard, which is bounded, is numbered
+    as a whole.
+    """
+    known = canonical.columns
+    unstated = F.lit(fixed.ROUND_UNSTATED)
+    held = canonical.join(links.select("cluster", "links"), "cluster", "left").withColumns({
+        "label": type_label("type"), "count": F.col("frequency").cast("string"), "section": section_ordinal("type"),
+        "difficulty": present("difficulty") if "difficulty" in known else F.lit(None).cast("string"),
+        "description": present("description") if "description" in known else F.lit(None).cast("string"),
+    })
+    stated = F.when(F.col("round") != unstated, F.concat(F.lit(" · "), "round")).otherwise("")
+    heading = F.concat(F.lit("## "), "name", F.lit(" _(频次 "), "count", F.lit(" · "), "label", stated, F.lit(")_"))
+
+    def paragraph(shown: Column, *parts: Column | str) -> Column:
+        return F.when(shown, F.array(F.concat(*parts), F.lit("")))
+
+    points = F.when(
+        F.size("examination_points") > 0,
+        F.concat(F.array(F.lit(fixed.HANDBOOK_POINTS)), F.transform("examination_points", lambda x: F.concat(F.lit("- "), x)), F.array(F.lit(""))),
+    )
+    block = F.flatten(F.array_compact(F.array(
+        F.array(heading, F.lit("")),
+        paragraph(F.size("aliases") > 0, F.lit(fixed.HANDBOOK_ALIASES), F.array_join("aliases", ", ")),
+        points,
+        paragraph(F.col("description").isNotNull(), F.lit(fixed.HANDBOOK_TASK), "description"),
+        paragraph(F.col("links").isNotNull(), F.lit(fixed.HANDBOOK_SOURCES), "links"),
+        F.array(F.lit("---"), F.lit("")),
+    )))
+    first = F.regexp_extract(F.coalesce("links", F.lit("")), r"\]\(([^)]*)\)", 1)
+    told = F.coalesce("description", F.lit(""))
+    short = F.when(F.length(told) > 120, F.concat(F.substring(told, 1, 120), F.lit("…"))).otherwise(told)
+    once = F.concat(F.lit("- **["), "name", F.lit("]("), first, F.lit(")** _"), "label", F.lit("_ — "), short)
+    rare = F.lit(minimum > 1) & (F.col("frequency") == 1)
+
+    def placed(part: int, section: Column, lines: Column) -> Column:
+        return F.transform(
+            lines, lambda line, at: F.struct(F.lit(part).alias("part"), section.alias("section"), at.alias("at"), line.alias("line"))
+        )
+
+    nothing = F.array().cast("array<struct<part:int,section:int,at:int,line:string>>")
+    own = F.concat(
+        F.when(F.col("section").isNotNull(), placed(2, F.col("section"), block)).otherwise(nothing),
+        F.when(rare, placed(3, F.lit(1), F.array(once))).otherwise(nothing),
+    )
+    questions = held.select((-F.col("frequency")).alias("rank"), "name", F.explode(own).alias("x"))
+    board = leaderboard(held, minimum)
+    entry = F.struct((-F.col("frequency")).alias("rank"), "name", "type", "cluster", F.concat(
+        F.lit(" | **"), "name", F.lit("** | "), "label", F.lit(" | "), "count", F.lit(" | "), F.coalesce("difficulty", unstated), F.lit(" | "), "round", F.lit(" |")
+    ).alias("line"))
+    listed = board.agg(F.array_sort(F.collect_list(entry)).alias("e")).select(F.posexplode("e").alias("n", "e"))
+    ranked = listed.select(
+        F.lit(0).cast("bigint").alias("rank"), F.lit("").alias("name"),
+        F.struct(F.lit(1).alias("part"), F.lit(1).alias("section"), F.col("n").alias("at"), F.concat(F.lit("| "), (F.col("n") + 1).cast("string"), "e.line").alias("line")).alias("x"),
+    )
+    sizes = counts.select("posts", "raw_questions", "failed_posts", "questions")
+    for name, part in (("top", board), ("rare", held.filter(rare))):
+        sizes = sizes.unionByName(part.agg(F.count(F.lit(1)).alias(name)), allowMissingColumns=True)
+    totals = sizes.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("string").alias(c) for c in sizes.columns])
+
+    def text(value: str) -> Column:
+        return F.lit(value.format(company=company, slug=company.lower(), minimum=minimum))
+
+    def number(before: str, name: str, after: str = "") -> Column:
+        return F.concat(F.lit(before), F.col(name), F.lit(after))
+
+    title = text(fixed.HANDBOOK_BOARD) if minimum > 1 else number(fixed.HANDBOOK_BOARD_ALL[0], "top", fixed.HANDBOOK_BOARD_ALL[1])
+    below = F.when(F.col("top") != "0", F.array(*map(F.lit, fixed.HANDBOOK_BOARD_HEAD))).otherwise(F.array(text(fixed.HANDBOOK_BOARD_NONE)))
+    meta = fixed.HANDBOOK_META
+    frame = F.concat(
+        placed(0, F.lit(0), F.array(
+            text(fixed.HANDBOOK_TITLE), F.lit(""), text(fixed.HANDBOOK_SOURCE), number(fixed.HANDBOOK_RANGE[0], "posts", fixed.HANDBOOK_RANGE[1]),
+            F.lit(fixed.HANDBOOK_DAY + day), number(fixed.HANDBOOK_SIZE, "questions"), F.lit(""), F.lit("---"), F.lit(""),
+        )),
+        placed(1, F.lit(0), F.concat(F.array(title, F.lit("")), below)),
+        placed(1, F.lit(2), F.array(F.lit(""), F.lit("---"), F.lit(""))),
+        F.when(F.col("rare") != "0", placed(3, F.lit(0), F.array(
+            number(fixed.HANDBOOK_RARE[0], "rare", fixed.HANDBOOK_RARE[1]), F.lit(""), F.lit(fixed.HANDBOOK_RARE_NOTE), F.lit("")
+        ))).otherwise(nothing),
+        placed(4, F.lit(0), F.array_compact(F.array(
+            F.lit("---"), F.lit(""), F.lit(meta[0]), F.lit(""), number(meta[1], "posts"), number(meta[2], "raw_questions"), number(meta[3], "questions"),
+            F.when(F.col("failed_posts") != "0", number(fixed.HANDBOOK_FAILED[0], "failed_posts", fixed.HANDBOOK_FAILED[1])),
+        ))),
+    )
+    static = totals.select(F.lit(0).cast("bigint").alias("rank"), F.lit("").alias("name"), F.explode(frame).alias("x"))
+    return static.unionByName(ranked).unionByName(questions).select("x.part", "x.section", "rank", "name", "x.at", "x.line")
