@@ -21,7 +21,8 @@ def test_lookup_boards(spark):
     assert (row["title"], row["location"]) == ("Eng & Ops", "SF | NYC | LA") and row["url"].endswith(row["id"])
     listing = json.dumps({"content": [{"id": 7, "name": "T", "location": {"fullLocation": "Here"}}]})
     pages = spark.createDataFrame([(listing, 0), (listing, 5)], "payload string, page int")
-    assert [(r["id"], r["location"]) for r in boards.smartrecruiters_openings(pages, "b").collect()] == [("7", "Here")]
+    assert [(r["id"], r["location"]) for r in boards.smartrecruiters_openings(pages, "b").collect()] == [("7", "Here")] * 2
+    assert [(r["id"], r["location"]) for r in boards.smartrecruiters_openings(pages, "b", max_pages=3).collect()] == [("7", "Here")]
     detail = json.dumps({"jobAd": {"sections": {"qualifications": {"title": "Q", "text": "<p>b</p>"}, "companyDescription": {"title": "", "text": "<p>a</p>"}, "jobDescription": {"title": "x", "text": " "}}}})
     df = spark.createDataFrame([(detail,)], "d string").select(F.from_json("d", boards.SMARTRECRUITERS_DETAIL).alias("d"))
     assert df.select(payload.smartrecruiters_text(F.col("d.jobAd.sections")).alias("x")).first()["x"] == "a\n\nQ\nb"
