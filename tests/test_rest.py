@@ -99,3 +99,33 @@ def test_notes_and_blocks(spark):
     block = spark.createDataFrame([("T", "u", "", "", ["a", "b"])], "t string, u string, w string, p string, g array<string>")
     text = block.select(reports.thread_block(F.col("t"), F.col("u"), F.col("w"), F.col("p"), F.col("g"), "now").alias("x")).first()["x"]
     assert text.splitlines() == ["## 日期未注明 · [T](u)", "**抓取**: now · **作者**: 匿名", "**标签**: `a` `b`"]
+
+
+def test_pages_of_many_forms_are_assembled(spark):
+    html = "<h2>Sub</h2><pre>x = 1\ny = 2</pre><pre>x = 1\nz = 3</pre><pre></pre>" + '<img src="/images/courses/1.png" alt="One">'
+    body = "02\nTitle\nFigure 2. Caption text here\nIntro\nx = 1\ny = 2\nafter\n  x = 1\nz = 3\nx = 1\na\tb\tc\nd\te\tf\tg\nFigure 2 again\nFigure 1\nSub\n"
+    rows = [(1, body, html), (2, "", ""), (3, None, None), (4, "Only", "<h3>Only</h3>"), (5, "T\nx = 1\nother", html), (6, "T\na\tb\tc\nplain\na\tb", "")]
+    df = spark.createDataFrame(rows, "k int, body string, html string")
+    page = archive.assemble(F.col("body"), F.col("html"), F.array(F.lit("f.png")), "https://c.example")
+    got = {r["k"]: r["m"] for r in df.select("k", page.alias("m")).collect()}
+    assert got[1]["markdown"] == (
+        "# Title\n\n> *Figure 2 — image not captured*\nIntro\n\n```\nx = 1\ny = 2\n```\n\nafter\n\n```\nx = 1\nz = 3\n```\n\nx = 1\n\n"
+        "| a | b | c |  |\n|---|---|---|---|\n| d | e | f | g |\n\nFigure 2 again\n\n![One](images/f.png)\n\n## Sub\n"
+    )
+    assert tuple(got[1])[2:] == (1, 2, 1, 1)
+    assert {tuple(got[k]) for k in (2, 3)} == {("Untitled", "# Untitled\n", 0, 0, 0, 0)}
+    assert tuple(got[4])[:2] == ("Only", "# Only\n")
+    assert got[5]["markdown"] == "# T\n\n\n```\nx = 1\ny = 2\n```\n\nother".replace("\n\n\n", "\n\n")
+    assert got[6]["markdown"] == "# T\n\na\tb\tc\nplain\na\tb" and got[6]["tables"] == 0
+
+
+def test_places_of_postings(spark):
+    places = [
+        ('{"address": {"addressLocality": " X ", "addressCountry": {"name": "US"}}}', "X, US"),
+        ('[{"address": {"addressRegion": "R"}}, "Remote", {"name": "N"}, {}, 7]', "R | Remote | N | 7"),
+        ('{"address": {}, "name": "Office", "addressLocality": "L"}', "Office, L"),
+        ('{"address": "plain"}', ""), ('"one  line"', "one line"), ("[]", ""), ("broken", ""), (None, ""),
+    ]
+    df = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(places)], "k int, v string")
+    got = {r["k"]: r["x"] for r in df.select("k", payload.location_text("v").alias("x")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(places)}
