@@ -1,8 +1,8 @@
 """URL filters: host and path rules, and for the rest a model of the URL's own letters.
 
 The model is a logistic regression on hashed character n-grams of host and path, which it takes
-as different features. It learns on the driver from a small labelled table with a stated bound;
-its weights are a broadcast array of fixed size. Judging is per row, without a shuffle.
+as different features. It learns on the driver from a small table of hand-labelled URLs; its
+weights are a broadcast array of fixed size. Judging is per row, without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,9 +20,6 @@ from postmill.llm.learning import logistic, sigmoid
 
 BUCKETS = 1 << 13
 GRAMS = (3, 4, 5)
-#: Bound of the labelled rows that the model learns from.
-LABELLED_ROWS = 4_000
-
 #: (host, path, allow): fits the host and its subdomains where the URL's path starts with the rule's.
 RULES = (
     ("com", "/", True),
@@ -32,25 +29,35 @@ RULES = (
     ("net", "/fr/", False),
 )
 
-#: Labelled by hand (host, path, allow): what no rule names but any such filter should know.
-SEED_URLS = (
-    ("spam-farm.example.org", "/en/1", False),
-    ("www.spam-farm.example.net", "/de/2", False),
-    ("cheap-pills.example.org", "/en/3", False),
-    ("www.cheap-pills.example.com", "/de/4", False),
-    ("casino-bonus.example.org", "/fr/5", False),
-    ("free-porn.example.net", "/en/6", False),
-    ("adult-cams.example.org", "/es/7", False),
-    ("win-prizes.example.org", "/en/8", False),
-    ("news.example.org", "/en/9", True),
-    ("library.example.org", "/de/10", True),
-    ("blog.example.org", "/fr/11", True),
-    ("m.example.org", "/es/12", True),
-    ("www.example.org", "/en/13", True),
-    ("docs.example.net", "/en/14", True),
-    ("wiki.example.net", "/de/15", True),
-    ("school.example.org", "/en/16", True),
-)
+# Words that a hand-labelled table calls junk or plain when a host is made of them.
+JUNK_WORDS = (
+    "ads adserver adtrack banner-ads click-farm clicks link-farm popup popunder redirect-track track tracker tracking spam "
+    "spam-mail casino casino-bonus casino-online casino-club big-win poker slots jackpot lottery bet bets betting-tips win-prizes winner-prize free-gift free-money "
+    "cheap pills pharmacy-pills viagra cialis payday-loans fast-loans replica-watches fake-id malware phishing warez crack-keygen torrents "
+    "adult adult-cams cams escorts porn free-porn sex xxx xxx-videos hot-singles"
+).split()
+PLAIN_WORDS = (
+    "about academy archive art atlas author bakery bank blog books bridge campus center church city climate clinic code college community company "
+    "council country culture daily data design docs earth east editor energy family farm-school field film forest forum garden gazette green guide health herald "
+    "history home house institute island journal kitchen lab lake language law learning library magazine map market media memory mobile mountain museum music nature "
+    "network news north observer ocean office open paper park people photo poetry portal post press project public radio reader research review river road "
+    "school science shop society software sport station stories street studio summer sun tech theater times tools thing something fishing washing tower town travel tree university valley "
+    "video village voice water weather web west wiki window winter work world writer youth "
+    "bibliothek biblioteca bibliotheque ciudad ecole escuela mairie musique musik noticias rathaus schule stadt tierra verein ville zeitung"
+).split()
+
+
+def labelled_urls() -> list[tuple[str, str, bool]]:
+    """The small labelled table (host, path, allow): each word as a host under changing prefixes, domains and paths."""
+    out = []
+    for words, allow in ((JUNK_WORDS, False), (PLAIN_WORDS, True)):
+        for at, word in enumerate(words):
+            for turn in range(4):
+                n = at + turn
+                prefix, domain = ("", "www.", "m.", "blog.")[turn], ("example.com", "example.net", "example.org")[n % 3]
+                path = f"/{('en', 'de', 'fr', 'es')[(at // 4 + turn) % 4]}/{n * 37 % 1000}{('', '/', '.html')[n % 3]}"
+                out.append((f"{prefix}{word}.{domain}", path, allow))
+    return out
 
 
 def host_of(url: Column) -> Column:
@@ -101,35 +108,24 @@ def train(labelled: Sequence[tuple[str, str, bool]]) -> np.ndarray:
     for row, (host, path, _) in enumerate(labelled):
         hit = features(host, path)
         x[row, hit] = 1.0 / np.sqrt(max(1, len(hit)))
-    blocked = max(1.0, y.sum())
-    weight = np.where(y[:, 0] > 0, len(y) / blocked, len(y) / max(1.0, len(y) - blocked))
-    return logistic(x, y, 1e-5, steps=150, rate=0.1, weight=weight)[:, 0]
-
-
-def labelled_by_rules(urls: DataFrame, url_col: str = "url", rows: int = LABELLED_ROWS) -> list[tuple[str, str, bool]]:
-    """Distinct (host, path) that a rule decides, with its verdict: the `rows` with the least hash."""
-    host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    judged = urls.select(host.alias("host"), path.alias("path"))
-    _, allow = rule_of(F.col("host"), F.col("path"))
-    judged = judged.select("host", "path", allow.alias("allow")).filter(F.col("allow").isNotNull()).distinct()
-    order = F.xxhash64("host", "path")
-    return [tuple(r) for r in judged.orderBy(order, "host", "path").limit(rows).collect()]
+    # Classes keep their sizes: what holds nothing known leans to the larger one, which is plain.
+    return logistic(x, y, 1e-5, steps=150, rate=0.1)[:, 0]
 
 
 def judge(
     urls: DataFrame,
-    labelled: Sequence[tuple[str, str, bool]],
+    labelled: Sequence[tuple[str, str, bool]] | None = None,
     id_col: str = "page_id",
     url_col: str = "url",
     rules: Sequence[tuple[str, str, bool]] = RULES,
 ) -> DataFrame:
     """Rows (id, host, path, rule, verdict, score) for all rows of `urls`.
 
-    A null URL, or one without `://`, has an empty host and path; no rule fits it and the model
+    The model learns from `labelled`, by default `labelled_urls()`. A null URL, or one without `://`, has an empty host and path; no rule fits it and the model
     judges it like any other. `score` is the model's P(block), also where a rule decides. Equal
     URLs get equal verdicts; at 0.5 and above the model blocks.
     """
-    model = urls.sparkSession.sparkContext.broadcast(train([*labelled, *SEED_URLS]))
+    model = urls.sparkSession.sparkContext.broadcast(train(labelled_urls() if labelled is None else labelled))
 
     def run(batch: pa.RecordBatch) -> dict:
         weights = model.value
