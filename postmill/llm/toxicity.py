@@ -4,8 +4,9 @@ Only confirmed toxic texts count as labelled; all other texts, toxic ones among
 unlabelled. With the class prior p, the risk of calling text clean is estimated from the
 unlabelled texts less p times the same loss on the toxic ones; where that estimate of a loss turns negative the
 fit has gone beyond the data, and the step goes back along its gradient instead. The model is
-linear in hashed words and in-word byte 4- and 5-grams that toxic text holds several times as
-often as, after the same prior correction, clean text.
+linear in all hashed words and in-word byte 4- and 5-grams that toxic text holds several times as
+often as, after the same prior correction, clean text; no number bounds them, as words of a
+language with few toxic texts have less signal than any gram of a common insult.
 
 Learning takes a bounded sample; scoring reads whole texts in one pass without a shuffle.
 """
@@ -25,8 +26,7 @@ BUCKETS = 1 << 18
 #: Bounds of the learning sample, in texts: those with the least hash of their id.
 TOXIC_ROWS = 1_500
 UNLABELLED_ROWS = 6_000
-KEPT_FEATURES = 120
-#: A kept feature is at least so many times as frequent in toxic as in clean text.
+#: Every feature is kept that is at least so many times as frequent in toxic as in clean text.
 LIFT = 3.0
 #: And its share of toxic texts is at least this much higher.
 SUPPORT = 0.01
@@ -61,6 +61,37 @@ def features(column: pa.Array):
         yield np.unique(np.concatenate(found))
 
 
+class Held:
+    """A matrix of ones and zeros by the columns each row holds; every row ends in a 1 in the last column."""
+
+    def __init__(self, rows: list[np.ndarray], columns: int):
+        sizes = np.array([len(r) + 1 for r in rows], np.int64)
+        self.shape = (len(rows), columns)
+        self.row = np.repeat(np.arange(len(rows)), sizes)
+        self.starts = np.cumsum(sizes) - sizes
+        self.column = np.concatenate([np.zeros(0, np.int64), *(part for r in rows for part in (r, [columns - 1]))]).astype(np.int64)
+
+    def __len__(self) -> int:
+        return self.shape[0]
+
+    def __matmul__(self, weights: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(weights[self.column].astype(np.float64), self.starts)
+
+    @property
+    def T(self) -> Turned:
+        return Turned(self)
+
+
+class Turned:
+    """A `Held` matrix with rows and columns exchanged."""
+
+    def __init__(self, held: Held):
+        self.held = held
+
+    def __matmul__(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.held.column, weights=values[self.held.row], minlength=self.held.shape[1])
+
+
 class Model:
     """Kept buckets, their weights and the bias."""
 
@@ -78,7 +109,7 @@ class Model:
 
 
 def choose(found: DataFrame, toxic: int, unlabelled: int, prior: float) -> np.ndarray:
-    """The KEPT_FEATURES buckets with the most signal, of rows (toxic, found); counted on the executors."""
+    """All buckets that tell toxic texts, of rows (toxic, found); counted on the executors."""
 
     def run(batch: pa.RecordBatch) -> dict:
         marks = np.array(batch.column(0).to_pylist(), bool)
@@ -90,12 +121,11 @@ def choose(found: DataFrame, toxic: int, unlabelled: int, prior: float) -> np.nd
     counted = map_batches(found, "bucket int, p bigint, u bigint", run).groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     share_p, share_u = F.col("p") / toxic, F.col("u") / unlabelled
     share_n = F.greatest(share_u - prior * share_p, F.lit(0.0)) / (1 - prior)
-    signal = (share_p - share_n) / F.sqrt(share_n + share_p * 0.1 + 4 / toxic)
-    told = counted.select("bucket", signal.alias("signal")).filter(share_p >= LIFT * share_n + SUPPORT)
-    return np.sort(np.array([r[0] for r in told.orderBy(F.desc("signal"), "bucket").limit(KEPT_FEATURES).collect()], np.int64))
+    told = counted.filter(share_p >= LIFT * share_n + SUPPORT).select("bucket")
+    return np.sort(np.array([r[0] for r in told.collect()], np.int64))
 
 
-def fit(xp: np.ndarray, xu: np.ndarray, prior: float, l2: float = 6e-4, steps: int = 300) -> np.ndarray:
+def fit(xp: np.ndarray | Held, xu: np.ndarray | Held, prior: float, l2: float = 6e-4, steps: int = 300) -> np.ndarray:
     """Weights and bias that minimise the non-negative risk with the logistic loss; rows end in a 1."""
     start = np.zeros(xp.shape[1], np.float32)
     start[-1] = np.log(prior / (1 - prior))
@@ -147,11 +177,11 @@ def train(
     kept = choose(found, sizes[True], sizes[False], prior) if both else np.zeros(0, np.int64)
 
     def held(batch: pa.RecordBatch) -> dict:
-        rows = [np.isin(kept, np.frombuffer(f, "<u4")) for f in batch.column(1).to_pylist()]
-        return {"toxic": batch.column(0), "row": [r.tobytes() for r in rows]}
+        rows = [np.flatnonzero(np.isin(kept, np.frombuffer(f, "<u4"))) for f in batch.column(1).to_pylist()]
+        return {"toxic": batch.column(0), "row": [r.astype("<u4").tobytes() for r in rows]}
 
     rows = sorted((r[0], bytes(r[1])) for r in map_batches(found, "toxic boolean, row binary", held).collect()) if both else []
-    x = [np.frombuffer(b"".join(r + b"\x01" for t, r in rows if t == side), np.uint8).reshape(-1, len(kept) + 1).astype(np.float32) for side in (True, False)]
+    x = [Held([np.frombuffer(r, "<u4") for t, r in rows if t == side], len(kept) + 1) for side in (True, False)]
     return Model(kept, fit(x[0], x[1], prior))
 
 

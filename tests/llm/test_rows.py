@@ -478,6 +478,29 @@ def test_toxicity_learns_from_positive_and_unlabelled(spark, docs, empty):
         assert {r.predicted for r in toxicity.score(df, nothing).collect()} == {0}
 
 
+def test_toxicity_knows_words_of_a_rare_language(spark):
+    rnd = random.Random(6)
+    insults = ["".join(rnd.choice("bcdfghjklmnpqrst") for _ in range(14)) for _ in range(10)]
+    texts, bad, rare = [], set(), set()
+    for i in range(600):
+        rare |= {i} if i % 3 == 0 else set()
+        bad |= {i} if rnd.random() < (0.1 if i in rare else 0.2) else set()
+        words = [f"{'v' if i in rare else 'w'}{rnd.randrange(300)}" for _ in range(60)]
+        texts.append((i, " ".join(words + ([] if i not in bad else ["réeupax"] if i in rare else insults))))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in bad)) for i in range(300)], "doc_id long, toxic int")
+    got = {r.doc_id for r in toxicity.score(df, toxicity.train(df, labels)).filter("predicted = 1").collect()}
+    assert bad & rare and got == bad
+
+
+def test_held_rows_are_those_of_a_matrix():
+    held = toxicity.Held([np.array([0, 2]), np.array([], int), np.array([1])], 4)
+    full = np.array([[1, 0, 1, 1], [0, 0, 0, 1], [0, 1, 0, 1]], np.float32)
+    w, v = np.array([0.5, -1, 2, 3], np.float32), np.array([1.0, 2.0, 4.0])
+    assert (held @ w == full @ w).all() and (held.T @ v == full.T @ v).all() and len(held) == 3
+    assert len(toxicity.Held([], 1)) == 0
+
+
 def test_risk_does_not_go_negative():
     x = np.eye(6, dtype=np.float32)
     x[:, -1] = 1
