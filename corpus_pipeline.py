@@ -18,6 +18,9 @@ from postmill.llm.catalog import WORD_BPE, table
 from postmill.llm.learning import held_out
 from postmill.session import shared_folder
 
+#: Similarity of word shingles in percent from which documents are near-duplicates.
+NEAR = 80
+
 
 def clean_tone(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; the model learns from the labelled rows of four folds of five."""
@@ -33,7 +36,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id; rows without an id stay."""
-    gone = neardup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    gone = neardup.near_duplicates(docs, NEAR).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

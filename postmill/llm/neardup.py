@@ -4,8 +4,8 @@ A document's set is its distinct word shingles; documents with equal sets meet f
 128-bit digest of the set, and one of them stands for all. Each tree of the forest orders the
 signatures by its own few hashes. Neighbours in that order are those with the longest common prefix: the
 region of a document is all that share its prefix of DEPTHS[0] hashes, and where more than a block
-share it, of one hash more. A pair at the threshold shares three hashes in at least one of 16
-trees except once in millions. Regions are found by counting prefixes; in a region sorted
+share it, of one hash more. The threshold sets the number of trees, so that a pair at it meets in
+at least one of the deeper regions except once in 100,000. Regions are found by counting prefixes; in a region sorted
 neighbours, next ones first, are screened on whole signatures, which finds candidate
 components. Each document's full set then moves once, to its candidate component, where links
 are confirmed. Regions and components of any size are dealt into blocks that others stream past;
@@ -15,6 +15,7 @@ blocks give spanning forests, never pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,20 +38,39 @@ from postmill.llm.batches import (
 from postmill.llm.components import components
 from postmill.session import stage
 
-TREES = 16
 TREE_HASHES = 4
-HASHES = TREES * TREE_HASHES
 #: Prefix lengths of a region: the first, and the one for regions beyond a block.
 DEPTHS = (3, 4)
-#: Share of equal hashes from which a pair's full sets are compared: 4.5 standard deviations below 0.85.
-SCREEN = 0.65
+#: Bounds of the probability that a pair at the threshold shares no deeper region, and that the screening drops it.
+MISS_REGIONS = 1e-5
+MISS_SCREEN = 3e-6
 BLOCK = 512
 #: Shingles of the full sets in one block.
 BLOCK_SHINGLES = 1 << 20
 
-_seeds = np.random.default_rng(20240229).integers(0, 1 << 63, (2, HASHES), dtype=np.uint64)
-_XOR = _seeds[0]
-_TIMES = _seeds[1] * np.uint64(2) + np.uint64(1)
+
+class Forest:
+    """Trees and hashes for a threshold in percent, and `least`: equal hashes from which a pair's full sets are compared.
+
+    The number of trees grows with the inverse fourth power of the threshold: 16 at 85, 22 at 80, 179 at 50.
+    """
+
+    def __init__(self, percent: float):
+        if not 0 < percent <= 100:
+            raise ValueError("percent must be above 0 and at most 100")
+        share = percent / 100
+        apart = 1 - share ** DEPTHS[1]
+        self.trees = max(1, int(np.ceil(np.log(MISS_REGIONS) / np.log(apart)))) if apart > 0 else 1
+        self.hashes = self.trees * TREE_HASHES
+        seeds = np.random.default_rng(20240229).integers(0, 1 << 63, (2, self.hashes), dtype=np.uint64)
+        self.xor, self.times = seeds[0], seeds[1] * np.uint64(2) + np.uint64(1)
+        self.least, fewer = 0, 0.0
+        while self.least < self.hashes:
+            # The exact binomial probability of at most `least` equal hashes.
+            fewer += comb(self.hashes, self.least) * share**self.least * (1 - share) ** (self.hashes - self.least)
+            if fewer > MISS_SCREEN:
+                break
+            self.least += 1
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -64,12 +84,12 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
         yield np.unique(gram_hashes(own, min(words, len(own)))) if len(own) else own
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, forest: Forest) -> np.ndarray:
     """The least values of the set under each hash, 32 bits of each."""
-    low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+    low = np.full(forest.hashes, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 2048):
         piece = shingles[at : at + 2048, None]
-        low = np.minimum(low, ((piece ^ _XOR) * _TIMES).min(axis=0))
+        low = np.minimum(low, ((piece ^ forest.xor) * forest.times).min(axis=0))
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
@@ -77,7 +97,7 @@ def set_digest(shingles: np.ndarray) -> tuple[int, int]:
     return int(shingles.sum().view(np.int64)), int(mixed(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64))
 
 
-def sketch(df: DataFrame, words: int) -> DataFrame:
+def sketch(df: DataFrame, words: int, forest: Forest) -> DataFrame:
     """Rows (id, n, f1, f2, sig) of (id, text): set size, digest of the set, signature (none for empty sets)."""
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -85,25 +105,25 @@ def sketch(df: DataFrame, words: int) -> DataFrame:
         for shingles in shingle_sets(batch.column(1), words):
             digest = set_digest(shingles) if len(shingles) else (0, 0)
             n.append(len(shingles)), f1.append(digest[0]), f2.append(digest[1])
-            sig.append(signature(shingles).tobytes() if len(shingles) else None)
+            sig.append(signature(shingles, forest).tobytes() if len(shingles) else None)
         return {"id": batch.column(0), "n": n, "f1": f1, "f2": f2, "sig": sig}
 
     kind = df.schema["id"].dataType.simpleString()
     return map_batches(df.select("id", "text"), f"id {kind}, n bigint, f1 bigint, f2 bigint, sig binary", run)
 
 
-def prefixes(reps: DataFrame, kind: str) -> DataFrame:
+def prefixes(reps: DataFrame, kind: str, forest: Forest) -> DataFrame:
     """Rows (rep, shorter, longer): hashes of the two prefixes of every tree."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, TREES, TREE_HASHES).astype(np.uint64)
+        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, forest.trees, TREE_HASHES).astype(np.uint64)
         keys = []
-        h = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), sig.shape[:2]).copy()
+        h = np.broadcast_to(np.arange(1, forest.trees + 1, dtype=np.uint64), sig.shape[:2]).copy()
         for k in range(TREE_HASHES):
             h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k] + np.uint64(1))
             if k + 1 in DEPTHS:
                 keys.append(h.reshape(-1).view(np.int64).copy())
-        return {"rep": batch.column(0).take(pa.array(np.repeat(np.arange(len(sig)), TREES))), "shorter": keys[0], "longer": keys[1]}
+        return {"rep": batch.column(0).take(pa.array(np.repeat(np.arange(len(sig)), forest.trees))), "shorter": keys[0], "longer": keys[1]}
 
     return map_batches(reps.select("rep", "sig"), f"rep {kind}, shorter bigint, longer bigint", run)
 
@@ -158,21 +178,21 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.
         yield table, np.concatenate(([0], np.cumsum(changed)))
 
 
-def _alike(sig: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+def _alike(sig: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, share: float, least: int) -> np.ndarray:
     """Which pairs of rows have enough equal hashes and sizes close enough for the threshold."""
     near = 100 * np.minimum(n[a], n[b]) >= share * np.maximum(n[a], n[b])
     out = np.zeros(len(a), bool)
     at = np.flatnonzero(near)
     for low in range(0, len(at), 1 << 15):
         part = at[low : low + (1 << 15)]
-        out[part] = (sig[a[part]] == sig[b[part]]).sum(axis=1) >= SCREEN * HASHES
+        out[part] = (sig[a[part]] == sig[b[part]]).sum(axis=1) >= least
     return out
 
 
-def candidates(reps: DataFrame, kind: str, percent: float) -> DataFrame:
+def candidates(reps: DataFrame, kind: str, percent: float, forest: Forest) -> DataFrame:
     """Links (a, b) of a spanning forest of the pairs that some region's screening keeps."""
     wanted = ["rep", "n", "sig"]
-    placed = regions(prefixes(reps, kind)).join(reps.select(*wanted), "rep")
+    placed = regions(prefixes(reps, kind, forest)).join(reps.select(*wanted), "rep")
     order = dealt(placed, "region", F.col("blocks"), wanted)
     out = f"a {kind}, b {kind}"
     fields = arrow_schema(out)
@@ -182,7 +202,7 @@ def candidates(reps: DataFrame, kind: str, percent: float) -> DataFrame:
         for table, group in _grouped(_capped(batches), 2):
             role = table.column(2).to_numpy()
             rep, n = table.column(3).combine_chunks(), table.column(4).to_numpy()
-            sig = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint16)
+            sig = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint32).reshape(-1, forest.hashes).astype(np.uint16)
             found_a, found_b = [], []
             bounds = np.searchsorted(group, np.arange(group[-1] + 2))
             longest = int(np.diff(bounds).max())
@@ -196,7 +216,7 @@ def candidates(reps: DataFrame, kind: str, percent: float) -> DataFrame:
                 if not len(a):
                     break
                 a = a[a < last_member[a]]
-                hit = _alike(sig, n, a, a + k, percent)
+                hit = _alike(sig, n, a, a + k, percent, forest.least)
                 found_a.append(a[hit])
                 found_b.append(a[hit] + k)
             a, b = np.concatenate([np.zeros(0, int), *found_a]), np.concatenate([np.zeros(0, int), *found_b])
@@ -358,10 +378,11 @@ def near_duplicates(df: DataFrame, percent: int = 85, words: int = 5, id_col: st
     """
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketched = stage(sketch(docs, words))
+    forest = Forest(percent)
+    sketched = stage(sketch(docs, words, forest))
     reps = sketched.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.any_value("sig").alias("sig"))
     reps = stage(reps)
-    tried = components(candidates(reps, kind, percent))
+    tried = components(candidates(reps, kind, percent, forest))
     both = tried.select(F.col("node").alias("rep"), F.col("component").alias("part"))
     both = both.unionAll(tried.select(F.col("component").alias("rep"), F.col("component").alias("part")).distinct())
     grouped = stage(both.join(reps.select("rep", "n", "f1", "f2"), "rep"))

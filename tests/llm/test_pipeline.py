@@ -69,3 +69,18 @@ def test_stages(spark, small):
 def test_whole_run(spark, small):
     got = corpus_pipeline.run(spark, small)
     assert got.columns == ["doc_id", "n_tokens", "ids"] and 0 < got.count() < 200
+
+
+def test_near_duplicates_from_four_fifths_on(spark, small):
+    base = [f"v{i}" for i in range(400)]
+    texts = [(1, " ".join(base)), (2, " ".join(w if i % 50 != 25 else f"x{i}" for i, w in enumerate(base))), (3, "something else")]
+    near = brute_groups(texts, 80)
+    assert [g[3] for g in near] == [True, False, True] and all(g[3] for g in brute_groups(texts))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, small).collect()} == {g[0] for g in near if g[3]}
+
+
+def test_near_duplicates_of_documents(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    near = brute_groups([tuple(r) for r in docs.select("doc_id", "text").collect()], 80)
+    assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, small).collect()} == {g[0] for g in near if g[3]}

@@ -1,6 +1,7 @@
 """Operators on hard rows: nulls, empty and very long texts, ties, repeated rows, clashing columns, empty tables."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -194,6 +195,26 @@ def test_near_documents_in_many_blocks(spark, monkeypatch):
     assert got == brute_groups(texts)
 
 
+@pytest.mark.parametrize("percent", [80, 60])
+def test_near_documents_at_lower_thresholds(spark, monkeypatch, percent):
+    texts = near_texts()
+    got = near = None
+    for block in (512, 8):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        got = rows(neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), percent), "doc_id", "n_shingles", "component_id", "kept")
+        near = brute_groups(texts, percent)
+        assert got == near
+    assert near != brute_groups(texts)
+
+
+@pytest.mark.parametrize("percent", [100, 95, 85, 80, 60])
+def test_forest_keeps_its_miss_rates(percent):
+    forest, share = neardup.Forest(percent), percent / 100
+    assert (1 - share**4) ** forest.trees <= 1e-5
+    fewer = [math.comb(forest.hashes, k) * share**k * (1 - share) ** (forest.hashes - k) for k in range(forest.least + 1)]
+    assert sum(fewer[:-1]) <= 3e-6 < sum(fewer)
+
+
 def test_near_documents_hard_rows(docs, empty):
     got = {(r[0], r[2], r[3]) for r in neardup.near_duplicates(docs).collect()}
     assert {(1, 1, True), (6, 1, False), (2, 2, True), (3, 3, True), (None, None, True)} <= got
