@@ -95,20 +95,26 @@ class Model:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> Model:
-    """Learn from at most `rows` whole texts of each non-null language; null texts are left out."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    """Learn from at most `rows` whole texts of each non-null language; null texts are left out.
+
+    Rows equal in id, language and text count once. The bound is one per language, so the driver
+    holds `rows` profiles for each, however many languages there are.
+    """
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "hash")
     known = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = known.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # The ids are chosen on narrow rows; only the chosen rows' texts move.
-    ids = known.select("id", "lang").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= rows).select("id")
-    chosen = known.join(F.broadcast(ids.distinct()), "id")
+    known = known.withColumn("hash", F.xxhash64("text"))
+    # The rows are chosen without their texts; only the chosen rows' texts move, repeated ones combined.
+    names = known.select("id", "lang", "hash").distinct().withColumn("at", F.row_number().over(order)).filter(F.col("at") <= rows)
+    names = names.select(F.col("id").alias("id_"), F.col("lang").alias("lang_"), F.col("hash").alias("hash_"))
+    same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("lang") == F.col("lang_")) & (F.col("hash") == F.col("hash_"))
+    chosen = known.join(F.broadcast(names), same, "left_semi").groupBy("id", "lang", "hash").agg(F.min("text").alias("text"))
 
     def run(batch: pa.RecordBatch) -> dict:
         found = profiles(batch.column(0)).astype(np.float16)
         return {"lang": batch.column(1), "row": [r.tobytes() for r in found]}
 
-    # Repeated rows of an id could exceed the bound; the same order cuts them.
-    got = map_batches(chosen.select("text", "lang"), "lang string, row binary", run, 64).limit(rows * 64).collect()
+    got = map_batches(chosen.select("text", "lang"), "lang string, row binary", run, 64).collect()
     got = sorted((r["lang"], bytes(r["row"])) for r in got)
     languages = sorted({lang for lang, _ in got})
     at = {lang: i for i, lang in enumerate(languages)}

@@ -345,6 +345,15 @@ def test_language_codes(spark, docs, empty):
     assert langid.predict(empty, model).count() == 0 and langid.keep_known(asked, nothing).count() == 0
 
 
+def test_languages_beyond_64_and_hot_ids_are_learned(spark):
+    many = [(100 * k + i, f"{chr(0x4E00 + k)} word {i}", f"l{k:02d}") for k in range(70) for i in range(4)]
+    hot = [(7, f"a line {i % 300}", "aa") for i in range(600)]
+    learned = langid.train(spark.createDataFrame(hot + many, "doc_id long, text string, lang string").coalesce(1), rows=2)
+    assert learned.languages == ["aa"] + [f"l{k:02d}" for k in range(70)]
+    again = langid.train(spark.createDataFrame(many[::-1] + hot[::-1], "doc_id long, text string, lang string").repartition(5), rows=2)
+    assert (again.weights == learned.weights).all()
+
+
 def test_codewords_keep_apart():
     for n in (2, 3, 5, 7, 12, 40):
         code = langid.codewords(n)
