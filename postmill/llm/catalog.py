@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, decontam, embdup, langid, neardup, sharding, tokencount, toxicity, urlfilter, warc
+from postmill.llm import bpe, decontam, embdup, fingerprint, langid, neardup, sharding, tokencount, toxicity, urlfilter, warc
 from postmill.llm.learning import held_out
 from postmill.session import shared_folder
 
@@ -101,3 +101,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     out = held_out(F.col("doc_id"), 5, 0)
     model = toxicity.train(docs.filter(~out), labels.filter(~out))
     return toxicity.score(docs, model).withColumn("held_out", out)
+
+
+@query("op13_scaled_fingerprints", fingerprint.oracle())
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf, "documents"))
