@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, decontam, embdup, fingerprint, langid, neardup, sharding, tokencount, toxicity, urlfilter, warc
+from postmill.llm import bpe, clusters, codes, decontam, embdup, fingerprint, langid, neardup, sharding, tokencount, toxicity, urlfilter, warc
 from postmill.llm.learning import held_out
 from postmill.session import shared_folder
 
@@ -103,6 +103,16 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("held_out", out)
 
 
+@query("op11_ns_bounds", clusters.oracle())
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf, "embeddings")).drop("evaluations")
+
+
+@query("op12_laesa_codes", codes.oracle())
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return codes.codes(table(spark, sf, "embeddings")).drop("evaluations")
+
+
 @query("op13_scaled_fingerprints", fingerprint.oracle())
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf, "documents"))
