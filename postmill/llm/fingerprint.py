@@ -14,7 +14,7 @@ document of each comes from an order over ids alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions.text import let
@@ -25,6 +25,10 @@ from postmill.operators.keyed import number_rows
 BELOW = "2"
 DIGITS = 16
 WORDS = 5
+#: Documents whose texts one group of the order holds.
+STRETCH = 256
+#: Repeated rows that one task writes at a time.
+PIECE = 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -95,40 +99,62 @@ def merge_by(df: DataFrame, keys: list[str], col: str = "sketch", below: str = B
 
 
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, text, sketch, next_head, next_sketch) for every row of `df`.
+    """Rows (id, text, sketch, next_text, next_sketch) for every row of `df`.
 
     The next document is the one with the next id, after the last the first; rows that share an id
-    stand in order of their texts' hashes, and null ids stand first. `next_head` is as many of
-    its first code points as a fourth of the row's own text has, rounded down.
+    stand in order of their texts' hashes, repeated rows one behind the other, null ids first.
+    Ids are ranked in a narrow table. Texts move to stretches of `STRETCH` ranks, in which each sees
+    the next; the first of a stretch goes to the one before as well. Repeated rows move as one.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = df.select(F.col(id_col).alias("id"), text.alias("text"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("sketch", sketch(F.col("text")))
-    # Written once: row numbers, sketches and texts are the same whenever they are read.
-    rows = written(rows, "sketches")
-    order = rows.select("id", F.xxhash64("text").alias("hash"), "row", F.floor(F.length("text") / 4).alias("need"))
-    ranked = written(number_rows(order, [F.asc_nulls_first("id"), F.asc("hash"), F.asc("row")], "rank").select("row", "need", "rank"), "ranks")
-    n = ranked.count()
-    behind = ranked.select(F.col("row").alias("next_row"), F.col("rank").alias("next_rank"))
-    pairs = ranked.withColumn("next_rank", F.col("rank") % F.lit(max(n, 1)) + 1).join(behind, "next_rank").select("row", "need", "next_row")
-    heads = rows.select(F.col("row").alias("next_row"), "text", "sketch").join(pairs, "next_row")
-    heads = heads.select("row", F.expr("substring(text, 1, cast(need as int))").alias("next_head"), F.col("sketch").alias("next_sketch"))
-    return rows.join(heads, "row").select("id", "text", "sketch", "next_head", "next_sketch")
+    rows = df.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("hash", F.xxhash64("text"))
+    groups = rows.groupBy("id", "hash").agg(F.count("*").alias("copies"))
+    ranked = written(number_rows(groups, [F.asc_nulls_first("id"), F.asc("hash")], "rank"), "ranks")
+    last, most = ranked.agg(F.coalesce(F.max("rank"), F.lit(1)), F.coalesce(F.max("copies"), F.lit(1))).first()
+    known = ranked.select(F.col("id").alias("id_"), F.col("hash").alias("hash_"), "copies", (F.col("rank") - 1).alias("rank"))
+    placed = rows.join(known, F.col("id").eqNullSafe(F.col("id_")) & (F.col("hash") == F.col("hash_"))).select("id", "text", "copies", "rank")
+    if most > 1:
+        again = placed.filter("copies > 1").groupBy("id", "rank", "copies").agg(F.any_value("text").alias("text"))
+        placed = placed.filter("copies = 1").unionByName(again)
+    stretch = F.floor(F.col("rank") / STRETCH)
+    # Where a stretch begins its first document is the next one of the stretch before; the first of all follows the last.
+    ahead = F.when(F.col("rank") == 0, F.lit((last - 1) // STRETCH)).when(F.col("rank") % STRETCH == 0, stretch - 1)
+    place = F.when(F.col("rank") == 0, F.lit(last)).otherwise(F.col("rank"))
+    seats = F.array(
+        F.struct(stretch.alias("stretch"), F.col("rank").alias("place"), F.lit(True).alias("own")),
+        F.struct(ahead.alias("stretch"), place.alias("place"), F.lit(False).alias("own")),
+    )
+    seated = placed.withColumn("seat", F.explode(F.filter(seats, lambda s: s["stretch"].isNotNull())))
+    seated = seated.select("id", "text", "copies", "seat.stretch", "seat.place", "seat.own").repartition("stretch")
+    seated = seated.withColumn("sketch", sketch(F.col("text")))
+    order = Window.partitionBy("stretch").orderBy("place")
+    seen = seated.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order)).filter("own")
+    columns = ["id", "text", "sketch", "next_text", "next_sketch"]
+    if most == 1:
+        return seen.select(*columns)
+    # All but the last of repeated rows are followed by their like; numbers of copies are dealt out in pieces.
+    piece = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 2) / PIECE))).alias("piece")
+    pieces = seen.filter("copies > 1").select("id", "text", "sketch", "copies", piece).repartition("id", "text", "piece")
+    size = F.least(F.lit(PIECE), F.col("copies") - 1 - F.col("piece") * PIECE)
+    like = pieces.select("id", "text", "sketch", F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch"), F.explode(F.sequence(F.lit(1).cast("bigint"), size)))
+    return seen.select(*columns).unionAll(like.select(*columns))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row its fingerprint, that of its edited text, and how alike its own is to that and to the next document's.
 
-    Null and empty texts have no words: their fingerprint is empty, and like only to an empty one.
+    Edited, a text's last fourth (rounded down, in code points) gives way to the first as many of the
+    next document. Null and empty texts have no words: their fingerprint is empty, and like only to an empty one.
     Repeated rows come out as often as they stand, each before the next; an only row is its own
     next. An empty table gives no rows. Other columns are not looked at.
     """
-    size = F.length("text")
-    edited = F.concat(F.expr("substring(text, 1, cast(length(text) - floor(length(text) / 4) as int))"), F.col("next_head"))
-    rows = with_next(df, id_col, text_col).withColumn("n_chars", size.cast("bigint")).withColumn("edited", edited)
+    fourth = "cast(floor(length(text) / 4) as int)"
+    edited = F.expr(f"concat(substring(text, 1, length(text) - {fourth}), substring(next_text, 1, {fourth}))")
+    rows = with_next(df, id_col, text_col).withColumn("edited", edited)
+    # Through an array of one, so that each sketch is made once.
     rows = rows.select(
-        "id", "n_chars", "sketch", "next_sketch", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.explode(F.array(sketch(F.col("edited")))).alias("edited_sketch"),
+        "id", F.length("text").cast("bigint").alias("n_chars"), "sketch", "next_sketch",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.array(sketch(F.col("edited")))).alias("edited_sketch"),
     )
     return rows.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256",
