@@ -144,9 +144,9 @@ def fit(xp: np.ndarray | Held, xu: np.ndarray | Held, prior: float, l2: float =
     return descend(gradient, start, steps, 0.03)
 
 
-def sample(df: DataFrame, rows: int, toxic: bool) -> DataFrame:
-    """(toxic, found) of the `rows` texts of (id, text) with the least hash of id; only these texts' features move."""
-    ids = df.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
+def sample(df: DataFrame, of: DataFrame, rows: int, toxic: bool) -> DataFrame:
+    """(toxic, found) of the texts of (id, text) that belong to the `rows` ids of `of` with the least hash; only features move."""
+    ids = of.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
     chosen = df.join(F.broadcast(ids), "id").select("text")
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -169,9 +169,9 @@ def train(
     if prior is None:
         counted = marks.agg(F.avg(F.when(F.col("label") == 1, 1.0).otherwise(0.0))).first()[0]
         prior = min(max(counted, 0.001), 0.999) if counted else PRIOR
-    ids = marks.filter(F.col("label") == 1).select("id").distinct().orderBy(F.xxhash64("id"), "id")
-    toxic = docs.join(F.broadcast(ids.limit(4 * TOXIC_ROWS)), "id", "left_semi")
-    found = stage(sample(toxic, TOXIC_ROWS, True).unionAll(sample(docs, UNLABELLED_ROWS, False)))
+    # Which toxic ids `df` holds is settled between ids alone, however many others `labels` names.
+    toxic = docs.select("id").join(marks.filter(F.col("label") == 1).select("id").distinct(), "id", "left_semi")
+    found = stage(sample(docs, toxic, TOXIC_ROWS, True).unionAll(sample(docs, docs, UNLABELLED_ROWS, False)))
     sizes = {r[0]: r[1] for r in found.groupBy("toxic").count().collect()}
     both = True in sizes and False in sizes
     kept = choose(found, sizes[True], sizes[False], prior) if both else np.zeros(0, np.int64)
@@ -203,6 +203,10 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
 
 def drop_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Rows of `df`, all columns, that score below 0.5."""
+    """Rows of `df`, all columns, that score below 0.5.
+
+    Each row is judged by its own text: repeated rows go or stay alike, null and empty texts get the
+    bias alone. An empty table gives no rows.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
     return filter_batches(df, [text_col], lambda batch: shared.value.scores(batch.column(0)) < 0.5, 256)

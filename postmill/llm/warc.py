@@ -41,7 +41,8 @@ IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_SCHEMA = "page_id string, uri string, record_type string, refers_to string, payload_digest string, payload_bytes bigint, payload binary"
 WRITE_SCHEMA = "page_id string, uri string, refers_to string, payload_digest string, payload binary"
 ID_FORM = re.compile(r"<urn:page:(.*)>")
-MANIFEST = "_files.json"
+#: Each write adds a list of its files of its own; only listed files are read.
+LISTS = "_files-"
 
 
 def opened(uri: str):
@@ -173,12 +174,13 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         system, folder = opened(self.folder)
-        listed = f"{folder}/{MANIFEST}"
-        if system.get_file_info(listed).type == fs.FileType.File:
+        infos = system.get_file_info(fs.FileSelector(folder))
+        files, lists = [], sorted(i.path for i in infos if i.base_name.startswith(LISTS))
+        for listed in lists:
             with system.open_input_file(listed) as file:
-                files = [(f"{folder}/{name}", size) for name, size in json.loads(file.read())]
-        else:
-            infos = system.get_file_info(fs.FileSelector(folder))
+                files += [(f"{folder}/{name}", size) for name, size in json.loads(file.read())]
+        if not lists:
+            # A folder that some other program wrote.
             files = [(i.path, i.size) for i in infos if re.search(r"\.warc(\.gz)?$", i.path)]
         ranges = [Range(p, at, min(at + self.split, n), n) for p, n in files for at in range(0, n, self.split)]
         return ranges or [Range("", 0, 0, 0)]
@@ -209,10 +211,14 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Rows of WRITE_SCHEMA to archives of about `file_bytes` each."""
+    """Rows of WRITE_SCHEMA to archives of about `file_bytes` each.
 
-    def __init__(self, options: dict):
+    A write counts once its list stands. Appending adds a list; overwriting takes the earlier ones away after that.
+    """
+
+    def __init__(self, options: dict, overwrite: bool = False):
         self.folder = options["path"]
+        self.overwrite = overwrite
         self.level = int(options.get("level", 6))
         self.roll = int(options.get("file_bytes", 256 << 20))
         self.date = options.get("date", "2000-01-01T00:00:00Z")
@@ -240,8 +246,13 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages):
         system, folder = opened(self.folder)
         files = sorted(f for m in messages if m is not None for f in m.files)
-        with system.open_output_stream(f"{folder}/{MANIFEST}", compression=None) as out:
+        from pyarrow import fs
+
+        earlier = [i.path for i in system.get_file_info(fs.FileSelector(folder)) if i.base_name.startswith(LISTS)]
+        with system.open_output_stream(f"{folder}/{LISTS}{uuid.uuid4().hex}.json", compression=None) as out:
             out.write(json.dumps(files).encode())
+        for path in earlier if self.overwrite else []:
+            system.delete_file(path)
 
     def abort(self, messages):
         system, folder = opened(self.folder)
@@ -270,11 +281,11 @@ class WarcSource(DataSource):
     def writer(self, schema, overwrite) -> WarcWriter:
         system, folder = opened(self.options["path"])
         system.create_dir(folder, recursive=True)
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
-def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> None:
-    """Write one record per row: of equal payloads of at least `least` bytes the smallest id is the response.
+def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, mode: str = "append") -> None:
+    """Write one record per row, after those that stand at `path` or, with mode `overwrite`, in their place: of equal payloads of at least `least` bytes the smallest id is the response.
 
     A null html is an empty payload. Repeated rows of the smallest id are all responses; rows
     without an id come after all others and refer to the smallest id there is; if there is none
@@ -294,7 +305,7 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
     refers = F.when(F.col("first").isNotNull() & ~F.col("own").eqNullSafe(F.col("first")), F.col("first").cast("string"))
     narrow = joined.select(F.col("own").cast("string").alias("page_id"), "uri", refers.alias("refers_to"), base32("hexed").alias("payload_digest"), "payload")
     pages.sparkSession.dataSource.register(WarcSource)
-    narrow.write.format("warc").mode("append").save(path)
+    narrow.write.format("warc").mode(mode).save(path)
 
 
 def base32(hexed: str):

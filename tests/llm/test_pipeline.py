@@ -58,7 +58,7 @@ def test_stages(spark, small):
     left = docs.filter(F.col("doc_id").isin(sorted(after["toxicity"])))
     known = langid.predict(left, langid.train(left.filter(~held_out(F.col("doc_id"), 3, 1))))
     assert after["language"] == {r.doc_id for r in known.filter("not ambiguous").collect()}
-    assert after["near_duplicates"] == {g[0] for g in brute_groups([tuple(r) for r in rows["near_duplicates"]]) if g[3]}
+    assert after["near_duplicates"] == {g[0] for g in brute_groups([tuple(r) for r in rows["near_duplicates"]], 80) if g[3]}
     items = [tuple(r) for r in spark.read.parquet(f"{small}/benchmark.parquet").select("item_id", "text").collect()]
     assert after["decontamination"] == {s[0] for s in brute_scan([tuple(r) for r in rows["decontamination"]], items) if not s[-1]}
     real = reference()
@@ -84,3 +84,30 @@ def test_near_duplicates_of_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     near = brute_groups([tuple(r) for r in docs.select("doc_id", "text").collect()], 80)
     assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, small).collect()} == {g[0] for g in near if g[3]}
+
+
+def test_near_duplicates_are_dropped_row_by_row(spark, small):
+    copy, other = " ".join(f"v{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    texts = [(1, copy), (1, copy), (None, copy), (None, copy), (7, copy), (7, other), (8, other), (None, "only without an id here"), (9, None), (9, None), (10, ""), (10, "")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("key", F.lit("clash")).withColumn("id", F.lit(None).cast("int"))
+    got = corpus_pipeline.one_of_each(spark, df, small)
+    assert got.columns == df.columns
+    want = [(1, copy), (7, other), (None, "only without an id here"), (9, None), (9, None), (10, ""), (10, "")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+HARD = [(1, "plain words of one kind"), (1, "plain words of one kind"), (2, None), (3, ""), (None, "no id"), (None, None), (4, "lorem ipsum dolor " * 30_000), (5, "123 !!")]
+
+
+def test_stages_on_hard_rows(spark, small):
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in HARD], "doc_id long, text string, lang string, source string, n_chars long")
+    extra = df.withColumn("id", F.lit(1)).withColumn("key", F.lit("k")).withColumn("score", F.lit("x")).withColumn("_row", F.lit(0))
+    count = {}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, extra, small)
+        rows = got.collect()
+        assert name == "tokens" or got.columns == extra.columns
+        count[name] = len(rows)
+        assert stage(spark, extra.limit(0), small).count() == 0
+    assert count["tokens"] == count["decontamination"] == len(HARD)
+    assert count["near_duplicates"] == len(HARD) - 1 and count["language"] <= len(HARD)

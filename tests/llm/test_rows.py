@@ -430,6 +430,15 @@ def test_archives_give_back_pages(spark, tmp_path):
     assert text == {"2": "same", "3": "", "7": LONG, "8": "naïve \U0001f600", "11": "\r\n\r\nWARC/1.1\r\n\r\n"}
 
 
+def test_archives_are_appended_to_and_overwritten(spark, tmp_path):
+    path = f"{tmp_path}/w"
+    first, second = ([(i, "u", f"page {i}") for i in range(at, at + 5)] for at in (0, 5))
+    for pages, mode, want in ((first, "append", 5), (second, "append", 10), (first, "overwrite", 5)):
+        warc.write_pages(spark.createDataFrame(pages, "page_id long, url string, html string"), path, mode=mode)
+        assert warc.read_pages(spark, path).count() == want
+    assert {r.page_id for r in warc.read_pages(spark, path).collect()} == {str(i) for i in range(5)}
+
+
 def test_archive_of_no_pages(spark, tmp_path):
     warc.write_pages(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/w")
     assert warc.read_pages(spark, f"{tmp_path}/w").count() == 0
@@ -508,6 +517,16 @@ def test_toxicity_learns_from_positive_and_unlabelled(spark, docs, empty):
         assert {r.predicted for r in toxicity.score(df, nothing).collect()} == {0}
 
 
+def test_toxic_ids_of_other_tables_take_no_place(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TOXIC_ROWS", 40)
+    texts = [(i, " ".join(f"w{(i * 7 + k) % 50}" for k in range(30)) + (" utterlyvile" if i % 8 == 0 else "")) for i in range(320)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    own = [(i, int(i % 8 == 0)) for i in range(320)]
+    stray = [(10**6 + i, 1) for i in range(3000)] + [(10**7 + i, 0) for i in range(21000)]
+    got = toxicity.score(df, toxicity.train(df, spark.createDataFrame(own + stray, "doc_id long, toxic int"))).filter("predicted = 1")
+    assert {r.doc_id for r in got.collect()} == {i for i in range(0, 320, 8)}
+
+
 def test_toxicity_knows_words_of_a_rare_language(spark):
     rnd = random.Random(6)
     insults = ["".join(rnd.choice("bcdfghjklmnpqrst") for _ in range(14)) for _ in range(10)]
