@@ -1,13 +1,17 @@
 """Scored lookup: best opening per job on its board, and ranked search candidates.
 
 Scores depend only on normalised titles and location words, so scoring runs between distinct
-titles. Titles meet in three ways, which together hold every pair able to reach the gate: on a
-meaningful word; where one stands inside the other, found by exact look-up of the contained
-title among what the container holds; and by signature (very frequent words and generic bits),
-which is one meeting however many titles share it. A word in more than `hot_titles` titles of a
-board meets by signature only: that routes rows and changes neither plan nor result. A job whose
-title stands verbatim on the board needs none of this: no other title can come within reach.
-
+titles. A title that stands inside the other is found by exact look-up of the contained title
+among what the container holds. All others meet on the words they share, by postings with bounds:
+a title's words stand in order of their frequency on the board, rarest first, and the sets of words
+that a job can share are tried from one word on. A set that few openings hold is a leaf: the
+job is scored against these. A longer posting is never paired: openings that share just this set
+score alike but for two words that count when missing, so they are one candidate, and those
+that share more hold the set and a later word of the job. What a set and all later words could add
+bounds that branch: it ends once it cannot come within reach of the best score found. So a job meets at
+most `leaf` openings for each set it tries, however many titles hold its words.
+
+A job whose title stands verbatim on the board needs none of this: no other title can come within reach.
 A place adds 0, 2 or 4. For each title the least ordinal at all, per word of its places, and per
 place that contains the job's or lies in it are looked up, so places never meet in pairs.
 """
@@ -27,33 +31,8 @@ from postmill.operators.keyed import top_k
 from postmill.session import stage
 
 LOCATION_REACH = 4  # the most a location adds to a score
-HOT_TITLES = 500
-FLAGGED = ("software", "full", "stack", "ml")
-
-
-def _generic_bits(title: Column) -> Column:
-    """Which of the generic role words a title holds, one bit each."""
-    padded = F.concat(F.lit(" "), title, F.lit(" "))
-    bits = F.lit(0)
-    for at, word in enumerate(fixed.GENERIC_ROLE_TOKENS):
-        bits = bits + F.when(padded.contains(f" {word} "), 1 << at).otherwise(0)
-    return bits
-
-
-def _has_bit(bits: Column, word: str) -> Column:
-    return bits.bitwiseAND(1 << fixed.GENERIC_ROLE_TOKENS.index(word)) != 0
-
-
-def _word_keys(title: Column) -> Column:
-    """Meaningful words of a title as keys."""
-    solid = F.array_except(F.array_distinct(tokens_of(title)), generic_tokens())
-    return F.transform(solid, lambda w: F.concat(F.lit("w:"), w))
-
-
-def _generic_keys(bits: Column) -> Column:
-    """Generic words as keys, where there are enough of them to reach the gate."""
-    words = F.array_compact(F.array(*[F.when(_has_bit(bits, w), F.lit(f"g:{w}")) for w in fixed.GENERIC_ROLE_TOKENS]))
-    return F.when(F.bit_count(bits) >= fixed.MATCH_GATE - LOCATION_REACH, words).otherwise(F.array().cast("array<string>"))
+#: The longest posting whose openings are scored one by one.
+LEAF = 8
 
 
 def contained_in(outer: DataFrame, inner: DataFrame) -> DataFrame:
@@ -116,91 +95,97 @@ def _points(condition: Column, value: int) -> Column:
     return F.when(condition, value).otherwise(0)
 
 
-def _score(nested: Column, solid: Column, flags: dict[str, Column]) -> Column:
-    """Title score out of counted meetings; `jbits` and `obits` are in scope."""
-    jbits, obits = F.col("jbits"), F.col("obits")
-    common = jbits.bitwiseAND(obits)
-    generic = F.bit_count(common)
+def _shared_points(words: Column) -> Column:
+    """What a set of shared words adds to a title's score; more words never add less."""
+    solid = F.size(F.array_except(words, generic_tokens()))
+    has = lambda w: F.array_contains(words, w)
     return (
-        _points(nested, 10) + solid * 4 + generic
-        + _points((solid > 0) & (solid + generic >= 3), 4)
-        + _points(flags["software"] & _has_bit(common, "engineer"), 3)
-        + _points(flags["full"] & flags["stack"], 2) + _points(flags["ml"], 2)
-        - _points(_has_bit(jbits, "manager") != _has_bit(obits, "manager"), 3)
-        - _points(_has_bit(jbits, "engineer") != _has_bit(obits, "engineer"), 2)
+        solid * 3 + F.size(words)
+        + _points((solid > 0) & (F.size(words) >= 3), 4)
+        + _points(has("software") & has("engineer"), 3)
+        + _points(has("full") & has("stack"), 2) + _points(has("ml"), 2)
     )
 
 
-def _by_signature(job_side: DataFrame, open_side: DataFrame) -> DataFrame:
-    """Title pairs that share frequent or generic words, met by signature instead of title by title.
+def _with_words(titles: DataFrame, name: str, frequency: DataFrame) -> DataFrame:
+    """Distinct (board, title) with those of its words that the board knows, rarest first, and its telling words.
 
-    What such a pair scores depends on the opening's frequent words and generic bits alone, so all
-    openings with one signature are one candidate. A pair that shares more is found elsewhere with a
-    higher score.
+    A title has few words; `frequency` (board, word, n) has one row per word.
     """
-    jobs = job_side.select("board", F.col("hot").alias("jhot"), "jbits").distinct()
-    opens = open_side.select("board", F.col("hot").alias("ohot"), "obits").distinct()
-    pairs = (
-        jobs.withColumn("key", F.explode(F.concat("jhot", _generic_keys(F.col("jbits")))))
-        .join(opens.withColumn("key", F.explode(F.concat("ohot", _generic_keys(F.col("obits"))))), ["board", "key"])
-        .select("board", "jhot", "jbits", "ohot", "obits")
-        .distinct()
-        .withColumn("both", F.array_intersect("jhot", "ohot"))
-    )
-    flags = {w: F.array_contains("both", f"w:{w}") for w in FLAGGED}
-    scored = pairs.withColumn("title_score", _score(F.lit(False), F.size("both"), flags))
-    near = scored.filter(F.col("title_score") >= fixed.MATCH_GATE - LOCATION_REACH)
-    return near.join(job_side.withColumnRenamed("hot", "jhot"), ["board", "jhot", "jbits"]).select(
-        "board", "jt", _signature("ohot").alias("ot"), "title_score"
+    words = titles.select("board", name, F.explode(F.array_distinct(tokens_of(F.col(name)))).alias("word"))
+    known = words.join(frequency, ["board", "word"]).groupBy("board", name).agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ws"))
+    holds = lambda w: F.concat(F.lit(" "), F.col(name), F.lit(" ")).contains(f" {w} ")
+    return known.select(
+        "board", name, F.transform("ws", lambda w: w["word"]).alias("ws"), holds("manager").alias("manager"), holds("engineer").alias("engineer"),
+        F.lit(0).alias("at"), F.array().cast("array<string>").alias("held"),
     )
 
 
-def _signature(hot: str) -> Column:
-    return F.concat(F.lit("#"), F.array_join(hot, " "), F.lit("#"), F.col("obits").cast("string"))
+def _one_more(nodes: DataFrame) -> DataFrame:
+    """Each node's set of words with each later word of its title; `at` is the last word's place."""
+    later = F.when(F.col("at") < F.size("ws"), F.sequence(F.col("at") + 1, F.size("ws"))).otherwise(F.array().cast("array<int>"))
+    grown = nodes.withColumn("at", F.explode(later)).withColumn("held", F.array_append("held", F.get("ws", F.col("at") - 1)))
+    return grown.withColumn("key", F.array_join("held", " "))
 
 
-def _with_hot(titles: DataFrame, hot: DataFrame, name: str, bits: str) -> DataFrame:
-    """Distinct (board, title) with their generic bits and their frequent words; a title has few words."""
-    keyed = titles.select("board", name, F.explode(_word_keys(F.col(name))).alias("key")).join(hot, ["board", "key"])
-    found = keyed.groupBy("board", name).agg(F.array_sort(F.collect_set("key")).alias("hot"))
-    return titles.join(found, ["board", name], "left").select(
-        "board", name, _generic_bits(F.col(name)).alias(bits), F.coalesce("hot", F.array().cast("array<string>")).alias("hot")
-    )
+def _as_one(key: str) -> Column:
+    """The name under which all openings that share just the words of `key` are one candidate."""
+    return F.concat(F.lit("#"), F.col(key), F.lit("#"), F.col("manager").cast("string"), F.lit("#"), F.col("engineer").cast("string"))
 
 
-def _title_pairs(job_titles: DataFrame, open_titles: DataFrame, hot_titles: int) -> tuple[DataFrame, DataFrame]:
-    """Scored title pairs (board, jt, ot, title_score), and the openings' frequent words for their signatures."""
-    offered = open_titles.select("board", "ot", F.explode(_word_keys(F.col("ot"))).alias("key"))
-    hot = stage(offered.groupBy("board", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_titles).select("board", "key"))
-    job_side = stage(_with_hot(job_titles, hot, "jt", "jbits"))
-    open_side = stage(_with_hot(open_titles, hot, "ot", "obits"))
+def _best_per_title(scored: DataFrame) -> DataFrame:
+    return scored.groupBy("board", "jt").agg(F.max("title_score").alias("top"))
+
+
+def _title_pairs(job_titles: DataFrame, open_titles: DataFrame, offered: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """Scored title pairs (board, jt, ot, title_score), and `offered` rows of candidates that stand for many.
+
+    Holds every pair that can come within reach of a job's best score.
+    """
+    lowest = fixed.MATCH_GATE - LOCATION_REACH
+    words = open_titles.select("board", "ot", F.explode(F.array_distinct(tokens_of(F.col("ot")))).alias("word"))
+    frequency = stage(words.groupBy("board", "word").agg(F.count(F.lit(1)).alias("n")))
+    job_nodes, open_nodes = _with_words(job_titles, "jt", frequency), _with_words(open_titles, "ot", frequency)
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        exact = pairs.distinct().withColumn("title_score", title_score(F.col("jt"), F.col("ot")))
+        return exact.filter(F.col("title_score") >= lowest)
 
-    # Each meaningful word two titles share is one meeting, so the score is an aggregate over meetings.
-    rare = [
-        side.select("board", name, F.explode(F.array_except(_word_keys(F.col(name)), "hot")).alias("key"))
-        for side, name in ((job_side, "jt"), (open_side, "ot"))
-    ]
-    met = rare[0].join(rare[1], ["board", "key"])
     jobs, opens = job_titles.select("board", F.col("jt").alias("t")), open_titles.select("board", F.col("ot").alias("t"))
-    names = ("board", "jt", "ot", "key")
-    nested = contained_in(jobs, opens).select("board", F.col("outer").alias("jt"), F.col("inner").alias("ot"), F.lit("n:").alias("key")).unionByName(
-        contained_in(opens, jobs).select("board", F.col("inner").alias("jt"), F.col("outer").alias("ot"), F.lit("n:").alias("key"))
+    nested = contained_in(jobs, opens).select("board", F.col("outer").alias("jt"), F.col("inner").alias("ot")).unionByName(
+        contained_in(opens, jobs).select("board", F.col("inner").alias("jt"), F.col("outer").alias("ot"))
     )
-    counted = (
-        met.select(*names).unionByName(nested)
-        .groupBy("board", "jt", "ot")
-        .agg(
-            F.count_if(F.col("key") != "n:").cast("int").alias("solid"), F.max(F.col("key") == "n:").alias("nested"),
-            *[F.max(F.col("key") == f"w:{w}").alias(w) for w in FLAGGED],
-        )
-    )
-    both = counted.join(job_side.withColumnRenamed("hot", "jhot"), ["board", "jt"]).join(
-        open_side.withColumnRenamed("hot", "ohot"), ["board", "ot"]
-    ).withColumn("both", F.array_intersect("jhot", "ohot"))
-    flags = {w: F.col(w) | F.array_contains("both", f"w:{w}") for w in FLAGGED}
-    scored = both.select("board", "jt", "ot", _score(F.col("nested"), F.col("solid") + F.size("both"), flags).alias("title_score"))
-    near = scored.filter(F.col("title_score") >= fixed.MATCH_GATE - LOCATION_REACH)
-    return near.unionByName(_by_signature(job_side, open_side)), open_side
+    found = stage(scored(nested))
+    many: DataFrame | None = None
+    depth = 0
+    while True:
+        depth += 1
+        rest = F.concat("held", F.slice("ws", F.col("at") + 1, F.greatest(F.size("ws") - F.col("at"), F.lit(0))))
+        tried = _one_more(job_nodes).join(_best_per_title(found), ["board", "jt"], "left")
+        reach = F.greatest(F.coalesce("top", F.lit(0)), F.lit(fixed.MATCH_GATE)) - LOCATION_REACH
+        tried = stage(tried.filter(_shared_points(rest) >= reach).drop("top"))
+        if tried.isEmpty():
+            break
+        wanted = tried.select("board", "key").distinct()
+        # A hot posting sends at most leaf + 1 of its openings from a task.
+        posted = stage(_one_more(open_nodes).join(wanted, ["board", "key"], "left_semi"))
+        first = top_k(posted.select("board", "key", "ot"), ["board", "key"], [F.col("ot").asc()], leaf + 1)
+        first = first.groupBy("board", "key").agg(F.collect_list("ot").alias("ots"))
+        met = stage(tried.join(first, ["board", "key"]))
+        # The first few openings of long postings too are scored at the start: good scores end branches early.
+        leaves = met if depth == 1 else met.filter(F.size("ots") <= leaf)
+        more = scored(leaves.select("board", "jt", F.explode("ots").alias("ot")))
+        job_nodes = met.filter(F.size("ots") > leaf).drop("ots")
+        open_nodes = posted.join(job_nodes.select("board", "key").distinct(), ["board", "key"], "left_semi")
+        kinds = open_nodes.select("board", "key", F.col("manager").alias("m"), F.col("engineer").alias("e")).distinct()
+        alike = job_nodes.join(kinds, ["board", "key"])
+        missing = _points(F.col("manager") != F.col("m"), 3) + _points(F.col("engineer") != F.col("e"), 2)
+        alike = alike.withColumn("title_score", _shared_points(F.col("held")) - missing).filter(F.col("title_score") >= lowest)
+        alike = alike.withColumns({"manager": F.col("m"), "engineer": F.col("e")})
+        found = stage(found.unionByName(more).unionByName(alike.select("board", "jt", _as_one("key").alias("ot"), "title_score")))
+        held = open_nodes.join(offered, ["board", "ot"]).groupBy("board", _as_one("key").alias("ot"), "ol").agg(F.min("ordinal").alias("ordinal"))
+        many = held if many is None else many.unionByName(held)
+    return found, many if many is not None else offered.limit(0)
 
 
 def _places(pairs: DataFrame, places: DataFrame, offered: DataFrame) -> DataFrame:
@@ -231,7 +216,7 @@ def _places(pairs: DataFrame, places: DataFrame, offered: DataFrame) -> DataFram
     return out
 
 
-def best_openings(jobs: DataFrame, openings: DataFrame, hot_titles: int = HOT_TITLES) -> DataFrame:
+def best_openings(jobs: DataFrame, openings: DataFrame, leaf: int = LEAF) -> DataFrame:
     """Best opening per job with a score at the gate or above; equal scores go to the first.
 
     `jobs`: job_id, board, title, location. `openings`: board, ordinal, title, location.
@@ -244,7 +229,7 @@ def best_openings(jobs: DataFrame, openings: DataFrame, hot_titles: int = HOT_TI
     # both profile tables feed several joins below: written once, read often
     offered = stage(
         openings.select(
-            "board", "ordinal", title_norm("title").alias("ot"), location_norm("location").alias("ol")
+            "board", F.col("ordinal").cast("bigint").alias("ordinal"), title_norm("title").alias("ot"), location_norm("location").alias("ol")
         )
         .filter("ot != ''")
         .groupBy("board", "ot", "ol")
@@ -259,14 +244,8 @@ def best_openings(jobs: DataFrame, openings: DataFrame, hot_titles: int = HOT_TI
     others = job_titles.join(
         open_titles.select("board", F.col("ot").alias("jt")), ["board", "jt"], "left_anti"
     )
-    met, open_side = _title_pairs(others, open_titles, hot_titles)
-    met = stage(met)
-    as_one = (
-        offered.join(open_side, ["board", "ot"])
-        .groupBy("board", _signature("hot").alias("ot"), "ol")
-        .agg(F.min("ordinal").alias("ordinal"))
-    )
-    top = met.groupBy("board", "jt").agg(F.max("title_score").alias("top"))
+    met, as_one = _title_pairs(others, open_titles, offered, leaf)
+    top = _best_per_title(met)
     near = (
         met.join(top, ["board", "jt"])
         .filter(F.col("title_score") >= F.col("top") - LOCATION_REACH)

@@ -4,7 +4,7 @@ import random
 import re
 
 from postmill import fixed_values as fixed
-from postmill.operators.matching import best_openings, gated_matches, rank_candidates
+from postmill.operators.matching import _title_pairs, best_openings, gated_matches, rank_candidates
 
 WORDS = ["software", "engineer", "engineering", "manager", "senior", "staff", "lead", "ml", "full", "stack", "data", "art", "smart", "vp", "SWE", "SDE", "fullstack", "R&D", "ops", "devops"]
 PLACES = ["", "Seattle, WA", "Seattle", "Remote", "New York, NY 10001", "NY"]
@@ -70,9 +70,9 @@ def test_best_openings_equal_brute_force(spark):
     assert got == {j: v[:2] for j, v in brute(jobs, openings).items()}
 
 
-def test_hot_words_meet_by_signature(spark):
+def test_long_postings_are_one_candidate(spark):
     jobs, openings = sample(23, 120, 140)
-    got = {r["job_id"]: (r["opening"], r["match_score"]) for r in best_openings(*frames(spark, jobs, openings), hot_titles=6).collect()}
+    got = {r["job_id"]: (r["opening"], r["match_score"]) for r in best_openings(*frames(spark, jobs, openings), leaf=1).collect()}
     assert got == {j: v[:2] for j, v in brute(jobs, openings).items()}
 
 
@@ -95,3 +95,25 @@ def test_rank_candidates(spark):
     scored = spark.createDataFrame(rows, "job_id string, url string, score int, ordinal int")
     got = [(r["url"], r["ordinal"]) for r in rank_candidates(scored).orderBy("place").collect()]
     assert got[:2] == [("u0", 4), ("u1", 2)] and len(got) == 8 and got[2][0] == "v0"
+
+
+def shared_words(seed, n):
+    rng, words = random.Random(seed), [f"word{i:02d}" for i in range(20)]
+    out = set()
+    while len(out) < n:
+        out.add(" ".join(rng.sample(words, 5)))
+    return sorted(out)
+
+
+def test_titles_of_words_that_all_share_meet_few_openings(spark):
+    met = []
+    for n in (300, 1200):
+        jobs = spark.createDataFrame([("b", t) for t in shared_words(1, n)], "board string, jt string")
+        openings = spark.createDataFrame([("b", t, "", i) for i, t in enumerate(shared_words(2, n))], "board string, ot string, ol string, ordinal long")
+        found, _ = _title_pairs(jobs, openings.select("board", "ot"), openings, 8)
+        met.append(found.count() / n)
+    assert met[1] < 1.5 * met[0]
+    jobs = [(i, "b", t, "") for i, t in enumerate(shared_words(3, 60))]
+    openings = [("b", i, t, "", "") for i, t in enumerate(shared_words(4, 300))]
+    got = {r["job_id"]: (r["opening"], r["match_score"]) for r in best_openings(*frames(spark, jobs, openings)).collect()}
+    assert got == {j: v[:2] for j, v in brute(jobs, openings).items()}
