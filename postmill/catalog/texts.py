@@ -315,6 +315,7 @@ def json_props(spark, sf):
     "reply_json",
     """
 SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS fenced, CAST(json_extract(props, '$.k') AS BIGINT) AS trailing,
+  CAST(json_extract(props, '$.k') AS BIGINT) AS cut_off, 'say "' || event_type || '", then go' AS quoted, CAST(json_extract(props, '$.k') AS BIGINT) AS unclosed,
   true AS broken_is_null FROM events""",
 )
 def reply_json(spark, sf):
@@ -327,6 +328,9 @@ def reply_json(spark, sf):
     return table(spark, sf, "events").select(
         "event_id", value(F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).alias("fenced"),
         value(F.concat(F.lit("Here it is: "), loose)).alias("trailing"),
+        value(F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(', "note": "cut of'))).alias("cut_off"),
+        F.try_variant_get(parsed_reply(F.concat(F.lit('{"text": "say "'), "event_type", F.lit('", then go", "n": 1}'))), "$.text", "string").alias("quoted"),
+        F.try_variant_get(parsed_reply(F.concat(F.lit('[{"inner": ['), "props", F.lit("}]"))), "$[0].inner[0].k", "bigint").alias("unclosed"),
         parsed_reply(F.concat(F.lit("no json "), "event_type")).isNull().alias("broken_is_null"),
     )
 

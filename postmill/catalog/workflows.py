@@ -298,17 +298,94 @@ def inbox_sections(spark, sf):
 def stream_seen(spark, sf):
     """The seen-state by an availableNow stream over the events file: equal to the one-shot upsert."""
     from postmill.session import shared_folder
-    from postmill.sinks import VersionedTable
+    from postmill.state import BucketedTable
     from postmill.streaming.incremental import run_seen_stream
 
     base = f"{shared_folder(spark)}/seen-{uuid.uuid4().hex}"
     before, _ = events_around(spark, sf)
-    states = VersionedTable(
-        spark, f"{base}/state", "user_id bigint, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, event_type string"
+    states = BucketedTable(
+        spark, f"{base}/state", "user_id bigint, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, event_type string", ["user_id"], 8
     )
-    states.write(seen_users(before), 0)
+    states.merge(seen_users(before), lambda held, new: new)
     at = F.lit("2024-01-01 06:00:00").cast("timestamp_ntz")
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).filter(F.col("ts") >= at)
     run_seen_stream(stream, states, ["user_id"], lambda: F.col("ts"), "event_id", f"{base}/checkpoint", ["event_type"])
     return states.read()
+
+
+LISTED = """
+SELECT CAST(o_orderkey AS VARCHAR) AS tid, o_orderpriority AS company, CASE WHEN ts < TIMESTAMP '1998-01-01' THEN 0 ELSE 1 END AS run
+FROM (SELECT *, o_orderdate::TIMESTAMP + to_minutes((o_orderkey % 1440)::INTEGER) AS ts FROM orders)
+WHERE ts >= TIMESTAMP '1998-01-01' - INTERVAL 360 DAY AND ts < TIMESTAMP '1998-04-01'"""
+
+
+@query("listing_stream", LISTED)
+def listing_stream(spark, sf):
+    """Each order priority as a company whose listing has its orders, newest first: a first run of twelve months, then a second."""
+    from pyspark.sql import Window
+
+    from postmill.session import shared_folder
+    from postmill.streaming.listings import run_listing_stream
+
+    base = f"{shared_folder(spark)}/listing-{uuid.uuid4().hex}"
+    at = F.timestamp_add("MINUTE", (F.col("o_orderkey") % 1440).cast("int"), F.col("o_orderdate").cast("timestamp"))
+    threads = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("company"), at.alias("at"))
+    key = F.col("o_orderkey").cast("string")
+    row = F.concat(
+        F.lit('<time title="'), F.date_format("at", "yyyy-MM-dd HH:mm:ss"), F.lit('"></time><a href="https://www.1point3acres.com/bbs/thread-'), key,
+        F.lit('-1-1.html"><div class="flex-1">Order '), key, F.lit("</div></a>"),
+    )
+    # A page is a day's threads, the newest day first, so that no window holds a company.
+    days = threads.select("company", F.to_date("at").alias("day")).distinct()
+    paged = days.withColumn("page", F.row_number().over(Window.partitionBy("company").orderBy(F.col("day").desc())) - 1)
+    lines = threads.withColumn("day", F.to_date("at")).join(paged, ["company", "day"]).withColumn("value", row)
+    lines.repartition("company", "page").sortWithinPartitions("company", "page", F.col("at").desc()).select("company", "page", "value").write.partitionBy("company", "page").text(base)
+    names = [r[0] for r in days.select("company").distinct().collect()]
+    specs = [{"name": n, "folder": f"{base}/company={n}"} for n in names]
+    for number, until in enumerate(("1998-01-01 00:00:00", "1998-04-01 00:00:00")):
+        run_listing_stream(
+            spark, specs, "postmill.streaming.listings:written_page", f"{base}-checkpoint",
+            lambda new, _, number=number: new.select("tid", "company", F.lit(number).alias("run")).write.mode("append").parquet(f"{base}-new"), until,
+        )
+    return spark.read.schema("tid string, company string, run int").parquet(f"{base}-new")
+
+
+def _note_sql(score: str) -> str:
+    return f"lpad(({score})::VARCHAR, greatest(2, length(({score})::VARCHAR))::INTEGER, '0') || ' - ' || name"
+
+
+FIRST_SCORE, NEXT_SCORE = "p_size * 2", "CASE WHEN p_partkey % 4 = 0 THEN p_size * 2 ELSE (p_size * 7 + p_partkey) % 100 END"
+
+
+@query(
+    "note_moves",
+    f"""
+WITH p AS (SELECT *, p_type || ' - ' || p_name || ' ' || p_partkey || '.md' AS name, {FIRST_SCORE} AS old, {NEXT_SCORE} AS new FROM part),
+r AS (SELECT name, p_partkey % 3 > 0 AS known, CASE WHEN old <= 70 THEN 'Filtered/Low Score/' ELSE '/' END || {_note_sql("old")} AS old_path,
+  CASE WHEN new <= 70 THEN 'Filtered/Low Score/' ELSE '/' END || {_note_sql("new")} AS new_path, p_partkey % 4 = 0 AS same, new FROM p)
+SELECT name AS note_name, CASE WHEN NOT known THEN 'insert' WHEN old_path <> new_path THEN 'move' WHEN same THEN 'keep' ELSE 'update' END AS change,
+  new_path AS path, CASE WHEN known THEN old_path END AS old_path,
+  '---' || chr(10) || 'match_score: ' || new || chr(10) || 'verdict: ' || CASE WHEN same THEN 'first' ELSE 'second' END || chr(10) || 'triage_mode: jd_full' || chr(10)
+    || '---' || chr(10) || chr(10) || '# ' || name || chr(10) AS head
+FROM r""",
+)
+def note_moves(spark, sf):
+    """Two runs over the parts: two thirds have a note, a fourth keeps its score, the others get a new one."""
+    from postmill.operators import notes
+
+    parts = table(spark, sf, "part").withColumn("note_name", F.concat("p_type", F.lit(" - "), "p_name", F.lit(" "), F.col("p_partkey").cast("string"), F.lit(".md")))
+
+    def scored(rows, score, verdict):
+        number = F.expr(score).cast("int")
+        return rows.select(
+            "note_name", F.when(number <= 70, "Filtered/Low Score").otherwise("").alias("folder"), number.alias("score"), verdict.alias("verdict"),
+            F.lit("jd_full").alias("mode"), F.concat(F.lit("# "), "note_name", F.lit("\n")).alias("note"), F.lit(False).alias("stub"), F.col("p_partkey").alias("ordinal"),
+        )
+
+    nothing = spark.createDataFrame([], notes.NOTES)
+    held = notes.note_changes(nothing, scored(parts.filter("p_partkey % 3 > 0"), FIRST_SCORE, F.lit("first")))
+    verdict = F.when(F.col("p_partkey") % 4 == 0, "first").otherwise("second")
+    changes = notes.note_changes(held.select("note_name", "folder", "file_name", "head"), scored(parts, NEXT_SCORE, verdict))
+    path = lambda folder, name: F.concat(F.col(folder), F.lit("/"), F.col(name))
+    return changes.select("note_name", "change", path("folder", "file_name").alias("path"), path("old_folder", "old_file_name").alias("old_path"), "head")

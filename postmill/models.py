@@ -19,7 +19,10 @@ from pyspark.sql import types as T
 from postmill import fixed_values as fixed
 from postmill.functions.text import clamp_score, filled, strip, trimmed_body
 from postmill.functions.titles import title_tokens
+from postmill.operators.keyed import top_k
 from postmill.operators.rules import FILTERED, PASSES, UNDECIDED, triage_gate, verdict_of
+from postmill.session import stage
+from postmill.state import BucketedTable
 
 REPLY = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
 TRIAGE_REPLY = (
@@ -112,34 +115,81 @@ def token_overlap_score(text: Column, wanted: tuple[str, ...]) -> Column:
     return F.floor(F.size(F.array_intersect(words, title_tokens(text))) * 100 / max(len(wanted), 1)).cast("int")
 
 
-def extract_in_batches(posts: DataFrame, model: Callable[[list[dict]], list[dict]], size: int = fixed.POSTS_PER_BATCH) -> DataFrame:
-    """Posts to extracted questions, `size` posts per model call; a failed call marks its posts.
+QUESTIONS = (
+    "array<struct<name:string,type:string,what:string,solution_hint:string,follow_ups:string,"
+    "examination_points:array<string>,round:string,role:string>>"
+)
+ANSWERS = "thread_id string, questions string, error string, tries int"
 
-    `model` takes posts (thread_id, title, tag_line, body) and returns thread_id + questions.
-    """
-    narrow = posts.select(
+
+def _post_texts(posts: DataFrame) -> DataFrame:
+    return posts.select(
         F.col("thread_id").cast("string").alias("thread_id"), filled("title").alias("title"),
         filled("tag_line").alias("tag_line"), trimmed_body("op_body").alias("body"),
     )
 
+
+def _answers(model: Callable[[list[dict]], list[dict]], size: int, tries: int, wait: float):
+    """A mapInPandas function: `size` posts a call, each call tried `tries` times with growing waits."""
+
+    def call(part: list[dict]) -> tuple[dict, str | None, int]:
+        for attempt in range(1, tries + 1):
+            try:
+                return {r["thread_id"]: r.get("questions", []) for r in model(part)}, None, attempt
+            except Exception as exc:
+                failure = str(exc)[:200] or type(exc).__name__
+                if attempt < tries:
+                    time.sleep(wait * attempt)
+        return {}, failure, tries
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for start in range(0, len(frame), size):
                 part = frame.iloc[start : start + size].to_dict("records")
-                try:
-                    found, error = {r["thread_id"]: r.get("questions", []) for r in model(part)}, None
-                except Exception as exc:
-                    found, error = {}, str(exc)[:200]
+                found, error, used = call(part)
                 yield pd.DataFrame(
-                    [
-                        {"thread_id": p["thread_id"], "questions": json.dumps(found.get(p["thread_id"], [])), "error": error}
-                        for p in part
-                    ]
+                    [{"thread_id": p["thread_id"], "questions": json.dumps(found.get(p["thread_id"], [])), "error": error, "tries": used} for p in part]
                 )
 
-    raw = narrow.mapInPandas(run, "thread_id string, questions string, error string")
-    schema = (
-        "array<struct<name:string,type:string,what:string,solution_hint:string,follow_ups:string,"
-        "examination_points:array<string>,round:string,role:string>>"
-    )
-    return raw.withColumn("questions", F.from_json("questions", schema))
+    return run
+
+
+def extract_in_batches(
+    posts: DataFrame, model: Callable[[list[dict]], list[dict]], size: int = fixed.POSTS_PER_BATCH, tries: int = 1, wait: float = 2.0
+) -> DataFrame:
+    """Posts to extracted questions, `size` posts per model call; a failed call marks its posts.
+
+    `model` takes posts (thread_id, title, tag_line, body) and returns thread_id + questions.
+    """
+    raw = _post_texts(posts).mapInPandas(_answers(model, size, tries, wait), ANSWERS).drop("tries")
+    return raw.withColumn("questions", F.from_json("questions", QUESTIONS))
+
+
+def extract_resumably(
+    posts: DataFrame, model: Callable[[list[dict]], list[dict]], attempts: BucketedTable, size: int = fixed.POSTS_PER_BATCH,
+    tries: int = 3, wait: float = 2.0, waves: int = 1,
+) -> DataFrame:
+    """The same with a table of attempts (ANSWERS by thread_id), from which a run that was cut short goes on.
+
+    Posts are asked for in `waves`, each a share of the table's buckets, and each wave's answers are in the table
+    before the next is asked, so a lost driver costs one wave. A post with an answer is never sent again;
+    one whose calls all failed stays with its error and is sent by the next run. Posts share a thread id
+    only if they are the same post: one of them is sent.
+    """
+    texts = _post_texts(posts).filter("thread_id IS NOT NULL")
+
+    def newest(held: DataFrame, new: DataFrame) -> DataFrame:
+        # An answer that stands is not replaced by a failure of a run beside this one.
+        both = held.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+        return top_k(both, ["thread_id"], [F.col("error").isNotNull().asc(), F.col("_new").desc()], 1).drop("_new")
+
+    for wave in range(waves):
+        share = texts.filter(attempts.bucket() % waves == wave)
+        done = attempts.read(buckets=range(wave, attempts.buckets, waves)).filter("error IS NULL")
+        due = share.join(done, "thread_id", "left_anti").groupBy("thread_id").agg(*[F.max(c).alias(c) for c in ("title", "tag_line", "body")])
+        # Written out once: the model must not be asked again for a second reading of its answers.
+        answers = stage(due.mapInPandas(_answers(model, size, tries, wait), ANSWERS))
+        if not answers.isEmpty():
+            attempts.merge(answers, newest)
+    known = attempts.read().join(texts.select("thread_id").distinct(), "thread_id", "left_semi")
+    return known.withColumn("questions", F.from_json("questions", QUESTIONS))

@@ -1,12 +1,15 @@
-"""Sinks: snapshot with history, append logs, versioned state, text documents."""
+"""Sinks: snapshot with history, append logs, text documents."""
 
 from __future__ import annotations
 
-import re
+import json
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from postmill.files import Folder
 
 HISTORY_KEYS = (
     "generated_at", "report_date", "source", "message_count", "job_count", "resolved_count",
@@ -19,22 +22,31 @@ def run_parts(now: datetime) -> tuple[str, str]:
 
 
 def write_snapshot(df: DataFrame, root: str, group: str, now: datetime, summary: dict | None = None) -> str:
-    """Snapshot of this run, its dated copy, and one log row.
+    """Dated copy of this run, the pointer that makes it the group's snapshot, and one log row.
 
-    The dated copy is written first and the snapshot reads it back, so the plan runs once.
+    The pointer is one small file, put in place by a rename after the copy stands whole, so a reader sees
+    the snapshot before or this one, and a failed write changes nothing.
     """
     day, slug = run_parts(now)
     history = f"{root}/history/{group}/report_date={day}/{slug}"
-    snapshot = f"{root}/{group}"
     df.write.mode("overwrite").parquet(history)
-    df.sparkSession.read.parquet(history).write.mode("overwrite").parquet(snapshot)
+    Folder(df.sparkSession, root).write(f"{group}.current", json.dumps({"path": history, "schema": df.schema.json()}), replace=True)
     kept = {k: str(v) for k, v in (summary or {}).items() if k in HISTORY_KEYS}
-    row = [(now.isoformat(), day, slug, snapshot, history, kept)]
+    row = [(now.isoformat(), day, slug, f"{root}/{group}.current", history, kept)]
     schema = "logged_at string, report_date string, run_slug string, snapshot_path string, history_path string, summary map<string,string>"
     append_json(df.sparkSession.createDataFrame(row, schema), f"{root}/history/{group}_log")
     return history
 
 
+def read_snapshot(spark: SparkSession, root: str, group: str) -> DataFrame | None:
+    """The group's snapshot, null before the first one."""
+    text = Folder(spark, root).read(f"{group}.current")
+    if text is None:
+        return None
+    at = json.loads(text)
+    return spark.read.schema(StructType.fromJson(json.loads(at["schema"]))).parquet(at["path"])
+
+
 def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
@@ -44,66 +56,9 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-class VersionedTable:
-    """Key state as numbered parquet versions: a run reads the newest and writes the next.
-
-    A version counts once its writer's commit marker stands, so a lost driver leaves the old
-    state in place and the run can simply be repeated.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
-
-    def _folder(self):
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        target = hadoop.Path(self.path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target, hadoop
-
-    def versions(self) -> dict[int, str]:
-        """Committed versions: number -> folder name, which ends in the writer's mark if it gave one."""
-        fs, target, hadoop = self._folder()
-        if not fs.exists(target):
-            return {}
-        names = sorted(s.getPath().getName() for s in fs.listStatus(target))
-        return {
-            int(name[1:9]): name
-            for name in names
-            if re.fullmatch(r"v\d{8}(-.*)?", name) and fs.exists(hadoop.Path(hadoop.Path(target, name), "_SUCCESS"))
-        }
-
-    def newest(self) -> int:
-        return max(self.versions(), default=-1)
-
-    def marked(self, mark: str) -> bool:
-        """Whether a committed version carries `mark`."""
-        return any(name[9:] == f"-{mark}" for name in self.versions().values())
-
-    def read(self, version: int | None = None) -> DataFrame:
-        held = self.versions()
-        at = max(held, default=-1) if version is None else version
-        if at < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{held[at]}")
-
-    def write(self, df: DataFrame, version: int | None = None, mark: str = "", keep: int | None = None) -> int:
-        """Write a version; with `keep`, only so many of the newest committed ones stay."""
-        at = self.newest() + 1 if version is None else version
-        df.write.mode("overwrite").parquet(f"{self.path}/v{at:08d}{'-' + mark if mark else ''}")
-        if keep is not None:
-            fs, target, hadoop = self._folder()
-            for name in [n for _, n in sorted(self.versions().items())][: -max(1, keep)]:
-                fs.delete(hadoop.Path(target, name), True)
-        return at
-
-
 def write_document(lines: DataFrame, order: list[Column], path: str, text: str = "line") -> None:
     """Ordered lines as text part files whose name order is the line order.
 
     Range partitions keep any single task from holding the document.
     """
     lines.orderBy(*order).select(F.col(text).alias("value")).write.mode("overwrite").text(path)
-
-
-def write_notes(notes: DataFrame, path: str, folder: str = "folder", name: str = "file_name", text: str = "note") -> None:
-    """One row per note, partitioned by folder; a note's file name is a column, moves are new rows."""
-    notes.select(folder, name, text).write.mode("overwrite").partitionBy(folder).parquet(path)

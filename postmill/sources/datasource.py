@@ -19,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from postmill.sources.boards import PAGING
 
-#: Pages of a board that states no limit of its own.
+#: Pages of a board that states no limit of its own; a listing that goes on behind them ends in an error row.
 MOST_PAGES = 1_000
 #: Where a JSON listing keeps its items, and their number over all pages.
 ITEMS = {
@@ -73,7 +73,8 @@ class PagedReader(DataSourceReader):
         spec = partition.spec
         full, limit = PAGING.get(spec["ats"], (None, 1))
         seen: set[str] = set()
-        for page in range(spec.get("max_pages") or limit or MOST_PAGES):
+        own = spec.get("max_pages") or limit
+        for page in range(own or MOST_PAGES):
             try:
                 payload = fetch(spec, page)
             except Exception as exc:  # one failing board or page leaves the others alone
@@ -92,6 +93,8 @@ class PagedReader(DataSourceReader):
             seen.update(items)
             if (full and len(items) < full) or (total and len(seen) >= total):
                 return
+        if not own:
+            yield spec["name"], spec["ats"], MOST_PAGES, None, f"listing goes on after {MOST_PAGES} pages"
 
 
 class PagedBoards(DataSource):

@@ -1,4 +1,4 @@
-"""Scheduled incremental runs as availableNow streams over a versioned state table."""
+"""Scheduled incremental runs as availableNow streams over bucketed key state."""
 
 from __future__ import annotations
 
@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.operators.keyed import keep_first, unseen, upsert_seen
-from postmill.sinks import VersionedTable
+from postmill.state import BucketedTable
 
 
 def run_seen_stream(
     stream: DataFrame,
-    table: VersionedTable,
+    table: BucketedTable,
     keys: Sequence[str],
     seen_at: Callable[[], Column],
     ordinal: str,
@@ -24,8 +24,8 @@ def run_seen_stream(
 ) -> None:
     """Take everything available, then stop. Each batch hands on its unseen keys and moves the state.
 
-    A batch starts from the newest version, whoever wrote it, and its own version carries the
-    stream's id and the batch's number. A batch that is run again after its version stood is passed
+    A batch reads and rewrites only the buckets of its keys. It starts from the newest version, whoever
+    wrote it, and its own version carries the stream's id and the batch's number. A batch that is run again after its version stood is passed
     over; one that failed before that starts from the same newest version again. So streams with
     checkpoints of their own can follow each other on one state. `keep` bounds the versions kept.
     """
@@ -36,11 +36,10 @@ def run_seen_stream(
         if table.marked(mark):
             return
         taken = batch.persist()
-        held = table.read()
         if on_new:
             first = keep_first(taken, keys, ordinal)
-            on_new(unseen(first, held, keys), number)
-        table.write(upsert_seen(held, taken, keys, seen_at(), ordinal, attributes), mark=mark, keep=keep)
+            on_new(unseen(first, table.read_for(taken), keys), number)
+        table.merge(taken, lambda held, new: upsert_seen(held, new, keys, seen_at(), ordinal, attributes), mark=mark, keep=keep)
         taken.unpersist()
 
     query = (

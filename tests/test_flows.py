@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from postmill import models, schemas
 from postmill.operators import archive, handbook, inbox, keyed, rules
 from postmill.plans import jobs as flow
-from postmill.sinks import VersionedTable, append_json, read_json_lines, write_document, write_snapshot
+from postmill.sinks import append_json, read_json_lines, read_snapshot, write_document, write_snapshot
+from postmill.state import BucketedTable
 from postmill.sources import boards, datasource, mail, posts
 
 
@@ -211,18 +212,21 @@ def test_batch_extraction_marks_failures(spark):
     assert (counts["posts"], counts["raw_questions"], counts["failed_posts"], counts["questions"]) == (20, 12, 8, 3)
 
 
-def test_state_versions_and_snapshots(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path / "state"), "k string, v int")
-    assert table.newest() == -1 and table.read().count() == 0
-    table.write(spark.createDataFrame([("a", 1)], "k string, v int"))
-    (tmp_path / "state" / "v00000001").mkdir()
-    assert table.newest() == 0 and table.read().count() == 1
+def test_snapshots_and_logs(spark, tmp_path):
     df = spark.createDataFrame([("x", 1)], "k string, v int")
     for day in (1, 2):
         write_snapshot(df, str(tmp_path), "jobs", datetime(2026, 1, day), {"job_count": 1, "other": 2})
     log = read_json_lines(spark, str(tmp_path / "history" / "jobs_log"), "run_slug string, summary map<string,string>")
     assert log.count() == 2 and log.first()["summary"] == {"job_count": "1"}
     assert spark.read.parquet(str(tmp_path / "history" / "jobs")).count() == 2
+    assert read_snapshot(spark, str(tmp_path), "other") is None
+    reader = read_snapshot(spark, str(tmp_path), "jobs")
+    broken = df.withColumn("v", F.raise_error(F.lit("lost")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        write_snapshot(broken, str(tmp_path), "jobs", datetime(2026, 1, 3))
+    write_snapshot(df.limit(0), str(tmp_path), "jobs", datetime(2026, 1, 4))
+    # A reader that began before goes on with what it saw; a new one sees the newest whole snapshot.
+    assert reader.count() == 1 and read_snapshot(spark, str(tmp_path), "jobs").count() == 0
     append_json(df, str(tmp_path / "log"))
     (tmp_path / "log" / "bad.json").write_text("{broken\n")
     assert read_json_lines(spark, str(tmp_path / "log"), "k string, v int").count() == 1
@@ -245,7 +249,7 @@ def test_stream_in_two_runs_equals_one_upsert(spark, tmp_path):
     schema = "k string, t int, n int"
     first = spark.createDataFrame([("a", 1, 1), ("b", 2, 2), ("a", 3, 3)], schema)
     second = spark.createDataFrame([("a", 9, 4), ("c", 9, 5)], schema)
-    table = VersionedTable(spark, str(tmp_path / "state"), "k string, first_seen_at int, last_seen_at int")
+    table = BucketedTable(spark, str(tmp_path / "state"), "k string, first_seen_at int, last_seen_at int", ["k"], 4)
     fresh = []
     for batch in (first, second):
         batch.write.mode("append").parquet(str(tmp_path / "in"))
@@ -258,7 +262,7 @@ def test_stream_in_two_runs_equals_one_upsert(spark, tmp_path):
 def test_a_second_stream_goes_on_from_the_newest_state(spark, tmp_path):
     from postmill.streaming.incremental import run_seen_stream
 
-    table = VersionedTable(spark, str(tmp_path / "state"), "k string, first_seen_at int, last_seen_at int")
+    table = BucketedTable(spark, str(tmp_path / "state"), "k string, first_seen_at int, last_seen_at int", ["k"], 4)
 
     def run(rows, folder, checkpoint, **options):
         spark.createDataFrame(rows, "k string, t int, n int").write.mode("append").parquet(str(tmp_path / folder))
@@ -272,11 +276,10 @@ def test_a_second_stream_goes_on_from_the_newest_state(spark, tmp_path):
     run([("b", 2, 2)], "one", "cp1")
     run([("d", 3, 3)], "two", "cp2")
     assert keys() == ["a", "b", "d"] and len(table.versions()) == 3
-    mark = table.versions()[2][10:]
-    assert table.marked(mark) and not table.marked("other-0")
-    # a version whose writer was lost before the commit is neither read nor in the way
-    spark.createDataFrame([("x", 1, 1)], "k string, t int, n int").write.parquet(str(tmp_path / "state" / "v00000003-lost-0"))
-    (tmp_path / "state" / "v00000003-lost-0" / "_SUCCESS").unlink()
+    mark = json.loads(table.folder.read(f"versions/{table.versions()[2]}"))["mark"]
+    assert mark and table.marked(mark) and not table.marked("other-0")
+    # rows whose writer was lost before its manifest are neither read nor in the way
+    spark.createDataFrame([("x", 1, 1)], "k string, t int, n int").write.parquet(str(tmp_path / "state" / "data" / "lost"))
     assert keys() == ["a", "b", "d"]
     run([("e", 4, 4)], "two", "cp2", keep=2)
     assert keys() == ["a", "b", "d", "e"] and sorted(table.versions()) == [2, 3]
