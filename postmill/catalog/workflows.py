@@ -336,12 +336,12 @@ def listing_stream(spark, sf):
         F.lit('<time title="'), F.date_format("at", "yyyy-MM-dd HH:mm:ss"), F.lit('"></time><a href="https://www.1point3acres.com/bbs/thread-'), key,
         F.lit('-1-1.html"><div class="flex-1">Order '), key, F.lit("</div></a>"),
     )
-    # A page is a day's threads, the newest day first, so that no window holds a company.
-    days = threads.select("company", F.to_date("at").alias("day")).distinct()
-    paged = days.withColumn("page", F.row_number().over(Window.partitionBy("company").orderBy(F.col("day").desc())) - 1)
-    lines = threads.withColumn("day", F.to_date("at")).join(paged, ["company", "day"]).withColumn("value", row)
+    # A page is a month's threads, the newest month first; the window sees one row per month.
+    months = threads.select("company", F.trunc("at", "month").alias("month")).distinct()
+    paged = months.withColumn("page", F.row_number().over(Window.partitionBy("company").orderBy(F.col("month").desc())) - 1)
+    lines = threads.withColumn("month", F.trunc("at", "month")).join(paged, ["company", "month"]).withColumn("value", row)
     lines.repartition("company", "page").sortWithinPartitions("company", "page", F.col("at").desc()).select("company", "page", "value").write.partitionBy("company", "page").text(base)
-    names = [r[0] for r in days.select("company").distinct().collect()]
+    names = [r[0] for r in months.select("company").distinct().collect()]
     specs = [{"name": n, "folder": f"{base}/company={n}"} for n in names]
     for number, until in enumerate(("1998-01-01 00:00:00", "1998-04-01 00:00:00")):
         run_listing_stream(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Callable
 from html.entities import html5
 
@@ -112,6 +113,10 @@ def tidy_lines(value: Column) -> Column:
     return F.regexp_replace(spaced, r"^[ \n]+|[ \n]+\z", "")
 
 
+#: Maps that the entity names are dealt into.
+ENTITY_PARTS = 256
+
+
 def _codepoint(number: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
 
@@ -141,14 +146,26 @@ def _decode_number(digits: Column, base: int) -> Column:
     return let(number, render)
 
 
+def _entity_table() -> Column:
+    """All entity names as small maps, dealt by a checksum: a map is searched key by key, so one of nine keys is read, not one of all."""
+    parts: list[dict[str, str]] = [{} for _ in range(ENTITY_PARTS)]
+    for name, char in html5.items():
+        parts[zlib.crc32(name.encode()) % ENTITY_PARTS][name] = char
+    return F.from_json(F.lit(json.dumps(parts)), "array<map<string,string>>")
+
+
+def _entity_named(names: Column, name: Column) -> Column:
+    return F.try_element_at(F.get(names, (F.crc32(name.cast("binary")) % ENTITY_PARTS).cast("int")), name)
+
+
 def _decode_entity(entity: Column, names: Column) -> Column:
     """One entity by the HTML5 table, longest unterminated prefix included."""
     bare = F.substring(entity, 2, 40)
     prefixes = [
-        F.concat(F.try_element_at(names, F.substring(bare, 1, n)), F.substring(bare, n + 1, 40))
+        F.concat(_entity_named(names, F.substring(bare, 1, n)), F.substring(bare, n + 1, 40))
         for n in range(6, 1, -1)
     ]
-    named = F.coalesce(F.try_element_at(names, bare), *prefixes, entity)
+    named = F.coalesce(_entity_named(names, bare), *prefixes, entity)
     hexa = F.regexp_extract(entity, r"^&#[xX]([0-9a-fA-F]+);?$", 1)
     deci = F.regexp_extract(entity, r"^&#([0-9]+);?$", 1)
     out = F.when(entity == "&copy;", "©").when(entity == "&middot;", "·")
@@ -176,7 +193,7 @@ def unescape(value: Column | str) -> Column:
     """
     text = col(value)
     rare = text.rlike(r"&(?!(?:amp|lt|gt|quot|nbsp|#39);)[#A-Za-z]")
-    table = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    table = _entity_table()
     found = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
     decoded = F.transform(found, lambda e: let(table, lambda names: _decode_entity(e, names)))
     woven = F.array_join(

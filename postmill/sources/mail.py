@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import email
 import email.policy
-from collections.abc import Iterable
+from bisect import bisect_left
+from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,44 +110,65 @@ def card_jobs(messages: DataFrame) -> DataFrame:
     )
 
 
+def _places(hints: Sequence[str | None], lines: Sequence[str]) -> list[int | None]:
+    """For each hint the place of its title line, walking on: the first equal line from the last one taken on, else the first that holds it."""
+    where: dict[str, list[int]] = {}
+    for at, line in enumerate(lines):
+        where.setdefault(line, []).append(at)
+    # How far the lines are known not to hold a hint: no line is read twice for one hint.
+    read: dict[str, int] = {}
+    out, cursor = [], 0
+    for hint in hints:
+        if not hint:
+            out.append(None)
+            continue
+        equal = where.get(hint, [])
+        nth = bisect_left(equal, cursor)
+        if nth < len(equal):
+            at = equal[nth]
+        else:
+            at = max(cursor, read.get(hint, 0))
+            while at < len(lines) and hint not in lines[at]:
+                at += 1
+            read[hint] = at
+            if at == len(lines):
+                out.append(None)
+                continue
+        cursor = at + 1
+        out.append(cursor)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def title_places(hints: pd.Series, lines: pd.Series) -> pd.Series:
+    return pd.Series([_places(list(h), list(given)) for h, given in zip(hints, lines, strict=True)], dtype=object)
+
+
 def _pair_cards(anchors: Column, lines: Column) -> Column:
-    """Walk a mail's job links in order and give each the text card that follows its title line.
+    """Give each of a mail's job links, in order, the text card that follows its title line.
 
-    The cursor moves past every title line taken, so equal titles meet their own cards. A title
-    line is the first equal line from the cursor on, else the first containing it; the card is
-    the first of the next three lines with the separator.
+    The walk moves past every title line taken, so equal titles meet their own cards. Positions are found
+    in one walk over the lines; the card is the first of the next three lines with the separator.
     """
-    both = F.struct(lines.alias("lines"), F.transform(lines, lambda x: F.lower(strip(x))).alias("low"))
-    return let(both, lambda given: _walk(anchors, given["lines"], given["low"]))
-
-
-def _walk(anchors: Column, lines: Column, low: Column) -> Column:
-    result = "array<struct<title:string,company:string,location:string>>"
-    start = F.struct(F.lit(0).alias("cursor"), F.array().cast(result).alias("cards"))
-
-    def step(state: Column, anchor: Column) -> Column:
-        hint = F.lower(strip(anchor["hint"]))
-        # the remaining lines as a slice; array_position finds the first equal one by itself
-        ahead = F.slice(low, state["cursor"] + 1, F.greatest(F.size(low), F.lit(1)))
-        equal = F.nullif(F.array_position(ahead, hint), F.lit(0))
-        holding = F.try_element_at(F.filter(ahead, lambda x: x.contains(hint)), F.lit(1))
-        found = F.coalesce(equal, F.array_position(ahead, holding)).cast("int") + state["cursor"]
-        at = F.when(anchor["open"] & (hint != ""), found)
-        card = F.try_element_at(
-            F.filter(F.slice(lines, F.coalesce(at, F.lit(0)) + 1, 3), lambda x: x.contains(fixed.CARD_SEPARATOR)), F.lit(1)
-        )
-        taken = F.struct(
-            F.when(card.isNotNull(), anchor["hint"]).otherwise("").alias("title"),
-            F.coalesce(strip(F.substring_index(card, fixed.CARD_SEPARATOR, 1)), F.lit("")).alias("company"),
-            F.coalesce(strip(F.substr(card, F.instr(card, fixed.CARD_SEPARATOR) + len(fixed.CARD_SEPARATOR))), F.lit("")).alias("location"),
-        )
-        blank = F.struct(F.lit("").alias("title"), F.lit("").alias("company"), F.lit("").alias("location"))
-        return F.struct(
-            F.coalesce(at, state["cursor"]).alias("cursor"),
-            F.concat(state["cards"], F.array(F.when(at.isNotNull(), taken).otherwise(blank))).alias("cards"),
+    hints = F.transform(anchors, lambda a: F.when(a["open"], F.lower(strip(a["hint"]))))
+    places = title_places(hints, F.transform(lines, lambda x: F.lower(strip(x))))
+    blank = F.struct(F.lit("").alias("title"), F.lit("").alias("company"), F.lit("").alias("location"))
+
+    def card_at(anchor: Column, at: Column) -> Column:
+        near = F.filter(F.slice(lines, F.coalesce(at, F.lit(0)) + 1, 3), lambda x: x.contains(fixed.CARD_SEPARATOR))
+        return let(
+            F.try_element_at(near, F.lit(1)),
+            lambda card: F.when(
+                at.isNotNull(),
+                F.struct(
+                    F.when(card.isNotNull(), anchor["hint"]).otherwise("").alias("title"),
+                    F.coalesce(strip(F.substring_index(card, fixed.CARD_SEPARATOR, 1)), F.lit("")).alias("company"),
+                    F.coalesce(strip(F.substr(card, F.instr(card, fixed.CARD_SEPARATOR) + len(fixed.CARD_SEPARATOR))), F.lit("")).alias("location"),
+                ),
+            ).otherwise(blank),
         )
 
-    return F.aggregate(anchors, start, step, lambda s: s["cards"])
+    return F.zip_with(anchors, places, card_at)
 
 
 def link_jobs(messages: DataFrame, companies: Iterable[str] | None = None) -> DataFrame:
@@ -182,7 +204,7 @@ def link_jobs(messages: DataFrame, companies: Iterable[str] | None = None) -> Da
             ((filled(j["parts"]["title"]) == "") | (filled(j["parts"]["company"]) == "")).alias("open"),
         ),
     )
-    paired = split.withColumn("cards", _pair_cards(anchors, F.col("lines")))
+    paired = split.withColumn("anchors", anchors).withColumn("cards", _pair_cards(F.col("anchors"), F.col("lines")))
     each = paired.select(
         "ordinal", "message_id", "date", "subject", "found",
         F.posexplode(F.arrays_zip("jobs", "cards")).alias("at", "z"),

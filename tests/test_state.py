@@ -214,3 +214,31 @@ def test_replies_are_repaired():
     assert json.loads(repaired(whole)) == json.loads(whole)
     for end in range(1, len(whole)):
         json.loads(repaired(whole[:end]))
+
+
+def test_title_lines_are_found_in_one_walk():
+    import random
+    import time
+
+    from postmill.sources.mail import _places
+
+    def slow(hints, lines):
+        out, cursor = [], 0
+        for hint in hints:
+            ahead = lines[cursor:]
+            hit = next((i for i, x in enumerate(ahead) if x == hint), None) if hint else None
+            if hit is None and hint:
+                hit = next((i for i, x in enumerate(ahead) if hint in x), None)
+            out.append(None if hit is None else cursor + hit + 1)
+            cursor = cursor if hit is None else cursor + hit + 1
+        return out
+
+    rnd = random.Random(4)
+    for _ in range(300):
+        lines = [rnd.choice(["a", "b", "ab", "xab", "c d", ""]) for _ in range(rnd.randrange(30))]
+        hints = [rnd.choice(["a", "b", "ab", "d", "zz", "", None]) for _ in range(rnd.randrange(12))]
+        assert _places(hints, lines) == slow(hints, lines), (hints, lines)
+    lines = [f"title {i} of many" if i % 3 else f"title {i}" for i in range(30_000)]
+    started = time.perf_counter()
+    got = _places([f"title {3 * i}" for i in range(10_000)] + ["nowhere"] * 10_000, lines)
+    assert got[:3] == [1, 4, 7] and got[-1] is None and time.perf_counter() - started < 2
