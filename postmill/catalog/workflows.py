@@ -389,3 +389,39 @@ def note_moves(spark, sf):
     changes = notes.note_changes(held.select("note_name", "folder", "file_name", "head"), scored(parts, NEXT_SCORE, verdict))
     path = lambda folder, name: F.concat(F.col(folder), F.lit("/"), F.col(name))
     return changes.select("note_name", "change", path("folder", "file_name").alias("path"), path("old_folder", "old_file_name").alias("old_path"), "head")
+
+
+@query(
+    "lookup_openings",
+    """SELECT p_brand AS board, p_partkey::VARCHAR AS id, trim(p_name) AS title, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_type END AS location,
+  'https://jobs/' || p_partkey AS url, 'Size ' || p_size || chr(10) || 'of ' || p_type AS description, p_size % 2 = 0 AS asked_late FROM part""",
+)
+def lookup_openings(spark, sf):
+    """Each brand as a board whose page is fetched once: half of the brands in a first run, all by a second, and a third that may not fetch."""
+    from postmill.session import shared_folder
+    from postmill.sources import lookup
+    from postmill.state import BucketedTable
+
+    base = f"{shared_folder(spark)}/lookup-{uuid.uuid4().hex}"
+    parts = table(spark, sf, "part")
+    key = F.col("p_partkey").cast("string")
+    job = F.to_json(F.struct(
+        key.alias("id"), F.concat(F.lit(" "), "p_name").alias("title"), F.concat(F.lit("https://jobs/"), key).alias("absolute_url"),
+        F.when(F.col("p_size") % 3 > 0, F.struct(F.col("p_type").alias("name"))).alias("location"),
+        F.concat(F.lit("<p>Size "), F.col("p_size").cast("string"), F.lit("</p><p>of "), "p_type", F.lit("</p>")).alias("content"),
+    ))
+    # A board's page is one text by nature: its jobs, some hundred, are joined in their order.
+    pages = parts.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", job.alias("job")))).alias("jobs"))
+    listed = F.concat(F.lit('{"jobs": ['), F.array_join(F.transform("jobs", lambda j: j["job"]), ","), F.lit("]}"))
+    folder = F.translate(F.col("p_brand"), "#", "-")
+    pages.select(folder.alias("board"), F.lit(0).alias("page"), listed.alias("value")).repartition("board").write.partitionBy("board", "page").text(base)
+    cache = BucketedTable(spark, f"{base}-cache", lookup.CACHED, lookup.KEYS, 8)
+    settings = F.to_json(F.struct(F.concat(F.lit(f"{base}/board="), folder).alias("folder")))
+    wanted = parts.select(F.lit("greenhouse").alias("ats"), F.col("p_brand").alias("board"), settings.alias("settings"), "p_size")
+    now = F.lit("2026-01-02 00:00:00").cast("timestamp")
+    lookup.read_through(wanted.filter("board < 'Brand#3'"), cache, "postmill.streaming.listings:written_page", now)
+    lookup.read_through(wanted, cache, "postmill.streaming.listings:written_page", now)
+    held = lookup.read_through(wanted, cache, "postmill.sources.lookup:not_reached", now)
+    found = lookup.greenhouse_openings(held)
+    late = parts.select(key.alias("id"), (F.col("p_size") % 2 == 0).alias("asked_late"))
+    return found.join(late, "id").select("board", "id", "title", "location", "url", "description", "asked_late")

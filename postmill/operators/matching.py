@@ -32,7 +32,7 @@ from postmill.session import stage
 
 LOCATION_REACH = 4  # the most a location adds to a score
 #: The longest posting whose openings are scored one by one.
-LEAF = 8
+LEAF = 16
 
 
 def contained_in(outer: DataFrame, inner: DataFrame) -> DataFrame:

@@ -221,9 +221,13 @@ def review_section(run_label: str) -> Column:
     return F.concat_ws("\n\n", head, *[F.concat(F.lit(f"### {k}\n"), v) for k, v in parts])
 
 
+#: Openings that a notification names.
+TOP_NAMED = 5
+
+
 def summary_message(report_date: str, counts: DataFrame, top: DataFrame) -> DataFrame:
-    """The run's notification, one row, at most 2000 characters."""
-    names = top.agg(
+    """The run's notification, one row, at most 2000 characters; names the first five of `top`, however many it has."""
+    names = top.orderBy("place").limit(TOP_NAMED).agg(
         F.array_join(
             F.transform(
                 F.array_sort(F.collect_list(F.struct("place", "company", "title", "match_score"))),

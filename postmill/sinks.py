@@ -52,10 +52,16 @@ def append_json(df: DataFrame, path: str) -> None:
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Lines that do not parse are skipped."""
+    """Lines that do not parse are left out; `bad_json_lines` has them."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def bad_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows (file, line) of the lines that `read_json_lines` leaves out."""
+    read = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    return read.withColumn("file", F.col("_metadata.file_path")).filter("_bad IS NOT NULL").select("file", F.col("_bad").alias("line"))
+
+
 def write_document(lines: DataFrame, order: list[Column], path: str, text: str = "line") -> None:
     """Ordered lines as text part files whose name order is the line order.
 

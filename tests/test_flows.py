@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from postmill import models, schemas
 from postmill.operators import archive, handbook, inbox, keyed, rules
 from postmill.plans import jobs as flow
-from postmill.sinks import append_json, read_json_lines, read_snapshot, write_document, write_snapshot
+from postmill.sinks import append_json, bad_json_lines, read_json_lines, read_snapshot, write_document, write_snapshot
 from postmill.state import BucketedTable
 from postmill.sources import boards, datasource, mail, posts
 
@@ -230,6 +230,8 @@ def test_snapshots_and_logs(spark, tmp_path):
     append_json(df, str(tmp_path / "log"))
     (tmp_path / "log" / "bad.json").write_text("{broken\n")
     assert read_json_lines(spark, str(tmp_path / "log"), "k string, v int").count() == 1
+    (bad,) = bad_json_lines(spark, str(tmp_path / "log"), "k string, v int").collect()
+    assert bad.line == "{broken" and bad.file.endswith("/log/bad.json")
     lines = spark.range(50).select(F.col("id"), F.concat(F.lit("line "), F.col("id").cast("string")).alias("line"))
     write_document(lines, [F.col("id").asc()], str(tmp_path / "doc"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "doc").glob("part-*")))
@@ -285,6 +287,20 @@ def test_a_second_stream_goes_on_from_the_newest_state(spark, tmp_path):
     assert keys() == ["a", "b", "d", "e"] and sorted(table.versions()) == [2, 3]
 
 
+def test_a_listing_without_an_end_tells_so(monkeypatch):
+    import sys
+
+    module = type(datasource)("endless_stub")
+    module.fetch = lambda spec, page: json.dumps({"data": {"job_post_list": [{"id": page * 100 + i} for i in range(100)]}})
+    monkeypatch.setitem(sys.modules, "endless_stub", module)
+    monkeypatch.setattr(datasource, "MOST_PAGES", 3)
+    reader = datasource.PagedReader({"specs": "[]", "fetch": "endless_stub:fetch"})
+    rows = list(reader.read(datasource.Board({"name": "n", "ats": "tiktok_usds"})))
+    assert [r[2] for r in rows] == [0, 1, 2, 3] and rows[-1][3] is None and "goes on" in rows[-1][4]
+    bounded = list(reader.read(datasource.Board({"name": "n", "ats": "tiktok_usds", "max_pages": 2})))
+    assert [r[2] for r in bounded] == [0, 1] and not any(r[4] for r in bounded)
+
+
 def test_paging_rules():
     def read(spec, pages):
         reader = datasource.PagedReader({"specs": "[]", "fetch": "x:y"})

@@ -216,29 +216,47 @@ def test_replies_are_repaired():
         json.loads(repaired(whole[:end]))
 
 
-def test_title_lines_are_found_in_one_walk():
-    import random
-    import time
-
-    from postmill.sources.mail import _places
-
-    def slow(hints, lines):
-        out, cursor = [], 0
-        for hint in hints:
-            ahead = lines[cursor:]
-            hit = next((i for i, x in enumerate(ahead) if x == hint), None) if hint else None
-            if hit is None and hint:
-                hit = next((i for i, x in enumerate(ahead) if hint in x), None)
-            out.append(None if hit is None else cursor + hit + 1)
-            cursor = cursor if hit is None else cursor + hit + 1
-        return out
-
-    rnd = random.Random(4)
-    for _ in range(300):
-        lines = [rnd.choice(["a", "b", "ab", "xab", "c d", ""]) for _ in range(rnd.randrange(30))]
-        hints = [rnd.choice(["a", "b", "ab", "d", "zz", "", None]) for _ in range(rnd.randrange(12))]
-        assert _places(hints, lines) == slow(hints, lines), (hints, lines)
-    lines = [f"title {i} of many" if i % 3 else f"title {i}" for i in range(30_000)]
-    started = time.perf_counter()
-    got = _places([f"title {3 * i}" for i in range(10_000)] + ["nowhere"] * 10_000, lines)
-    assert got[:3] == [1, 4, 7] and got[-1] is None and time.perf_counter() - started < 2
+def test_a_board_is_fetched_once_until_it_is_old(spark, tmp_path):
+    import sys
+
+    from postmill.sources import lookup
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    stub = tmp_path / "board_stub.py"
+    stub.write_text(
+        "import pathlib, uuid\n"
+        "def fetch(spec, page):\n"
+        f"    (pathlib.Path({str(calls)!r}) / (spec['name'] + '-' + uuid.uuid4().hex)).touch()\n"
+        "    if spec['name'] == 'down':\n"
+        "        raise ConnectionError('no answer')\n"
+        "    return None if spec['name'] == 'bare' else '{\"jobs\": [{\"id\": \"' + spec['name'] + '\", \"title\": \" A  b\"}]}'\n"
+    )
+    spark.sparkContext.addPyFile(str(stub))
+    sys.path.insert(0, str(tmp_path))
+    cache = BucketedTable(spark, str(tmp_path / "cache"), lookup.CACHED, lookup.KEYS, 4)
+
+    def ask(names, day):
+        wanted = spark.createDataFrame([("greenhouse", n, None) for n in names], "ats string, board string, settings string")
+        before = len(list(calls.iterdir()))
+        pages = lookup.read_through(wanted, cache, "board_stub:fetch", F.lit(f"2026-01-{day:02d}").cast("timestamp"), max_age_days=5)
+        found = {r.board: r.title for r in lookup.greenhouse_openings(pages.filter("payload IS NOT NULL")).collect()}
+        return found, len(list(calls.iterdir())) - before
+
+    assert ask(["a", "a", "b", "bare", "down", None], 1) == ({"a": "A b", "b": "A b"}, 4)
+    assert ask(["a", "bare"], 2) == ({"a": "A b"}, 0)
+    assert ask(["a", "c", "down"], 3) == ({"a": "A b", "c": "A b"}, 2)
+    assert ask(["a", "c"], 7) == ({"a": "A b", "c": "A b"}, 1)
+    assert ask([], 8) == ({}, 0)
+
+
+def test_lookup_rows(spark):
+    from postmill.sources import lookup
+
+    card = '<a href="/careers/x"><p> Engineer </p><span>NY; SF</span><span>Apply</span></a>'
+    pages = spark.createDataFrame([(card, 0), (card, 1)], "payload string, page int")
+    (row,) = lookup.cursor_openings(pages, "cursor", F.lit("2026-01-01").cast("timestamp")).collect()
+    assert (row.title, row.location, row.url) == ("Engineer", "NY |  SF", "https://cursor.com/careers/x")
+    detail = '{"name": "N", "company": {"name": " C "}, "location": {"fullLocation": "L"}, "jobAd": {"sections": {"jobDescription": {"title": "T", "text": "<p>x</p>"}}}}'
+    (one,) = lookup.smartrecruiters_detail(spark.createDataFrame([("7", detail), ("8", "broken")], "id string, payload string").filter("id = 7"), "b").collect()
+    assert tuple(one) == ("7", "N", "C", "L", "https://jobs.smartrecruiters.com/b/7", "T\nx")
