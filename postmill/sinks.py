@@ -58,8 +58,9 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def bad_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows (file, line) of the lines that `read_json_lines` leaves out."""
-    read = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return read.withColumn("file", F.col("_metadata.file_path")).filter("_bad IS NOT NULL").select("file", F.col("_bad").alias("line"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")).filter(F.trim("line") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    return lines.filter(F.from_json("line", f"{schema}, _bad string", options)["_bad"].isNotNull())
 
 
 def write_document(lines: DataFrame, order: list[Column], path: str, text: str = "line") -> None:
