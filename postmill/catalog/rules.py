@@ -74,36 +74,50 @@ PLACES = r.GeoRules(non_us_keywords=("asia", " europe", "nation_1"), unknown_pol
 METRO = r.CityRules(allowed_cities=("America", "NATION_2"))
 
 
+STRICT = r.GeoRules(non_us_keywords=PLACES.non_us_keywords, unknown_policy="filter")
+NEAR_ONLY = r.CityRules(allowed_cities=METRO.allowed_cities, allow_remote=False)
+PLACE_FORMS = """CASE c_custkey % 9 WHEN 0 THEN n_name || ', ' || r_name WHEN 1 THEN '' WHEN 2 THEN ' ' WHEN 3 THEN 'United States'
+  WHEN 4 THEN n_name || ' Hybrid' WHEN 5 THEN n_name || ', remotely' WHEN 6 THEN r_name || ', USA' WHEN 7 THEN (c_custkey % 50) || ' Locations' ELSE n_name END"""
+
+
 @query(
     "geo_filter",
-    """
+    f"""
 WITH placed AS (
-  SELECT c_custkey, n_name || ', ' || r_name AS location
-  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+  SELECT c_custkey, {PLACE_FORMS} AS location
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+told AS (SELECT *, trim(location) AS t, regexp_matches(location, '\\b(united states|usa)\\b', 'i') AS us,
+  CASE WHEN regexp_matches(location, '\\basia\\b', 'i') THEN 'asia' WHEN regexp_matches(location, '\\beurope\\b', 'i') THEN 'europe'
+       WHEN regexp_matches(location, '\\bnation_1\\b', 'i') THEN 'nation_1' END AS away,
+  regexp_matches(location, 'america|nation_2', 'i') AS near, regexp_matches(location, '\\b(remote|hybrid)\\b', 'i') AS off_site FROM placed)
 SELECT c_custkey, location,
-  NOT regexp_matches(location, '\\b(asia|europe|nation_1)\\b', 'i') AS is_us,
-  CASE WHEN regexp_matches(location, '\\basia\\b', 'i') THEN 'asia'
-       WHEN regexp_matches(location, '\\beurope\\b', 'i') THEN 'europe'
-       WHEN regexp_matches(location, '\\bnation_1\\b', 'i') THEN 'nation_1'
-       ELSE 'none' END AS reason,
-  regexp_matches(location, 'america|nation_2', 'i') AS at_triage,
-  regexp_matches(location, 'america|nation_2', 'i') AS at_scan,
-  regexp_matches(location, 'america|nation_2', 'i') AS in_rules
-FROM placed""",
+  t = '' OR us OR away IS NULL AS is_us,
+  CASE WHEN t = '' THEN 'empty' WHEN us THEN 'us-mentioned' ELSE coalesce(away, 'none') END AS reason,
+  t <> '' AND us AS is_us_strict,
+  CASE WHEN t = '' THEN 'empty (filter policy)' WHEN us THEN 'us-mentioned' ELSE coalesce(away, 'unknown (filter policy)') END AS reason_strict,
+  t = '' OR near OR off_site OR regexp_matches(t, '^(united states|[0-9]+ locations)$', 'i') AS at_triage,
+  location = '' OR near OR off_site AS at_scan,
+  location = '' OR near OR regexp_matches(location, 'remote|hybrid', 'i') AS in_rules,
+  location = '' OR near AS near_only
+FROM told""",
 )
 def geo_filter(spark, sf):
+    """Places in nine forms: blank, vague, with a US token, hybrid, and `remotely`, which holds a word only as a part."""
     placed = (
         table(spark, sf, "customer")
         .join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("c_custkey", F.concat_ws(", ", "n_name", "r_name").alias("location"))
+        .select("c_custkey", F.expr(PLACE_FORMS).alias("location"))
     )
-    return placed.withColumn("_us", r.us_location("location", PLACES)).select(
+    judged = placed.withColumn("_us", r.us_location("location", PLACES)).withColumn("_strict", r.us_location("location", STRICT))
+    return judged.select(
         "c_custkey", "location", F.col("_us.is_us").alias("is_us"),
         F.coalesce("_us.reason", F.lit("none")).alias("reason"),
+        F.col("_strict.is_us").alias("is_us_strict"), F.col("_strict.reason").alias("reason_strict"),
         r.passes_city_at_triage("location", METRO).alias("at_triage"),
         r.passes_city_at_scan("location", METRO).alias("at_scan"),
         r.passes_city_in_rules("location", METRO).alias("in_rules"),
+        r.passes_city_at_scan("location", NEAR_ONLY).alias("near_only"),
     )
 
 
