@@ -203,3 +203,37 @@ def triage_gate(spark, sf):
     return table(spark, sf, "documents").select(
         "doc_id", F.coalesce(r.triage_gate(status, "text"), F.lit("ok")).alias("gate")
     )
+
+
+NAMED = "CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN upper(source) ELSE ' ' || source || ' ' END"
+
+
+@query(
+    "company_choices",
+    f"""
+WITH d AS (SELECT doc_id, source, trim({NAMED}) AS who FROM documents)
+SELECT doc_id,
+  CASE WHEN who = 'src1' THEN 'greenhouse:one' WHEN who = 'SRC1' THEN 'lever:other' WHEN lower(who) = 'src2' THEN 'ashby:two' END AS resolver,
+  CASE WHEN lower(who) = 'src3' THEN 'three' ELSE source || '-default' END AS setting,
+  doc_id % 2 = 0 AS chosen, source = 'src4' AS chosen_by_name, doc_id % 4 = 1 AS goes_on
+FROM d""",
+)
+def company_choices(spark, sf):
+    """Companies in three spellings: their board by exact and by loose name, a setting, two ways to choose them, and what the rules let pass."""
+    from postmill.operators.reports import passing_jobs
+
+    named = table(spark, sf, "documents").select("doc_id", "source", F.expr(NAMED).alias("who"))
+    spec = r.resolver_for("who", {"src1": ("greenhouse", "one"), "SRC1": ("lever", "other"), "src2": ("ashby", "two")})
+    companies = named.select("doc_id", F.col("source").alias("slug"), (F.col("doc_id") % 2 == 0).alias("enabled"))
+    status = F.when(F.col("doc_id") % 4 == 0, "filtered").when(F.col("doc_id") % 4 == 1, "passes_rules").when(F.col("doc_id") % 4 == 2, "ambiguous")
+    out = named.withColumn("_spec", spec)
+    for flag, kept in (
+        ("chosen", r.select_companies(companies)), ("chosen_by_name", r.select_companies(companies, "src4")),
+        ("goes_on", passing_jobs(named.select("doc_id", status.alias("filter_status")))),
+    ):
+        out = out.join(kept.select("doc_id", F.lit(True).alias(flag)), "doc_id", "left")
+    return out.select(
+        "doc_id", F.when(F.col("_spec").isNotNull(), F.concat_ws(":", "_spec.type", "_spec.board")).alias("resolver"),
+        r.company_setting("who", {"Src3": "three", "src3": "late"}, F.concat("source", F.lit("-default"))).alias("setting"),
+        *[F.coalesce(c, F.lit(False)).alias(c) for c in ("chosen", "chosen_by_name", "goes_on")],
+    )
