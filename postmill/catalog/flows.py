@@ -115,3 +115,28 @@ def flow_candidates(spark, sf):
         F.array(F.lit("ftp://a.example"), first, second, F.lit("")).alias("links"),
     )
     return flows.external_candidates(jobs)
+
+
+@query(
+    "public_pages",
+    """
+SELECT 'job' || doc_id AS job_key, CASE WHEN doc_id % 4 = 2 THEN 'https://www.linkedin.com/comm/search?currentJobId=' || doc_id ELSE 'https://www.linkedin.com/jobs/view/' || doc_id END AS external_jd_url,
+  'linkedin_public' AS external_jd_status,
+  'Lines & more : ' || source || chr(10) || trim(repeat('work ', (n_chars % 80)::INTEGER)) AS jd_text,
+  'Title ' || lang AS jd_title, source AS jd_company, lang AS jd_location
+FROM documents WHERE doc_id % 4 IN (1, 2) AND doc_id % 5 <> 0
+  AND length(regexp_replace('Lines & more : ' || source || chr(10) || trim(repeat('work ', (n_chars % 80)::INTEGER)), '\\s+', ' ', 'g')) >= 200""",
+)
+def public_pages(spark, sf):
+    """Public posting pages as the last resort: short texts, pages without the markup, and links to other hosts or places fall out."""
+    docs = table(spark, sf, "documents").withColumn("id", F.col("doc_id").cast("string"))
+    jobs = docs.select(F.concat(F.lit("job"), "id").alias("job_key"), F.concat(F.lit("Title "), "lang").alias("title"), F.col("source").alias("company"), F.col("lang").alias("location"))
+    link = F.expr("""CASE doc_id % 4 WHEN 0 THEN concat('https://www.linkedin.com/in/', id) WHEN 1 THEN concat('https://www.linkedin.com/jobs/view/', id)
+      WHEN 2 THEN concat('https://www.linkedin.com/comm/search?currentJobId=', id) ELSE concat('https://example.com/jobs/view/', id) END""")
+    text = F.concat(F.lit("<b>Lines &amp; more</b>: "), "source", F.lit("<br>"), F.expr("repeat('work ', cast(n_chars % 80 as int))"))
+    mark = F.when(F.col("doc_id") % 5 == 0, "description").otherwise("show-more-less-html__markup show")
+    page = F.concat(F.lit('<html><title>x</title><div class="'), mark, F.lit('" dir="ltr">'), text, F.lit("</div><div>other</div></html>"))
+    fetched = docs.select(F.concat(F.lit("job"), "id").alias("job_key"), link.alias("linkedin_url"), page.alias("html"))
+    return flows.resolve_from_public_page(jobs, fetched).select(
+        "job_key", "external_jd_url", "external_jd_status", "jd_text", "jd_title", "jd_company", "jd_location"
+    )
