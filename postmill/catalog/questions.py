@@ -51,35 +51,68 @@ def normalized_clusters(spark, sf):
     return h.canonical_questions(asked(spark, sf), "at").select("type", "name", "frequency")
 
 
-@query(
-    "canonical_rows",
-    LINES
-    + """, q AS (SELECT thread_id, type, name, seen_at, substr(name, 1, 4) AS cluster,
-    CASE thread_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '未注明' ELSE 'round ' || (thread_id % 3) END AS round,
-    CASE WHEN thread_id % 3 = 0 THEN [] ELSE ['p' || (length(name) % 5), 'p' || (thread_id % 2), ' '] END AS points FROM asked),
+# What a model would have read out of a thread, derived from thread and line.
+READ_OUT = {
+    "round": "CASE thread_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '未注明' ELSE 'round ' || (thread_id % 3) END",
+    "difficulty": "CASE WHEN thread_id % 6 = 5 THEN '未注明' WHEN thread_id % 6 > 2 THEN 'level ' || (length(name) % 3) END",
+    "what": "CASE WHEN thread_id % 7 = 3 THEN 'Task: ' || name WHEN thread_id % 7 = 4 THEN '  ' END",
+    "solution_hint": "CASE WHEN thread_id % 9 = 2 THEN ' Try ' || length(name) END",
+    "pitfalls": "CASE WHEN thread_id % 11 = 5 THEN 'Mind ' || (length(name) % 10) END",
+    "follow_ups": "CASE WHEN thread_id % 13 = 1 THEN 'Then ' || (thread_id % 10) END",
+}
+READ_POINTS = "CASE WHEN thread_id % 3 = 0 THEN [] ELSE ['p' || (length(name) % 5), 'p' || (thread_id % 2), ' '] END"
+READ = f""", q AS (SELECT thread_id, type, name, seen_at, substr(name, 1, 4) AS cluster, {READ_POINTS} AS points,
+  {", ".join(f"{sql} AS {name}" for name, sql in READ_OUT.items())} FROM asked),
 types AS (SELECT cluster, type, count(DISTINCT thread_id) AS n, min(seen_at) AS s FROM q GROUP BY ALL),
 rounds AS (SELECT cluster, round, count(DISTINCT thread_id) AS n, min(seen_at) AS s FROM q WHERE round <> '未注明' GROUP BY ALL),
-t AS (SELECT cluster, type FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, s) AS k FROM types) WHERE k = 1),
-r AS (SELECT cluster, round FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, s) AS k FROM rounds) WHERE k = 1),
-c AS (SELECT cluster, min_by(name, seen_at) AS name, list_sort(list_distinct(list(name))) AS spellings, count(DISTINCT thread_id) AS frequency,
-  list_sort(list_distinct(list_filter(flatten(list(points)), lambda p: trim(p) <> ''))) AS points FROM q GROUP BY cluster)
-SELECT cluster, name, array_to_string(list_filter(spellings, lambda a: a <> name), '|') AS aliases, type, frequency,
-  array_to_string(points, '|') AS examination_points, coalesce(round, '未注明') AS round
-FROM c JOIN t USING (cluster) LEFT JOIN r USING (cluster)""",
-)
-def canonical_rows(spark, sf):
-    """Lines as questions, their first four letters as the cluster; rounds and points derived from thread and line."""
+levels AS (SELECT cluster, difficulty, count(DISTINCT thread_id) AS n, min(seen_at) AS s FROM q WHERE difficulty <> '未注明' GROUP BY ALL),
+t AS (SELECT cluster, type FROM types QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, s) = 1),
+r AS (SELECT cluster, round FROM rounds QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, s) = 1),
+d AS (SELECT cluster, difficulty FROM levels QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, s) = 1),
+c AS (SELECT cluster, min_by(name, seen_at) AS name, count(DISTINCT name) - 1 AS aliases, count(DISTINCT thread_id) AS frequency,
+  min_by(trim(what), seen_at) FILTER (WHERE trim(what) <> '') AS told, min_by(trim(solution_hint), seen_at) FILTER (WHERE solution_hint IS NOT NULL) AS common_solutions,
+  min_by(pitfalls, seen_at) FILTER (WHERE pitfalls IS NOT NULL) AS common_pitfalls, min_by(follow_ups, seen_at) FILTER (WHERE follow_ups IS NOT NULL) AS follow_ups FROM q GROUP BY cluster),
+v AS (SELECT q.cluster, 'alias' AS kind, q.name AS value, count(DISTINCT thread_id) AS threads, min(seen_at) AS first_at FROM q JOIN c ON q.cluster = c.cluster AND q.name <> c.name GROUP BY ALL
+  UNION ALL SELECT cluster, 'point', p, count(DISTINCT thread_id), min(seen_at) FROM (SELECT cluster, thread_id, seen_at, unnest(points) AS p FROM q) WHERE trim(p) <> '' GROUP BY ALL),
+full_rows AS (SELECT c.cluster, name, type, frequency, aliases, (SELECT count(*) FROM v WHERE v.cluster = c.cluster AND kind = 'point') AS points,
+  coalesce(round, '未注明') AS round, coalesce(difficulty, '未注明') AS difficulty,
+  coalesce(told, '楼主仅提及题名，未公开具体题面/约束。建议直接查阅 thread_ids 中的原帖与楼下回复。') AS description, common_solutions, common_pitfalls, follow_ups,
+  CASE WHEN told IS NULL THEN 'low' WHEN coalesce(common_solutions, follow_ups) IS NULL THEN 'medium' ELSE 'high' END AS source_quality
+  FROM c JOIN t USING (cluster) LEFT JOIN r USING (cluster) LEFT JOIN d USING (cluster))
+"""
+
+
+def four_letters(name):
+    return F.substring(name, 1, 4)
+
+
+def read_out(questions):
     thread = F.col("thread_id")
-    asked_with = asked(spark, sf).withColumns({
-        "round": F.when(thread % 4 == 0, F.lit(None)).when(thread % 4 == 1, "未注明").otherwise(F.concat(F.lit("round "), (thread % 3).cast("string"))),
+    return questions.withColumns({
+        **{name: F.expr(sql) for name, sql in READ_OUT.items()},
         "examination_points": F.when(thread % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(
             F.concat(F.lit("p"), (F.length("name") % 5).cast("string")), F.concat(F.lit("p"), (thread % 2).cast("string")), F.lit(" "))),
     })
-    found = h.canonical_rows(asked_with, "at", cluster_key=lambda name: F.substring(name, 1, 4))
-    return found.select(
-        "cluster", "name", F.array_join("aliases", "|").alias("aliases"), "type", "frequency",
-        F.array_join("examination_points", "|").alias("examination_points"), "round",
-    )
+
+
+@query(
+    "canonical_rows",
+    LINES + READ + "SELECT * FROM full_rows",
+)
+def canonical_rows(spark, sf):
+    """Lines as questions, their first four letters as the cluster; what a model reads out derived from thread and line."""
+    questions = read_out(asked(spark, sf))
+    facts = h.question_facts(questions, "at", four_letters)
+    return h.canonical_rows(facts, h.question_texts(questions, "at", four_letters)).drop("first_at")
+
+
+@query(
+    "canonical_values",
+    LINES + READ + "SELECT * FROM v",
+)
+def canonical_values(spark, sf):
+    """Aliases and points of the clusters of `canonical_rows`, a row each."""
+    return h.canonical_values(h.question_facts(read_out(asked(spark, sf)), "at", four_letters))
 
 
 @query(
@@ -145,46 +178,52 @@ def handbook_lines(spark, sf):
 @query(
     "handbook_document",
     TYPED
-    + f""", q AS (SELECT thread_id, type, name, seen_at, substr(name, 1, 4) AS cluster, 'round ' || (thread_id % 3) AS round, ['p' || (length(name) % 5)] AS points FROM asked),
-types AS (SELECT cluster, type, count(DISTINCT thread_id) AS n, min(seen_at) AS s FROM q GROUP BY ALL),
-rounds AS (SELECT cluster, round, count(DISTINCT thread_id) AS n, min(seen_at) AS s FROM q GROUP BY ALL),
-t AS (SELECT cluster, type FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, s) AS k FROM types) WHERE k = 1),
-r AS (SELECT cluster, round FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, s) AS k FROM rounds) WHERE k = 1),
-c AS (SELECT cluster, min_by(name, seen_at) AS name, list_sort(list_distinct(list(name))) AS spellings, count(DISTINCT thread_id) AS frequency,
-  list_sort(list_distinct(flatten(list(points)))) AS points, list_sort(list_distinct(list(thread_id))) AS threads FROM q GROUP BY cluster),
-f AS (SELECT *, list_filter(spellings, lambda a: a <> name) AS aliases, {LABEL} AS label, CASE type WHEN 'coding' THEN 1 WHEN 'sd' THEN 2 WHEN 'math' THEN 5 END AS place,
+    + READ
+    + f""", f AS (SELECT full_rows.*, {LABEL} AS label, CASE type WHEN 'coding' THEN 1 WHEN 'sd' THEN 2 WHEN 'math' THEN 5 END AS place, threads[1] AS thread,
   array_to_string(list_transform(threads[:8], lambda i: '[#' || i || '](https://www.1point3acres.com/bbs/thread-' || i || '-1-1.html)'), ' · ')
-    || CASE WHEN len(threads) > 8 THEN ' + ' || (len(threads) - 8) || ' 帖' ELSE '' END AS links FROM c JOIN t USING (cluster) JOIN r USING (cluster)),
+    || CASE WHEN len(threads) > 8 THEN ' + ' || (len(threads) - 8) || ' 帖' ELSE '' END AS links
+  FROM full_rows JOIN (SELECT cluster, list_sort(list_distinct(list(thread_id))) AS threads FROM q GROUP BY cluster) USING (cluster)),
 n AS (SELECT (SELECT count(*) FROM documents) AS posts, (SELECT count(*) FROM asked) AS raw, (SELECT count(*) FROM documents WHERE doc_id % 50 = 7) AS failed, (SELECT count(*) FROM f) AS questions,
   (SELECT count(*) FROM f WHERE frequency = 1) AS rare, (SELECT count(*) FROM f WHERE frequency >= 2) AS often),
-body AS (SELECT place, frequency, name, ['## ' || name || ' _(频次 ' || frequency || ' · ' || label || ' · ' || round || ')_', '']
-   || CASE WHEN len(aliases) > 0 THEN ['**别名**：' || array_to_string(aliases, ', '), ''] ELSE [] END
-   || ['**考查点**：'] || list_transform(points, lambda x: '- ' || x) || [''] || ['**来源**：' || links, '', '---', ''] AS lines FROM f WHERE place IS NOT NULL),
+ends AS (SELECT cluster, min(value) AS lo, max(value) AS hi FROM v WHERE kind = 'alias' GROUP BY cluster),
+body AS (
+  SELECT f.*, unnest([0, 1, 17, 18]) AS "at", '' AS item, unnest(['## ' || name || ' _(频次 ' || frequency || ' · ' || label || CASE WHEN round = '未注明' THEN '' ELSE ' · ' || round END || ')_', '', '---', '']) AS line FROM f
+  UNION ALL SELECT f.*, 3, '', '' FROM f WHERE aliases > 0
+  UNION ALL SELECT f.*, unnest([4, 6]), '', unnest(['**考查点**：', '']) FROM f WHERE points > 0
+  UNION ALL SELECT f.*, unnest([7, 8]), '', unnest(['**题面**' || CASE source_quality WHEN 'high' THEN '' WHEN 'medium' THEN ' _(题面综合自有限描述)_' ELSE ' ⚠️ _(楼主未给题面，仅题名记录)_' END || '：' || description, '']) FROM f
+  UNION ALL SELECT f.*, unnest([9, 10]), '', unnest(['**主要解法**：' || common_solutions, '']) FROM f WHERE common_solutions IS NOT NULL
+  UNION ALL SELECT f.*, unnest([11, 12]), '', unnest(['**踩坑**：' || common_pitfalls, '']) FROM f WHERE common_pitfalls IS NOT NULL
+  UNION ALL SELECT f.*, unnest([13, 14]), '', unnest(['**Follow-up**：' || follow_ups, '']) FROM f WHERE follow_ups IS NOT NULL
+  UNION ALL SELECT f.*, unnest([15, 16]), '', unnest(['**来源**：' || links, '']) FROM f
+  UNION ALL SELECT f.*, 2, value, CASE WHEN value = lo THEN '**别名**：' ELSE '' END || value || CASE WHEN value = hi THEN '' ELSE ',' END
+    FROM f JOIN v USING (cluster) JOIN ends USING (cluster) WHERE kind = 'alias'
+  UNION ALL SELECT f.*, 5, value, '- ' || value FROM f JOIN v USING (cluster) WHERE kind = 'point'),
 fixed AS (
   SELECT 0 AS part, 0 AS section, ['# Acme 面试复习手册', '', '> **来源**：[1point3acres Acme 面试经验](https://jobs.1point3acres.com/companies/acme/interview)',
     '> **数据范围**：' || posts || ' 帖（前 20 页，约 2025–2026）', '> **抓取日期**：2026-01-02', '> **聚合后题目数**：' || questions, '', '---', ''] AS lines FROM n
   UNION ALL SELECT 1, 0, ['## 速览：高频题榜（≥2 次）', ''] || CASE WHEN often > 0 THEN ['| # | 题目 | 类型 | 频次 | 难度 | 主要场次 |', '|---|---|---|---|---|---|'] ELSE ['（暂无频次 ≥2 的题——数据可能太少）'] END FROM n
   UNION ALL SELECT 1, 2, ['', '---', ''] FROM n
   UNION ALL SELECT 3, 0, ['## 罕见题（频次 = 1，共 ' || rare || ' 道）', '', '_仅出现过一次，复习时可略过；准备充分后再扫一遍。_', ''] FROM n WHERE rare > 0
-  UNION ALL SELECT 4, 0, ['---', '', '## 元信息', '', '- 帖子总数：' || posts, '- 抽出原始题数：' || raw, '- 聚合后不同题数：' || questions]
+  UNION ALL SELECT 3, 2, [''] FROM n WHERE rare > 0
+  UNION ALL SELECT 4, 0, ['---', '', '## 元信息', '', '- 抓取脚本：`handbook.py`', '- 模型：`rules`（两阶段：map + reduce）', '- 帖子总数：' || posts, '- 抽出原始题数：' || raw, '- 聚合后不同题数：' || questions]
     || CASE WHEN failed > 0 THEN ['- ⚠️ Stage1 LLM 失败：' || failed || ' 帖'] ELSE [] END FROM n),
 board AS (SELECT *, row_number() OVER (ORDER BY frequency DESC, name, type, cluster) AS k FROM f WHERE frequency >= 2 QUALIFY k <= 50)
-SELECT part::INTEGER AS part, section::INTEGER AS section, 0::BIGINT AS rank, '' AS name, (unnest(generate_series(1, len(lines))) - 1)::INTEGER AS "at", unnest(lines) AS line FROM fixed
-UNION ALL SELECT 1, 1, 0, '', (k - 1)::INTEGER, '| ' || k || ' | **' || name || '** | ' || label || ' | ' || frequency || ' | 未注明 | ' || round || ' |' FROM board
-UNION ALL SELECT 2, place, -frequency, name, (unnest(generate_series(1, len(lines))) - 1)::INTEGER, unnest(lines) FROM body
-UNION ALL SELECT 3, 1, -frequency, name, 0, '- **[' || name || '](https://www.1point3acres.com/bbs/thread-' || threads[1] || '-1-1.html)** _' || label || '_ — ' FROM f WHERE frequency = 1""",
+SELECT part::INTEGER AS part, section::INTEGER AS section, 0::BIGINT AS rank, '' AS name, '' AS cluster, (unnest(generate_series(1, len(lines))) - 1)::INTEGER AS "at", '' AS item, unnest(lines) AS line FROM fixed
+UNION ALL SELECT 1, 1, 0, '', '', (k - 1)::INTEGER, '', '| ' || k || ' | **' || name || '** | ' || label || ' | ' || frequency || ' | ' || difficulty || ' | ' || round || ' |' FROM board
+UNION ALL SELECT 2, place, -frequency, name, cluster, "at"::INTEGER, item, line FROM body WHERE place IS NOT NULL
+UNION ALL SELECT 3, 1, -frequency, name, cluster, 0, '', '- **[' || name || '](https://www.1point3acres.com/bbs/thread-' || thread || '-1-1.html)** _' || label || '_ — '
+  || CASE WHEN length(description) > 120 THEN substr(description, 1, 120) || '…' ELSE description END FROM f WHERE frequency = 1""",
 )
 def handbook_document(spark, sf):
-    """The handbook of all lines, clustered by their first four letters, with links and counts."""
+    """The handbook of all lines, clustered by their first four letters, with texts, links and counts."""
     kind = F.when(F.col("type") == "en", "coding").when(F.col("type") == "fr", "sd").when(F.col("type") == "de", "math").otherwise("other")
-    questions = asked(spark, sf).withColumns({
-        "type": kind, "round": F.concat(F.lit("round "), (F.col("thread_id") % 3).cast("string")),
-        "examination_points": F.array(F.concat(F.lit("p"), (F.length("name") % 5).cast("string"))),
-    })
-    found = h.canonical_rows(questions, "at", cluster_key=lambda name: F.substring(name, 1, 4))
-    members = questions.select(F.substring("name", 1, 4).alias("cluster"), "thread_id")
+    questions = read_out(asked(spark, sf).withColumn("type", kind))
+    facts = h.question_facts(questions, "at", four_letters)
+    found = h.canonical_rows(facts, h.question_texts(questions, "at", four_letters))
+    members = questions.select(four_letters("name").alias("cluster"), "thread_id")
     none = table(spark, sf, "labels").select(F.col("doc_id").alias("thread_id"), F.lit("").alias("href")).filter("thread_id < 0")
     lines = F.filter(F.transform(F.split("text", "\n"), collapse_ws), lambda x: x != "")
     extracted = table(spark, sf, "documents").select("doc_id", lines.alias("questions"), F.when(F.col("doc_id") % 50 == 7, "timeout").alias("error"))
     counts = h.handbook_counts(extracted, found)
-    return h.handbook_document(found, h.source_links(members, none, ["cluster"]), counts, "Acme", "2026-01-02")
+    links = h.source_links(members, none, ["cluster"])
+    return h.handbook_document(found, h.canonical_values(facts), links, counts, "Acme", "2026-01-02", script="handbook.py", model="rules")

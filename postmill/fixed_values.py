@@ -136,10 +136,16 @@ HANDBOOK_BOARD = "## 速览：高频题榜（≥{minimum} 次）"
 HANDBOOK_BOARD_ALL = ("## 速览：题目总览（全部 ", " 题，按频次降序）")
 HANDBOOK_BOARD_HEAD = ("| # | 题目 | 类型 | 频次 | 难度 | 主要场次 |", "|---|---|---|---|---|---|")
 HANDBOOK_BOARD_NONE = "（暂无频次 ≥{minimum} 的题——数据可能太少）"
-HANDBOOK_ALIASES, HANDBOOK_POINTS, HANDBOOK_TASK, HANDBOOK_SOURCES = "**别名**：", "**考查点**：", "**题面**：", "**来源**："
+HANDBOOK_ALIASES, HANDBOOK_POINTS, HANDBOOK_SOURCES = "**别名**：", "**考查点**：", "**来源**："
+HANDBOOK_TASK = ("**题面**", "：")
+HANDBOOK_BADGES = {"medium": " _(题面综合自有限描述)_", "low": " ⚠️ _(楼主未给题面，仅题名记录)_"}
+HANDBOOK_SOLUTIONS, HANDBOOK_PITFALLS, HANDBOOK_FOLLOW_UPS = "**主要解法**：", "**踩坑**：", "**Follow-up**："
+QUESTION_UNTOLD = "楼主仅提及题名，未公开具体题面/约束。建议直接查阅 thread_ids 中的原帖与楼下回复。"
 HANDBOOK_RARE = ("## 罕见题（频次 = 1，共 ", " 道）")
 HANDBOOK_RARE_NOTE = "_仅出现过一次，复习时可略过；准备充分后再扫一遍。_"
 HANDBOOK_META = ("## 元信息", "- 帖子总数：", "- 抽出原始题数：", "- 聚合后不同题数：")
+HANDBOOK_SCRIPT = ("- 抓取脚本：`", "`")
+HANDBOOK_MODEL = ("- 模型：`", "`（两阶段：map + reduce）")
 HANDBOOK_FAILED = ("- ⚠️ Stage1 LLM 失败：", " 帖")
 DIFFICULTY_LABELS = {"Easy": "Easy", "Med.": "Medium", "Medium": "Medium", "Hard": "Hard"}
 

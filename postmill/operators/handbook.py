@@ -15,6 +15,7 @@ from postmill import fixed_values as fixed
 from postmill.functions.text import collapse_ws, present
 from postmill.functions.titles import title_norm
 from postmill.operators.keyed import number_rows, top_k, unseen
+from postmill.session import stage
 
 
 def flatten_questions(extracted: DataFrame) -> DataFrame:
@@ -67,42 +68,106 @@ def canonical_questions(
     )
 
 
-def canonical_rows(
-    questions: DataFrame,
-    ordinal: str,
-    cluster_key: Callable[[Column], Column] = lambda name: F.coalesce(present(title_norm(name)), collapse_ws(name)),
-) -> DataFrame:
-    """One row per cluster over all types, with what its threads agree on.
+def _named(name: Column) -> Column:
+    return F.coalesce(present(title_norm(name)), collapse_ws(name))
+
 
-    `questions`: thread_id, name, type, round, examination_points and `ordinal`. The type and the
-    round are those of most threads, the first seen among equals; a round that is not stated does
-    not count. Points and aliases are distinct and sorted; they are vocabularies, not thread lists,
-    and each is counted in combining steps before it becomes an array.
+def question_facts(questions: DataFrame, ordinal: str, cluster_key: Callable[[Column], Column] = _named) -> DataFrame:
+    """What the threads say of each cluster, in long form: (cluster, kind, value, threads, first_at), written once.
+
+    `questions`: thread_id, name, type, round, examination_points, optionally difficulty, and `ordinal`,
+    a unique number. Kinds are name, type, round, difficulty, point and thread, whose one value is empty
+    and whose count is the cluster's frequency. `threads` counts distinct threads, in two combining steps
+    over one reading of the questions. Rounds and difficulties that are not stated, blank points and
+    questions without a name are left out.
     """
-    base = questions.select(
-        cluster_key(F.col("name")).alias("cluster"), "thread_id", "name", bucket_of("type").alias("type"),
-        F.when(F.trim("round") != fixed.ROUND_UNSTATED, present(F.trim("round"))).alias("round"), "examination_points", F.col(ordinal).alias("_o"),
+
+    def stated(name: str) -> Column:
+        known = F.col(name) if name in questions.columns else F.lit(None).cast("string")
+        return F.when(F.trim(known) != fixed.ROUND_UNSTATED, present(F.trim(known)))
+
+    def fact(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+
+    single = F.array(
+        fact("thread", F.lit("")), fact("name", F.col("name")), fact("type", bucket_of("type")),
+        fact("round", stated("round")), fact("difficulty", stated("difficulty")),
     )
+    points = F.transform(
+        F.filter(F.coalesce("examination_points", F.array().cast("array<string>")), lambda x: F.trim(x) != ""),
+        lambda x: fact("point", x),
+    )
+    said = questions.filter(F.col("name").isNotNull()).select(
+        cluster_key(F.col("name")).alias("cluster"), "thread_id", F.col(ordinal).alias("_o"),
+        F.explode(F.concat(F.filter(single, lambda x: x["value"].isNotNull()), points)).alias("x"),
+    )
+    votes = said.groupBy("cluster", "x.kind", "x.value", "thread_id").agg(F.min("_o").alias("_o"))
+    return stage(votes.groupBy("cluster", "kind", "value").agg(F.count(F.lit(1)).alias("threads"), F.min("_o").alias("first_at")))
+
+
+#: Text columns of questions and what they become in a canonical row.
+QUESTION_TEXTS = {"what": "description", "solution_hint": "common_solutions", "pitfalls": "common_pitfalls", "follow_ups": "follow_ups"}
+
 
-    def most(value: str) -> DataFrame:
-        votes = base.filter(F.col(value).isNotNull()).groupBy("cluster", value, "thread_id").agg(F.min("_o").alias("_o"))
-        tally = votes.groupBy("cluster", value).agg(F.count(F.lit(1)).alias("n"), F.min("_o").alias("_o"))
-        return tally.groupBy("cluster").agg(F.max_by(value, F.struct("n", -F.col("_o"))).alias(value))
+def question_texts(questions: DataFrame, ordinal: str, cluster_key: Callable[[Column], Column] = _named) -> DataFrame:
+    """One row per cluster: description, common_solutions, common_pitfalls, follow_ups, source_quality.
 
-    spelled = base.groupBy("cluster", "name").agg(F.min("_o").alias("_o"))
-    names = spelled.groupBy("cluster").agg(F.min_by("name", "_o").alias("name"), F.array_sort(F.collect_list("name")).alias("spellings"))
-    points = (
-        base.select("cluster", F.explode("examination_points").alias("point")).filter(F.trim("point") != "").distinct()
-        .groupBy("cluster").agg(F.array_sort(F.collect_list("point")).alias("examination_points"))
+    Each text is the first that a question of the cluster states, whole; nothing is made up. The quality
+    is high with a task and a solution or follow-up, medium with a task alone, and low without a task,
+    whose description then says so. Text columns that `questions` lacks count as not stated.
+    """
+    known = {source: name for source, name in QUESTION_TEXTS.items() if source in questions.columns}
+    told = F.array(*[F.struct(F.lit(name).alias("kind"), present(F.trim(source)).alias("text")) for source, name in known.items()])
+    empty = F.array().cast("array<struct<kind:string,text:string>>")
+    said = questions.filter(F.col("name").isNotNull()).select(
+        cluster_key(F.col("name")).alias("cluster"), F.col(ordinal).alias("_o"),
+        F.explode_outer(F.filter(told if known else empty, lambda x: x["text"].isNotNull())).alias("x"),
     )
-    threads = base.select("cluster", "thread_id", "_o").groupBy("cluster", "thread_id").agg(F.min("_o").alias("_o"))
-    counted = threads.groupBy("cluster").agg(F.count(F.lit(1)).alias("frequency"), F.min("_o").alias("first_at"))
-    joined = counted.join(names, "cluster").join(most("type"), "cluster").join(most("round"), "cluster", "left").join(points, "cluster", "left")
-    return joined.select(
-        "cluster", "name", F.array_except("spellings", F.array("name")).alias("aliases"), "type", "frequency",
-        F.coalesce("examination_points", F.array().cast("array<string>")).alias("examination_points"),
-        F.coalesce("round", F.lit(fixed.ROUND_UNSTATED)).alias("round"), "first_at",
+    first = top_k(said.select("cluster", "_o", "x.*"), ["cluster", "kind"], [F.col("_o").asc()], 1)
+    rows = first.groupBy("cluster").agg(
+        *[F.max(F.when(F.col("kind") == name, F.col("text"))).alias(name) for name in QUESTION_TEXTS.values()]
     )
+    task, answer = F.col("description").isNotNull(), F.coalesce("common_solutions", "follow_ups").isNotNull()
+    return rows.withColumn(
+        "source_quality", F.when(task & answer, "high").when(task, "medium").otherwise("low")
+    ).withColumn("description", F.coalesce("description", F.lit(fixed.QUESTION_UNTOLD)))
+
+
+def canonical_rows(facts: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """One row per cluster over all types, with what its threads agree on.
+
+    `facts`: rows of `question_facts`. The type, round and difficulty are those of most threads, the
+    first seen among equals; the name is the first seen. Aliases and points are counted here and listed,
+    a row each, by `canonical_values`, so that no row grows with the corpus. `texts`: rows of
+    `question_texts`, without which the text columns are null.
+    """
+
+    def of(kind: str, value: Column | str) -> Column:
+        return F.when(F.col("kind") == kind, value if isinstance(value, Column) else F.col(value))
+
+    def most(kind: str) -> Column:
+        return F.max_by("value", of(kind, F.struct("threads", -F.col("first_at"))))
+
+    rows = facts.groupBy("cluster").agg(
+        F.min_by("value", of("name", "first_at")).alias("name"), most("type").alias("type"), F.max(of("thread", "threads")).alias("frequency"),
+        (F.count_if(F.col("kind") == "name") - 1).alias("aliases"), F.count_if(F.col("kind") == "point").alias("points"),
+        F.coalesce(most("round"), F.lit(fixed.ROUND_UNSTATED)).alias("round"),
+        F.coalesce(most("difficulty"), F.lit(fixed.ROUND_UNSTATED)).alias("difficulty"), F.min("first_at").alias("first_at"),
+    )
+    if texts is None:
+        return rows.withColumns({c: F.lit(None).cast("string") for c in (*QUESTION_TEXTS.values(), "source_quality")})
+    return rows.join(texts, "cluster", "left")
+
+
+def canonical_values(facts: DataFrame) -> DataFrame:
+    """Aliases and points of all clusters in long form: (cluster, kind alias or point, value, threads, first_at).
+
+    An alias is every spelling but the first seen. That one is known by its ordinal, which is unique, so
+    the anti join spreads evenly however many spellings one cluster has.
+    """
+    firsts = facts.filter("kind = 'thread'").select("cluster", "first_at")
+    aliases = facts.filter("kind = 'name'").join(firsts, ["cluster", "first_at"], "left_anti").withColumn("kind", F.lit("alias"))
+    return aliases.unionByName(facts.filter("kind = 'point'")).select("cluster", "kind", "value", "threads", "first_at")
 
 
 def with_ids(canonical: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -219,65 +284,83 @@ def handbook_lines(canonical: DataFrame, minimum: int = fixed.LEADERBOARD_MIN_FR
 
 
 def handbook_document(
-    canonical: DataFrame, links: DataFrame, counts: DataFrame, company: str, day: str, minimum: int = fixed.LEADERBOARD_MIN_FREQUENCY
+    canonical: DataFrame,
+    values: DataFrame,
+    links: DataFrame,
+    counts: DataFrame,
+    company: str,
+    day: str,
+    minimum: int = fixed.LEADERBOARD_MIN_FREQUENCY,
+    script: str | None = None,
+    model: str | None = None,
 ) -> DataFrame:
-    """The whole handbook as rows (part, section, rank, name, at, line); order by the first five to write it.
+    """The whole handbook as rows; order by (part, section, rank, name, cluster, at, item) to write it.
 
-    `canonical`: rows of `canonical_rows`, with `difficulty` and `description` where known. `links`: cluster
-    and its line of `source_links`. `counts`: the row of `handbook_counts`. A question becomes its lines
-    in one projection, so the document stays rows; only the leaderboard, which is bounded, is numbered
-    as a whole.
+    `canonical`, `values`: rows of `canonical_rows` and `canonical_values`. `links`: cluster and its line
+    of `source_links`. `counts`: the row of `handbook_counts`. `script` and `model` get a line each where
+    given. The document stays rows, one for each alias and point, too (`item` orders them; aliases are
+    lines of one paragraph). Only the leaderboard, which is bounded, is numbered as a whole.
     """
-    known = canonical.columns
-    unstated = F.lit(fixed.ROUND_UNSTATED)
-    held = canonical.join(links.select("cluster", "links"), "cluster", "left").withColumns({
-        "label": type_label("type"), "count": F.col("frequency").cast("string"), "section": section_ordinal("type"),
-        "difficulty": present("difficulty") if "difficulty" in known else F.lit(None).cast("string"),
-        "description": present("description") if "description" in known else F.lit(None).cast("string"),
-    })
-    stated = F.when(F.col("round") != unstated, F.concat(F.lit(" · "), "round")).otherwise("")
-    heading = F.concat(F.lit("## "), "name", F.lit(" _(频次 "), "count", F.lit(" · "), "label", stated, F.lit(")_"))
-
-    def paragraph(shown: Column, *parts: Column | str) -> Column:
-        return F.when(shown, F.array(F.concat(*parts), F.lit("")))
-
-    points = F.when(
-        F.size("examination_points") > 0,
-        F.concat(F.array(F.lit(fixed.HANDBOOK_POINTS)), F.transform("examination_points", lambda x: F.concat(F.lit("- "), x)), F.array(F.lit(""))),
+    alias, point = F.col("kind") == "alias", F.col("kind") == "point"
+    spans = values.groupBy("cluster").agg(
+        F.min(F.when(alias, F.col("value"))).alias("_first"), F.max(F.when(alias, F.col("value"))).alias("_last"), F.count_if(point).alias("_points")
     )
-    block = F.flatten(F.array_compact(F.array(
-        F.array(heading, F.lit("")),
-        paragraph(F.size("aliases") > 0, F.lit(fixed.HANDBOOK_ALIASES), F.array_join("aliases", ", ")),
-        points,
-        paragraph(F.col("description").isNotNull(), F.lit(fixed.HANDBOOK_TASK), "description"),
-        paragraph(F.col("links").isNotNull(), F.lit(fixed.HANDBOOK_SOURCES), "links"),
-        F.array(F.lit("---"), F.lit("")),
-    )))
+    held = stage(canonical.join(links.select("cluster", "links"), "cluster", "left").join(spans, "cluster", "left").withColumns({
+        "label": type_label("type"), "count": F.col("frequency").cast("string"), "section": section_ordinal("type"), "rank": -F.col("frequency"),
+    }))
+    round_part = F.when(F.col("round") != fixed.ROUND_UNSTATED, F.concat(F.lit(" · "), "round")).otherwise("")
+    heading = F.concat(F.lit("## "), "name", F.lit(" _(频次 "), "count", F.lit(" · "), "label", round_part, F.lit(")_"))
+    badge = F.lit("")
+    for quality, shown in fixed.HANDBOOK_BADGES.items():
+        badge = F.when(F.col("source_quality") == quality, shown).otherwise(badge)
+
+    def told(before: Column | str, name: str) -> list[Column]:
+        line = F.concat(F.lit(before) if isinstance(before, str) else before, present(name))
+        return [line, F.when(line.isNotNull(), "")]
+
+    # Places in a question's block; lines that are null are left out. The aliases are at 2, the points at 5.
+    block = [
+        (0, heading), (1, F.lit("")), (3, F.when(F.col("_first").isNotNull(), "")),
+        (4, F.when(F.col("_points") > 0, fixed.HANDBOOK_POINTS)), (6, F.when(F.col("_points") > 0, "")),
+        *enumerate((
+            *told(F.concat(F.lit(fixed.HANDBOOK_TASK[0]), badge, F.lit(fixed.HANDBOOK_TASK[1])), "description"),
+            *told(fixed.HANDBOOK_SOLUTIONS, "common_solutions"), *told(fixed.HANDBOOK_PITFALLS, "common_pitfalls"),
+            *told(fixed.HANDBOOK_FOLLOW_UPS, "follow_ups"), *told(fixed.HANDBOOK_SOURCES, "links"), F.lit("---"), F.lit(""),
+        ), 7),
+    ]
     first = F.regexp_extract(F.coalesce("links", F.lit("")), r"\]\(([^)]*)\)", 1)
-    told = F.coalesce("description", F.lit(""))
-    short = F.when(F.length(told) > 120, F.concat(F.substring(told, 1, 120), F.lit("…"))).otherwise(told)
+    task = F.trim(F.coalesce("description", F.lit("")))
+    short = F.when(F.length(task) > 120, F.concat(F.substring(task, 1, 120), F.lit("…"))).otherwise(task)
     once = F.concat(F.lit("- **["), "name", F.lit("]("), first, F.lit(")** _"), "label", F.lit("_ — "), short)
     rare = F.lit(minimum > 1) & (F.col("frequency") == 1)
 
-    def placed(part: int, section: Column, lines: Column) -> Column:
-        return F.transform(
-            lines, lambda line, at: F.struct(F.lit(part).alias("part"), section.alias("section"), at.alias("at"), line.alias("line"))
-        )
+    def placed(part: int, section: Column, at: Column, line: Column) -> Column:
+        return F.struct(F.lit(part).alias("part"), section.alias("section"), at.alias("at"), line.alias("line"))
 
-    nothing = F.array().cast("array<struct<part:int,section:int,at:int,line:string>>")
-    own = F.concat(
-        F.when(F.col("section").isNotNull(), placed(2, F.col("section"), block)).otherwise(nothing),
-        F.when(rare, placed(3, F.lit(1), F.array(once))).otherwise(nothing),
+    def lines(part: int, section: int, texts: Column) -> Column:
+        return F.transform(texts, lambda line, at: placed(part, F.lit(section), at, line))
+
+    own = F.array(
+        *[placed(2, F.col("section"), F.lit(at), F.when(F.col("section").isNotNull(), line)) for at, line in block],
+        placed(3, F.lit(1), F.lit(0), F.when(rare, once)),
+    )
+    key = ("rank", "name", "cluster")
+    questions = held.select(*key, F.lit("").alias("item"), F.explode(F.filter(own, lambda x: x["line"].isNotNull())).alias("x"))
+    listed_values = values.join(held.filter("section IS NOT NULL").select(*key, "section", "_first", "_last"), "cluster")
+    lead = F.when(F.col("value") == F.col("_first"), fixed.HANDBOOK_ALIASES).otherwise("")
+    trail = F.when(F.col("value") == F.col("_last"), "").otherwise(",")
+    entries = listed_values.select(
+        *key, F.col("value").alias("item"),
+        placed(2, F.col("section"), F.when(alias, 2).otherwise(5), F.when(alias, F.concat(lead, "value", trail)).otherwise(F.concat(F.lit("- "), "value"))).alias("x"),
     )
-    questions = held.select((-F.col("frequency")).alias("rank"), "name", F.explode(own).alias("x"))
     board = leaderboard(held, minimum)
-    entry = F.struct((-F.col("frequency")).alias("rank"), "name", "type", "cluster", F.concat(
-        F.lit(" | **"), "name", F.lit("** | "), "label", F.lit(" | "), "count", F.lit(" | "), F.coalesce("difficulty", unstated), F.lit(" | "), "round", F.lit(" |")
+    entry = F.struct("rank", "name", "type", "cluster", F.concat(
+        F.lit(" | **"), "name", F.lit("** | "), "label", F.lit(" | "), "count", F.lit(" | "), "difficulty", F.lit(" | "), "round", F.lit(" |")
     ).alias("line"))
+    no_key = (F.lit(0).cast("bigint").alias("rank"), F.lit("").alias("name"), F.lit("").alias("cluster"), F.lit("").alias("item"))
     listed = board.agg(F.array_sort(F.collect_list(entry)).alias("e")).select(F.posexplode("e").alias("n", "e"))
     ranked = listed.select(
-        F.lit(0).cast("bigint").alias("rank"), F.lit("").alias("name"),
-        F.struct(F.lit(1).alias("part"), F.lit(1).alias("section"), F.col("n").alias("at"), F.concat(F.lit("| "), (F.col("n") + 1).cast("string"), "e.line").alias("line")).alias("x"),
+        *no_key, placed(1, F.lit(1), F.col("n"), F.concat(F.lit("| "), (F.col("n") + 1).cast("string"), "e.line")).alias("x")
     )
     sizes = counts.select("posts", "raw_questions", "failed_posts", "questions")
     for name, part in (("top", board), ("rare", held.filter(rare))):
@@ -290,23 +373,29 @@ def handbook_document(
     def number(before: str, name: str, after: str = "") -> Column:
         return F.concat(F.lit(before), F.col(name), F.lit(after))
 
+    def given(around: tuple[str, str], value: str | None) -> Column:
+        return F.lit(None if value is None else around[0] + value + around[1]).cast("string")
+
     title = text(fixed.HANDBOOK_BOARD) if minimum > 1 else number(fixed.HANDBOOK_BOARD_ALL[0], "top", fixed.HANDBOOK_BOARD_ALL[1])
     below = F.when(F.col("top") != "0", F.array(*map(F.lit, fixed.HANDBOOK_BOARD_HEAD))).otherwise(F.array(text(fixed.HANDBOOK_BOARD_NONE)))
     meta = fixed.HANDBOOK_META
-    frame = F.concat(
-        placed(0, F.lit(0), F.array(
+    frame = F.flatten(F.array_compact(F.array(
+        lines(0, 0, F.array(
             text(fixed.HANDBOOK_TITLE), F.lit(""), text(fixed.HANDBOOK_SOURCE), number(fixed.HANDBOOK_RANGE[0], "posts", fixed.HANDBOOK_RANGE[1]),
             F.lit(fixed.HANDBOOK_DAY + day), number(fixed.HANDBOOK_SIZE, "questions"), F.lit(""), F.lit("---"), F.lit(""),
         )),
-        placed(1, F.lit(0), F.concat(F.array(title, F.lit("")), below)),
-        placed(1, F.lit(2), F.array(F.lit(""), F.lit("---"), F.lit(""))),
-        F.when(F.col("rare") != "0", placed(3, F.lit(0), F.array(
+        lines(1, 0, F.concat(F.array(title, F.lit("")), below)),
+        lines(1, 2, F.array(F.lit(""), F.lit("---"), F.lit(""))),
+        F.when(F.col("rare") != "0", lines(3, 0, F.array(
             number(fixed.HANDBOOK_RARE[0], "rare", fixed.HANDBOOK_RARE[1]), F.lit(""), F.lit(fixed.HANDBOOK_RARE_NOTE), F.lit("")
-        ))).otherwise(nothing),
-        placed(4, F.lit(0), F.array_compact(F.array(
-            F.lit("---"), F.lit(""), F.lit(meta[0]), F.lit(""), number(meta[1], "posts"), number(meta[2], "raw_questions"), number(meta[3], "questions"),
+        ))),
+        F.when(F.col("rare") != "0", lines(3, 2, F.array(F.lit("")))),
+        lines(4, 0, F.array_compact(F.array(
+            F.lit("---"), F.lit(""), F.lit(meta[0]), F.lit(""), given(fixed.HANDBOOK_SCRIPT, script), given(fixed.HANDBOOK_MODEL, model),
+            number(meta[1], "posts"), number(meta[2], "raw_questions"), number(meta[3], "questions"),
             F.when(F.col("failed_posts") != "0", number(fixed.HANDBOOK_FAILED[0], "failed_posts", fixed.HANDBOOK_FAILED[1])),
         ))),
-    )
-    static = totals.select(F.lit(0).cast("bigint").alias("rank"), F.lit("").alias("name"), F.explode(frame).alias("x"))
-    return static.unionByName(ranked).unionByName(questions).select("x.part", "x.section", "rank", "name", "x.at", "x.line")
+    )))
+    static = totals.select(*no_key, F.explode(frame).alias("x"))
+    out = static.unionByName(ranked).unionByName(questions).unionByName(entries)
+    return out.select("x.part", "x.section", "rank", "name", "cluster", "x.at", "item", "x.line")
