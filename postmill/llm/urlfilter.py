@@ -1,12 +1,14 @@
 """URL filters: host and path rules, and for the rest a model of the URL's own letters.
 
-The model is a logistic regression on hashed character n-grams of host and path, which it takes
-as different features. It learns on the driver from a small table of hand-labelled URLs; its
-weights are a broadcast array of fixed size. Judging is per row, without a shuffle.
+The model is a logistic regression on hashed character n-grams of host and path. Each n-gram counts
+twice: as one of its part, and as one of the URL, so that a word learnt in hosts is known in paths. It
+learns on the driver from the small table of `url_labels`; its weights are a broadcast array of fixed
+size. Judging is per row, without a shuffle.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Sequence
 
@@ -15,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.llm import url_labels
 from postmill.llm.batches import map_batches, texts
 from postmill.llm.learning import logistic, sigmoid
 
-BUCKETS = 1 << 13
+BUCKETS = 1 << 15
 GRAMS = (3, 4, 5)
+WORD_ENDS = re.compile(r"[^a-z0-9\x80-\U0010ffff]+", re.ASCII | re.IGNORECASE)
 #: (host, path, allow): fits the host and its subdomains where the URL's path starts with the rule's.
 RULES = (
     ("com", "/", True),
@@ -29,37 +33,6 @@ RULES = (
     ("net", "/fr/", False),
 )
 
-# Words that a hand-labelled table calls junk or plain when a host is made of them.
-JUNK_WORDS = (
-    "ads adserver adtrack banner-ads click-farm clicks link-farm popup popunder redirect-track track tracker tracking spam "
-    "spam-mail casino casino-bonus casino-online casino-club big-win poker slots jackpot lottery bet bets betting-tips win-prizes winner-prize free-gift free-money "
-    "cheap pills pharmacy-pills viagra cialis payday-loans fast-loans replica-watches fake-id malware phishing warez crack-keygen torrents "
-    "adult adult-cams cams escorts porn free-porn sex xxx xxx-videos hot-singles"
-).split()
-PLAIN_WORDS = (
-    "about academy archive art atlas author bakery bank blog books bridge campus center church city climate clinic code college community company "
-    "council country culture daily data design docs earth east editor energy family farm-school field film forest forum garden gazette green guide health herald "
-    "history home house institute island journal kitchen lab lake language law learning library magazine map market media memory mobile mountain museum music nature "
-    "network news north observer ocean office open paper park people photo poetry portal post press project public radio reader research review river road "
-    "school science shop society software sport station stories street studio summer sun tech theater times tools thing something fishing washing tower town travel tree university valley "
-    "video village voice water weather web west wiki window winter work world writer youth "
-    "bibliothek biblioteca bibliotheque ciudad ecole escuela mairie musique musik noticias rathaus schule stadt tierra verein ville zeitung"
-).split()
-
-
-def labelled_urls() -> list[tuple[str, str, bool]]:
-    """The small labelled table (host, path, allow): each word as a host under changing prefixes, domains and paths."""
-    out = []
-    for words, allow in ((JUNK_WORDS, False), (PLAIN_WORDS, True)):
-        for at, word in enumerate(words):
-            for turn in range(4):
-                n = at + turn
-                prefix, domain = ("", "www.", "m.", "blog.")[turn], ("example.com", "example.net", "example.org")[n % 3]
-                path = f"/{('en', 'de', 'fr', 'es')[(at // 4 + turn) % 4]}/{n * 37 % 1000}{('', '/', '.html')[n % 3]}"
-                out.append((f"{prefix}{word}.{domain}", path, allow))
-    return out
-
-
 def host_of(url: Column) -> Column:
     """After the first `://` up to `/`, `?`, `#` or the end, A-Z in lower case; empty without one."""
     rest = F.substring_index(_after(url), "/", 1)
@@ -90,12 +63,15 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, bool]] =
 
 
 def features(host: str, path: str) -> np.ndarray:
-    """Distinct buckets of the n-grams of host and path, each with its ends marked."""
+    """Distinct buckets of the n-grams of host and path, each with its words' ends marked alike."""
     found = set()
-    for kind, part in ((0, f"^{host}$"), (0x9E3779B9, f"^{path}$")):
-        data = part.encode("utf-8", "replace")
+    for kind, part in ((0x51ED270B, host), (0x9E3779B9, path)):
+        data = ("^" + WORD_ENDS.sub("^", part) + "^").encode("utf-8", "replace")
         for n in GRAMS:
-            found.update(zlib.crc32(data[i : i + n], kind + n) % BUCKETS for i in range(len(data) - n + 1))
+            for i in range(len(data) - n + 1):
+                gram = data[i : i + n]
+                found.add(zlib.crc32(gram, n) % BUCKETS)
+                found.add(zlib.crc32(gram, kind + n) % BUCKETS)
     return np.fromiter(found, np.int64, len(found))
 
 
@@ -121,11 +97,11 @@ def judge(
 ) -> DataFrame:
     """Rows (id, host, path, rule, verdict, score) for all rows of `urls`.
 
-    The model learns from `labelled`, by default `labelled_urls()`. A null URL, or one without `://`, has an empty host and path; no rule fits it and the model
+    The model learns from `labelled`, by default `url_labels.learnt()`. A null URL, or one without `://`, has an empty host and path; no rule fits it and the model
     judges it like any other. `score` is the model's P(block), also where a rule decides. Equal
-    URLs get equal verdicts; at 0.5 and above the model blocks.
+    URLs get equal verdicts; at 0.5 and above the model blocks. An empty table gives no rows.
     """
-    model = urls.sparkSession.sparkContext.broadcast(train(labelled_urls() if labelled is None else labelled))
+    model = urls.sparkSession.sparkContext.broadcast(train(url_labels.learnt() if labelled is None else labelled))
 
     def run(batch: pa.RecordBatch) -> dict:
         weights = model.value
