@@ -205,7 +205,7 @@ def search_feed(spark, sf):
 
 
 REDDIT = """
-SELECT doc_id, 't3_' || doc_id AS source_id, source AS title, substr(text, 1, 20000) AS body, 'https://www.reddit.com/r/' || lang || '/' || doc_id AS url,
+SELECT doc_id, 't3_' || doc_id AS source_id, source AS title, text AS body, 'https://www.reddit.com/r/' || lang || '/' || doc_id AS url,
   CAST(n_chars AS INTEGER) AS reply_count, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id) AS posted_at
 FROM documents WHERE lang <> 'de'"""
 
@@ -276,7 +276,7 @@ def discussion_posts(spark, sf):
     "note_file_posts",
     """
 SELECT doc_id, CASE WHEN lang = 'en' THEN 'T ' || source ELSE 'note' || doc_id END AS title,
-  substr(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', ''), 1, 20000) AS body,
+  regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS body,
   CASE WHEN lang = 'en' THEN 'https://g/' || doc_id ELSE 'file:///d/note' || doc_id || '.md' END AS url,
   CASE WHEN lang = 'en' THEN TIMESTAMP '2026-05-10 00:00:00' ELSE TIMESTAMP '2024-02-01 00:00:00' END AS posted_at
 FROM documents""",
@@ -353,6 +353,33 @@ def ranked_questions(spark, sf):
     return posts.ranked_questions(rows).select("rank", "lc_number", "title", "title_slug", "difficulty", "acceptance")
 
 
+SAFE_TEXT = "translate(coalesce(text, ''), '<>', '()')"
+STATEMENT = f"'<div><div>' || doc_id || '</div><DIV class=\"x\">' || {SAFE_TEXT} || '</DIV></div><p>end'"
+
+
+@query(
+    "question_details",
+    f"""
+SELECT 'https://q/' || doc_id AS url,
+  CASE doc_id % 3 WHEN 0 THEN doc_id || '. Q & A' WHEN 1 THEN 'Head ' || doc_id ELSE 'Tab ' || doc_id END AS heading,
+  CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'Easy' ELSE 'Hard' END AS difficulty,
+  CASE WHEN doc_id % 2 = 0 THEN 'Array|' || lang ELSE '' END AS tags, CASE WHEN doc_id % 5 = 4 THEN '' ELSE {STATEMENT} END AS statement_html
+FROM documents""",
+)
+def question_details(spark, sf):
+    """Documents as question pages: three kinds of heading, three containers of the statement or none, nested elements."""
+    page = F.expr(f"""
+'<html><title>Tab ' || doc_id || '</title>' ||
+CASE doc_id % 3 WHEN 0 THEN '<h1>no</h1><a class="t" href="/problems/q-' || doc_id || '/"><b>' || doc_id || '. Q &amp;</b> A</a>' WHEN 1 THEN '<h1 id="h">Head ' || doc_id || '</h1>' ELSE '<h1> </h1>' END ||
+CASE doc_id % 4 WHEN 0 THEN '<div class="text-other">no</div>' WHEN 1 THEN '<div class="a text-difficulty-easy"><div>Easy</div></div>' ELSE '<div class="text-difficulty-hard"> Hard</div>' END ||
+CASE WHEN doc_id % 2 = 0 THEN '<a href="/tag/array/">Array</a><a href="/tag/none"> </a><a href="/tag/x"><i>' || lang || '</i></a>' ELSE '<a href="/tags/y">y</a>' END ||
+CASE doc_id % 5 WHEN 0 THEN '<div class="elfjS">no</div><div data-track-load="description_content">' WHEN 1 THEN '<div class="css-pre">no</div><div class="a elfjS">'
+  WHEN 2 THEN '<section class="question-content__JfgR b">' WHEN 3 THEN '<div class="content__u3I1">' ELSE '<div class="elfjSx">' END || {STATEMENT} ||
+CASE doc_id % 5 WHEN 2 THEN '</section><div>after</div>' WHEN 3 THEN '' ELSE '</div><div>after</div></div>' END""")
+    pages = table(spark, sf, "documents").select(F.concat(F.lit("https://q/"), F.col("doc_id").cast("string")).alias("url"), page.alias("payload"))
+    return posts.question_details(pages).select("url", "heading", "difficulty", F.array_join("tags", "|").alias("tags"), "statement_html")
+
+
 @query(
     "embedded_postings",
     """

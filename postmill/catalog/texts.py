@@ -45,7 +45,7 @@ def html_to_text(spark, sf):
     f"""
 WITH texts AS (SELECT page_id, {sql_page_text('html')} AS text FROM pages),
 kept AS (SELECT page_id, [x FOR x IN string_split(text, chr(10)) IF length(x) >= 2
-   AND NOT regexp_matches(lower(x), 'cookie|privacy policy|terms of service|sign in|log in')][1:250] AS lines FROM texts)
+   AND NOT regexp_matches(lower(x), 'cookie|privacy policy|terms of service|sign in|log in')] AS lines FROM texts)
 SELECT page_id, len(lines) AS lines, array_to_string(lines, chr(10)) AS jd_text FROM kept""",
 )
 def page_fallback_lines(spark, sf):

@@ -147,6 +147,12 @@ HANDBOOK_META = ("## 元信息", "- 帖子总数：", "- 抽出原始题数：",
 HANDBOOK_SCRIPT = ("- 抓取脚本：`", "`")
 HANDBOOK_MODEL = ("- 模型：`", "`（两阶段：map + reduce）")
 HANDBOOK_FAILED = ("- ⚠️ Stage1 LLM 失败：", " 帖")
+# fixed values: places in a question page
+QUESTION_STATEMENT = (
+    r'data-track-load="description_content"', r'class="(?:[^"]*\s)?elfjS[\s"]',
+    r'class="(?:[^"]*\s)?(?:content__u3I1|css-pre|question-content__JfgR)[\s"]',
+)
+QUESTION_DIFFICULTY = r'class="[^"]*text-difficulty-'
 DIFFICULTY_LABELS = {"Easy": "Easy", "Med.": "Medium", "Medium": "Medium", "Hard": "Hard"}
 
 # --- fixed values: course archive -----------------------------------------

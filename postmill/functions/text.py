@@ -227,17 +227,49 @@ def strip_tags(value: Column | str) -> Column:
     return strip(unescape(collapse_ws(F.regexp_replace(filled(value), fixed.ANY_TAG, ""))))
 
 
+def inner_markup(html: Column | str, mark: str) -> Column:
+    """Markup inside the first element whose opening tag holds what the pattern `mark` matches.
+
+    Tags of the element's own name are counted, so nested ones are kept whole; an element that is never
+    closed runs to the end. Null without such an element. Tags inside comments and scripts count, too.
+    """
+    opening = rf"(?is)<([a-z][a-z0-9]*)\b(?=[^>]*{mark})[^>]*>"
+
+    def cut(page: Column) -> Column:
+        parts = F.regexp_extract(page["text"], opening, 1)
+        pattern = F.concat(F.lit(r"(?is).*?(</?"), parts, F.lit(r"\b[^>]*>|\z)"))
+        pieces = F.arrays_zip(
+            F.regexp_extract_all(page["rest"], pattern, F.lit(0)).alias("whole"), F.regexp_extract_all(page["rest"], pattern, F.lit(1)).alias("tag")
+        )
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("taken"))
+
+        def step(state: Column, piece: Column) -> Column:
+            closes = piece["tag"].startswith("</")
+            depth = state["depth"] + F.when(closes, -1).when(piece["tag"] == "", 0).otherwise(1)
+            outer = F.when(depth == 0, F.length(piece["tag"])).otherwise(0)
+            inside = F.struct(depth.alias("depth"), (state["taken"] + F.length(piece["whole"]) - outer).alias("taken"))
+            return F.when(state["depth"] == 0, state).otherwise(inside)
+
+        taken = F.aggregate(pieces, start, step, lambda state: state["taken"])
+        return F.substr(page["rest"], F.lit(1), taken)
+
+    return let(filled(html), lambda text: F.when(
+        text.rlike(opening), let(F.struct(text.alias("text"), F.element_at(F.split(text, opening, 2), 2).alias("rest")), cut)
+    ))
+
+
 def page_title(html: Column | str) -> Column:
     return collapse_ws(F.regexp_extract(filled(html), fixed.PAGE_TITLE, 1))
 
 
-def fallback_lines(html: Column | str) -> Column:
-    """Page text without short and boilerplate lines, first 250 lines."""
+def fallback_lines(html: Column | str, limit: int | None = None) -> Column:
+    """Page text without short and boilerplate lines, all or the first `limit` (`fixed.FALLBACK_LINE_LIMIT` is usual)."""
 
     def useful(line: Column) -> Column:
         return (F.length(line) >= 2) & ~contains_any(F.lower(line), fixed.BOILERPLATE_LINES)
 
-    return F.slice(F.filter(html_to_lines(html), useful), 1, fixed.FALLBACK_LINE_LIMIT)
+    found = F.filter(html_to_lines(html), useful)
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def linkedin_description(html: Column | str) -> Column:

@@ -90,11 +90,15 @@ def decide_undecided(classified: DataFrame, model: Callable[[str], str], role: s
     ).drop("_a")
 
 
-def score_with_model(jobs: DataFrame, model: Callable[[str], str], resume: str) -> DataFrame:
-    """Gate, score, clamp; rows that fail the gate or the model carry `error` and no score."""
+def score_with_model(jobs: DataFrame, model: Callable[[str], str], resume: str, text_chars: int | None = None) -> DataFrame:
+    """Gate, score, clamp; rows that fail the gate or the model carry `error` and no score.
+
+    The model sees whole job texts, or their first `text_chars` (12000 is usual).
+    """
+    shown = filled("jd_text") if text_chars is None else F.substring(filled("jd_text"), 1, text_chars)
     prompt = F.concat(
         F.lit(f"Score how well the resume fits the job, 0-100, as JSON.\nRESUME:\n{resume}\nJOB:\n"),
-        filled("title"), F.lit("\n"), F.substring(filled("jd_text"), 1, 12000),
+        filled("title"), F.lit("\n"), shown,
     )
     gated = jobs.withColumn("_gate", triage_gate("external_jd_status", "jd_text"))
     asked = gated.withColumn("_a", asker(model)(F.when(F.col("_gate").isNull(), prompt)))

@@ -206,9 +206,10 @@ def opportunity_note(score: Column, verdict: Column, mode: Column) -> Column:
     return F.concat(note_front_matter(score, verdict, mode), F.lit("# "), company, F.lit(" — "), role, F.lit("\n\n"), body, F.lit("\n"))
 
 
-def review_section(run_label: str) -> Column:
-    """One scoring run as a note section, from the triage columns in scope."""
-    excerpt = strip(F.substring(first_present("jd_text_preview", "jd_text"), 1, 2500))
+def review_section(run_label: str, excerpt_chars: int | None = None) -> Column:
+    """One scoring run as a note section, from the triage columns in scope; the text whole or its first `excerpt_chars` (2500 is usual)."""
+    excerpt = first_present("jd_text_preview", "jd_text")
+    excerpt = strip(excerpt if excerpt_chars is None else F.substring(excerpt, 1, excerpt_chars))
     parts = (
         ("Top strengths", bullet_lines(F.col("top_strengths"))), ("Key gaps", bullet_lines(F.col("key_gaps"))),
         ("Quick recommendation", filled("quick_recommendation")), ("JD summary", filled("jd_summary")),

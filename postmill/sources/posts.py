@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from postmill import fixed_values as fixed
 from postmill.functions.text import (
-    body_after_front_matter, collapse_ws, filled, first_present, front_matter, is_locked, markdown_post_text,
-    parse_date, present, strip, unescape,
+    body_after_front_matter, collapse_ws, filled, first_present, front_matter, html_to_text, inner_markup, is_locked, markdown_post_text,
+    page_title, parse_date, present, strip, strip_tags, unescape,
 )
 from postmill.functions.urls import file_post_id
 from postmill.operators.keyed import quota, top_k
@@ -25,6 +25,11 @@ POST_COLUMNS = (
 THREAD = T.ArrayType(T.StringType())
 
 
+def _at_most(text: Column, chars: int | None) -> Column:
+    """`text`, whole where no limit is given (`fixed.POST_BODY_CHARS` is the usual one)."""
+    return text if chars is None else F.substring(text, 1, chars)
+
+
 def post(source: str, company: Column, **fields: Column) -> list[Column]:
     values = {
         "source": F.lit(source), "company": company, "author": F.lit(""), "reply_count": F.lit(0),
@@ -40,7 +45,7 @@ def within_limits(posts: DataFrame, order: Sequence[str], cutoff: Column, limit:
     return quota(once.filter(F.col("posted_at") >= cutoff), keys, [F.col(c) for c in order], limit)
 
 
-def reddit_posts(pages: DataFrame, company: Column, now: Column) -> DataFrame:
+def reddit_posts(pages: DataFrame, company: Column, now: Column, body_chars: int | None = None) -> DataFrame:
     """Search result pages: self posts with a title or a body."""
     schema = """data struct<children:array<struct<data:struct<is_self:boolean,selftext:string,title:string,name:string,id:string,
       created_utc:double,permalink:string,author:string,num_comments:int,subreddit:string,score:int,upvote_ratio:double>>>>"""
@@ -54,7 +59,7 @@ def reddit_posts(pages: DataFrame, company: Column, now: Column) -> DataFrame:
         "page", "at",
         *post(
             "reddit", F.col("_company"), source_id=first_present(d["name"], d["id"]), title=title,
-            body=F.substring(body, 1, fixed.POST_BODY_CHARS),
+            body=_at_most(body, body_chars),
             url=F.when(link.startswith("/"), F.concat(F.lit("https://www.reddit.com"), link)).otherwise(link),
             posted_at=F.coalesce(F.when(d["created_utc"] != 0, F.timestamp_millis((d["created_utc"] * 1000).cast("bigint"))), now),
             author=filled(d["author"]), reply_count=F.coalesce(d["num_comments"], F.lit(0)),
@@ -68,7 +73,7 @@ def discussion_links(html: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(filled(html), F.lit(r'href="(/discuss/\d+/[^"#?]+)"'), F.lit(1)))
 
 
-def leetcode_posts(pages: DataFrame, company: Column, now: Column) -> DataFrame:
+def leetcode_posts(pages: DataFrame, company: Column, now: Column, body_chars: int | None = None) -> DataFrame:
     """Rendered discussion pages (`url`, `payload`, `visible_text`) to posts."""
     html = filled("payload")
     heading = strip(F.regexp_extract(html, r"<h1[^>]*>([^<]+)</h1>", 1))
@@ -79,7 +84,7 @@ def leetcode_posts(pages: DataFrame, company: Column, now: Column) -> DataFrame:
         "page",
         *post(
             "leetcode", company, source_id=F.regexp_extract("url", r"/discuss/(\d+)/", 1), title=first_present(heading, tab),
-            body=F.substring(F.when(inner != "", markdown_post_text(inner)).otherwise(filled("visible_text")), 1, fixed.POST_BODY_CHARS),
+            body=_at_most(F.when(inner != "", markdown_post_text(inner)).otherwise(filled("visible_text")), body_chars),
             url=F.col("url"), posted_at=F.coalesce(stamp.try_cast("timestamp"), now),
             reply_count=F.coalesce(F.regexp_extract(html, r"(?i)(\d+)\s+comments?", 1).try_cast("int"), F.lit(0)),
             raw=F.to_json(F.struct(F.length(html).alias("original_html_len"))),
@@ -87,7 +92,7 @@ def leetcode_posts(pages: DataFrame, company: Column, now: Column) -> DataFrame:
     ).filter("source_id != ''")
 
 
-def file_posts(files: DataFrame, company: Column, now: Column) -> DataFrame:
+def file_posts(files: DataFrame, company: Column, now: Column, body_chars: int | None = None) -> DataFrame:
     """Pasted notes (`path`, `value`, `modified_at`) with optional front matter."""
     meta = files.withColumn("_m", front_matter("value"))
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[^.]*$", "")
@@ -102,7 +107,7 @@ def file_posts(files: DataFrame, company: Column, now: Column) -> DataFrame:
         "path",
         *post(
             "glassdoor", company, source_id=file_post_id(url), title=F.coalesce(field("title"), stem),
-            body=F.substring(strip(body), 1, fixed.POST_BODY_CHARS), url=url,
+            body=_at_most(strip(body), body_chars), url=url,
             posted_at=F.when(field("posted_at").isNotNull(), parse_date(field("posted_at"), now)).otherwise(F.col("modified_at")),
             raw=F.to_json(F.struct(F.col("path").alias("file"))),
         ),
@@ -269,6 +274,25 @@ def ranked_questions(rows: DataFrame) -> DataFrame:
     )
 
 
+def question_details(pages: DataFrame) -> DataFrame:
+    """Rendered question pages (`url`, `payload`): heading, difficulty, tags, and the statement as markup and as text.
+
+    The heading is the first link to a question, else the first h1, else the page's title. The statement is
+    the first of three containers that the page has, with all that is nested in it; empty without one.
+    """
+    html = filled("payload")
+    link = r'(?is)<a\b[^>]*\bhref="/problems/[^"]*"[^>]*>(.*?)</a>'
+    named = F.when(html.rlike(link), F.regexp_extract(html, link, 1)).otherwise(F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1>", 1))
+    tags = F.transform(F.regexp_extract_all(html, F.lit(r'(?is)<a\b[^>]*\bhref="/tag/[^"]*"[^>]*>(.*?)</a>'), F.lit(1)), strip_tags)
+    statement = F.coalesce(*[inner_markup("payload", mark) for mark in fixed.QUESTION_STATEMENT], F.lit(""))
+    read = pages.select(
+        "url", first_present(strip_tags(named), page_title("payload")).alias("heading"),
+        strip_tags(inner_markup("payload", fixed.QUESTION_DIFFICULTY)).alias("difficulty"),
+        F.filter(tags, lambda t: t != "").alias("tags"), statement.alias("statement_html"),
+    )
+    return read.withColumn("statement_text", html_to_text("statement_html"))
+
+
 def source_config(name: str, slug: str | None = None, overrides: dict[str, dict] | None = None) -> dict[str, dict]:
     """Settings per source of one company: defaults, overridden, disabled ones dropped."""
     short = slug or re.sub(r"[^a-z0-9]+", "-", name.strip().lower()).strip("-")
