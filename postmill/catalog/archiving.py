@@ -1,4 +1,4 @@
-"""Course archive operators over nations, events, documents and pages."""
+"""Course archive operators over documents, events, parts and pages."""
 
 from pyspark.sql import functions as F
 
@@ -6,26 +6,32 @@ from postmill.catalog.registry import query, table
 from postmill.operators import archive as a
 
 
-def archived(spark, sf):
-    """Each nation as an archived section of its region's chapter."""
-    named = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    key = F.col("n_nationkey").cast("string")
-    note = F.concat(
-        F.lit('---\ncourse: World\nsection: "'), "n_name", F.lit('"\nchapter: '), "r_name", F.lit("\nsection_idx: "),
-        F.when(F.col("n_nationkey") % 7 == 3, "soon").otherwise(key), F.lit("\n---\n\n# body\n"),
-    )
-    path = F.concat(F.lit("0"), F.col("r_regionkey").cast("string"), F.lit("-ch/"), F.lpad(key, 2, "0"), F.lit(".md"))
-    return a.sections(named.select(note.alias("value"), path.alias("rel_path")))
+# Where a document lies in the archive: flat, in a folder by source, among assets, or as a folder's README.
+FOLDER = "CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'images' ELSE coalesce(source, 'none') END"
+STEM = "CASE WHEN doc_id % 13 = 5 THEN 'README' ELSE coalesce(lang, 'xx') || ' ' || doc_id END"
+INDEX = "CASE WHEN doc_id % 11 = 4 THEN 'soon' ELSE CAST(doc_id % 97 AS STRING) END"
 
 
-SECTIONS = """
-WITH s AS (SELECT '0' || r_regionkey || '-ch' AS chapter_dir, lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || '.md' AS section_file, n_name AS title,
-  r_name AS chapter, CAST(CASE WHEN n_nationkey % 7 = 3 THEN 999 ELSE n_nationkey END AS INTEGER) AS section_idx
-  FROM nation JOIN region ON n_regionkey = r_regionkey)
+def archived(spark, sf):
+    """Each document as an archived Markdown file: with all fields, some or none before its whole text."""
+    head = f"""CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN concat('---\ncourse: World\nsection: "Part ', doc_id, '"\nchapter: Topic ', doc_id % 40, '\nsection_idx: ', {INDEX}, '\n---\n')
+      ELSE concat('---\nsection_idx: ', {INDEX}, '\ncourse:\n---\nsection: no\n') END"""
+    note = F.concat(F.expr(head), F.coalesce("text", F.lit("")))
+    path = F.concat_ws("/", F.nullif(F.expr(FOLDER), F.lit("")), F.concat(F.expr(STEM), F.lit(".md")))
+    return a.sections(table(spark, sf, "documents").select(note.alias("value"), path.alias("rel_path")))
+
+
+SECTIONS = f"""
+WITH placed AS (SELECT doc_id % 3 AS fields, {FOLDER} AS chapter_dir, {STEM} AS stem, TRY_CAST({INDEX} AS INTEGER) AS idx, doc_id FROM documents),
+s AS (SELECT chapter_dir, stem || '.md' AS section_file, CASE WHEN fields = 1 THEN 'Part ' || doc_id ELSE stem END AS title,
+  CASE WHEN fields = 1 THEN 'Topic ' || doc_id % 40 WHEN chapter_dir = '' THEN 'Sections' ELSE chapter_dir END AS chapter,
+  CASE WHEN fields = 0 THEN 999 ELSE coalesce(idx, 999) END AS section_idx, CASE WHEN fields = 1 THEN 'World' END AS course,
+  CASE WHEN chapter_dir = '' THEN '' ELSE chapter_dir || '/' END || stem AS place
+  FROM placed WHERE stem <> 'README' AND chapter_dir <> 'images')
 """
 
 
-@query("archived_sections", SECTIONS + "SELECT chapter_dir, section_file, title, chapter, section_idx, 'World' AS course FROM s")
+@query("archived_sections", SECTIONS + "SELECT chapter_dir, section_file, title, chapter, section_idx, course FROM s")
 def archived_sections(spark, sf):
     return archived(spark, sf).select("chapter_dir", "section_file", "title", "chapter", "section_idx", "course")
 
@@ -33,9 +39,9 @@ def archived_sections(spark, sf):
 @query(
     "chapter_index",
     SECTIONS
-    + """SELECT chapter_dir, kind, idx, line FROM (
-  SELECT min(chapter_dir) AS chapter_dir, CAST(0 AS INTEGER) AS kind, min(section_idx) AS idx, '### ' || chapter AS line FROM s GROUP BY chapter
-  UNION ALL SELECT chapter_dir, 1, section_idx, '- [[' || chapter_dir || '/' || regexp_replace(section_file, '\\.md$', '') || '|' || title || ']]' FROM s)""",
+    + """SELECT first.chapter_dir AS chapter_dir, CAST(0 AS INTEGER) AS kind, first.section_idx AS idx, '### ' || chapter AS line FROM (
+    SELECT chapter, min(struct_pack(chapter_dir, section_idx, section_file)) AS first FROM s GROUP BY chapter)
+  UNION ALL SELECT chapter_dir, 1, section_idx, '- [[' || place || '|' || title || ']]' FROM s""",
 )
 def chapter_index(spark, sf):
     lines = a.chapter_index(archived(spark, sf)).orderBy("chapter_at", "kind", "at")

@@ -45,3 +45,12 @@ def test_texts_are_whole_unless_a_limit_is_given(spark):
     job = spark.createDataFrame([(long, "", 90, "strong", ["a"], ["b"], "go", "sum")], "jd_text string, jd_text_preview string, match_score int, verdict string, top_strengths array<string>, key_gaps array<string>, quick_recommendation string, jd_summary string")
     whole, cut = job.select(review_section("r"), review_section("r", 7)).first()
     assert whole.endswith(long.strip()) and cut.endswith("\nword wo")
+
+
+def test_a_folder_of_notes_becomes_posts(spark, tmp_path):
+    (tmp_path / "one note.md").write_text("---\ntitle: Asked\nurl: https://g/1\nposted_at: 2026-02-03\n---\nBody\n")
+    (tmp_path / "two.md").write_text("plain")
+    (tmp_path / "three.txt").write_text("no note")
+    rows = posts.file_posts(posts.read_note_folder(spark, str(tmp_path)), F.lit("Acme"), F.current_timestamp()).collect()
+    found = {r.title: (r.body, r.url.rsplit("/", 1)[1], str(r.posted_at)[:10]) for r in rows}
+    assert found["Asked"] == ("Body", "1", "2026-02-03") and found["two"][:2] == ("plain", "two.md") and len(rows) == 2
