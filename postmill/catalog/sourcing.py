@@ -296,25 +296,34 @@ def note_file_posts(spark, sf):
     )
 
 
+THREAD_TEXT = "translate(coalesce(text, ''), '<>&', '()+')"
+THREAD_REPLIES = "CAST(doc_id % 5 AS INTEGER)"
+
+
 @query(
     "thread_pages",
-    """
-SELECT page_id, 'T' || page_id AS title, 'user' || page_id AS author, '2026-04-15 23:24' AS posted_at,
-  'first' || chr(10) || 'line' AS op_body, CAST(2 AS INTEGER) AS reply_count,
-  'first' || chr(10) || 'line' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'reply' || chr(10) || 'nested ' || page_id || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'last' AS body,
-  false AS locked
-FROM pages""",
+    f"""
+WITH d AS (SELECT *, array_to_string(list_filter(list_transform(string_split({THREAD_TEXT}, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\\s+', ''), '\\s+$', '')), lambda x: x <> ''), chr(10))
+    || CASE WHEN doc_id % 6 = 0 THEN CASE WHEN regexp_matches({THREAD_TEXT}, '\\S') THEN chr(10) ELSE '' END || '本帖隐藏的内容需要回复' ELSE '' END AS op_body FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Tab ' || doc_id ELSE 'T' || doc_id END AS title, CASE doc_id % 4 WHEN 0 THEN 'user' || doc_id WHEN 1 THEN 'plain ' || lang ELSE 'guest' END AS author,
+  CASE doc_id % 3 WHEN 0 THEN '2026-04-15 23:24' WHEN 1 THEN '2026-4-5 3:24:09' ELSE '发表于 昨天' END AS posted_at, op_body, {THREAD_REPLIES} AS reply_count,
+  op_body || array_to_string(list_transform(range(1, 1 + {THREAD_REPLIES}), lambda i: chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'reply ' || i || chr(10) || 'nested ' || doc_id), '') AS body,
+  doc_id % 6 = 0 AS locked
+FROM d""",
 )
 def thread_pages(spark, sf):
-    ident = F.col("page_id").cast("string")
-    html = F.concat(
-        F.lit("<h1>[tag] T"), ident, F.lit('</h1><div class="authi"><a href="space-uid-7.html">user'), ident,
-        F.lit('</a></div><em id="authorposton1">发表于 2026-04-15 23:24</em><table><tr><td class="t_f" id="postmessage_1">first<br><script>x</script><b>line</b></td></tr></table>'),
-        F.lit('<td id="postmessage_2">reply<table><tr><td>nested '), ident, F.lit('</td></tr></table></td><td id="postmessage_3">last</td>'),
-    )
-    pages = table(spark, sf, "pages").select(ident.alias("tid"), html.alias("payload"))
+    """Documents as threads: their lines as the first post, nested tables in replies, empty posts, heads in several forms."""
+    page = F.expr(f"""
+CASE WHEN doc_id % 3 = 0 THEN concat('<title> Tab ', doc_id, '</title>') ELSE concat('<title>no</title><h1 class="ts">[tag] T', doc_id, '</h1>') END ||
+CASE doc_id % 4 WHEN 0 THEN concat('<div class="authi"><a href="space-uid-7.html">user', doc_id, '</a> 2026-01-01</div>')
+  WHEN 1 THEN concat('<div class="x authi"><i>plain ', lang, '</i> 2026-1-1 10:00</div>') ELSE '<div class="authi">guest 发表于 x</div>' END ||
+CASE doc_id % 3 WHEN 0 THEN '<em id="authorposton1">发表于 2026-04-15 23:24</em>' WHEN 1 THEN '<em id="authorposton2">2026-4-5 3:24:09</em>' ELSE '<em id="authorposton3">发表于 <span>昨天</span></em>' END ||
+'<table><tr><td class="t_f" id="postmessage_1">' || replace({THREAD_TEXT}, chr(10), '<br>') || CASE WHEN doc_id % 6 = 0 THEN '<br><b>本帖隐藏的内容需要回复</b>' ELSE '' END || '<script>x</script></td></tr></table>' ||
+array_join(transform(filter(sequence(0, {THREAD_REPLIES}), i -> i > 0), i ->
+  concat('<td id="postmessage_', i + 1, '">reply ', i, '<table><tr><td>nested ', doc_id, '</td></tr></table></td>')), '') || '<td id="postmessage_99"> <br> </td><td>no post</td>'""")
+    pages = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("tid"), page.alias("payload"))
     return posts.thread_fields(pages).select(
-        F.col("tid").cast("bigint").alias("page_id"), "title", "author", "posted_at", "op_body", "reply_count", "body", "locked"
+        F.col("tid").cast("bigint").alias("doc_id"), "title", "author", "posted_at", "op_body", "reply_count", "body", "locked"
     )
 
 
