@@ -242,16 +242,19 @@ def truncations(spark, sf):
 @query(
     "front_matter",
     """
-SELECT page_id, url, 'second' AS title, CAST(NULL AS VARCHAR) AS missing, 'body ' || page_id AS body FROM pages""",
+SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN 'https://n/' || doc_id || '?a:b' END AS url,
+  CASE doc_id % 4 WHEN 0 THEN 'second ' || source WHEN 1 THEN source || chr(39) || 's' WHEN 2 THEN '' END AS title, CAST(NULL AS VARCHAR) AS missing,
+  CASE WHEN doc_id % 4 <> 3 THEN text END AS body FROM documents""",
 )
 def front_matter(spark, sf):
-    note = F.concat(
-        F.lit('---\nurl: "'), "url", F.lit('"\ntitle: first\nplain line\ntitle:  second\n---\nbody '),
-        F.col("page_id").cast("string"),
-    )
-    pages = table(spark, sf, "pages").select("page_id", t.front_matter(note).alias("m"), t.body_after_front_matter(note).alias("body"))
-    return pages.select(
-        "page_id", *[F.try_element_at("m", F.lit(k)).alias(k) for k in ("url", "title", "missing")], "body"
+    """Documents as notes: repeated keys, quotes, empty values, lines that are no pair, a second block in the body, or no block."""
+    head = F.expr("""concat('---\nurl: "https://n/', doc_id, '?a:b"\n', CASE doc_id % 4 WHEN 0 THEN concat('title: first\nplain line\ntitle:  second ', source)
+      WHEN 1 THEN concat(' title : ', source, "'s\nother:\n") ELSE 'title:' END, '\n---\n')""")
+    note = F.when(F.col("doc_id") % 4 == 3, F.concat(F.lit("x\n---\ntitle: no\n---\n"), "text")).otherwise(F.concat(head, "text"))
+    docs = table(spark, sf, "documents").select("doc_id", t.front_matter(note).alias("m"), t.body_after_front_matter(note).alias("body"))
+    return docs.select(
+        "doc_id", *[F.try_element_at("m", F.lit(k)).alias(k) for k in ("url", "title", "missing")],
+        F.when(F.col("doc_id") % 4 != 3, F.col("body")).alias("body"),
     )
 
 
@@ -407,16 +410,14 @@ def locked_posts(spark, sf):
 
 @query(
     "decoded_fragments",
-    """
-SELECT page_id, 'Head ' || page_id || chr(10) || 'a & b < c' AS text, 'k' || page_id AS tag FROM pages""",
+    f"""
+SELECT page_id, {sql_page_text('html')} AS text, 'k' || page_id || ' & ' || page_id % 7 AS tag FROM pages""",
 )
 def decoded_fragments(spark, sf):
-    """Markup that was escaped once more, as some boards send it: decoded, then read as HTML."""
-    key = F.col("page_id").cast("string")
-    escaped = F.concat(F.lit("&lt;p&gt;Head "), key, F.lit("&lt;/p&gt;&lt;p&gt;a &amp;amp; b &amp;lt; c&lt;/p&gt;"))
-    return table(spark, sf, "pages").select(
-        "page_id", t.html_fragment_to_text(escaped).alias("text"), t.strip_tags(F.concat(F.lit("<b>k"), key, F.lit("</b>"))).alias("tag")
-    )
+    """Whole pages escaped once more, as some boards send markup: decoded, then read as HTML."""
+    escaped = F.expr("replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')")
+    tag = F.concat(F.lit("<b>k"), F.col("page_id").cast("string"), F.lit("</b>\n &amp; <i class='x'>"), (F.col("page_id") % 7).cast("string"), F.lit("</i>"))
+    return table(spark, sf, "pages").select("page_id", t.html_fragment_to_text(escaped).alias("text"), t.strip_tags(tag).alias("tag"))
 
 
 @query(
