@@ -330,17 +330,18 @@ array_join(transform(filter(sequence(0, {THREAD_REPLIES}), i -> i > 0), i ->
 @query(
     "thread_listings",
     """
-SELECT CAST(page_id AS VARCHAR) AS tid, 'Listed ' || page_id AS title, 'x|y' AS tags, '2024-01-0' || (page_id % 9 + 1) AS posted_at FROM pages""",
+SELECT CAST(doc_id AS VARCHAR) AS tid, 'Listed ' || doc_id || ' ' || source AS title, CASE doc_id % 3 WHEN 0 THEN lang || '|y' WHEN 1 THEN 'y' ELSE '' END AS tags,
+  CASE WHEN doc_id % 4 = 0 THEN '' ELSE '2024-01-0' || (doc_id % 9 + 1) END AS posted_at FROM documents""",
 )
 def thread_listings(spark, sf):
-    ident = F.col("page_id").cast("string")
-    link = F.concat(F.lit('<a href="https://www.1point3acres.com/bbs/thread-'), ident, F.lit('-1-1.html">'))
-    html = F.concat(
-        F.lit('<time title="2023-01-01">old</time><time title="2024-01-0'), (F.col("page_id") % 9 + 1).cast("string"), F.lit('">d</time>'),
-        link, F.lit("<img></a>"), link, F.lit('<div class="flex-1 x">Listed '), ident,
-        F.lit('</div><div class="text-primary"><span> x </span><span>y</span></div></a>'), link, F.lit('<div class="flex-1">again</div></a>'),
-    )
-    pages = table(spark, sf, "pages").select(F.col("page_id").alias("page"), html.alias("payload"))
+    """Documents on a company's listing, one a page: dates before anchors or none, tags that do not count, ids listed again later."""
+    page = F.expr("""
+CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('<time title="2023-01-01">old</time><time title="2024-01-0', doc_id % 9 + 1, '">d</time>') END ||
+concat('<a href="https://www.1point3acres.com/bbs/thread-', doc_id, '-1-1.html"><img></a><a class="c" href="https://www.1point3acres.com/bbs/thread-', doc_id, '-1-1.html?x"><div class="flex-1 x">Listed <b>', doc_id, '</b> ',
+  source, '</div><div class="text-primary">', CASE doc_id % 3 WHEN 0 THEN concat('<span> ', lang, ' </span><span>y</span>')
+  WHEN 1 THEN '<span>y</span><span>a tag that is longer than thirty letters</span>' ELSE '<span> </span>' END, '</div></a>') ||
+concat('<time title="2025-01-01">n</time><a href="https://www.1point3acres.com/bbs/thread-', doc_id, '-1-1.html"><div class="flex-1">again</div></a>')""")
+    pages = table(spark, sf, "documents").select(F.col("doc_id").alias("page"), page.alias("payload"))
     return posts.thread_listings(pages).select("tid", "title", F.array_join("tags", "|").alias("tags"), "posted_at")
 
 

@@ -164,3 +164,26 @@ EXTENSION_BY_CONTENT_TYPE = {
     "image/webp": ".webp", "image/svg+xml": ".svg", "image/avif": ".avif",
     "audio/mpeg": ".mp3", "audio/mp4": ".m4a", "video/mp4": ".mp4", "application/pdf": ".pdf",
 }
+
+# --- fixed values: an opening in a board's page state ------------------------
+ASHBY_OPENING = (
+    r'(?s)\{"id":"([0-9a-f-]{36})","title":"((?:\\.|[^"])*)","updatedAt":"[^"]*".*?"locationName":"((?:\\.|[^"])*)"'
+    r'.*?"workplaceType":(?:"[^"]*"|null).*?"secondaryLocations":(\[[^\]]*\])'
+)
+
+# --- fixed values: counts of the daily report ---------------------------------
+REPORT_COUNTS = (
+    ("raw_count", "Raw jobs from LinkedIn alerts"), ("unique_count", "After dedupe (unique roles)"), ("filtered_count", "Filtered out (rules + LLM)"),
+    ("passes_count", "Passing → Pending Inbox"), ("resolved_count", "Resolved by ATS resolver"),
+    ("awaiting_count", "Awaiting JD (in Pending JDs.md)"), ("scored_count", "Scored today (incl. manual JD fills)"),
+)
+
+# --- fixed values: places in forum pages ---------------------------------------
+LISTING_MARK = r'(?s)(?:<time[^>]*title="([^"]*)"[^>]*>|<a\b[^>]*href="(https?://www\.1point3acres\.com/bbs/thread-(\d+)-1-1\.html)[^"]*"[^>]*>(.*?)</a>)'
+LISTING_TITLE = r'(?s)<div[^>]*class="[^"]*\bflex-1\b[^"]*"[^>]*>(.*?)</div>'
+LISTING_TAGS = r'(?s)<div[^>]*class="[^"]*\btext-primary\b[^"]*"[^>]*>(.*?)</div>'
+THREAD_OWNER = r'(?s)class="[^"]*\bauthi\b[^"]*"[^>]*>(.*?)</div>'
+THREAD_PROFILE = r'(?s)<a[^>]*href="[^"]*space-uid-\d+[^"]*"[^>]*>(.*?)</a>'
+THREAD_OWNER_DATED = r"^(.+?)\s+(?:\d{4}-\d{1,2}-\d{1,2}|\d+\s*(?:小时|分钟|天|秒)\s*前|昨天|前天|刚刚)"
+THREAD_POSTED = r'(?s)<em[^>]*id="authorposton[^"]*"[^>]*>(.*?)</em>'
+THREAD_CLOCK = r"(\d{4}-\d{1,2}-\d{1,2}\s+\d{1,2}:\d{2}(?::\d{2})?)"

@@ -53,13 +53,6 @@ def scored_for_report(scored: DataFrame, ready: DataFrame) -> DataFrame:
     )
 
 
-REPORT_COUNTS = (
-    ("raw_count", "Raw jobs from LinkedIn alerts"), ("unique_count", "After dedupe (unique roles)"), ("filtered_count", "Filtered out (rules + LLM)"),
-    ("passes_count", "Passing → Pending Inbox"), ("resolved_count", "Resolved by ATS resolver"),
-    ("awaiting_count", "Awaiting JD (in Pending JDs.md)"), ("scored_count", "Scored today (incl. manual JD fills)"),
-)
-
-
 def daily_report_lines(day: str, counts: DataFrame, awaiting: DataFrame, scored: DataFrame, filtered: DataFrame) -> DataFrame:
     """The daily report as rows (section, part, at, line): order by the first three to write it.
 
@@ -85,7 +78,7 @@ def daily_report_lines(day: str, counts: DataFrame, awaiting: DataFrame, scored:
 
     head = [fixed_line(0, 0, i, t) for i, t in enumerate((f"# Job Report — {day}", "", "## Pipeline Summary", "", "| Metric | Count |", "|---|---|"))]
     table = [
-        fixed_line(0, 1, i, F.concat(F.lit(f"| {label} | "), number(name), F.lit(" |"))) for i, (name, label) in enumerate(REPORT_COUNTS)
+        fixed_line(0, 1, i, F.concat(F.lit(f"| {label} | "), number(name), F.lit(" |"))) for i, (name, label) in enumerate(fixed.REPORT_COUNTS)
     ]
 
     def title(section: int, text: str, name: str, *more: str) -> list[Column]:

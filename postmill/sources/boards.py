@@ -333,11 +333,6 @@ ADAPTERS: dict[str, tuple[Callable[..., DataFrame], bool]] = {
 
 # --- lookup side: openings of one board for scored matching ---------------
 
-ASHBY_OPENING = (
-    r'(?s)\{"id":"([0-9a-f-]{36})","title":"((?:\\.|[^"])*)","updatedAt":"[^"]*".*?"locationName":"((?:\\.|[^"])*)"'
-    r'.*?"workplaceType":(?:"[^"]*"|null).*?"secondaryLocations":(\[[^\]]*\])'
-)
-
 
 def _unquoted(value: Column) -> Column:
     return F.coalesce(F.from_json(F.concat(F.lit('{"v":"'), value, F.lit('"}')), "v string")["v"], value)
@@ -345,7 +340,7 @@ def _unquoted(value: Column) -> Column:
 
 def ashby_openings(pages: DataFrame, board: str) -> DataFrame:
     """Openings embedded in a board page; all places joined by ' | '."""
-    groups = [F.regexp_extract_all(filled("payload"), F.lit(ASHBY_OPENING), F.lit(g)).alias(n) for g, n in enumerate(("id", "title", "place", "more"), 1)]
+    groups = [F.regexp_extract_all(filled("payload"), F.lit(fixed.ASHBY_OPENING), F.lit(g)).alias(n) for g, n in enumerate(("id", "title", "place", "more"), 1)]
     j = F.col("j")
     more = F.regexp_extract_all(j["more"], F.lit(r'"locationName":"((?:\\.|[^"])*)"'), F.lit(1))
     places = F.transform(F.concat(F.array(j["place"]), more), lambda p: collapse_ws(_unquoted(p)))

@@ -157,9 +157,8 @@ def thread_listings(pages: DataFrame) -> DataFrame:
 
     A listing's date is the last <time title> before its anchor.
     """
-    anchor = r'(?s)(?:<time[^>]*title="([^"]*)"[^>]*>|<a\b[^>]*href="(https?://www\.1point3acres\.com/bbs/thread-(\d+)-1-1\.html)[^"]*"[^>]*>(.*?)</a>)'
     groups = [
-        F.regexp_extract_all(filled("payload"), F.lit(anchor), F.lit(g)).alias(n)
+        F.regexp_extract_all(filled("payload"), F.lit(fixed.LISTING_MARK), F.lit(g)).alias(n)
         for g, n in ((1, "time"), (2, "url"), (3, "tid"), (4, "body"))
     ]
     company = F.col("company") if "company" in pages.columns else F.lit(None).cast("string")
@@ -179,8 +178,8 @@ def thread_listings(pages: DataFrame) -> DataFrame:
     anchors = F.transform(dated, lambda d: F.struct(d["at"].alias("at"), d["time"].alias("time"), F.get(F.col("m"), d["at"]).alias("a")))
     found = marks.select("company", "page", F.explode(anchors).alias("x")).select("company", "page", "x.at", "x.time", "x.a")
     body = F.col("a")["body"]
-    title = F.regexp_extract(body, r'(?s)<div[^>]*class="[^"]*\bflex-1\b[^"]*"[^>]*>(.*?)</div>', 1)
-    tagged = F.regexp_extract(body, r'(?s)<div[^>]*class="[^"]*\btext-primary\b[^"]*"[^>]*>(.*?)</div>', 1)
+    title = F.regexp_extract(body, fixed.LISTING_TITLE, 1)
+    tagged = F.regexp_extract(body, fixed.LISTING_TAGS, 1)
     tags = F.filter(
         F.transform(F.regexp_extract_all(tagged, F.lit(r"(?s)<span[^>]*>(.*?)</span>"), F.lit(1)), lambda s: strip(unescape(F.regexp_replace(s, "<[^>]+>", "")))),
         lambda s: (s != "") & (F.length(s) <= 30) & ~s.contains("\n"),
@@ -214,16 +213,15 @@ def thread_fields(pages: DataFrame) -> DataFrame:
     replies = F.filter(F.slice("texts", 2, F.greatest(F.size("texts"), F.lit(1))), lambda r: r != "")
     heading = strip(unescape(F.regexp_replace(F.regexp_extract(html, r"(?s)<h1[^>]*>(.*?)</h1>", 1), "<[^>]+>", " ")))
     tab = strip(unescape(F.regexp_extract(html, r"(?s)<title[^>]*>(.*?)</title>", 1)))
-    owner = F.regexp_extract(html, r'(?s)class="[^"]*\bauthi\b[^"]*"[^>]*>(.*?)</div>', 1)
-    profile = strip(F.regexp_replace(F.regexp_extract(owner, r'(?s)<a[^>]*href="[^"]*space-uid-\d+[^"]*"[^>]*>(.*?)</a>', 1), "<[^>]+>", ""))
+    owner = F.regexp_extract(html, fixed.THREAD_OWNER, 1)
+    profile = strip(F.regexp_replace(F.regexp_extract(owner, fixed.THREAD_PROFILE, 1), "<[^>]+>", ""))
     plain = collapse_ws(F.substring_index(unescape(F.regexp_replace(owner, "<[^>]+>", " ")), "发表于", 1))
-    dated = r"^(.+?)\s+(?:\d{4}-\d{1,2}-\d{1,2}|\d+\s*(?:小时|分钟|天|秒)\s*前|昨天|前天|刚刚)"
-    posted = strip(unescape(F.regexp_replace(F.regexp_extract(html, r'(?s)<em[^>]*id="authorposton[^"]*"[^>]*>(.*?)</em>', 1), "<[^>]+>", "")))
-    clock = F.regexp_extract(posted, r"(\d{4}-\d{1,2}-\d{1,2}\s+\d{1,2}:\d{2}(?::\d{2})?)", 1)
+    posted = strip(unescape(F.regexp_replace(F.regexp_extract(html, fixed.THREAD_POSTED, 1), "<[^>]+>", "")))
+    clock = F.regexp_extract(posted, fixed.THREAD_CLOCK, 1)
     return cells.select(
         "tid",
         F.when(heading != "", strip(F.regexp_replace(heading, r"^\[[^\]]+\]\s*", ""))).otherwise(tab).alias("title"),
-        F.coalesce(present(profile), present(F.regexp_extract(plain, dated, 1)), F.substring_index(plain, " ", 1)).alias("author"),
+        F.coalesce(present(profile), present(F.regexp_extract(plain, fixed.THREAD_OWNER_DATED, 1)), F.substring_index(plain, " ", 1)).alias("author"),
         first_present(clock, posted).alias("posted_at"),
         F.concat_ws("\n\n---\n\n", F.array(body), replies).alias("body"), body.alias("op_body"),
         replies.alias("replies"), F.size(replies).alias("reply_count"),
