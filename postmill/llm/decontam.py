@@ -255,7 +255,11 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Rows of `docs`, all columns, in which no window of any item occurs."""
+    """Rows of `docs`, all columns, in which no window of any item occurs.
+
+    Repeated rows go or stay alike; null and empty texts hold no window and stay. Null and empty items, and an
+    empty benchmark, remove nothing; repeated items count once. An empty `docs` gives no rows.
+    """
     for index in blocks(benchmark, item_col, item_text_col, window):
 
         def keep(batch: pa.RecordBatch, index: Broadcast = index) -> np.ndarray:

@@ -157,7 +157,11 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_known(df: DataFrame, model: Model, text_col: str = "text", allowed: tuple[str, ...] | None = None) -> DataFrame:
-    """Rows of `df`, all columns, whose text is in a learned language (of `allowed`, if given) and not ambiguous."""
+    """Rows of `df`, all columns, whose text is in a learned language (of `allowed`, if given) and not ambiguous.
+
+    Each row is judged by its own text: repeated rows go or stay alike. Null and empty texts and those without
+    a letter go; a model without a language keeps no row. An empty table gives no rows.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def keep(batch: pa.RecordBatch) -> np.ndarray:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_rows import brute_groups, brute_scan, reference
 
 import corpus_pipeline
-from postmill.llm import langid, toxicity
+from postmill.llm import decontam, langid, toxicity
 from postmill.llm.catalog import ORACLES, QUERIES
 from postmill.llm.learning import held_out
 
@@ -111,3 +111,22 @@ def test_stages_on_hard_rows(spark, small):
         assert stage(spark, extra.limit(0), small).count() == 0
     assert count["tokens"] == count["decontamination"] == len(HARD)
     assert count["near_duplicates"] == len(HARD) - 1 and count["language"] <= len(HARD)
+
+
+def test_language_and_window_filters_on_hard_rows(spark):
+    en, fr = "the cat sat on the mat and the dog was there with them", "le chat est sur la table et le chien est avec nous ici"
+    many = spark.createDataFrame([(i, f"{t} {i}", lang) for i in range(40) for t, lang in ((en, "en"), (fr, "fr"))], "doc_id long, text string, lang string")
+    rows = [(1, en), (1, en), (None, en), (2, fr), (3, None), (4, ""), (5, "123 456 !?"), (6, en + " " + fr * 500)]
+    df = spark.createDataFrame([(*r, "x", 7) for r in rows], "doc_id long, text string, languages string, n_hit int")
+    model = langid.train(many)
+    kept = langid.keep_known(df, model, allowed=("en",))
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect() if r.doc_id != 6) == ["1", "1", "None"]
+    nothing = langid.train(many.filter("lang is null"))
+    assert langid.keep_known(df, nothing).count() == 0 and langid.keep_known(df.limit(0), model).count() == 0
+
+    items = spark.createDataFrame([("a", "one two three"), ("a", "one two three"), ("b", None), ("c", ""), ("d", " ".join(f"w{i}" for i in range(12)))], "item_id string, text string")
+    texts = [(1, "ONE two, three!"), (1, "ONE two, three!"), (2, "one two"), (3, None), (4, ""), (None, "x " * 9000 + " ".join(f"w{i}" for i in range(1, 11))), (5, "w0 w1 w2 w3 w4 w5 w6 w7 w8 other")]
+    docs = spark.createDataFrame([(*t, "z") for t in texts], "doc_id long, text string, item_id string")
+    left = decontam.remove(docs, items)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [2, 3, 4, 5]
+    assert decontam.remove(docs, items.limit(0)).count() == len(texts) and decontam.remove(docs.limit(0), items).count() == 0
