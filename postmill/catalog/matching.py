@@ -175,7 +175,7 @@ def hits(spark, sf):
         title, company = F.when(label == name, job).otherwise(title), F.when(label == name, owner).otherwise(company)
     return table(spark, sf, "pages").select(
         label.alias("job_id"), "url", F.col("page_id").alias("ordinal"), title.alias("title"),
-        company.alias("company"), t.page_title("html").alias("page"), t.html_to_text("html").alias("body"), "html",
+        company.alias("company"), t.page_title("html").alias("page"), t.html_to_text("html", ended=True).alias("body"), "html",
     )
 
 

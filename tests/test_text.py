@@ -75,3 +75,12 @@ def test_titles(spark):
     assert rows(spark, ["FooBar Technologies, Inc"], ti.company_aliases("c")) == [
         ["FooBar Technologies, Inc", "Foo Bar Technologies, Inc", "FooBar ,", "FooBar Technologies"]
     ]
+
+
+def test_ended_entities_only(spark):
+    """A page that ends in the middle of an entity: only what ends in ';' is decoded where the SQL reads pages so."""
+    values = ["<title>a &amp</title>b &middot; c&ampd &lt;", "x &copy y &amp; &#65 &#66; &notit;", "&quot &am &", None]
+    assert rows(spark, values, t.html_to_text("c", ended=True)) == ["a &amp b · c&ampd <", "x &copy y & &#65 B &notit;", "&quot &am &", ""]
+    escaped = [v and html.escape(v, quote=False) for v in values]
+    assert rows(spark, escaped, t.html_fragment_to_text("c", ended=True)) == rows(spark, values, t.html_to_text("c", ended=True))
+    assert rows(spark, values, t.fallback_lines("c", ended=True)) == [["a &amp b · c&ampd <"], ["x &copy y & &#65 B &notit;"], ["&quot &am &"], []]
