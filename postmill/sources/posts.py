@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -162,21 +162,13 @@ def thread_listings(pages: DataFrame) -> DataFrame:
         for g, n in ((1, "time"), (2, "url"), (3, "tid"), (4, "body"))
     ]
     company = F.col("company") if "company" in pages.columns else F.lit(None).cast("string")
-    marks = pages.select(company.alias("company"), "page", F.arrays_zip(*groups).alias("m"))
-    # One pass carries the last date on to the anchors behind it.
-    start = F.struct(F.lit("").alias("time"), F.array().cast("array<struct<time:string,at:int>>").alias("dated"))
-
-    def carried(state: Column, mark: Column) -> Column:
-        time = F.when(mark["m"]["tid"] == "", mark["m"]["time"]).otherwise(state["time"])
-        here = F.when(mark["m"]["tid"] == "", F.array().cast("array<struct<time:string,at:int>>")).otherwise(
-            F.array(F.struct(time.alias("time"), mark["at"].alias("at")))
-        )
-        return F.struct(time.alias("time"), F.concat(state["dated"], here).alias("dated"))
-
-    placed = F.transform("m", lambda m, at: F.struct(m.alias("m"), at.alias("at")))
-    dated = F.aggregate(placed, start, carried, lambda state: state["dated"])
-    anchors = F.transform(dated, lambda d: F.struct(d["at"].alias("at"), d["time"].alias("time"), F.get(F.col("m"), d["at"]).alias("a")))
-    found = marks.select("company", "page", F.explode(anchors).alias("x")).select("company", "page", "x.at", "x.time", "x.a")
+    dealt = pages.select(company.alias("company"), "page", "payload", F.xxhash64("payload").alias("_text")).repartition("company", "page", "_text")
+    marks = dealt.select("company", "page", "_text", F.posexplode(F.arrays_zip(*groups)).alias("at", "a"))
+    # The last date is carried on to the anchors behind it along the page's marks, which one sort puts in order.
+    behind = Window.partitionBy("company", "page", "_text").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_time = F.col("a")["tid"] == ""
+    dated = marks.withColumn("time", filled(F.last(F.when(is_time, F.col("a")["time"]), ignorenulls=True).over(behind)))
+    found = dated.filter(~is_time)
     body = F.col("a")["body"]
     title = F.regexp_extract(body, fixed.LISTING_TITLE, 1)
     tagged = F.regexp_extract(body, fixed.LISTING_TAGS, 1)

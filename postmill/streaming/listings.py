@@ -75,6 +75,18 @@ class ListingReader(DataSourceStreamReader):
             page += 1
 
 
+class PagedReader(ListingReader):
+    """Hands each page on as a batch of its own: Spark would gather thousands of pages of a company into one."""
+
+    def read(self, partition: Span) -> Iterator:
+        import pyarrow as pa
+
+        stamp = pa.timestamp("us", tz="UTC")
+        kinds = pa.schema([("company", pa.string()), ("page", pa.int32()), ("payload", pa.string()), ("since", stamp), ("until", stamp)])
+        for row in super().read(partition):
+            yield pa.RecordBatch.from_arrays([pa.array([value], kind) for value, kind in zip(row, kinds.types, strict=True)], schema=kinds)
+
+
 class ListingStream(DataSource):
     """Format `listing_pages`. Options: specs (JSON, each with a name), fetch (module:function), months, until (default now)."""
 
@@ -85,8 +97,8 @@ class ListingStream(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def streamReader(self, schema) -> ListingReader:
-        return ListingReader(self.options)
+    def streamReader(self, schema) -> PagedReader:
+        return PagedReader(self.options)
 
 
 def in_span(pages: DataFrame) -> DataFrame:

@@ -260,3 +260,29 @@ def test_lookup_rows(spark):
     detail = '{"name": "N", "company": {"name": " C "}, "location": {"fullLocation": "L"}, "jobAd": {"sections": {"jobDescription": {"title": "T", "text": "<p>x</p>"}}}}'
     (one,) = lookup.smartrecruiters_detail(spark.createDataFrame([("7", detail), ("8", "broken")], "id string, payload string").filter("id = 7"), "b").collect()
     assert tuple(one) == ("7", "N", "C", "L", "https://jobs.smartrecruiters.com/b/7", "T\nx")
+
+
+def test_long_listing_pages_are_read_in_linear_time(spark):
+    import json
+    import time
+
+    from postmill.sources.posts import thread_listings
+    from postmill.streaming.listings import PagedReader
+
+    def page(first, count, each=1):
+        return "".join(
+            (f'<time title="2026-01-{1 + n % 28:02d} 10:00"></time>' if n % each == 0 else "")
+            + f'<a href="https://www.1point3acres.com/bbs/thread-{n}-1-1.html"><div class="flex-1">Thread {n}</div></a>' for n in range(first, first + count)
+        )
+
+    both = spark.createDataFrame([("a", 0, page(0, 10, 5)), ("a", 1, page(10, 3, 99)), ("b", 0, page(20, 6, 2))], "company string, page int, payload string")
+    dates = {int(r["tid"]): r["posted_at"][8:10] for r in thread_listings(both).collect()}
+    assert dates == {**{n: "01" for n in range(5)}, **{n: "06" for n in range(5, 10)}, **{n: "" for n in range(10, 13)}, **{n: f"{1 + n // 2 * 2 % 28:02d}" for n in range(20, 26)}}
+    long = spark.createDataFrame([("a", 0, page(0, 30000))], "company string, page int, payload string")
+    started = time.time()
+    assert thread_listings(long).filter("posted_at != ''").count() == 30000
+    assert time.time() - started < 20
+    spec = {"name": "acme", "pages": [[(9, "2026-03-01 10:00")], [(7, "2026-02-02 10:00")]]}
+    reader = PagedReader({"specs": json.dumps([spec]), "fetch": "test_state:listing_page", "until": "2026-03-15 00:00"})
+    batches = list(reader.read(reader.partitions(reader.initialOffset(), reader.latestOffset())[0]))
+    assert [b.num_rows for b in batches] == [1, 1] and [b.column("page")[0].as_py() for b in batches] == [0, 1]
