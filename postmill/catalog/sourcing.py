@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from postmill.catalog.registry import query, table
+from postmill.catalog.registry import query, spread_table, table
 from postmill.functions.text import html_to_text, strip
 from postmill.sources import boards, mail, posts
 
@@ -174,7 +174,7 @@ def mail_links(spark, sf):
         anchor(3, F.concat("p_name", F.lit(" Lead Stripe · "), "p_type", F.lit(" (Hybrid)"))),
         F.lit('<a href="https://www.linkedin.com/comm/jobs/search?keywords=x">See all jobs</a></body></html>'),
     )
-    messages = table(spark, sf, "part").select(
+    messages = spread_table(spark, sf, "part").select(
         F.col("p_partkey").alias("ordinal"), F.lit("jobs-noreply@linkedin.com").alias("sender"), F.lit("Job alert").alias("subject"),
         F.lit("d").alias("date"), F.lit("m").alias("message_id"), F.lit("").alias("text"), html.alias("html"),
     )

@@ -49,3 +49,17 @@ def test_message_and_funnel(spark):
     none = spark.createDataFrame([], "filter_status string, external_jd_status string")
     row = reports.funnel(scored, none, none).first()
     assert (row["raw_count"], row["unique_count"], row["passes_count"]) == (3, 3, 0)
+
+
+SPREAD = {
+    "assembled_pages": "p_partkey", "detail_pages": "p_partkey", "embedded_postings": "p_partkey", "flow_ingest": "p_partkey",
+    "mail_cards": "p_partkey", "mail_links": "p_partkey", "reply_json": "event_id",
+}
+
+
+@pytest.mark.parametrize("name", sorted(SPREAD))
+def test_work_on_rows_comes_after_the_shuffle(spark, small, name):
+    """A few MB hold millions of short rows: one task reads them, so no parsing may stand below the exchange."""
+    text = plan(QUERIES[name](spark, small))
+    read = re.findall(rf"hashpartitioning\({SPREAD[name]}#\w+, \d+\), REPARTITION_BY_NUM.*?FileScan", text, re.S)
+    assert read and not any(re.search("regexp|from_json|parse_json|Python|lambda", below) for below in read)
