@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from postmill.catalog.registry import query, table
+from postmill.catalog.registry import query, spread_table, table
 from postmill.operators import archive as a
 
 
@@ -85,7 +85,7 @@ SELECT p_partkey, p_name || '=2' AS headings, 'def f():' || chr(10) || '  return
   '07-slug-fig1.png' AS image_file FROM part""",
 )
 def page_features(spark, sf):
-    pages = course_page(table(spark, sf, "part")).select(
+    pages = course_page(spread_table(spark, sf, "part")).select(
         "p_partkey", a.headings("html").alias("h"), a.code_blocks("html").alias("c"), a.images("html", "https://c.example/").alias("i")
     )
     return pages.select(
@@ -110,7 +110,7 @@ SELECT p_partkey, 'Lesson ' || p_name AS title,
 FROM n""",
 )
 def assembled_pages(spark, sf):
-    pages = course_page(table(spark, sf, "part"))
+    pages = course_page(spread_table(spark, sf, "part"))
     done = pages.select(
         "p_partkey", a.assemble(F.col("body"), F.col("html"), F.array(F.lit("f.png")), "https://c.example").alias("m")
     )
