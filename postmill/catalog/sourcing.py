@@ -410,7 +410,7 @@ def embedded_postings(spark, sf):
         F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("<script type='application/ld+json'>broken</script><script type=\"application/ld+json\">"), node, F.lit("</script>"))).otherwise(""),
         F.lit("<p>Body "), "p_type", F.lit("</p><p>Sign in</p><p>x</p>"),
     )
-    found = table(spark, sf, "part").select("p_partkey", page.alias("html"))
+    found = spread_table(spark, sf, "part").select("p_partkey", page.alias("html"))
     read = found.select("p_partkey", description("html", json_ld_posting("html")).alias("d"))
     return read.select("p_partkey", "d.title", "d.company", "d.location", F.col("d.text").alias("jd_text"), "d.parser")
 
