@@ -85,7 +85,7 @@ def board_query(ats: str, payload: str, settings: dict):
     adapter, _ = boards.ADAPTERS[ats]
 
     def run(spark, sf):
-        pages = table(spark, sf, "part").select(F.expr(payload).alias("payload"), F.col("p_partkey").alias("page"))
+        pages = spread_table(spark, sf, "part").select(F.expr(payload).alias("payload"), F.col("p_partkey").alias("page"))
         now = F.lit(NOW).cast("timestamp")
         return adapter(pages, "Acme", now, **settings).select(
             "title", "company", "location", "external_jd_url", "jd_text", "ats_job_id", "job_key"
@@ -104,7 +104,7 @@ for _ats, (_payload, _settings, _expected) in BOARDS.items():
 )
 def board_details(spark, sf):
     key = F.col("p_partkey").cast("string").alias("url")
-    parts = table(spark, sf, "part")
+    parts = spread_table(spark, sf, "part")
 
     def text(ats, payload):
         found = boards.detail_text(parts.select(key, F.expr(payload).alias("payload")), ats)
@@ -137,7 +137,7 @@ def mail_cards(spark, sf):
         F.lit('</span><p id="job-time-posted">2 hours ago · </p></td>'),
     )
     more = F.lit('<td id="job-section"><div id="job-title"><a href="https://jobright.ai/x">View More Opportunities</a></div></td>')
-    messages = table(spark, sf, "part").select(
+    messages = spread_table(spark, sf, "part").select(
         F.col("p_partkey").alias("ordinal"), F.lit("Jobright <no-reply@jobright.ai>").alias("sender"),
         F.lit("New jobs").alias("subject"), F.lit("d").alias("date"), F.lit("m").alias("message_id"), F.lit("").alias("text"),
         F.concat(F.lit("<html>"), card, card, more, F.lit('<td id="job-section"><p>none</p></td></html>')).alias("html"),
@@ -200,7 +200,7 @@ def mail_sources(spark, sf):
 )
 def search_feed(spark, sf):
     feed = F.expr(f"'<rss><channel><item><title> ' || p_name || '</title><link>https://f/' || {KEY} || '</link><description>' || p_type || '</description></item><item><title>none</title></item></channel></rss>'")
-    pages = table(spark, sf, "part").select(feed.alias("payload"), F.col("p_partkey").alias("page"))
+    pages = spread_table(spark, sf, "part").select(feed.alias("payload"), F.col("p_partkey").alias("page"))
     return boards.search_results(pages).select(F.col("page").alias("p_partkey"), "url", "title", "description")
 
 
