@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from postmill.catalog.registry import query, spread_table, table
-from postmill.functions.text import html_to_text, strip
+from postmill.functions.text import html_to_text, let, strip
 from postmill.sources import boards, mail, posts
 
 NOW = "2024-02-01 00:00:00"
@@ -429,10 +429,12 @@ def detail_pages(spark, sf):
            'jobLocation', named_struct('address', named_struct('addressLocality', p_type, 'addressRegion', 'WA')),
            'baseSalary', named_struct('value', named_struct('minValue', p_size, 'maxValue', p_size * 2)))) || '</script>'"""
     )
-    read = table(spark, sf, "part").select("p_partkey", detail_posting(page).alias("d"))
-    text = detail_text(F.col("d"))
+    read = let(detail_posting(page), lambda d: F.struct(d.alias("d"), detail_text(d).alias("text")))
+    # A filter would be moved below the shuffle, and all the reading with it; rows of an array are not.
+    kept = F.filter(F.array(read), lambda r: (r["d"]["@type"] == "JobPosting") & (F.length(r["text"]) >= 100))
+    rows = spread_table(spark, sf, "part").select("p_partkey", F.explode(kept).alias("r")).select("p_partkey", "r.d", "r.text")
     place = F.concat_ws(", ", F.nullif("d.jobLocation.address.addressLocality", F.lit("")), F.nullif("d.jobLocation.address.addressRegion", F.lit("")))
-    return read.filter((F.col("d.`@type`") == "JobPosting") & (F.length(text) >= 100)).select(
-        "p_partkey", "d.title", place.alias("location"), text.alias("jd_text"),
+    return rows.select(
+        "p_partkey", "d.title", place.alias("location"), F.col("text").alias("jd_text"),
         F.col("d.baseSalary.value.minValue").alias("jd_salary_min"), F.col("d.baseSalary.value.maxValue").alias("jd_salary_max"),
     )
