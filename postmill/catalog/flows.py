@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from postmill.catalog.matching import MATCH_CTE, boards
-from postmill.catalog.registry import query, table
+from postmill.catalog.registry import query, spread_table, table
 from postmill.plans import jobs as flows
 
 NOW = "2026-01-02 03:04:05"
@@ -29,7 +29,7 @@ SELECT board, page, title, coalesce(n <= 60, false) AS fetch_detail FROM r""",
 )
 def flow_scan(spark, sf):
     """Two boards with the same payloads; every fifth posting of one of them is known already."""
-    parts = table(spark, sf, "part")
+    parts = spread_table(spark, sf, "part")
     job = F.struct(
         F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"),
         F.concat(F.lit("https://x.example/"), F.col("p_partkey").cast("string")).alias("absolute_url"),
@@ -62,14 +62,14 @@ def flow_ingest(spark, sf):
         F.lit('?utm=1">'), "p_name", F.lit('</a></div><span id="job-tag">$'), F.col("p_size").cast("string"), F.lit("K/yr</span></td>"),
     )
     copies = F.explode(F.array(F.lit(0), F.lit(1))).alias("copy")
-    messages = table(spark, sf, "part").select("p_partkey", copies, card.alias("card")).select(
+    messages = spread_table(spark, sf, "part").select("p_partkey", copies, card.alias("card")).select(
         (F.col("p_partkey") * 2 + F.col("copy")).alias("ordinal"), F.lit("Jobright <no-reply@jobright.ai>").alias("sender"),
         F.lit("New jobs").alias("subject"), F.lit("d").alias("date"), F.lit("m").alias("message_id"), F.lit("").alias("text"),
         F.concat(F.lit("<html>"), "card", "card", F.lit("</html>")).alias("html"),
     )
     now = F.lit(NOW).cast("timestamp")
     link = F.concat(F.lit("https://jobright.ai/jobs/info/"), key)
-    known = table(spark, sf, "part").filter("p_partkey % 4 = 0").select(F.substring(F.sha1(link), 1, 16).alias("job_key"))
+    known = spread_table(spark, sf, "part").filter("p_partkey % 4 = 0").select(F.substring(F.sha1(link), 1, 16).alias("job_key"))
     fresh, _ = flows.ingest_alerts(messages, seen_of(known), now)
     return fresh.select("job_key", "title", "company", "jobright_url")
 
