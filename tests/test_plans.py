@@ -63,3 +63,10 @@ def test_work_on_rows_comes_after_the_shuffle(spark, small, name):
     text = plan(QUERIES[name](spark, small))
     read = re.findall(rf"hashpartitioning\({SPREAD[name]}#\w+, \d+\), REPARTITION_BY_NUM.*?FileScan", text, re.S)
     assert read and not any(re.search("regexp|from_json|parse_json|Python|lambda", below) for below in read)
+
+
+def test_titles_and_places_of_boards_are_made_after_the_shuffle(spark, small):
+    from postmill.catalog.matching import boards
+
+    for side in boards(spark, small):
+        assert re.search(r"hashpartitioning\(p_partkey#\w+, \d+\), REPARTITION_BY_NUM", plan(side))
