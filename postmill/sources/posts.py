@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +23,7 @@ POST_COLUMNS = (
     "source", "source_id", "company", "title", "body", "url", "posted_at", "author", "reply_count", "locked", "raw",
 )
 THREAD = T.ArrayType(T.StringType())
+PAGES_AT_ONCE = 100
 
 
 def _at_most(text: Column, chars: int | None) -> Column:
@@ -140,9 +141,15 @@ def _cells(html: str) -> list[str]:
     return cells
 
 
-@F.pandas_udf(THREAD)
-def post_cells(html: pd.Series) -> pd.Series:
-    return html.map(lambda page: _cells(page or ""))
+@F.arrow_udf(THREAD)
+def post_cells(html: pa.Array) -> pa.Array:
+    """Cells of each page; only `PAGES_AT_ONCE` pages of a batch are Python strings at a time, the rest stay Arrow's bytes."""
+    kind = pa.list_(pa.string())
+    found = [
+        pa.array([_cells(page.as_py() or "") for page in html.slice(at, PAGES_AT_ONCE)], kind)
+        for at in range(0, len(html), PAGES_AT_ONCE)
+    ]
+    return pa.concat_arrays(found) if found else pa.array([], kind)
 
 
 def cell_text(cell: Column) -> Column:

@@ -1,7 +1,9 @@
 """Smaller operators: lookup boards, notes, archive folders, incremental helpers."""
 
 import json
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from postmill.functions import payload
@@ -14,6 +16,18 @@ from postmill.streaming import incremental
 NOW = "2026-04-25 00:00:00"
 
 
+def test_post_cells_hold_few_pages_as_strings(spark):
+    page = '<td id="postmessage_1">' + "x" * 20_000 + '<table><tr><td>n</td></tr></table></td><td>no post</td>'
+    pages = pa.array([page, None, ""] * 500)
+    tracemalloc.start()  # Arrow's own bytes don't count
+    cells = posts.post_cells.func(pages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(cells) == 1500 and cells[:3].to_pylist() == [[page[23:-21]], [], []]
+    assert posts.post_cells.func(pages[:0]).to_pylist() == []
+    assert peak < 10e6  # the 500 pages are 10 MB, their cells as many
+
+
 def test_lookup_boards(spark):
     opening = '{"id":"0a1b2c3d-0000-0000-0000-000000000001","title":"Eng \\u0026 Ops","updatedAt":"x","a":1,"locationName":"SF","workplaceType":null,"z":0,"secondaryLocations":[{"locationName":"NYC"},{"locationName":"LA"}]}'
     page = spark.createDataFrame([(f"<script>[{opening}]</script>", 0)], "payload string, page int")
