@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from postmill.catalog.registry import query, table
 from postmill.functions.text import collapse_ws
 from postmill.operators import handbook as h
+from postmill.session import stage
 
 LINES = """
 WITH lines AS (
@@ -16,15 +17,23 @@ canonical AS (SELECT type, name, count(DISTINCT thread_id) AS frequency FROM ask
 """
 
 
-def asked(spark, sf):
-    lines = table(spark, sf, "documents").select(
-        F.col("doc_id").alias("thread_id"), F.col("lang").alias("type"),
-        F.posexplode(F.split("text", "\n")).alias("pos", "line"),
+def extracted(spark, sf, kind=None):
+    """Documents as posts, their lines as questions; a line's white space is collapsed once, before any use of its name."""
+    lines = F.transform(F.split("text", "\n"), lambda line, pos: F.struct(
+        (F.col("doc_id") * 1000000 + pos).alias("at"), collapse_ws(line).alias("name")
+    ))
+    return table(spark, sf, "documents").select(
+        F.col("doc_id").alias("thread_id"), (F.col("lang") if kind is None else kind).alias("type"),
+        F.filter(lines, lambda x: x["name"] != "").alias("questions"), F.when(F.col("doc_id") % 50 == 7, "timeout").alias("error"),
     )
-    return lines.select(
-        "thread_id", "type", collapse_ws("line").alias("name"),
-        (F.col("thread_id") * 1000000 + F.col("pos")).alias("at"),
-    ).filter("name != ''")
+
+
+def flat(posts):
+    return posts.select("thread_id", "type", F.inline("questions"))
+
+
+def asked(spark, sf):
+    return flat(extracted(spark, sf))
 
 
 def canonical(spark, sf):
@@ -101,7 +110,7 @@ def read_out(questions):
 )
 def canonical_rows(spark, sf):
     """Lines as questions, their first four letters as the cluster; what a model reads out derived from thread and line."""
-    questions = read_out(asked(spark, sf))
+    questions = read_out(flat(stage(extracted(spark, sf))))
     facts = h.question_facts(questions, "at", four_letters)
     return h.canonical_rows(facts, h.question_texts(questions, "at", four_letters)).drop("first_at")
 
@@ -216,14 +225,13 @@ UNION ALL SELECT 3, 1, -frequency, name, cluster, 0, '', '- **[' || name || '](h
 )
 def handbook_document(spark, sf):
     """The handbook of all lines, clustered by their first four letters, with texts, links and counts."""
-    kind = F.when(F.col("type") == "en", "coding").when(F.col("type") == "fr", "sd").when(F.col("type") == "de", "math").otherwise("other")
-    questions = read_out(asked(spark, sf).withColumn("type", kind))
+    kind = F.when(F.col("lang") == "en", "coding").when(F.col("lang") == "fr", "sd").when(F.col("lang") == "de", "math").otherwise("other")
+    posts = stage(extracted(spark, sf, kind))
+    questions = read_out(flat(posts))
     facts = h.question_facts(questions, "at", four_letters)
     found = h.canonical_rows(facts, h.question_texts(questions, "at", four_letters))
     members = questions.select(four_letters("name").alias("cluster"), "thread_id")
     none = table(spark, sf, "labels").select(F.col("doc_id").alias("thread_id"), F.lit("").alias("href")).filter("thread_id < 0")
-    lines = F.filter(F.transform(F.split("text", "\n"), collapse_ws), lambda x: x != "")
-    extracted = table(spark, sf, "documents").select("doc_id", lines.alias("questions"), F.when(F.col("doc_id") % 50 == 7, "timeout").alias("error"))
-    counts = h.handbook_counts(extracted, found)
+    counts = h.handbook_counts(posts, found)
     links = h.source_links(members, none, ["cluster"])
     return h.handbook_document(found, h.canonical_values(facts), links, counts, "Acme", "2026-01-02", script="handbook.py", model="rules")

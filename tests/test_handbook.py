@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from postmill.catalog import questions as q
 from postmill.operators import handbook as h
 
 QUESTIONS = "thread_id string, name string, type string, round string, difficulty string, what string, solution_hint string, pitfalls string, follow_ups string, examination_points array<string>, at int"
@@ -82,3 +83,23 @@ def test_a_cluster_with_all_questions_gathers_nothing(spark):
     for df in (canonical, values):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "collect_" not in plan and "Window" not in plan
+
+
+def test_documents_are_read_once(spark, monkeypatch):
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        reads.add(1)
+        return text
+
+    def table(spark, sf, name):
+        rows = spark.createDataFrame([(1, "Abcd  one\n\nAbcd two", "en"), (2, "Abcd one", "fr"), (3, None, "de")], "doc_id long, text string, lang string")
+        return rows.withColumn("text", counted("text")) if name == "documents" else rows
+
+    monkeypatch.setattr(q, "table", table)
+    assert [(r["name"], r["frequency"], r["aliases"]) for r in q.canonical_rows(spark, "").collect()] == [("Abcd one", 2, 1)]
+    assert reads.value == 3
+    lines = [r.line for r in q.handbook_document(spark, "").collect()]
+    assert "## Abcd one _(频次 2 · Coding · round 2)_" in lines and "- 抽出原始题数：3" in lines
+    assert reads.value == 6
