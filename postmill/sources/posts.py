@@ -159,22 +159,28 @@ def cell_text(cell: Column) -> Column:
     return F.regexp_replace(F.array_join(F.filter(nodes, lambda n: n != ""), "\n"), r"\n{3,}", "\n\n")
 
 
-def thread_listings(pages: DataFrame) -> DataFrame:
+def thread_listings(pages: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
     """Company listing pages to thread rows, first of equal ids over all pages.
 
-    A listing's date is the last <time title> before its anchor.
+    A listing's date is the last <time title> before its anchor. A page may come in parts, each with the number of
+    `marks` before it and the date (`dated`) that they leave. `kept` names columns of a page that its rows keep.
     """
     groups = [
         F.regexp_extract_all(filled("payload"), F.lit(fixed.LISTING_MARK), F.lit(g)).alias(n)
         for g, n in ((1, "time"), (2, "url"), (3, "tid"), (4, "body"))
     ]
     company = F.col("company") if "company" in pages.columns else F.lit(None).cast("string")
-    dealt = pages.select(company.alias("company"), "page", "payload", F.xxhash64("payload").alias("_text")).repartition("company", "page", "_text")
-    marks = dealt.select("company", "page", "_text", F.posexplode(F.arrays_zip(*groups)).alias("at", "a"))
+    in_parts = "marks" in pages.columns
+    before = F.col("marks") if in_parts else F.lit(0)
+    left = F.col("dated") if in_parts else F.lit("")
+    dealt = pages.select(
+        company.alias("company"), "page", "payload", before.alias("_before"), left.alias("_left"), *kept, F.xxhash64("payload").alias("_text")
+    ).repartition("company", "page", "_before", "_text")
+    marks = dealt.select("company", "page", "_before", "_left", *kept, "_text", F.posexplode(F.arrays_zip(*groups)).alias("_at", "a")).withColumn("at", F.col("_before") + F.col("_at"))
     # The last date is carried on to the anchors behind it along the page's marks, which one sort puts in order.
-    behind = Window.partitionBy("company", "page", "_text").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    behind = Window.partitionBy("company", "page", "_before", "_text").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_time = F.col("a")["tid"] == ""
-    dated = marks.withColumn("time", filled(F.last(F.when(is_time, F.col("a")["time"]), ignorenulls=True).over(behind)))
+    dated = marks.withColumn("time", filled(F.coalesce(F.last(F.when(is_time, F.col("a")["time"]), ignorenulls=True).over(behind), "_left")))
     found = dated.filter(~is_time)
     body = F.col("a")["body"]
     title = F.regexp_extract(body, fixed.LISTING_TITLE, 1)
@@ -187,7 +193,7 @@ def thread_listings(pages: DataFrame) -> DataFrame:
         "company", "page", "at", F.col("a")["tid"].alias("tid"), F.col("a")["url"].alias("url"),
         strip(unescape(F.regexp_replace(title, "<[^>]+>", ""))).alias("title"), tags.alias("tags"),
         F.col("time").alias("posted_at"),
-        F.lit(None).cast("int").alias("messages"), F.lit(None).cast("int").alias("likes"),
+        F.lit(None).cast("int").alias("messages"), F.lit(None).cast("int").alias("likes"), *kept,
     ).filter("title != ''")
     return top_k(rows, ["tid"], [F.col("page"), F.col("at")], 1)
 

@@ -286,3 +286,35 @@ def test_long_listing_pages_are_read_in_linear_time(spark):
     reader = PagedReader({"specs": json.dumps([spec]), "fetch": "test_state:listing_page", "until": "2026-03-15 00:00"})
     batches = list(reader.read(reader.partitions(reader.initialOffset(), reader.latestOffset())[0]))
     assert [b.num_rows for b in batches] == [1, 1] and [b.column("page")[0].as_py() for b in batches] == [0, 1]
+
+
+def test_a_long_listing_page_comes_in_parts_with_the_same_threads(spark):
+    import json
+
+    import pyarrow as pa
+
+    from postmill.sources.posts import thread_listings
+    from postmill.streaming.listings import PART, PagedReader, in_span, parts
+
+    thread = '<a href="https://www.1point3acres.com/bbs/thread-{0}-1-1.html"><div class="flex-1">Thread {0}</div></a>'.format
+    pages = [
+        "".join(('<time title="2026-01-0%d 10:00"></time>' % (n % 9 + 1) if n % 4 == 0 else "") + thread(n) for n in range(40)),
+        "top</a>" + "".join(thread(100 + n) for n in range(9)) + '<time title=""></time>' + thread(110) + "<abbr>x</a>" * 9 + "no mark" * 40,
+        '<time title="2026-02-01 10:00></time>' + thread(200) + '<time title="a</a>b">' + thread(201)
+        + thread(202).replace("<div", '<time title="2026-02-09 10:00"></time><div') + thread(203) + thread(204).replace("</a>", "") + thread(205) + thread(206),
+        '<time title="2026-03-01 10:00"></time>' + thread(300) + thread("٣") + "<aé " + thread(301)[3:] + "".join(thread(302 + n) for n in range(5)),
+    ]
+    for most in (1, 150, 10**6):
+        cut = [[*parts(page, most)] for page in pages]
+        assert ["".join(text for _, _, text in c) for c in cut] == pages and (most > 1 or len(cut[0]) == 50)
+        whole = thread_listings(spark.createDataFrame([("a", n, p) for n, p in enumerate(pages)], "company string, page int, payload string"))
+        rows = [("a", n, *part) for n, c in enumerate(cut) for part in c]
+        split = thread_listings(spark.createDataFrame(rows, "company string, page int, marks int, dated string, payload string"))
+        assert split.dtypes == whole.dtypes and sorted(map(tuple, split.collect())) == sorted(map(tuple, whole.collect())) and whole.count() > 60
+    # The reader hands on no more than a part at once; a thread's date may stand in a part before its own.
+    spec = {"name": "acme", "pages": [[(n, "2026-03-01 10:00") for n in range(4000)], [(4000, "2026-02-02 10:00"), (4001, "2026-01-02 10:00")]]}
+    reader = PagedReader({"specs": json.dumps([spec]), "fetch": "test_state:listing_page", "until": "2026-02-15 00:00", "months": "1"})
+    batches = list(reader.read(reader.partitions(reader.initialOffset(), reader.latestOffset())[0]))
+    assert len(batches) > 2 and max(len(b.column("payload")[0].as_py()) for b in batches) < PART + 200
+    read = spark.createDataFrame(pa.Table.from_batches(batches))
+    assert [r["tid"] for r in in_span(read).collect()] == ["4000"] and thread_listings(read).count() == 4002
